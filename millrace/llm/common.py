@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text):
     """Number of words in a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+class Memo(dict):
+    """Word -> row number of ``table``, filled by ``make(word, row)`` at first sight; drop() empties it when it is large."""
+
+    def __init__(self, make, width: int, dtype="float32", limit: int = 300_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.table = np.zeros((1 << 14, width), dtype)
+
+    def __missing__(self, word):
+        i = len(self)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[i] = 0
+        self.make(word, self.table[i])
+        self[word] = i
+        return i
+
+    def ids(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def rows(self, words: list) -> np.ndarray:
+        ids = self.ids(words)  # may make the table anew
+        return self.table[ids]
+
+    def drop(self) -> None:
+        """Call between texts: row numbers given out before are void afterwards."""
+        if len(self) > self.limit:
+            self.clear()
+
+
+def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of df, chosen by a hash of the key: the same rows in each run, whatever the partitioning."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(1_000_000 * rows / n))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialise, word_count
 
 BINS = 1 << 14
+#: A source's row is repeated so often for joins with documents, so that no join deals a source to one task.
+SPREAD = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -69,8 +71,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
             F.col("source").isNull().alias("no_source"),
             F.coalesce(F.col("source"), F.lit("")).alias("skey"),
             word_count(F.col("text")).alias("size"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("salt"),
         )
     )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
     targets = source_targets(sizes, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = (
@@ -82,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     odds = F.when(F.col("p") > 0, (u / (1.0 - u)) / (F.col("p") / (1.0 - F.col("p")))).otherwise(u / (1.0 - u))
     ranked = (
-        sizes.join(targets, ["no_source", "skey"])
+        sizes.join(targets.select("*", salts), ["no_source", "skey", "salt"])
         .withColumn("q", odds)
         .withColumn("bin", F.floor(F.col("q") / (1.0 + F.col("q")) * BINS).cast("int"))
     )
@@ -92,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     last = bins.where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("words"))).select(
         "no_source", "skey", F.col("bin").alias("last_bin"), "before"
     )
-    ranked = ranked.join(last, ["no_source", "skey"], "left")
+    ranked = ranked.join(last.select("*", salts), ["no_source", "skey", "salt"], "left")
     inside = Window.partitionBy("no_source", "skey").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = ranked.where(F.col("bin") == F.col("last_bin")).withColumn(
         "chosen", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2.0 <= F.col("need")

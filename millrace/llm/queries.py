@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing
+from millrace.llm import langid, mixing, warc
 from millrace.llm.common import table
 
 
@@ -13,6 +13,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_mixing": op7_mixing}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.is_training_row(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~langid.is_training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+QUERIES = {"op7_mixing": op7_mixing, "op9_warc": op9_warc, "op10_langid": op10_langid}
+
+SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL}
