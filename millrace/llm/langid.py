@@ -1,16 +1,16 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A word is the set of its 1- to 4-character grams (with word boundary marks) and itself, each hashed to
-one of ``buckets`` embeddings.  A text is the average of its words' averages; a linear layer and a softmax
-give language scores.  Embeddings and layer are trained by stochastic gradient descent in numpy on a
-bounded sample.  A temperature is fitted on held-out sample rows, and the rejection level is the score
+A text's letters, in lower case and with one blank between words, give its subwords: all windows of 2 to
+4 characters that hold a blank at most at their ends, which so mark word boundaries.  Each is hashed to one
+of ``buckets`` embeddings.  The text is the average of its subwords' embeddings; a linear layer and a
+softmax give language scores.  Embeddings and layer are trained by stochastic gradient descent in numpy on
+a bounded sample.  A temperature is fitted on held-out sample rows, and the rejection level is the score
 below which predictions on those rows are wrong more often than right.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,21 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, sampled
+from millrace.llm.common import sampled
 
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-
-
-def grams(word: str, buckets: int, longest: int = 4) -> list[int]:
-    marked = f"<{word}>"
-    found = {marked} | {marked[i : i + n] for n in range(1, longest + 1) for i in range(len(marked) - n + 1)}
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in found})
-
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters; the few other characters that a run may hold (such as superscripts) need a letter beside them."""
-    return LETTERS.findall(text.lower()) if text else []
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def subwords(text: str | None, bits: int) -> np.ndarray:
+    """Buckets (below 2**bits) of a text's subwords, with repeats; none if it is null or has no letter."""
+    runs = RUNS.findall(text.lower()) if text else []
+    joined = " ".join(runs)
+    if not joined.isascii() and not any(c.isalpha() for c in joined):
+        return np.zeros(0, np.int64)  # superscripts and the like are word characters, but not letters
+    if not runs:
+        return np.zeros(0, np.int64)
+    codes = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), np.uint32)
+    blank, wide = codes == 32, codes.astype(np.uint64)
+    found, inner = [], np.zeros(len(codes), bool)
+    mixed = wide * FACTORS[0]
+    for n in range(2, 5):
+        if len(codes) < n:
+            break
+        # A window of n from i: its hash extends that of n - 1 from i; no blank may stand inside.
+        mixed = (mixed[: len(codes) - n + 1] ^ (mixed[: len(codes) - n + 1] >> np.uint64(29))) + wide[n - 1 :] * FACTORS[n - 1]
+        inner = inner[: len(codes) - n + 1] | (blank[n - 2 : len(codes) - 1] if n > 2 else False)
+        found.append((mixed * FACTORS[0])[~inner] >> np.uint64(64 - bits))
+    return np.concatenate(found).astype(np.int64)
 
 
 @dataclass
@@ -43,77 +55,57 @@ class LanguageModel:
     temperature: float
     reject_below: float
 
-    def memo(self, limit: int = 300_000) -> Memo:
-        """A word's row holds its averaged logits, then 1 if it has a letter (0: it doesn't count)."""
+    def score(self, text: str | None) -> tuple[str, float]:
+        found = subwords(text, len(self.logits).bit_length() - 1)
+        if not len(found):
+            return UNKNOWN, 0.0
+        z = np.zeros(len(self.languages))
+        for at in range(0, len(found), 1 << 16):
+            z += self.logits[found[at : at + (1 << 16)]].sum(0, dtype="float64")
+        z = (z / len(found) + self.bias) / self.temperature
+        p = np.exp(z - z.max())
+        best = int(p.argmax())
+        return self.languages[best], float(p[best] / p.sum())
 
-        def make(word: str, row: np.ndarray) -> None:
-            if any(c.isalpha() for c in word):
-                row[:-1] = self.logits[grams(word, len(self.logits))].mean(0)
-                row[-1] = 1
 
-        return Memo(make, len(self.languages) + 1, limit=limit)
-
-    def score(self, text: str | None, memo: Memo) -> tuple[str, float]:
-        words = words_of(text)
-        if words:
-            total = memo.rows(words).sum(0, dtype="float64")
-            memo.drop()
-            if total[-1]:
-                z = (total[:-1] / total[-1] + self.bias) / self.temperature
-                p = np.exp(z - z.max())
-                best = int(p.argmax())
-                return self.languages[best], float(p[best] / p.sum())
-        return UNKNOWN, 0.0
+def _shares(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares in its average."""
+    counts = np.bincount(subwords(text, bits), minlength=1 << bits)
+    where = np.flatnonzero(counts)
+    return where, (counts[where] / max(1, counts.sum())).astype("float32")
 
 
-def _averages(text: str, buckets: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares in its average."""
-    ids, shares = [], []
-    words = [w for w in words_of(text) if any(c.isalpha() for c in w)]
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    for w, n in counts.items():
-        if w not in cache:
-            cache[w] = np.array(grams(w, buckets))
-        ids.append(cache[w])
-        shares.append(np.full(len(cache[w]), n / len(cache[w]) / len(words)))
-    if not ids:
-        return np.zeros(0, int), np.zeros(0)
-    where, back = np.unique(np.concatenate(ids), return_inverse=True)
-    return where, np.bincount(back, np.concatenate(shares))
-
-
-def fit(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> LanguageModel:
+def fit(rows: list[tuple[str, str]], bits: int = 15, dim: int = 12, epochs: int = 4, rate: float = 0.3, seed: int = 7) -> LanguageModel:
     """rows: (text, language).  Rows without letters are left out; one language or none gives a constant model."""
-    rng, cache = np.random.default_rng(seed), {}
-    data = [(*_averages(t, buckets, cache), y) for t, y in rows if y is not None]
+    rng = np.random.default_rng(seed)
+    data = [(*_shares(t, bits), y) for t, y in rows if y is not None]
     data = [x for x in data if len(x[0])]
     languages = sorted({y for *_, y in data})
     if not languages:
-        return LanguageModel([UNKNOWN], np.zeros((buckets, 1)), np.zeros(1), 1.0, 0.0)
+        return LanguageModel([UNKNOWN], np.zeros((1 << bits, 1), "float32"), np.zeros(1), 1.0, 0.0)
     code = {y: i for i, y in enumerate(languages)}
     order = rng.permutation(len(data))
     held = [data[i] for i in order[: len(data) // 5]]
-    train = [data[i] for i in order[len(data) // 5 :]] or data
-    emb = rng.normal(0, 0.1, (buckets, dim))
-    layer, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
+    train = [data[i] for i in order[len(data) // 5 :]]
+    emb = rng.normal(0, 0.5, (1 << bits, dim)).astype("float32")
+    layer, bias = rng.normal(0, 0.5, (dim, len(languages))).astype("float32"), np.zeros(len(languages), "float32")
     steps, total = 0, max(1, epochs * len(train))
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
             where, share, y = train[i]
-            step = rate * (1 - steps / total)
+            step = np.float32(rate * (1 - steps / total))
             steps += 1
-            hidden = share @ emb[where]
+            rows_ = emb[where]
+            hidden = share @ rows_
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[code[y]] -= 1
-            back = layer @ p
-            layer -= step * 0.1 * np.outer(hidden, p)
-            bias -= step * 0.01 * p
-            emb[where] -= step * np.outer(share * min(len(where), 64), back)
-    model = LanguageModel(languages, (emb @ layer).astype("float32"), bias, 1.0, 0.0)
+            # The step on the embeddings is normalised so that it moves the average by step * gradient.
+            emb[where] = rows_ - np.outer(share * (step / (share @ share)), layer @ p)
+            layer -= step * np.outer(hidden, p)
+            bias -= step * np.float32(0.01) * p
+    model = LanguageModel(languages, (emb @ layer).astype("float32"), bias.astype("float64"), 1.0, 0.0)
     if held:
         z = np.array([s @ model.logits[w] + bias for w, s, _ in held])
         y = np.array([code[x] for *_, x in held])
@@ -121,8 +113,7 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epoc
         loss = lambda t: -(z[np.arange(len(y)), y] / t - np.log(np.exp(z / t).sum(1))).mean()
         model.temperature = float(min(np.geomspace(0.25, 16, 49), key=loss))
         p = np.exp(z / model.temperature)
-        top = p.max(1) / p.sum(1)
-        model.reject_below = reject_level(top, p.argmax(1) == y, len(languages))
+        model.reject_below = reject_level(p.max(1) / p.sum(1), p.argmax(1) == y, len(languages))
     return model
 
 
@@ -134,7 +125,7 @@ def reject_level(top: np.ndarray, right: np.ndarray, n_languages: int) -> float:
     return min(0.5, max(level, 1.0 / n_languages))
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, **options) -> LanguageModel:
+def train(docs: DataFrame, sample_rows: int = 3000, **options) -> LanguageModel:
     """Fit on about ``sample_rows`` rows of docs (doc_id, text, lang not null), chosen by a hash of doc_id."""
     rows = sampled(docs.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", sample_rows).orderBy("doc_id", "text").collect()
     return fit([(r["text"], r["lang"]) for r in rows], **options)
@@ -153,9 +144,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        memo = model.memo()
         for batch in batches:
-            out = [model.score(t.as_py(), memo) for t in batch.column("text")]
+            out = [model.score(t.as_py()) for t in batch.column("text")]
             table = pa.Table.from_batches([batch])
             table = table.append_column("lang_pred", pa.array([x for x, _ in out], pa.string()))
             table = table.append_column("score", pa.array([s for _, s in out], pa.float64()))
