@@ -77,3 +77,32 @@ def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+
+
+class Ragged(Memo):
+    """Memo whose rows are runs of int32 in one flat array; the table holds (start, length)."""
+
+    def __init__(self, make, limit: int = 300_000):
+        super().__init__(self._put, 2, np.int64, limit)
+        self.parts, self.flat, self.used = make, np.zeros(1 << 17, np.int32), 0
+
+    def _put(self, word, row) -> None:
+        found = self.parts(word)
+        while self.used + len(found) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(found)] = found
+        row[:] = self.used, len(found)
+        self.used += len(found)
+
+    def gather(self, words: list) -> np.ndarray:
+        """The runs of all words, one after another."""
+        rows = self.rows(words)
+        if not len(rows):
+            return np.zeros(0, np.int32)
+        ends = np.cumsum(rows[:, 1])
+        return self.flat[np.arange(ends[-1]) + np.repeat(rows[:, 0] - ends + rows[:, 1], rows[:, 1])]
+
+    def drop(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self.used = 0

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, warc
+from millrace.llm import langid, lineblocks, mixing, warc, wfst
 from millrace.llm.common import table
 
 
+#: Folder of the public tokenizers' vocabulary files; set it where they lie elsewhere.
+TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = wfst.PieceTransducer.compile(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -26,6 +41,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op9_warc": op9_warc, "op10_langid": op10_langid}
+QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op7_mixing": op7_mixing,
+    "op8_line_blocks": op8_line_blocks,
+    "op9_warc": op9_warc,
+    "op10_langid": op10_langid,
+}
 
 SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL}
