@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, lineblocks, mixing, warc, wfst
+from millrace.llm import fertility, langid, lineblocks, mixing, toxicity, warc, wfst
 from millrace.llm.common import table
 
 
@@ -15,11 +15,24 @@ from millrace.llm.common import table
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trained = docs.where(toxicity.is_training_row(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels").where(toxicity.is_training_row(F.col("doc_id")))
+    model = toxicity.train(trained, labels)
+    held_out = (~toxicity.is_training_row(F.col("doc_id"))).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = wfst.PieceTransducer.compile(f"{TOKENIZERS}/piece_bpe_32k.model")
     return wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,7 +55,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_fertility": op6_fertility,
     "op7_mixing": op7_mixing,
     "op8_line_blocks": op8_line_blocks,
     "op9_warc": op9_warc,
