@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fertility, langid, lineblocks, mixing, toxicity, warc, wfst
+from millrace.llm import fertility, langid, lineblocks, mih, mixing, toxicity, warc, wfst
 from millrace.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op2_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = wfst.PieceTransducer.compile(f"{TOKENIZERS}/piece_bpe_32k.model")
     return wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
@@ -56,6 +60,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mih": op2_mih,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_fertility": op6_fertility,
     "op7_mixing": op7_mixing,
