@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +107,63 @@ class Ragged(Memo):
         if len(self) > self.limit:
             self.clear()
             self.used = 0
+
+
+def runs(batches, *keys: str):
+    """Consecutive rows with equal keys, as one Arrow table each, from an iterator of record batches sorted by them."""
+    held: list[pa.Table] = []
+    mark = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(len(table) - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
+        for at, to in zip(starts[:-1], starts[1:], strict=True):
+            here = tuple(c[at] for c in columns)
+            if held and here != mark:
+                yield pa.concat_tables(held)
+                held = []
+            mark = here
+            held.append(table.slice(at, to - at))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, component) of all ids in edges (a, b): component is the smallest id that can be reached.
+
+    Alternates large-star and small-star steps: each links a node's neighbours to their smallest, with joins on
+    node minima, so that no neighbourhood is gathered.  Each step is written to the shared folder.
+    """
+
+    def minima(sym: DataFrame) -> DataFrame:
+        return sym.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+
+    # An edge runs from its larger end a to its smaller end b.
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    for _ in range(rounds):
+        sym = both(now)
+        large = sym.join(minima(sym), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large)
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = minima(down)
+        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        now = materialise(small)
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = now.groupBy("a").agg(F.min("b").alias("b"))
+    return ids.join(found, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
