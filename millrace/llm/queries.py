@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chosenpath, fertility, langid, lineblocks, mih, mixing, toxicity, warc, wfst
+from millrace.llm import chosenpath, fertility, langid, lineblocks, mih, mixing, suffixes, toxicity, warc, wfst
 from millrace.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mih": op2_mih,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_array": op4_suffix_array,
     "op5_chosen_path": op5_chosen_path,
     "op6_fertility": op6_fertility,
     "op7_mixing": op7_mixing,
