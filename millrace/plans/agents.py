@@ -1 +1,138 @@
+"""Queries over runs of turns: repeated queries, visit caps, call times."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions.nested import strip_reasoning
+from millrace.functions.quantiles import exact_quantiles
+from millrace.functions.text import norm_query
+from millrace.operators import aggregates as A
+from millrace.operators import filters as L
+from millrace.operators import windows as W
+from millrace.plans import views as V
+from millrace.plans.catalog import q
+from millrace.plans.registry import query
+
+NORM = r"trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 6)), '[^\p{L}\p{N}_]+', ' ', 'g'))"
+
+
+def _norm():
+    return norm_query(F.substring(F.coalesce("text", F.lit("")), 1, 6))
+
+
+@query(f"""WITH n AS (SELECT run, {NORM} AS norm FROM v_turns), r AS (SELECT run, count(*) AS n, count(DISTINCT norm) AS uniq FROM n GROUP BY run)
+ SELECT run, n, round((n - uniq)::DOUBLE / n, 6) AS fraction, (n - uniq)::DOUBLE / n >= 0.3 AS repetitive FROM r""")
+def ded7_dup_query_fraction(spark, d):
+    r = V.turns(spark, d).select("run", _norm().alias("norm")).groupBy("run").agg(F.count("*").alias("n"), F.countDistinct("norm").alias("uniq"))
+    f = (F.col("n") - F.col("uniq")) / F.col("n")
+    return r.select("run", "n", F.round(f, 6).alias("fraction"), (f >= 0.3).alias("repetitive"))
+
+
+@query(f"WITH n AS (SELECT run, turn, {NORM} AS norm FROM v_turns) SELECT run, turn, norm <> '' AND row_number() OVER (PARTITION BY run, norm ORDER BY turn) > 1 AS repeated FROM n")
+def win12_repeat_query(spark, d):
+    return W.repeat_query(V.turns(spark, d), _norm()).select("run", "turn", "repeated")
+
+
+VISITS = """WITH v AS (SELECT user_id AS run, event_id AS turn, 'p' || (event_id % 23) || '.' || (event_id % 3) AS url, 'p' || (event_id % 3) AS domain, value > 30 AS failed FROM events),
+ u AS (SELECT *, row_number() OVER (PARTITION BY run, url ORDER BY turn) > 1 AS dup FROM v),
+ c AS (SELECT *, CASE WHEN dup THEN 'duplicate' WHEN sum((NOT dup)::INT) OVER (PARTITION BY run, domain ORDER BY turn) > 3 THEN 'capped' ELSE 'fetch' END AS verdict FROM u) """
+
+
+def _visits(spark, d):
+    k = F.col("event_id")
+    s = lambda c: c.cast("string")
+    return V.read(spark, d, "events").select(
+        F.col("user_id").alias("run"), k.alias("turn"), F.concat(F.lit("p"), s(k % 23), F.lit("."), s(k % 3)).alias("url"), F.concat(F.lit("p"), s(k % 3)).alias("domain"), (F.col("value") > 30).alias("failed")
+    )
+
+
+@query(VISITS + "SELECT run, turn, verdict FROM c")
+def win11_visit_cap(spark, d):
+    return W.visit_cap(_visits(spark, d)).select("run", "turn", "verdict")
+
+
+@query(VISITS + "SELECT run, domain, count(*) AS failures FROM c WHERE failed AND domain <> 'p0' GROUP BY run, domain HAVING count(*) >= 3")
+def win14_blocked_domains(spark, d):
+    never = _visits(spark, d).select("domain").distinct().where("domain = 'p0'")
+    return _visits(spark, d).where("failed").join(never, "domain", "left_anti").groupBy("run", "domain").agg(F.count("*").alias("failures")).where("failures >= 3")
+
+
+@query("""WITH s AS (SELECT user_id AS run, event_id AS turn, event_type, row_number() OVER (PARTITION BY user_id, value > 20, event_type ORDER BY event_id) > 4 AS dup FROM events),
+ r AS (SELECT *, sum((event_type IN ('view', 'click'))::INT) OVER w AS searches, sum((event_type = 'purchase')::INT) OVER w AS scrapes FROM s WINDOW w AS (PARTITION BY run ORDER BY turn))
+ SELECT run, turn, searches >= 4 AND 2 * scrapes < searches AND NOT dup AS flagged FROM r WHERE event_type IN ('view', 'click')""")
+def win13_search_balance(spark, d):
+    e = V.read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("turn"), "event_type", "value")
+    dup = F.row_number().over(Window.partitionBy("run", F.col("value") > 20, "event_type").orderBy("turn")) > 4
+    search = F.col("event_type").isin("view", "click")
+    e = e.withColumn("dup", dup)
+    r = e.withColumns({"s": W.running_count(e, search, ["run"], ["turn"]), "p": W.running_count(e, F.col("event_type") == "purchase", ["run"], ["turn"])})
+    return r.where(search).select("run", "turn", ((F.col("s") >= 4) & (2 * F.col("p") < F.col("s")) & ~F.col("dup")).alias("flagged"))
+
+
+@query("SELECT run, arg_max(kind, turn) AS last_kind, arg_min(kind, turn) AS first_kind, max(turn) AS last_turn FROM v_turns GROUP BY run")
+def win15_last_event(spark, d):
+    return V.turns(spark, d).groupBy("run").agg(F.max_by("kind", "turn").alias("last_kind"), F.min_by("kind", "turn").alias("first_kind"), F.max("turn").alias("last_turn"))
+
+
+@query("""WITH s AS (SELECT run, turn, len(coalesce(text, '')) % 11 AS score, CASE WHEN len(coalesce(text, '')) % 13 = 0 THEN 'pass' ELSE 'rework' END AS verdict FROM v_turns)
+ SELECT run, turn, score >= 7 OR verdict = 'pass' OR turn >= 3 AS accepted FROM s""")
+def flt20_accept_submission(spark, d):
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    return V.turns(spark, d).select("run", "turn", L.accepted(n % 11, F.when(n % 13 == 0, "pass").otherwise("rework"), F.col("turn"), 7, 2).alias("accepted"))
+
+
+CALLS = """WITH c AS (SELECT run, turn, CASE WHEN len(coalesce(text, '')) % 9 = 0 THEN kind || '_failed' ELSE kind END AS kind, len(coalesce(text, '')) AS ctx, len(coalesce(text, '')) % 97 AS s, host FROM v_turns) """
+
+
+def _calls(spark, d):
+    n = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    failed = F.when(n % 9 == 0, F.concat("kind", F.lit("_failed"))).otherwise(F.col("kind"))
+    return V.turns(spark, d).select("run", "turn", failed.alias("kind"), n.alias("ctx"), (n % 97).alias("s"), "host")
+
+
+@query(CALLS + f"SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS total, {q('s', 'floor', .5)} AS med, {q('s', 'floor', .9)} AS p90, {q('ctx', 'floor', .99)} AS ctx_p99 FROM c GROUP BY kind")
+def agg35_call_kind_dist(spark, d):
+    c = _calls(spark, d)
+    base = c.groupBy("kind").agg(F.sum("s").alias("total"))
+    s = exact_quantiles(c, ["kind"], "s", {"med": ("floor", 0.5), "p90": ("floor", 0.9)})
+    return base.join(s, "kind").join(exact_quantiles(c, ["kind"], "ctx", {"ctx_p99": ("floor", 0.99)}).drop("n"), "kind")
+
+
+@query(CALLS + f"SELECT host AS method, count(*) AS n, {q('s', 'floor', .5)} AS med, CAST(sum(s) AS BIGINT) AS total, round(count(*) FILTER (ctx = 0)::DOUBLE / count(*), 6) AS zero_share FROM c GROUP BY host")
+def agg36_method_dist(spark, d):
+    c = _calls(spark, d)
+    base = c.groupBy(F.col("host").alias("method")).agg(F.sum("s").alias("total"), A.share(A.count_if(F.col("ctx") == 0), F.count("*")).alias("zero_share"))
+    return base.join(exact_quantiles(c.withColumnRenamed("host", "method"), ["method"], "s", {"med": ("floor", 0.5)}), "method")
+
+
+@query(CALLS + "SELECT split_part('10.0.0.1:' || ascii(host), ':', -1) AS port, count(*) AS n FROM c WHERE s > 5 GROUP BY 1")
+def agg36_waste_ports(spark, d):
+    port = F.substring_index(F.concat(F.lit("10.0.0.1:"), F.ascii("host").cast("string")), ":", -1)
+    return _calls(spark, d).where("s > 5").groupBy(port.alias("port")).agg(F.count("*").alias("n"))
+
+
+@query(CALLS + """SELECT run, CAST(coalesce(sum(s) FILTER (kind = 'user'), 0) AS BIGINT) AS user_s, CAST(coalesce(sum(s) FILTER (kind = 'assistant'), 0) AS BIGINT) AS assistant_s, CAST(coalesce(sum(s) FILTER (kind LIKE '%failed'), 0) AS BIGINT) AS failed_s,
+ CAST(sum(s) AS BIGINT) AS accounted, CAST(max(turn) * 100 - sum(s) AS BIGINT) AS unaccounted FROM c GROUP BY run""")
+def agg37_run_perf_totals(spark, d):
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("s"))), F.lit(0)).cast("long")
+    kind = F.col("kind")
+    return _calls(spark, d).groupBy("run").agg(
+        of(kind == "user").alias("user_s"), of(kind == "assistant").alias("assistant_s"), of(F.endswith(kind, F.lit("failed"))).alias("failed_s"), F.sum("s").alias("accounted"), (F.max("turn") * 100 - F.sum("s")).alias("unaccounted")
+    )
+
+
+@query("""SELECT run, turn, CASE WHEN turn % 3 = 0 THEN 'b' || 'a' WHEN turn % 3 = 1 THEN trim('ba' || coalesce(text, '')) ELSE trim(coalesce(text, '')) END AS text FROM v_turns""")
+def sca32_strip_reasoning(spark, d):
+    t, k = F.coalesce("text", F.lit("")), F.col("turn") % 3
+    flat = F.regexp_replace(t, r"\n+", " ")
+    raw = F.when(k == 0, F.concat(F.lit("b<think>"), flat, F.lit("</think>a"))).when(k == 1, F.concat(F.lit("b<think>"), flat, F.lit("\n\na"), t)).otherwise(t)
+    return V.turns(spark, d).select("run", "turn", strip_reasoning(raw).alias("text"))
+
+
+@query("""WITH o AS (SELECT run, list(kind ORDER BY turn) AS kinds, list_sort(list(DISTINCT host)) AS hosts, count(*) AS n FROM v_turns GROUP BY run)
+ SELECT run, n, array_to_string(kinds[1:40], ',') AS queries, array_to_string(hosts[1:25], ',') AS domains, kinds[-1] AS last_event FROM o""")
+def sca34_run_digest(spark, d):
+    o = V.turns(spark, d).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("turn", "kind"))).alias("t"), F.array_sort(F.collect_set("host")).alias("hosts"), F.count("*").alias("n"))
+    return o.select("run", "n", F.array_join(F.slice("t.kind", 1, 40), ",").alias("queries"), F.array_join(F.slice("hosts", 1, 25), ",").alias("domains"), F.element_at("t.kind", -1).alias("last_event"))

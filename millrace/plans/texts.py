@@ -1 +1,281 @@
+"""Text, markup and URL queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import aggregates as A
+from millrace.operators import dedup as D
+from millrace.operators import filters as L
+from millrace.plans import views as V
+from millrace.plans.registry import query
+from millrace.sources import page_text as P
+
+RE_SPLIT = r"'[^\p{L}\p{N}_]+'"
+
+
+def _sql_clean(c: str) -> str:
+    out = f"regexp_replace(coalesce({c}, ''), '(?is)<!--.*?-->', '', 'g')"
+    for t in T.NOISE:
+        out = f"regexp_replace({out}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
+    return out
+
+
+def _sql_entities(c: str) -> str:
+    for a, b in T.ENTITIES:
+        quoted = a.replace("'", "''"), b.replace("'", "''")
+        c = f"replace({c}, '{quoted[0]}', '{quoted[1]}')"
+    return c
+
+
+CLEAN = _sql_entities(f"trim(regexp_replace(regexp_replace({_sql_clean('html')}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))")
+LINES = f"regexp_replace({_sql_clean('html')}, '(?is)<br\\s*/?>|</(?:p|div|li|h[1-6]|tr)\\s*>', chr(10), 'g')"
+LINES = f"regexp_replace(regexp_replace({LINES}, '<[^>]+>', '', 'g'), '[ \\t\\r]+', ' ', 'g')"
+LINES = f"regexp_replace(regexp_replace({LINES}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+LINES = _sql_entities(f"regexp_replace({LINES}, '^\\s+|\\s+$', '', 'g')")
+
+
+@query(r"SELECT key, trim(regexp_replace(regexp_replace(lower(text), '[\"''«»„“”`.,:;!?()\[\]/\\#№_–—-]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM v_text")
+def sca1_norm_title(spark, d):
+    return V.texts(spark, d).select("key", T.norm_title(F.col("text")).alias("norm"))
+
+
+@query(r"SELECT key, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM v_text")
+def sca2_norm_query(spark, d):
+    return V.texts(spark, d).select("key", T.norm_query(F.col("text")).alias("norm"))
+
+
+@query(r"""WITH t AS (SELECT key, list_filter(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}][\p{L}\p{N}.+-]+'), lambda w: len(w) > 2
+ AND w NOT IN ('and', 'for', 'the', 'with', 'von', 'der', 'die', 'das', 'und', 'les', 'des', 'los', 'las')) AS w FROM v_text) SELECT key, len(w) AS n, array_to_string(w, ' ') AS tokens FROM t""")
+def sca3_tokenize(spark, d):
+    w = T.tokenize(F.col("text"))
+    return V.texts(spark, d).select("key", F.size(w).cast("long").alias("n"), F.array_join(w, " ").alias("tokens"))
+
+
+@query(f"SELECT page_id, {CLEAN} AS text FROM pages")
+def sca4_clean_html(spark, d):
+    return V.read(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {LINES} AS text FROM pages")
+def sca5_html_to_text(spark, d):
+    return V.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def sca6_strip_tags(spark, d):
+    return V.read(spark, d, "pages").select("page_id", T.strip_tags(F.col("html"), scripts=False).alias("text"))
+
+
+@query()
+def sca7_page_markdown(spark, d):
+    return P.page_markdown(V.read(spark, d, "pages"))
+
+
+@query(r"SELECT key, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM v_text")
+def sca8_count_words(spark, d):
+    return V.texts(spark, d).select("key", T.count_words(F.col("text")).alias("n"))
+
+
+TRUNC = r"""WITH w AS (SELECT {key}, {text} AS text, string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' ') AS w FROM {src}),
+ c AS (SELECT *, regexp_replace(array_to_string(w[1:{n}], ' '), '(?: [^\p{{L}}\p{{N}} ]+)+$', '') AS cut FROM w),
+ t AS (SELECT {key}, CASE WHEN len(w) <= {n} THEN text ELSE cut || CASE WHEN regexp_matches(cut, '[.!?]$') THEN '..' ELSE '...' END END AS text, len(w) > {n} AS truncated FROM c) """
+
+
+@query(TRUNC.format(key="key", text="text", src="v_text", n=12) + "SELECT key, text FROM t")
+def sca9_truncate_words(spark, d):
+    return V.texts(spark, d).select("key", T.truncate_words(F.col("text"), 12).alias("text"))
+
+
+@query(TRUNC.format(key="page_id", text="body", src=f"(SELECT page_id, {LINES} AS body FROM pages)", n=500) + r"SELECT page_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word_count, truncated FROM t")
+def sca10_enrich_pages(spark, d):
+    p = V.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
+    cut = T.truncate_words(F.col("body"), 500)
+    return p.select("page_id", cut.alias("text"), T.count_words(cut).alias("word_count"), (F.size(F.split(T.squeeze(F.col("body")), " ")) > 500).alias("truncated"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '<a href="/[^"]*">[^<]*</a>'),
+ lambda a: contains(lower(a), 'th') OR contains(lower(a), 'en'))[1], 'href="([^"]*)"', 1) AS link FROM pages""")
+def sca11_find_link(spark, d):
+    anchors = T.find_all(F.col("html"), '<a href="/[^"]*">[^<]*</a>')
+    hit = F.get(F.filter(anchors, lambda a: L.contains_any(F.lower(a), ["th", "en"])), F.lit(0))
+    return V.read(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(hit, 'href="([^"]*)"', 1)).alias("link"))
+
+
+@query(rf"""SELECT key, array_to_string(regexp_extract_all(coalesce(text, ''), '{T.PHONE}'), '|') AS phones, array_to_string(regexp_extract_all(coalesce(text, ''), '{T.EMAIL}'), '|') AS emails,
+ len(regexp_extract_all(coalesce(text, ''), '{T.SOCIAL}')) AS socials FROM v_text""")
+def sca12_contacts(spark, d):
+    c = F.col("text")
+    return V.texts(spark, d).select("key", F.array_join(T.find_all(c, T.PHONE), "|").alias("phones"), F.array_join(T.find_all(c, T.EMAIL), "|").alias("emails"), F.size(T.find_all(c, T.SOCIAL)).cast("long").alias("socials"))
+
+
+@query(rf"SELECT key, regexp_matches(coalesce(text, ''), '{T.PHONE}') AS has_phone, regexp_matches(coalesce(text, ''), '@[a-z]+') AS has_handle, contains(lower(coalesce(text, '')), 'license') AS marked FROM v_text")
+def sca13_page_signals(spark, d):
+    c = F.coalesce("text", F.lit(""))
+    return V.texts(spark, d).select("key", F.regexp_like(c, F.lit(T.PHONE)).alias("has_phone"), F.regexp_like(c, F.lit("@[a-z]+")).alias("has_handle"), F.contains(F.lower(c), F.lit("license")).alias("marked"))
+
+
+@query(r"""WITH h AS (SELECT key, substr(text, 1, 4000) AS h FROM v_text), r AS (SELECT key, CASE WHEN len(h) > 0 THEN len(regexp_replace(h, '[^A-Za-z\x20-\x7E]', '', 'g'))::DOUBLE / len(h) ELSE 0 END AS r FROM h)
+ SELECT key, round(r, 6) AS ratio, r > 0.85 AS clean FROM r""")
+def sca14_readable_ratio(spark, d):
+    r = T.readable_ratio(F.col("text"), "A-Za-z")
+    return V.texts(spark, d).select("key", F.round(r, 6).alias("ratio"), (r > 0.85).alias("clean"))
+
+
+@query()
+def sca15_goal_extract(spark, d):
+    return V.read(spark, d, "documents").select("doc_id", T.goal_extract(F.col("text"), "(?i)(?:license|worthless|copyright)").alias("extract"))
+
+
+@query(r"""WITH w AS (SELECT key, regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}') AS w FROM v_text),
+ p AS (SELECT key, w, [i for i in generate_series(1, len(w)) if list_position(w, w[i]) = i][1:20] AS spots FROM w) SELECT key, array_to_string([w[i] for i in spots], ' ') AS words FROM p""")
+def sca16_keywords(spark, d):
+    return V.texts(spark, d).select("key", F.array_join(T.keywords(F.col("text")), " ").alias("words"))
+
+
+@query("SELECT page_id, domain FROM v_pages")
+def sca17_norm_domain(spark, d):
+    return V.pages(spark, d).select("page_id", "domain")
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://t.me/' || 'c' || page_id ELSE url END AS url FROM pages), h AS (SELECT *, regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([^/?#]*)', 1) AS part FROM u)
+ SELECT page_id, regexp_replace(url, '^(https?://t\.me)/([^s/][^/]*|s[^/]+)$', '\1/s/\2') AS rewritten, CASE WHEN part <> '' AND part NOT IN ('s', 'joinchat', 'share', 'p') THEN part END AS handle FROM h""")
+def sca18_rewrite_url(spark, d):
+    u = V.read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://t.me/c"), F.col("page_id").cast("string"))).otherwise(F.col("url")).alias("url"))
+    return u.select("page_id", T.rewrite_url(F.col("url")).alias("rewritten"), T.social_handle(F.col("url")).alias("handle"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(round(o_totalprice) AS BIGINT) END AS lo, CASE WHEN o_orderkey % 5 > 1 THEN CAST(round(o_totalprice * 2) AS BIGINT) END AS hi FROM orders)
+ SELECT id, CASE WHEN lo IS NULL AND hi IS NULL THEN 'by agreement' ELSE concat_ws(' ', 'от ' || lo, 'до ' || hi, 'RUR') END AS salary FROM s""")
+def sca19_salary_text(spark, d):
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    lo, hi = F.when(k % 3 > 0, F.round(p).cast("long")), F.when(k % 5 > 1, F.round(p * 2).cast("long"))
+    return V.read(spark, d, "orders").select(k.alias("id"), T.salary_text(lo, hi, F.lit("RUR")).alias("salary"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 3 THEN CAST(round(o_totalprice) AS BIGINT) END AS rub FROM orders")
+def sca20_parse_rub(spark, d):
+    k = F.col("o_orderkey")
+    n = F.regexp_replace(F.round("o_totalprice").cast("long").cast("string"), r"([0-9]{3})$", " $1")
+    shown = F.concat(F.lit("price "), n, F.when(k % 4 == 0, " ₽").when(k % 4 == 1, "&#8381;").when(k % 4 == 2, "₽ a month").otherwise(" EUR"))
+    return V.read(spark, d, "orders").select(k.alias("id"), T.parse_rub(shown).alias("rub"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'http://x/p/' || o_orderkey END AS num FROM orders")
+def sca21_numeric_id(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    url = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("http://x/projects/"), k, F.lit("/t.html"))).otherwise(F.concat(F.lit("http://x/p/"), k))
+    return V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.numeric_id(url).alias("num"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (epoch_us(ts) // 1000000)::DOUBLE END AS at FROM events")
+def sca22_parse_when(spark, d):
+    k, s = F.col("event_id") % 4, F.floor(V.micros(F.col("ts")) / 1000000)
+    shown = F.when(k == 0, s.cast("string")).when(k == 1, (s * 1000).cast("string")).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    return V.read(spark, d, "events").select("event_id", T.parse_when(shown).alias("at"))
+
+
+@query()
+def sca33_embedded_json(spark, d):
+    e = V.read(spark, d, "events").groupBy((F.col("event_id") % 500).alias("page_id")).agg(F.concat(F.lit("<script>var s = "), F.array_join(F.collect_list("props"), ";</script><script>x("), F.lit("</script>")).alias("html"))
+    return P.embedded_json(e)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'DDOS-GUARD' WHEN page_id % 11 = 1 AND page_id % 3 = 0 THEN 'CLOUDFLARE' WHEN contains(lower(substr(html, 1, 20000)), 'captcha') OR contains(lower(substr(html, 1, 20000)), 'just a moment') THEN 'CHALLENGE'
+ WHEN page_id % 3 = 0 AND len(html) < 5000 THEN 'BLOCKED' ELSE 'CLEAN' END AS verdict FROM pages""")
+def flt8_antibot_verdict(spark, d):
+    k = F.col("page_id")
+    server = F.when(k % 11 == 0, "ddos-guard").when(k % 11 == 1, "Cloudflare").otherwise("nginx")
+    status = F.when(k % 3 == 0, 403).otherwise(200)
+    return V.read(spark, d, "pages").select("page_id", L.antibot_verdict(status, server, F.col("html")).alias("verdict"))
+
+
+@query("SELECT page_id, contains(substr(html, 1, 8000), 'Thth') OR contains(substr(html, 1, 8000), 'ad 1 ') OR contains(substr(html, 1, 8000), 'blocked') AS blocked FROM pages")
+def flt9_serp_blocked(spark, d):
+    return V.read(spark, d, "pages").select("page_id", L.contains_any(F.substring("html", 1, 8000), ["Thth", "ad 1 ", "blocked"]).alias("blocked"))
+
+
+@query("""WITH h AS (SELECT DISTINCT regexp_replace(domain, '^blog\\.', '') AS host FROM v_pages WHERE page_id % 5 = 0)
+ SELECT page_id FROM v_pages p WHERE EXISTS (SELECT 1 FROM h WHERE p.domain = h.host OR p.domain LIKE '%.' || h.host)""")
+def flt13_host_in_list(spark, d):
+    p = V.pages(spark, d)
+    hosts = p.where("page_id % 5 = 0").select(F.regexp_replace("domain", r"^blog\.", "").alias("host")).distinct()
+    return L.host_in_list(p.select("page_id", "domain"), "page_id", "domain", hosts).select("page_id")
+
+
+@query("SELECT split_part(url, '#', 1) AS url, min(page_id) AS page_id FROM pages GROUP BY 1")
+def ded6_url_dedup(spark, d):
+    p = V.read(spark, d, "pages").select(F.substring_index("url", "#", 1).alias("url"), "page_id")
+    return D.dedup_first(p, ["url"], ["page_id"])
+
+
+@query("""WITH u AS (SELECT domain, split_part(url, '#', 1) AS url, min(page_id) AS page_id FROM v_pages GROUP BY 1, 2)
+ SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM u QUALIFY rank <= 20""")
+def top5_first_k_per_site(spark, d):
+    p = V.pages(spark, d).select("domain", F.substring_index("url", "#", 1).alias("url"), "page_id")
+    first = D.dedup_first(p, ["domain", "url"], ["page_id"])
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")).cast("long")).where("rank <= 20")
+
+
+@query("""WITH g AS (SELECT domain, count(DISTINCT url) AS urls, min(page_id) AS first_id FROM v_pages GROUP BY domain HAVING count(DISTINCT url) >= 4),
+ n AS (SELECT *, row_number() OVER (ORDER BY first_id) - 1 AS k, count(*) OVER () AS total FROM g) SELECT domain, urls, first_id FROM n WHERE k % greatest(1, total // 3) = 0 ORDER BY k LIMIT 3""")
+def top7_systematic_sample(spark, d):
+    g = V.pages(spark, d).groupBy("domain").agg(F.countDistinct("url").alias("urls"), F.min("page_id").alias("first_id")).where("urls >= 4")
+    total = g.count()
+    ranked = g.withColumn("k", F.row_number().over(Window.orderBy("first_id")) - 1)  # one row per domain
+    return ranked.where(F.col("k") % max(1, total // 3) == 0).orderBy("k").limit(3).drop("k")
+
+
+@query("SELECT domain, count(*) AS visits, count(DISTINCT page_id % 20) AS orgs, count(*) FILTER (url LIKE '%ref=%') AS citations FROM v_pages GROUP BY domain")
+def agg27_domain_traffic(spark, d):
+    return V.pages(spark, d).groupBy("domain").agg(F.count("*").alias("visits"), F.countDistinct(F.col("page_id") % 20).alias("orgs"), A.count_if(F.contains("url", F.lit("ref="))).alias("citations"))
+
+
+@query("""WITH b AS (SELECT domain AS host, CASE WHEN url LIKE '%html%' THEN 'doc' ELSE 'xhr' END AS kind, octet_length(encode(html)) AS bytes FROM v_pages), h AS (SELECT kind, host, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY ALL)
+ SELECT *, row_number() OVER (PARTITION BY kind ORDER BY bytes DESC, host) AS rank FROM h QUALIFY rank <= 8""")
+def agg28_bytes_by_host(spark, d):
+    kind = F.when(F.contains("url", F.lit("html")), "doc").otherwise("xhr")
+    h = V.pages(spark, d).groupBy(kind.alias("kind"), F.col("domain").alias("host")).agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    return h.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("bytes"), "host")).cast("long")).where("rank <= 8")
+
+
+VISITS = """WITH v AS (SELECT domain, count(*) AS visits, avg(octet_length(encode(html))) AS avg_bytes FROM v_pages GROUP BY domain), c AS (SELECT domain, count(*) AS cited FROM v_pages WHERE url LIKE '%ref=%' GROUP BY domain) """
+
+
+@query(VISITS + "SELECT v.domain, visits, coalesce(cited, 0) AS cited FROM v LEFT JOIN c ON v.domain = c.domain")
+def joi12_visits_vs_citations(spark, d):
+    p = V.pages(spark, d)
+    c = p.where(F.contains("url", F.lit("ref="))).groupBy("domain").agg(F.count("*").alias("cited"))
+    return p.groupBy("domain").agg(F.count("*").alias("visits")).join(c, "domain", "left").fillna(0, ["cited"])
+
+
+MODEL = """, s AS (SELECT domain, visits, avg_bytes, CASE WHEN len(domain) % 3 = 0 THEN 'stub' WHEN len(domain) % 3 = 1 THEN 'httpx' ELSE 'browser' END AS strategy, CASE WHEN visits % 2 = 0 THEN avg_bytes / 10 END AS httpx FROM v),
+ m AS (SELECT *, CASE strategy WHEN 'stub' THEN 2000 WHEN 'httpx' THEN coalesce(httpx, avg_bytes) ELSE avg_bytes END AS new_bytes FROM s) """
+
+
+def _model(spark, d):
+    v = V.pages(spark, d).groupBy("domain").agg(F.count("*").alias("visits"), F.avg(F.octet_length("html")).alias("avg_bytes"))
+    k = F.char_length("domain") % 3
+    s = v.withColumns({"strategy": F.when(k == 0, "stub").when(k == 1, "httpx").otherwise("browser"), "httpx": F.when(F.col("visits") % 2 == 0, F.col("avg_bytes") / 10)})
+    new = F.when(F.col("strategy") == "stub", F.lit(2000.0)).when(F.col("strategy") == "httpx", F.coalesce("httpx", "avg_bytes")).otherwise(F.col("avg_bytes"))
+    return s.withColumn("new_bytes", new)
+
+
+@query(VISITS + MODEL + "SELECT domain, strategy, round(visits * avg_bytes, 3) AS now_bytes, round(visits * new_bytes, 3) AS new_bytes FROM m")
+def joi13_savings_model(spark, d):
+    return _model(spark, d).select("domain", "strategy", F.round(F.col("visits") * F.col("avg_bytes"), 3).alias("now_bytes"), F.round(F.col("visits") * F.col("new_bytes"), 3).alias("new_bytes"))
+
+
+@query(VISITS + MODEL + "SELECT strategy, round(sum(visits * avg_bytes), 2) AS now_bytes, round(100 * (1 - sum(visits * new_bytes) / sum(visits * avg_bytes)), 4) AS reduction FROM m GROUP BY strategy")
+def agg25_traffic_savings(spark, d):
+    v = F.col("visits")
+    now, new = F.sum(v * F.col("avg_bytes")), F.sum(v * F.col("new_bytes"))
+    return _model(spark, d).groupBy("strategy").agg(F.round(now, 2).alias("now_bytes"), F.round(100 * (1 - new / now), 4).alias("reduction"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<p\\b')) AS paragraphs, contains(coalesce(html, ''), '</html>') AS content_ok FROM pages")
+def udf2_site_validators(spark, d):
+    h = F.coalesce("html", F.lit(""))
+    return V.read(spark, d, "pages").select("page_id", F.regexp_count(h, F.lit(r"(?i)<p\b")).cast("long").alias("paragraphs"), F.contains(h, F.lit("</html>")).alias("content_ok"))
