@@ -81,23 +81,26 @@ def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 class Ragged(Memo):
-    """Memo whose rows are runs of int32 in one flat array; the table holds (start, length)."""
+    """Memo whose rows are runs of int32 in one flat array; the table holds (start, length, note(word, run))."""
 
-    def __init__(self, make, limit: int = 300_000):
-        super().__init__(self._put, 2, np.int64, limit)
-        self.parts, self.flat, self.used = make, np.zeros(1 << 17, np.int32), 0
+    def __init__(self, make, limit: int = 300_000, note=None):
+        super().__init__(self._put, 3, np.int64, limit)
+        self.parts, self.note, self.flat, self.used = make, note, np.zeros(1 << 17, np.int32), 0
 
     def _put(self, word, row) -> None:
         found = self.parts(word)
         while self.used + len(found) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(found)] = found
-        row[:] = self.used, len(found)
+        row[:] = self.used, len(found), self.note(word, found) if self.note else 0
         self.used += len(found)
 
     def gather(self, words: list) -> np.ndarray:
         """The runs of all words, one after another."""
-        rows = self.rows(words)
+        return self.runs_of(self.rows(words))
+
+    def runs_of(self, rows: np.ndarray) -> np.ndarray:
+        """The runs of rows of the table."""
         if not len(rows):
             return np.zeros(0, np.int32)
         ends = np.cumsum(rows[:, 1])

@@ -44,6 +44,7 @@ class PieceTransducer:
     dummy_prefix: bool
     pairs: dict = field(default_factory=dict)
     ranks: dict = field(default_factory=dict)
+    byte_set: frozenset = frozenset()
 
     @classmethod
     def compile(cls, model_file: str) -> PieceTransducer:
@@ -70,10 +71,10 @@ class PieceTransducer:
                 unknown = i
             elif p.type in (1, 4):
                 data = p.piece.replace(SPACE, " ").encode()
-                node = trie
+                node = [-1, trie]
                 for c in p.piece:
-                    node = node.setdefault(c, {})
-                node[""] = i
+                    node = node[1].setdefault(c, [-1, {}])
+                node[0] = i
             raw.append(data)
         normal = [p.piece for p in proto.pieces if p.type in (1, 4)]
         crossing = any(SPACE in t.lstrip(SPACE) for t in normal)
@@ -98,47 +99,23 @@ class PieceTransducer:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts == [self.texts[a], self.texts[b]] and parts[0] + parts[1] not in self.ranks
 
-    def weight(self, before: int | None, piece: int) -> float:
-        """Of an arc that emits piece after ``before`` (None: start, or after fallback bytes)."""
-        if not self.bpe:
-            return -self.scores[piece]
-        if before is None:
-            return 0.0
-        pair = before * len(self.texts) + piece
+    def stays_apart(self, pair: int) -> bool:
+        """The pair acceptor's verdict on before * number of pieces + piece, kept in a bounded memo."""
         found = self.pairs.get(pair)
         if found is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            found = self.pairs[pair] = 0.0 if self._stays_apart(before, piece) else INFINITE
+            found = self.pairs[pair] = self._stays_apart(*divmod(pair, len(self.texts)))
         return found
 
     def shortest_path(self, segment: str) -> list[int]:
         """Piece ids of a normalised segment: arcs are relaxed in the order of their start, a topological one."""
         n = len(segment)
-        cost = [INFINITE] * (n + 1)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        cost[0] = 0.0
-        fallback = -min(self.scores) + 10.0 if not self.bpe else 0.0
-        for i in range(n):
-            base = cost[i]
-            if base == INFINITE:
-                continue
-            node, j, single = self.trie, i, False
-            while j < n and (node := node.get(segment[j])) is not None:
-                j += 1
-                piece = node.get("")
-                if piece is not None:
-                    single |= j == i + 1
-                    w = base + self.weight(last[i], piece)
-                    if w < cost[j]:
-                        cost[j], last[j], back[j] = w, piece, i
-            if not single and base + fallback < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = base + fallback, None, i
+        last, back = self._bpe_arcs(segment, n) if self.bpe else self._unigram_arcs(segment, n)
         out: list[int] = []
         j = n
         while j > 0:
-            if last[j] is not None:
+            if last[j] >= 0:
                 out.append(last[j])
             elif self.byte_ids:
                 out.extend(self.byte_ids[x] for x in reversed(segment[j - 1].encode("utf-8", "replace")))
@@ -147,15 +124,85 @@ class PieceTransducer:
             j = back[j]
         return out[::-1]
 
-    def memo(self, limit: int = 400_000) -> Ragged:
-        return Ragged(self.shortest_path, limit)
+    def _unigram_arcs(self, segment: str, n: int) -> tuple[list[int], list[int]]:
+        """Last piece (-1: fallback bytes) and its start on the best path to each position."""
+        cost, last, back = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
+        fallback = -min(self.scores) + 10.0
+        for i in range(n):
+            children, single = self.trie, False
+            for j in range(i, n):
+                node = children.get(segment[j])
+                if node is None:
+                    break
+                piece, children = node
+                if piece >= 0:
+                    single |= j == i
+                    w = cost[i] - self.scores[piece]
+                    if w < cost[j + 1]:
+                        cost[j + 1], last[j + 1], back[j + 1] = w, piece, i
+            if not single and cost[i] + fallback < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + fallback, -1, i
+        return last, back
+
+    def _bpe_arcs(self, segment: str, n: int) -> tuple[list[int], list[int]]:
+        """The same where arcs weigh 0 or infinity: a position has one arc of finite weight, so none is tried after it is found."""
+        last, back = [-1] + [-2] * n, [0] * (n + 1)
+        known, size, trie = self.pairs.get, len(self.texts), self.trie
+        for i in range(n):
+            before, children = last[i], trie
+            row, single = before * size, False
+            for j in range(i, n):
+                node = children.get(segment[j])
+                if node is None:
+                    break
+                piece, children = node
+                if piece >= 0:
+                    if j == i:
+                        single = True
+                    if last[j + 1] == -2:
+                        fits = True if before < 0 else known(row + piece)
+                        if fits is None:
+                            fits = self.stays_apart(row + piece)
+                        if fits:
+                            last[j + 1], back[j + 1] = piece, i
+            if not single:
+                last[i + 1], back[i + 1] = -1, i
+        return last, back
+
+    def keys_of(self, text: str) -> list[str]:
+        """The segments of a text, as keys of the memo.  In plain texts a key is a word, which stands for U+2581 and the
+        word, or a line feed and the word after it; others have keys that begin with a zero and hold the segment."""
+        plain = self.segments[0] == SPACE and self.dummy_prefix and "  " not in text and text[0] != " " and SPACE not in text and "\0" not in text
+        if plain:
+            return text.replace("\n", " \n").split(" ")
+        return ["\0" + x for x in re.findall(self.segments, self.normalise(text))]
+
+    @staticmethod
+    def segment_of(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else SPACE + key
+
+    def note(self, key: str, ids: list[int]) -> int:
+        """Twice the number of fallback bytes, and 1 if the segment's ids don't decode to it."""
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
+        wrong = data != self.segment_of(key).replace(SPACE, " ").encode("utf-8", "replace")
+        return 2 * sum(i in self.byte_set for i in ids) + wrong
+
+    def memo(self, limit: int = 800_000) -> Ragged:
+        self.byte_set = frozenset(self.byte_ids)
+        return Ragged(lambda key: self.shortest_path(self.segment_of(key)), limit, self.note)
 
-    def encode(self, text: str | None, memo: Ragged) -> np.ndarray:
+    def encode_checked(self, text: str | None, memo: Ragged) -> tuple[np.ndarray, int, bool]:
+        """(ids, fallback bytes, whether decoding gives the text back).  A text's bytes are those of its segments in turn, so
+        each segment is decoded once, when it is first seen."""
         if not text:
-            return np.zeros(0, np.int32)
-        ids = memo.gather(re.findall(self.segments, self.normalise(text)))
+            return np.zeros(0, np.int32), 0, True
+        rows = memo.rows(self.keys_of(text))
+        ids = memo.runs_of(rows)
         memo.drop()
-        return ids
+        return ids, int((rows[:, 2] >> 1).sum()), not (rows[:, 2] & 1).any() and SPACE not in text
+
+    def encode(self, text: str | None, memo: Ragged) -> np.ndarray:
+        return self.encode_checked(text, memo)[0]
 
     def decode(self, ids) -> str:
         """The inverse transducer: bytes of all pieces, read as UTF-8, without the leading blank."""
@@ -179,21 +226,19 @@ def encode(docs: DataFrame, transducer: PieceTransducer, text_col: str = "text")
     def run(batches):
         machine = shared.value
         memo = machine.memo()
-        is_byte = np.zeros(len(machine.texts), np.int64)
-        is_byte[machine.byte_ids] = 1
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = batch.column(text_col).to_pylist()
-                ids = [machine.encode(t, memo) for t in texts]
+                found = [machine.encode_checked(t, memo) for t in batch.column(text_col).to_pylist()]
+                ids = [x for x, _, _ in found]
                 lengths = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 table = pa.Table.from_batches([batch])
                 table = table.append_column("ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
                 table = table.append_column("n_pieces", pa.array(lengths))
-                table = table.append_column("n_bytes_fallback", pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()))
-                table = table.append_column("round_trip", pa.array([machine.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]))
+                table = table.append_column("n_bytes_fallback", pa.array([n for _, n, _ in found], pa.int64()))
+                table = table.append_column("round_trip", pa.array([bool(r) for _, _, r in found], pa.bool_()))
                 yield from table.to_batches()
 
     return docs.mapInArrow(run, schema)
