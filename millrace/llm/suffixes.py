@@ -230,7 +230,7 @@ def anchor_rows(docs: DataFrame, rows: int = 2000) -> DataFrame:
                     if t and doc is not None:
                         g, c, f, n = anchors.of(np.frombuffer(t.encode("utf-8", "replace"), np.uint8))
                         parts.append((g, c, np.full(len(g), doc, np.int64), f, n))
-                if not parts:
+                if not sum(len(p[0]) for p in parts):
                     continue
                 g, c, d, f, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 by = np.lexsort((f, d, c, g))
