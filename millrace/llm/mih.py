@@ -117,10 +117,10 @@ def search_block(model: CodeModel, qx: np.ndarray, x: np.ndarray, ids: np.ndarra
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """Rows whose embedding is a vector: finite components without null, not all zero, of the most frequent length."""
+    """Rows whose embedding is a vector: finite components without null, not all zero."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    valid = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
-    return valid
+    some = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
+    return vectors.select("vec_id", "embedding").where(some)
 
 
 def search(vectors: DataFrame, queries, k: int = 20, sample_rows: int = 10_000, bits: int = 256, recall: float = 0.97) -> DataFrame:

@@ -18,6 +18,8 @@ def odd_docs(spark):
         (6, "Ärger 日本語   ✓ ①", "de", "c", 10, *rest),
         (7, "12345 ... !!!", None, "c", 13, *rest),
         (8, None, None, None, None, *rest),
+        (None, "No id at all", "en", "a", 3, *rest),
+        (None, None, None, None, None, *[None] * 7),
     ]
     return spark.createDataFrame(rows, ddl)
 

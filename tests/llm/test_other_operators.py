@@ -104,6 +104,7 @@ def test_mix_odd_rows(odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.taken for r in rows if r.size == 0} == {0}
     assert mixing.mix(no_docs).collect() == [] == mixing.apply_mix(no_docs).collect()
+    assert len(mixing.mix(odd_docs.unionByName(odd_docs)).collect()) == 2 * len(rows)
     one = odd_docs.where("doc_id = 6")
     assert [r.taken for r in mixing.mix(one).collect()] == [mixing.mix(one).first()["size"]]
 
@@ -129,13 +130,14 @@ def test_page_text():
 def odd_pages(spark):
     big = "x" * 150
     rows = [(5, "http://www.B.org/a?q=1#f", big, 1), (3, "http://b.org:80/a", big, 1), (9, None, big, 1), (4, "bad url [", None, 1), (6, "http://c.org/\r\nX", "", 1), (7, "http://b.org/a", "short", 1), (8, "http://b.org/a", "short", 1), (10, "http://d.org", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nü" * 9, 1), (11, "http://d.org", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nü" * 9, 1)]
+    rows += [(None, "http://e.org", big, 1), (None, None, None, None)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
 
 
 def test_archives_round_trip(spark, odd_pages):
     rows = warc.archive_and_index(odd_pages).collect()
     want = {3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), 4: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("response", None), 10: ("response", None), 11: ("revisit", 10)}
-    assert {r.page_id: (r.record_type, r.refers_to) for r in rows} == want
+    assert len(rows) == odd_pages.count() and {r.page_id: (r.record_type, r.refers_to) for r in rows if r.page_id is not None} == want
     sizes = {r.page_id: r.payload_bytes for r in rows}
     assert sizes[4] == 0 == sizes[6] and sizes[10] == len("a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nü".encode()) * 9
     assert [r.capture_no for r in sorted((r for r in rows if r.urlkey == "org,b)/a"), key=lambda r: r.ts)] == [1, 2]
