@@ -30,14 +30,14 @@ PRICE = f"""count(*) AS n, min(price) AS low, {q('price', 'rint', .25)} AS p25,
 
 @query(f"SELECT leaf, {PRICE} FROM v_gigs WHERE price > 0 GROUP BY leaf")
 def agg1_price_stats(spark, d):
-    return A.price_stats(V.gigs(spark, d), ["leaf"], low=20000)
+    return A.price_stats(A.value_counts(V.gigs(spark, d), ["leaf"], "price"), ["leaf"], low=20000)
 
 
 @query(f"""SELECT leaf, {PRICE} FROM v_gigs WHERE price > 0 GROUP BY leaf
  UNION ALL SELECT '*' AS leaf, {PRICE} FROM v_gigs WHERE price > 0""")
 def agg7_per_category_and_global(spark, d):
-    g = V.gigs(spark, d).select("leaf", "price")
-    both = g.select(F.explode(F.array("leaf", F.lit("*"))).alias("leaf"), "price")
+    counts = A.value_counts(V.gigs(spark, d), ["leaf"], "price")
+    both = counts.select(F.explode(F.array("leaf", F.lit("*"))).alias("leaf"), "price", "_c").groupBy("leaf", "price").agg(F.sum("_c").alias("_c"))
     return A.price_stats(both, ["leaf"], low=20000)
 
 
@@ -140,9 +140,9 @@ def agg11_extras_stats(spark, d):
     lines = V.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.round("l_extendedprice").cast("long")).alias("extras"))
     cards = V.read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     e = cards.select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("leaf"), F.explode_outer("extras").alias("price"))
-    q_ = exact_quantiles(e, ["leaf"], "price", {"median": ("rint", 0.5), "p90": ("rint", 0.9)})
-    base = e.groupBy("leaf").agg(F.countDistinct(F.when(F.col("price").isNotNull(), F.col("card"))).alias("with_extras"), F.min("price").alias("low"), F.max("price").alias("high"))
-    return base.join(q_, "leaf")
+    spec = {"low": ("floor", 0.0), "median": ("rint", 0.5), "p90": ("rint", 0.9), "high": ("floor", 1.0)}
+    with_extras = cards.groupBy(F.col("o_orderpriority").alias("leaf")).agg(A.count_if(F.size("extras") > 0).alias("with_extras"))
+    return with_extras.join(exact_quantiles(e, ["leaf"], "price", spec), "leaf")
 
 
 @query(f"SELECT leaf, count(*) AS n, min(price) AS low, {q('price', 'mid', .5)} AS median, max(price) AS high FROM v_gigs GROUP BY leaf")
