@@ -29,7 +29,7 @@ SPAN = 100
 GRAM = 16
 LARGE = 40_000
 #: Bytes of contexts that are sorted together, if no single anchor has more.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def two_stage(data: np.ndarray, need: np.ndarray, words: np.ndarray, depth: int
     grows = np.append(data[run_ends[:-1]] < data[run_ends[:-1] + 1], False)
     smaller = np.repeat(grows, np.diff(np.concatenate([[-1], run_ends])))
     # A larger suffix needs its successors up to the next smaller one.
-    segment = np.concatenate([[0], np.cumsum(smaller)[:-1]])
+    segment = np.concatenate([[0], np.cumsum(smaller, dtype=np.int32)[:-1]])
     starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     first_need = np.minimum.reduceat(np.where(need, np.arange(n), n), starts)
     needed = np.arange(n) >= np.repeat(first_need, np.diff(np.append(starts, n)))
@@ -167,9 +167,9 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray, first: np.ndarray)
     """(doc, start, end) of runs of windows that also occur earlier among the contexts (doc and first: place of each)."""
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    which = np.repeat(np.arange(len(contexts)), sizes + 1)
-    within = np.arange(len(data)) - begin[which]
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32)
+    which = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    within = np.arange(len(data), dtype=np.int32) - begin[which]
     need = within <= sizes[which] - SPAN
     words = eights(data)
     order = two_stage(data, need, words)

@@ -103,7 +103,7 @@ class PieceTransducer:
         """The pair acceptor's verdict on before * number of pieces + piece, kept in a bounded memo."""
         found = self.pairs.get(pair)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             found = self.pairs[pair] = self._stays_apart(*divmod(pair, len(self.texts)))
         return found
@@ -187,7 +187,7 @@ class PieceTransducer:
         wrong = data != self.segment_of(key).replace(SPACE, " ").encode("utf-8", "replace")
         return 2 * sum(i in self.byte_set for i in ids) + wrong
 
-    def memo(self, limit: int = 800_000) -> Ragged:
+    def memo(self, limit: int = 300_000) -> Ragged:
         self.byte_set = frozenset(self.byte_ids)
         return Ragged(lambda key: self.shortest_path(self.segment_of(key)), limit, self.note)
 
