@@ -43,22 +43,39 @@ def word_count(text):
 
 
 class Memo(dict):
-    """Word -> row number of ``table``, filled by ``make(word, row)`` at first sight; drop() empties it when it is large."""
+    """Word -> row number of ``table``, filled by ``make(word, row)`` at first sight.
+
+    Two generations are kept: drop() makes a full one the old one, from which words that occur again are taken over,
+    so that frequent words are made once and ``limit`` words are held at most between texts.
+    """
 
     def __init__(self, make, width: int, dtype="float32", limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
-        self.table = np.zeros((1 << 14, width), dtype)
+        self.table = self._new_table(width, dtype)
+        self.old: dict = {}
+        self.old_table = self.table
+
+    @staticmethod
+    def _new_table(width: int, dtype) -> np.ndarray:
+        return np.zeros((1 << 14, width), dtype)
 
     def __missing__(self, word):
         i = len(self)
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = 0
-        self.make(word, self.table[i])
+        before = self.old.get(word)
+        if before is None:
+            self.table[i] = 0
+            self.make(word, self.table[i])
+        else:
+            self.take_over(before, i)
         self[word] = i
         return i
 
+    def take_over(self, before: int, i: int) -> None:
+        self.table[i] = self.old_table[before]
+
     def ids(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -68,8 +85,14 @@ class Memo(dict):
 
     def drop(self) -> None:
         """Call between texts: row numbers given out before are void afterwards."""
-        if len(self) > self.limit:
+        if len(self) > self.limit // 2:
+            self.retire()
+            self.old, self.old_table = dict(self), self.table
             self.clear()
+            self.table = self._new_table(self.table.shape[1], self.table.dtype)
+
+    def retire(self) -> None:
+        """What else is to be set aside with a generation."""
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -85,15 +108,25 @@ class Ragged(Memo):
 
     def __init__(self, make, limit: int = 300_000, note=None):
         super().__init__(self._put, 3, np.int64, limit)
-        self.parts, self.note, self.flat, self.used = make, note, np.zeros(1 << 17, np.int32), 0
+        self.parts, self.note = make, note
+        self.flat = self.old_flat = np.zeros(1 << 17, np.int32)
+        self.used = 0
 
-    def _put(self, word, row) -> None:
-        found = self.parts(word)
-        while self.used + len(found) > len(self.flat):
+    def _store(self, found) -> int:
+        at = self.used
+        while at + len(found) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(found)] = found
-        row[:] = self.used, len(found), self.note(word, found) if self.note else 0
+        self.flat[at : at + len(found)] = found
         self.used += len(found)
+        return at
+
+    def _put(self, word, row) -> None:
+        found = self.parts(word)
+        row[:] = self._store(found), len(found), self.note(word, found) if self.note else 0
+
+    def take_over(self, before: int, i: int) -> None:
+        start, length, note = self.old_table[before].tolist()
+        self.table[i] = self._store(self.old_flat[start : start + length]), length, note
 
     def gather(self, words: list) -> np.ndarray:
         """The runs of all words, one after another."""
@@ -106,10 +139,8 @@ class Ragged(Memo):
         ends = np.cumsum(rows[:, 1])
         return self.flat[np.arange(ends[-1]) + np.repeat(rows[:, 0] - ends + rows[:, 1], rows[:, 1])]
 
-    def drop(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-            self.used = 0
+    def retire(self) -> None:
+        self.old_flat, self.flat, self.used = self.flat, np.zeros(1 << 17, np.int32), 0
 
 
 def runs(batches, *keys: str):
