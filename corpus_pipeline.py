@@ -32,10 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes or more that occur earlier; documents of which nothing is left go."""
-    kept = suffixes.remove_repeats(docs, with_text=True).select("doc_id", "n_bytes", "n_removed", F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    both = kept.where("n_removed = 0 OR n_removed < n_bytes").join(rest, "doc_id")
-    return both.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    kept = suffixes.remove_repeats(docs, with_text=True, carry=("lang", "source")).where("n_removed = 0 OR n_removed < n_bytes")
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,18 +291,19 @@ def compare_contexts(anchors: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "fp long, doc long, first long, windows long, open boolean, contexts long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc, zip: the UTF-8 bytes of each text, compressed for the way through a shuffle."""
+def packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc, zip and the carried columns: the UTF-8 bytes of each text are compressed for the way through a shuffle."""
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([press.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")], pa.binary())],
-                ["doc", "zip"],
+                [batch.column("doc_id"), pa.array([press.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")], pa.binary()), *(batch.column(c) for c in carry)],
+                ["doc", "zip", *carry],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, zip binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, "doc long, zip binary" + kinds)
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -385,8 +386,9 @@ def repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text); with_text adds the kept text.
+def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text); with_text adds the kept text, carry
+    names further columns that pass through.
 
     Null texts are empty.  A byte is removed if a string of SPAN bytes that covers it also starts earlier: in a
     document with a smaller doc_id, or earlier in the same one.  Rows that repeat a doc_id and its text are one
@@ -395,7 +397,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE)
     """
     spans = repeats(docs, large).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = dict(docs.dtypes)["doc_id"]
-    both = packed(docs).join(spans, "doc", "left")
+    both = packed(docs, carry).join(spans, "doc", "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
@@ -417,7 +419,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.string()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(texts, pa.string())] if with_text else []), names + ["kept_text"] * with_text)
+            arrays += [pa.array(texts, pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(c) for c in carry)], names + ["kept_text"] * with_text + [*carry])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return both.mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
