@@ -4,7 +4,7 @@ Markup is stripped to lines, one for each block element.  Text lengths are summe
 lines; main text begins where the sums surge and ends where they dive to zero.  Lines in page furniture
 (navigation, footers, adverts, forms and the like) and text of links count as length 0, and furniture
 leaves a gap as wide as the window, so that the sums dive there.  Where a page marks its article, lines
-outside count 0 as well.
+outside count 0 as well, and lines of links inside count in full; what holds the article is not furniture.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ SURGE = 80
 # Fixed values of HTML: elements that end a line, have no content, or hold no prose.
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object canvas audio video head title textarea select button".split()
+RAW = "script style noscript template svg math iframe object canvas audio video title textarea select button".split()
+# Raw elements that run to the end of the page if nothing closes them, and those of them whose "/>" may still have content.
+TO_END = set("script style iframe title textarea".split())
+CODE = ("script", "style")
+HEAD = set("head base basefont bgsound link meta title noscript noframes style script template".split())
 FURNITURE = set("nav footer aside form menu dialog fieldset".split())
 # Words of class, id and role values that mark furniture.
 MARKS = set(
@@ -34,23 +38,81 @@ MARKS = set(
     "respond reply replies share sharing social related recommended newsletter subscribe signup login search widget widgets "
     "complementary contentinfo".split()
 )
+# A class with one of these before a mark tells of what stands beside or inside the element.
+MODIFIER = re.compile(r"(?:^|\s)(?:has|with|no|without)[-_][^\s]*")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<rest>(?:=\s*(?:\"[^\"<]*\"|'[^'<]*')|[^>])*+)>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+RAW_TAGS = {n: re.compile(rf"<(?:(/){n}\s*>|{n}(?=[\s/>]))", re.I) for n in RAW}
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VALUES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+def is_furniture(name: str, attrs: str, in_article: bool, holds_article: bool) -> bool:
+    if holds_article and name == "form":  # some sites put the whole page in one
+        return False
     if name in FURNITURE or (name == "header" and not in_article):
         return True
-    if not attrs or name in ("body", "html", "article", "main"):
+    if not attrs or holds_article or name in ("body", "html", "article", "main"):
         return False
-    words = {w for m in VALUES.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & MARKS)
+    values = (MODIFIER.sub(" ", (m[1] or m[2] or m[3] or "").lower()) for m in VALUES.finditer(attrs))
+    words = {w for v in values for w in re.split(r"[^a-z]+", v)}
+    return bool(words & MARKS - {"header"} if in_article else words & MARKS)
+
+
+def self_closed(attrs: str) -> bool:
+    """Whether a tag ends in "/>"; a slash at the end of an unquoted value is part of that."""
+    bare = QUOTED.sub(" ", attrs)
+    return bare.endswith("/") and "=" not in bare.split()[-1] and not re.search("[\"']", bare)
+
+
+def tags_of(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of each tag; a raw element is one with its content, and comments have no name."""
+    tags = []
+    at = 0
+    unclosed: set[str] = set()
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        if m["raw"]:
+            name, empty = m["raw"].lower(), self_closed(m["rest"])
+            if (not empty or name in CODE) and name not in unclosed:
+                close = next((t for t in RAW_TAGS[name].finditer(html, at) if empty or t[1]), None)
+                if close and close[1]:
+                    at = close.end()
+                elif not empty:
+                    unclosed.add(name)
+                    at = len(html) if name in TO_END else at
+            tags.append((m.start(), at, name, False, ""))
+        else:
+            tags.append((m.start(), at, (m["name"] or "").lower(), bool(m["close"]), m["attrs"] or ""))
+    return tags
+
+
+def opens(name: str, close: bool, attrs: str) -> bool:
+    return not close and name not in VOID and name not in RAW_TAGS and name != "head" and not attrs.endswith("/")
+
+
+def holders(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Numbers of the tags that open an element around the main element or an article that is in no other article."""
+    found: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for k, (_, _, name, close, attrs) in enumerate(tags):
+        if close:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if depth is not None:
+                del stack[depth:]
+        elif name and opens(name, close, attrs):
+            if name == "main" or (name == "article" and all(n != "article" for n, _ in stack)):
+                for _, i in reversed(stack):
+                    if i in found:
+                        break
+                    found.add(i)
+            stack.append((name, k))
+    return found
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
@@ -64,7 +126,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, len(text) if 2 * linked <= len(text) else 0, article > 0))
+            lines.append((text, len(text) if article > 0 or 2 * linked <= len(text) else 0, article > 0))
         parts.clear()
         linked = 0
 
@@ -84,25 +146,26 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if furniture and not dropped:
             lines.extend([("", 0, False)] * WINDOW)
 
+    tags = tags_of(html)
+    holding = holders(tags) if any(name in ("article", "main") for _, _, name, _, _ in tags) else ()
     at = 0
-    for m in TOKEN.finditer(html):
-        words(html[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+    head = False  # ends with the first element that cannot stand in it; what can has no text but in noframes
+    for k, (start, end, name, close, attrs) in enumerate(tags):
+        words(html[at:start])
+        at = end
         if not name:
-            if m["raw"] and m["raw"].lower() in ("head", "title"):
-                flush()
             continue
-        if name in BLOCKS:
+        if name in BLOCKS or name == "title":
             flush()
         elif name == "br":
             words(" ")
-        if m["close"]:
+        head = (head or name == "head") and name in HEAD and not (close and name == "head")
+        if close:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             while depth is not None and len(stack) > depth:
                 leave()
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            furniture = is_furniture(name, m["attrs"], article > 0)
+        elif opens(name, close, attrs):
+            furniture = is_furniture(name, attrs, article > 0, k in holding) or (head and name == "noframes")
             if furniture:
                 flush()
                 if not dropped:

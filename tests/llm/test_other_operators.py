@@ -126,6 +126,24 @@ def test_page_text():
     assert len(lineblocks.main_text("<article>" + "<p>word</p>" * 50_000)) == 50_000 * 5 - 1
 
 
+def test_page_text_keeps_whole_articles():
+    para = "Plain words of an article without marks. " * 5
+    want, art = f"Title\n{para.strip()}", f"<article><h1>Title</h1><p>{para}</p></article>"
+    text = lineblocks.main_text
+    assert text(f"<html><head><title>No</title><meta charset=utf8><script>1</script>{art}") == want
+    assert text(f"<head><title>No</title><noframes>No</noframes><body>{art}") == text(f"<head><style>p</style></head>{art}") == want
+    for empty in ("<svg/>", "<svg width='1' />", "<iframe/>", "<iframe src='a>b' />", "<script src='x'/>", "<math/>"):
+        assert text(f"{empty}{art}") == text(f"{empty}{art}<svg>no</svg><iframe>no</iframe><script>no</script>") == want, empty
+    assert text(f"<iframe src=http://x/>no</iframe><script src='x'/>no</script><button>Off{art}").endswith(want)
+    for marks in ("content has-sidebar", "no-sidebar", "with-header", "page-header-wrap", "social"):
+        assert text(f"<div class='{marks}'><div>{art}</div></div>") == want, marks
+        assert text(f"<main class='{marks}'><div class='{marks}'>{art}</div></main>") == want, marks
+    assert text(f"<form>{art}</form>") == text(f"<div class='no-sidebar'><p>Title<p>{para}</div>") == want
+    assert text(f"<article><header class='article-header'><h1>Title</h1></header><p>{para}</p></article>") == want
+    assert text(f"<article><h1><a href=1>Title</a></h1><p>{para}</p></article>") == want
+    assert text(f"<article><h1>Title</h1><p>{para}</p><div class=comments><article>No</article></div></article><div class=sidebar>No</div>") == want
+
+
 @pytest.fixture(scope="module")
 def odd_pages(spark):
     big = "x" * 150
