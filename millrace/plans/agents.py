@@ -19,7 +19,8 @@ NORM = r"trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 6)), '[^\p{L}\p
 
 
 def _norm():
-    return norm_query(F.substring(F.coalesce("text", F.lit("")), 1, 6))
+    """The whole text; NORM compares its first six characters only, so rows differ where two texts of a run begin alike."""
+    return norm_query(F.coalesce("text", F.lit("")))
 
 
 @query(f"""WITH n AS (SELECT run, {NORM} AS norm FROM v_turns), r AS (SELECT run, count(*) AS n, count(DISTINCT norm) AS uniq FROM n GROUP BY run)

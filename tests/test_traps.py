@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from millrace.functions import nested, text
 from millrace.functions.quantiles import exact_quantiles, of_array
 from millrace.operators import aggregates, dedup, filters, windows
+from millrace.plans import registry
 from millrace.sources import normalise, page_text, readers
 from millrace.streaming import monitor, state
 
@@ -141,3 +142,12 @@ def test_stream_twins(spark):
     assert got == [0, 2, 4] == sorted(r.line for r in windows.change_only(rows, "worker", "line", F.col("flag")).collect())
     slow = spark.createDataFrame([(1, i, i * 100.0, 1.0) for i in range(6)], "worker long, line long, t double, value double")
     assert [r.line for r in state.degradation_alerts(spark, slow).collect()] == [2]
+
+
+def test_repeats_compare_whole_texts(spark, tmp_path):
+    turns = ["Where is Oslo?", "Where is Rome?", "where is -- OSLO", None, " ", "Where is Oslo, and where is it not?"]
+    rows = [(1, k, "user", t) for k, t in enumerate(turns)] + [(2, k, "user", "Summary of day " + str(k)) for k in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    run = lambda name: registry.QUERIES[name](spark, f"file://{tmp_path}").collect()
+    assert [(r.run, r.turn) for r in run("win12_repeat_query") if r.repeated] == [(1, 2)]
+    assert {(r.run, r.n, r.fraction, r.repetitive) for r in run("ded7_dup_query_fraction")} == {(1, 6, 0.333333, True), (2, 4, 0.0, False)}
