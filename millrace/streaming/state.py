@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators.windows import change_only
 from millrace.sources.scratch import shared_path
 
 
@@ -28,49 +30,137 @@ def first_seen(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return through_stream(spark, rows, lambda s: s.dropDuplicates(["source", "id"]))
 
 
-def status_changes(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Rows (worker, line, flag) whose flag differs from the worker's last emitted one."""
+def through_batches(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: str, files: int | None = None) -> DataFrame:
+    """Stream rows through step, which gets a micro-batch and the state that the batch before left, and gives rows of one
+    schema with a column kind: ``out`` for results, anything else for the state it leaves.
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in [pd.concat(list(frames))]:
-            pdf = pdf.sort_values("line")
-            keep = []
-            for flag in pdf["flag"]:
-                keep.append(last is None or bool(flag) != last)
-                last = bool(flag)
-            yield pdf[keep][["worker", "line", "flag"]]
-        state.update((last,))
+    Both are Parquet by batch number, so that a batch that runs again replaces its own output.  ``files`` bounds a
+    batch; by default all that is there is one.
+    """
+    base = shared_path(spark)
+    rows.write.parquet(f"{base}/in")
+    known = spark.read.parquet(f"{base}/in").schema
+    full = f"{schema}, batch int, kind string"
+    spark.createDataFrame([], full).write.partitionBy("batch", "kind").parquet(f"{base}/out")
+    done = lambda: spark.read.schema(full).parquet(f"{base}/out")
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = done().where((F.col("batch") == number - 1) & (F.col("kind") != "out")).drop("batch")
+        step(batch, before).write.mode("overwrite").partitionBy("kind").parquet(f"{base}/out/batch={number}")
+
+    source = spark.readStream.schema(known)
+    stream = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{base}/in")
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return done().where("kind = 'out'").drop("batch", "kind")
+
+
+def status_changes(spark: SparkSession, rows: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows (worker, line, flag) whose flag differs from the worker's last emitted one; the state is each worker's last flag."""
+
+    def step(batch: DataFrame, before: DataFrame) -> DataFrame:
+        every = batch.select("worker", "line", "flag", F.lit(True).alias("_new")).unionByName(before.drop("kind").withColumn("_new", F.lit(False)))
+        every = every.withColumn("_at", F.struct("_new", "line"))
+        changed = change_only(every, "worker", "_at", F.col("flag")).where("_new").select("worker", "line", "flag", F.lit("out").alias("kind"))
+        last = every.groupBy("worker").agg(F.max_by(F.struct("line", "flag"), "_at").alias("l"))
+        return changed.unionByName(last.select("worker", "l.line", "l.flag", F.lit("last").alias("kind")))
+
+    return through_batches(spark, rows, step, "worker long, line long, flag boolean", files)
+
+
+class Samples:
+    """A worker's times and values, with the sum of values kept exactly: in units of 2 ** -1074, the least float."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: deque[tuple[float, float]] = deque()
+        self.total, self.odd = 0, {"nan": 0, "inf": 0, "-inf": 0}
+
+    def count(self, v: float, sign: int) -> None:
+        if math.isfinite(v):
+            n, d = v.as_integer_ratio()
+            self.total += sign * (n << 1075 - d.bit_length())
+        else:
+            self.odd[str(v)] += sign
+
+    def push(self, t: float, v: float) -> None:
+        self.rows.append((t, v))
+        self.count(v, 1)
+
+    def forget(self, before: float) -> None:
+        while self.rows[0][0] < before:
+            self.count(self.rows.popleft()[1], -1)
+
+    def mean(self) -> float:
+        odd = [float(k) for k, n in self.odd.items() if n]
+        try:
+            return sum(odd) if odd else self.total / (1 << 1074) / len(self.rows)
+        except OverflowError:
+            return math.copysign(math.inf, self.total)
+
+
+ALERTS = pa.schema([("worker", pa.int64()), ("line", pa.int64()), ("t", pa.float64()), ("value", pa.float64()), ("kind", pa.string())])
+CHUNK = 10_000
+
+
+def walk(batches: Iterator[pa.RecordBatch], span: float, least: int, floor: float, quiet: float) -> Iterator[pa.RecordBatch]:
+    """Alerts and the state left, from chunks in the order of worker, state before rows, and line."""
+    out: list[tuple] = []
+    worker, until, samples = None, None, Samples()
+
+    def ready(least_rows: int) -> Iterator[pa.RecordBatch]:
+        while len(out) >= least_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[:CHUNK], strict=True), ALERTS, strict=True)], schema=ALERTS)
+            del out[:CHUNK]
+
+    def leave() -> Iterator[pa.RecordBatch]:
+        if until is not None:
+            out.append((worker, None, until, None, "until"))
+            for k, (t, v) in enumerate(samples.rows):
+                out.append((worker, k, t, v, "sample"))
+                yield from ready(CHUNK)
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("worker", "kind", "line", "t", "value"))
+        for w, kind, line, t, v in zip(*columns, strict=True):
+            if until is None or w != worker:
+                yield from leave()
+                worker, until, samples = w, -1e18, Samples()
+            if kind == "until":
+                until = t
+                continue
+            samples.push(t, math.nan if v is None else v)
+            if kind == "sample":
+                continue
+            samples.forget(t - span)
+            rate = samples.mean()
+            if len(samples.rows) >= least and rate < floor and t >= until:
+                out.append((worker, line, None, rate, "out"))
+                until = t + quiet
+                samples.clear()
+        yield from ready(CHUNK)
+    yield from leave()
+    yield from ready(1)
+
+
+def degradation_alerts(
+    spark: SparkSession, rows: DataFrame, span: float = 86_400.0, least: int = 3, floor: float = 20.0, quiet: float = 172_800.0, files: int | None = None
+) -> DataFrame:
+    """Alerts on rows (worker, line, t, value): the mean of the last ``span`` seconds is below ``floor`` with ``least`` samples or more.
+    An alert clears the samples and starts ``quiet`` seconds without another.
 
-    job = lambda s: s.groupBy("worker").applyInPandasWithState(step, "worker long, line long, flag boolean", "flag boolean", "append", GroupStateTimeout.NoTimeout)
-    return through_stream(spark, rows, job)
+    Spark sorts a batch by worker and line, and tasks walk it in chunks: a worker's rows never meet in memory, only the
+    samples of its span do.  The state is those samples, one a row and numbered in ``line``, and the time until which it is quiet.
+    """
 
+    def step(batch: DataFrame, before: DataFrame) -> DataFrame:
+        every = batch.select("worker", "line", "t", "value", F.lit("row").alias("kind")).unionByName(before)
+        order = F.element_at(F.create_map(F.lit("until"), F.lit(0), F.lit("sample"), F.lit(1), F.lit("row"), F.lit(2)), F.col("kind"))
+        return every.repartition("worker").sortWithinPartitions("worker", order, "line").mapInArrow(lambda b: walk(b, span, least, floor, quiet), "worker long, line long, t double, value double, kind string")
 
-def degradation_alerts(spark: SparkSession, rows: DataFrame, span: float = 86_400.0, least: int = 3, floor: float = 20.0, quiet: float = 172_800.0) -> DataFrame:
-    """Alerts on rows (worker, line, t, value): the mean of the last ``span`` seconds is below ``floor`` with ``least`` samples or more.
-    An alert clears the samples and starts ``quiet`` seconds without another."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values, until = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1e18)
-        out = []
-        pdf = pd.concat(list(frames)).sort_values("line")
-        for line, t, v in zip(pdf["line"], pdf["t"], pdf["value"], strict=True):
-            times.append(t)
-            values.append(v)
-            while times[0] < t - span:
-                times.pop(0)
-                values.pop(0)
-            rate = sum(values) / len(values)
-            if len(values) >= least and rate < floor and t >= until:
-                out.append((key[0], line, rate))
-                times, values, until = [], [], t + quiet
-        state.update((times, values, until))
-        yield pd.DataFrame(out, columns=["worker", "line", "rate"]).astype({"worker": "int64", "line": "int64", "rate": "float64"})
-
-    job = lambda s: s.groupBy("worker").applyInPandasWithState(
-        step, "worker long, line long, rate double", "times array<double>, vals array<double>, until double", "append", GroupStateTimeout.NoTimeout
-    )
-    return through_stream(spark, rows, job)
+    return through_batches(spark, rows, step, "worker long, line long, t double, value double", files).select("worker", "line", F.col("value").alias("rate"))
 
 
 def windowed_with_watermark(spark: SparkSession, events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:

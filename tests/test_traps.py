@@ -1,5 +1,8 @@
 """Small hand-made rows for each rule that is easy to get wrong."""
 
+import weakref
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +154,53 @@ def test_repeats_compare_whole_texts(spark, tmp_path):
     run = lambda name: registry.QUERIES[name](spark, f"file://{tmp_path}").collect()
     assert [(r.run, r.turn) for r in run("win12_repeat_query") if r.repeated] == [(1, 2)]
     assert {(r.run, r.n, r.fraction, r.repetitive) for r in run("ded7_dup_query_fraction")} == {(1, 6, 0.333333, True), (2, 4, 0.0, False)}
+
+
+def _plain_alerts(rows, span=86_400.0, least=3, floor=20.0, quiet=172_800.0):
+    out, of = [], {}
+    for worker, line, t, v in sorted(rows, key=lambda r: r[1]):
+        seen, until = of.get(worker, ([], -1e18))
+        seen = [x for x in [*seen, (t, v)] if x[0] >= t - span]
+        rate = sum(x[1] for x in seen) / len(seen)
+        if len(seen) >= least and rate < floor and t >= until:
+            out.append((worker, line, round(rate, 9)))
+            seen, until = [], t + quiet
+        of[worker] = (seen, until)
+    return sorted(out)
+
+
+def test_alerts_hold_one_chunk_at_a_time(spark):
+    live, most = [], 0
+
+    def chunks():
+        nonlocal most
+        for k in range(0, 60_000, 1_000):
+            most = max(most, sum(r() is not None for r in live))
+            n = range(k, k + 1_000)
+            cols = {"worker": [1] * 1_000, "line": n, "t": [i * 500.0 for i in n], "value": [float(i * i % 61) for i in n], "kind": ["row"] * 1_000}
+            live.append(weakref.ref(b := pa.RecordBatch.from_pydict(cols, schema=state.ALERTS)))
+            yield b
+            del b
+
+    got = [r for b in state.walk(chunks(), 86_400.0, 3, 20.0, 172_800.0) for r in b.to_pylist()]
+    rows = [(1, i, i * 500.0, float(i * i % 61)) for i in range(60_000)]
+    assert sorted((r["worker"], r["line"], round(r["value"], 9)) for r in got if r["kind"] == "out") == _plain_alerts(rows) != []
+    assert most <= 3 and sum(r["kind"] == "sample" for r in got) <= 173
+
+
+def test_streams_carry_state_over_batches(spark):
+    rows = [(k % 3, k, k * 10_000.0, float(k * k % 37)) for k in range(60)]
+    df = spark.createDataFrame(rows, "worker long, line long, t double, value double").coalesce(1)
+    flags = df.select("worker", "line", (F.col("value") > 20).alias("flag"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 20)  # three files, one after the other
+    try:
+        alerts, changes = (sorted(map(tuple, f(spark, x, files=1).collect())) for f, x in ((state.degradation_alerts, df), (state.status_changes, flags)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [(w, n, round(r, 9)) for w, n, r in alerts] == _plain_alerts(rows) != []
+    assert changes == sorted(map(tuple, windows.change_only(flags, "worker", "line", F.col("flag")).collect()))
+
+
+def test_status_changes_tell_null_from_false(spark):
+    rows = spark.createDataFrame([(1, i, f) for i, f in enumerate([False, None, None, False, True])], "worker long, line long, flag boolean")
+    assert sorted(r.line for r in state.status_changes(spark, rows).collect()) == [0, 1, 3, 4]
