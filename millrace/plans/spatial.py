@@ -46,9 +46,9 @@ GRID = f"""WITH a AS (SELECT unnest(generate_series(-6, 6)) AS i), g AS (SELECT
  SELECT c.i, c.j, s.category, coalesce(n, 0) AS n FROM cells c CROSS JOIN (SELECT DISTINCT c_mktsegment AS category FROM customer) s LEFT JOIN calls ON calls.i = c.i AND calls.j = c.j AND calls.category = s.category""")
 def joi7_grid_x_category(spark, d):
     cells = grid_points(spark, *V.CENTER, 2500, 500).select("i", "j")
-    categories = V.read(spark, d, "customer").select(F.col("c_mktsegment").alias("category")).distinct().limit(1000)
+    categories = V.read(spark, d, "customer").select(F.col("c_mktsegment").alias("category")).distinct()
     calls = V.sightings(spark, d).groupBy("i", "j", "category").agg(F.count("*").alias("n"))
-    return cells.crossJoin(F.broadcast(categories)).join(calls, ["i", "j", "category"], "left").fillna(0, ["n"])  # a grid has as many rows as its radius holds
+    return categories.crossJoin(F.broadcast(cells)).join(calls, ["i", "j", "category"], "left").fillna(0, ["n"])  # a grid has as many rows as its radius holds
 
 
 @query(GRID + ", n AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL) SELECT i, j, round(dist, 1) AS dist, coalesce(n, 0) AS orgs FROM p LEFT JOIN n ON nation = i + 12 WHERE dist <= 2500")

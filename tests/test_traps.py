@@ -204,3 +204,17 @@ def test_streams_carry_state_over_batches(spark):
 def test_status_changes_tell_null_from_false(spark):
     rows = spark.createDataFrame([(1, i, f) for i, f in enumerate([False, None, None, False, True])], "worker long, line long, flag boolean")
     assert sorted(r.line for r in state.status_changes(spark, rows).collect()) == [0, 1, 3, 4]
+
+
+def test_expected_cells_of_many_categories(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    k = F.col("id")
+    e = spark.range(150).select((k % 2).alias("user_id"), F.concat(F.lit("t"), k.cast("string")).alias("event_type"), (k % 10).cast("double").alias("value"))
+    e.write.parquet(f"{d}/events.parquet")
+    assert registry.QUERIES["src3_read_cells"](spark, d).count() == 2 * 150
+    segment = F.concat(F.lit("s"), k.cast("string")).alias("c_mktsegment")
+    spark.range(1100).select(k.alias("c_custkey"), segment).write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_partkey long, l_linenumber long").write.parquet(f"{d}/lineitem.parquet")
+    cells = registry.QUERIES["joi7_grid_x_category"](spark, d)
+    assert cells.select("category").distinct().count() == 1100 and cells.count() % 1100 == 0
