@@ -65,6 +65,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     No source's rows need to meet in a task: words are summed by rank bin, and only the bin in which a
     source's sample ends is ordered row by row.
     """
+    return _mixed(docs, weights, cap, seed).drop("no_source", "skey")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """The rows of mix with their source as (no_source, skey)."""
     sizes = materialise(
         docs.select(
             F.col("doc_id"),
@@ -110,17 +115,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
         "source_size",
         "target",
         (F.col("size") * (F.col("copies") + F.col("chosen").cast("long"))).alias("taken"),
+        "no_source",
+        "skey",
     )
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "") -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it (doc_id must be unique), columns unchanged."""
-    taken = mix(docs, weights, cap, seed).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return (
-        docs.join(taken, "doc_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select(*docs.columns)
-    )
+    """The mixed corpus: each document as often as the mix takes it, columns unchanged.
+
+    A doc_id must be unique; rows without one are told apart by source, words and a number among those that agree in both.
+    """
+    mixed = _mixed(docs, weights, cap, seed).withColumn("_times", F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).cast("int"))
+    found = docs.join(mixed.where("taken > 0").select("doc_id", "_times"), "doc_id").select(*docs.columns, "_times")
+    keys = ["_none", "_source", "_words"]
+    nth = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    times = mixed.where("doc_id IS NULL").select(F.col("no_source").alias("_none"), F.col("skey").alias("_source"), F.col("size").alias("_words"), "_times")
+    times = times.withColumn("_nth", nth(F.desc("_times"))).where("_times > 0")
+    bare = docs.where("doc_id IS NULL").withColumns({"_none": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_words": word_count(F.col("text"))})
+    bare = bare.withColumn("_nth", nth(F.xxhash64("text"))).join(times, [*keys, "_nth"]).select(*docs.columns, "_times")
+    return found.unionByName(bare).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 #: The same rows from plain windows over each source.  {docs} is the name of the documents table.

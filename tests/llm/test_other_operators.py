@@ -109,6 +109,16 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert [r.taken for r in mixing.mix(one).collect()] == [mixing.mix(one).first()["size"]]
 
 
+def test_applied_mix_keeps_rows_without_id(spark):
+    rows = [(k if k % 3 else None, "w " * (k % 5 + 1), "ab"[k % 2] if k % 7 else None) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = lambda d: sum(len(r.text.split()) for r in d.collect())
+    want = {(r.doc_id is None): r.t for r in mixing.mix(docs).groupBy(F.col("doc_id").isNull()).agg(F.first("doc_id").alias("doc_id"), F.sum("taken").alias("t")).collect()}
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns and words(got.where("doc_id IS NULL")) == want[True] > 0
+    assert words(got.where("doc_id IS NOT NULL")) == want[False]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header>
 <nav><ul><li><a href="/x">Menu item</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy!</div><article><header><h1>Head &amp; line</h1></header>
 <p>First   paragraph<br>goes on.<p>Second <b>one. <aside>Related</aside><p>Short.</article><section id="comments"><p>I disagree with all of this.</p></section>
