@@ -156,10 +156,10 @@ class Normaliser:
         blank = SPACE if self.escape else " "
         if self.remove_blanks and not (whole := re.sub(" {2,}", " ", whole).lstrip(" ")):
             return ""
-        whole = whole.replace(" ", blank)
+        whole = (blank if self.prefix and not self.suffix else "") + whole.replace(" ", blank)
         if self.remove_blanks:
             whole = whole.rstrip(" " + blank)
-        return (blank if self.prefix and not self.suffix else "") + whole + (blank if self.prefix and self.suffix else "")
+        return whole + (blank if self.prefix and self.suffix else "")
 
 
 @dataclass
