@@ -52,11 +52,9 @@ def review_snippets(reviews: Column, n: int) -> Column:
 
 
 def strip_reasoning(c: Column) -> Column:
-    """Text without <think> blocks; of an unclosed one the part up to the first blank line goes too."""
-    closed = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
-    at = F.instr(closed, "<think>")
-    tail = F.substring_index(closed, "<think>", -1)
-    gap = F.instr(tail, "\n\n")
-    rest = F.when(gap > 0, F.expr("''")).otherwise(F.lit(""))
-    rest = F.when(gap > 0, F.substr(tail, gap + 2)).otherwise(rest)
-    return F.trim(F.when(at > 0, F.concat(F.substr(closed, F.lit(1), at - 1), rest)).otherwise(closed))
+    """Text without <think> or <thinking> blocks; of an unclosed one the part up to the first blank line goes too."""
+    closed = F.regexp_replace(c, r"(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?>", "")
+    opened = r"(?is)^(.*?)<think(?:ing)?\b[^>]*>(.*)$"
+    rest = F.regexp_extract(F.regexp_extract(closed, opened, 2), r"(?s)^.*?\n\s*\n(.*)$", 1)
+    whole = F.when(F.regexp_like(closed, F.lit(opened)), F.concat(F.regexp_extract(closed, opened, 1), rest)).otherwise(closed)
+    return F.regexp_replace(whole, r"^\s+|\s+$", "")

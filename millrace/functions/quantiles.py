@@ -5,26 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Index of the wanted element among n sorted values, by rule.
+#: Index of the wanted element among n sorted values, by rule; low and high are the two middle ones.
 RULES = {
     "rint": lambda n, p: F.rint((n - 1) * F.lit(p)).cast("long"),
     "floor": lambda n, p: F.least(n - 1, F.floor(n * F.lit(p)).cast("long")),
     "mid": lambda n, p: F.floor(n / 2).cast("long"),
+    "low": lambda n, p: F.floor((n - 1) / 2).cast("long"),
+    "high": lambda n, p: F.floor(n / 2).cast("long"),
 }
+MIDDLE = {"_low": ("low", 0.5), "_high": ("high", 0.5)}
+#: Bins of a group's values; an estimate of their borders only spreads the work, the counts decide.
+BINS = 64
 
 
 def exact_quantiles(df: DataFrame, by: list[str], col: str, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """One row per group: n, and for each name in specs the element that (rule, p) picks; nulls don't count.
 
-    Equal values are counted first (partial aggregation), so that the running count goes over distinct values.
+    Equal values are counted first (partial aggregation).  The distinct values of a group are dealt to bins by approximate
+    percentiles and the bins are counted, so that the running count goes over few rows a group; only within the
+    bin that holds an index are its values put in order.  So no group's values meet in one task, not even those of the whole table.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_c"))
-    inside = Window.partitionBy(*by) if by else Window.partitionBy()
-    counts = counts.withColumns(
-        {"_upto": F.sum("_c").over(inside.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(inside)}
-    )
-    picks = [F.min(F.when(F.col("_upto") > RULES[rule](F.col("_n"), p), F.col(col))).alias(name) for name, (rule, p) in specs.items()]
-    return counts.groupBy(*by).agg(F.first("_n").alias("n"), *picks)
+    none = not by
+    keys = by or ["_all"]
+    rows = df.where(F.col(col).isNotNull())
+    rows = rows.withColumn("_all", F.lit(1)) if none else rows
+    counts = rows.groupBy(*keys, col).agg(F.count("*").alias("_c"))
+    borders = counts.groupBy(*keys).agg(F.percentile_approx(col, F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), 4 * BINS).alias("_b"))
+    # A value's bin is the number of borders below it: equal values share one, and bins follow the order of values.
+    binned = counts.join(F.broadcast(borders) if none else borders, keys).withColumn("_bin", F.aggregate("_b", F.lit(0), lambda a, b: a + (b < F.col(col)).cast("int"))).drop("_b")
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_k"))
+    group = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_before": F.sum("_k").over(group.orderBy("_bin")) - F.col("_k"), "_n": F.sum("_k").over(group)})
+    index = lambda name: RULES[specs[name][0]](F.col("_n"), specs[name][1])
+    held = lambda name: (F.col("_before") <= index(name)) & (index(name) < F.col("_before") + F.col("_k"))
+    some = F.lit(False)
+    for name in specs:
+        some |= held(name)
+    wanted = bins.where(some)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(col)
+    upto = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    picks = [F.min(F.when(held(name) & (F.col("_upto") > index(name)), F.col(col))).alias(name) for name in specs]
+    found = binned.join(wanted, [*keys, "_bin"]).withColumn("_upto", upto).groupBy(*keys).agg(F.first("_n").alias("n"), *picks)
+    return found.drop("_all") if none else found
+
+
+def with_median(quantiles: DataFrame, name: str, digits: int | None = None, half_even: bool = False) -> DataFrame:
+    """Replaces the two middle elements of exact_quantiles (specs MIDDLE) by their mean."""
+    m = (F.col("_low") + F.col("_high")) / 2
+    m = m if digits is None else F.bround(m, digits) if half_even else F.round(m, digits)
+    return quantiles.withColumn(name, m).drop("_low", "_high")
+
+
+def true_median(df: DataFrame, by: list[str], col: str, name: str, digits: int | None = None, half_even: bool = False) -> DataFrame:
+    """The median of each group (mean of the middle two), without a group's values in one buffer."""
+    return with_median(exact_quantiles(df, by, col, MIDDLE), name, digits, half_even).drop("n")
 
 
 def of_array(values: Column, rule: str, p: float = 0.5) -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-# Elements without prose, block elements that end a line, and common entities.
-NOISE = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe", "svg", "form", "button"]
-LINE_ENDS = r"(?is)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)\s*>"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# Elements without prose, what ends of elements become, and white space beyond ASCII.
+NOISE = ["head", "script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form", "svg"]
+BREAKS = [(r"<br\s*/?>", 1), (r"</p\s*>", 2), (r"</div\s*>", 1), (r"</li\s*>", 1), (r"</h[1-6]\s*>", 2), (r"</tr\s*>", 1)]
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STOP = ["and", "for", "the", "with", "von", "der", "die", "das", "und", "les", "des", "los", "las"]
 PHONE = r"\+?[0-9][0-9() -]{8,}[0-9]"
 EMAIL = r"[\p{L}\p{N}._+-]+@[\p{L}\p{N}-]+\.[\p{L}\p{N}.-]+"
@@ -42,26 +44,28 @@ def count_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+@F.pandas_udf("string")
+def unescape(texts: pd.Series) -> pd.Series:
+    """All character references decoded, white space at both ends removed; Arrow batches, since no column function knows them."""
+    return texts.map(lambda t: html.unescape(t).strip(), na_action="ignore")
 
 
 def _without_noise(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?is)<!--.*?-->", "")
-    return reduce(lambda x, t: F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", ""), NOISE, c)
+    c = reduce(lambda x, t: F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", ""), NOISE, c)
+    return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
 
 
 def clean_html(c: Column) -> Column:
     """Noise and comments out, tags removed without a blank, white space squeezed, entities decoded last."""
-    return unescape(squeeze(F.regexp_replace(_without_noise(F.coalesce(c, F.lit(""))), r"<[^>]+>", "")))
+    c = F.regexp_replace(_without_noise(F.coalesce(c, F.lit(""))), r"<[^>]+>", "")
+    return unescape(F.regexp_replace(c, f"{WHITE}+", " "))
 
 
 def html_to_text(c: Column) -> Column:
-    """As clean_html, but ends of blocks become line feeds, two in a row at most."""
-    c = F.regexp_replace(_without_noise(F.coalesce(c, F.lit(""))), LINE_ENDS, "\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"[ \t\r]+", " ")
-    c = F.regexp_replace(F.regexp_replace(c, r" *\n *", "\n"), r"\n{3,}", "\n\n")
-    return unescape(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    """As clean_html, but ends of paragraphs and headings become two line feeds, those of other blocks one; two in a row at most."""
+    c = reduce(lambda x, b: F.regexp_replace(x, f"(?i){b[0]}", "\n" * b[1]), BREAKS, _without_noise(F.coalesce(c, F.lit(""))))
+    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"[ \t]+", " ")
+    return unescape(F.regexp_replace(F.regexp_replace(c, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n"))
 
 
 def strip_tags(c: Column, scripts: bool = True) -> Column:
@@ -72,11 +76,16 @@ def strip_tags(c: Column, scripts: bool = True) -> Column:
     return squeeze(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
+def words_of(c: Column) -> Column:
+    """Words between any white space; none in a blank text."""
+    return F.filter(F.split(c, f"{WHITE}+"), lambda w: w != "")
+
+
 def truncate_words(c: Column, n: int) -> Column:
-    """Up to n words unchanged; else the first n, trailing lone punctuation dropped, and dots added."""
-    words = F.split(squeeze(c), " ")
-    cut = F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"(?: [^\p{L}\p{N} ]+)+$", "")
-    return F.when(F.size(words) <= n, c).otherwise(F.concat(cut, F.when(F.regexp_like(cut, F.lit(r"[.!?]$")), "..").otherwise("...")))
+    """Up to n words unchanged; else the first n, lone marks at the end dropped, and dots added."""
+    words = words_of(c)
+    cut = F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"(?:^| )[.!?,;:](?: [.!?,;:])*$", "")
+    return F.when(F.size(words) <= n, c).otherwise(F.concat(cut, F.when((cut == "") | F.regexp_like(cut, F.lit(r"[.!?]$")), "..").otherwise("...")))
 
 
 def find_all(c: Column, pattern: str) -> Column:
@@ -138,40 +147,27 @@ def parse_when(c: Column) -> Column:
     return F.when(number.isNotNull(), F.when(number > 1e11, number / 1000).otherwise(number)).otherwise(seconds)
 
 
-def goal_spans(text: Column, pattern: str, before: int, after: int) -> Column:
-    """Stretches (s, e), 0-based, around all matches of a pattern that has no groups: offsets are running lengths of what lies between."""
-    pieces = F.split(text, pattern)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("p"), F.char_length(h).alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def add(acc, x):
-        s = acc["at"] + x["p"]
-        e = s + x["h"]
-        one = F.struct(F.greatest(F.lit(0), s - before).alias("s"), F.least(F.char_length(text), e + after).alias("e"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(step, start, add)["out"]
-
+def goal_extract(text: Column, words: str, budget: int = 2000) -> Column:
+    """Text around keywords (400 either side), phones and mails (200) and social links (100), merged over gaps of up
+    to 50, joined by a double bar up to the budget; the head of the text if nothing matches.  Patterns are RE2-like
+    without groups; one pass over the matches in their order, in Arrow batches."""
+    reach = [(words, 400), (PHONE, 200), (EMAIL, 200), (SOCIAL, 100)]
 
-def merge_spans(spans: Column, gap: int) -> Column:
-    """Sorted stretches, merged where at most ``gap`` characters lie between."""
-    start = F.array().cast("array<struct<s:int,e:int>>")
+    @F.pandas_udf("string")
+    def extract(texts: pd.Series) -> pd.Series:
+        import regex
 
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["s"] - last["e"] <= gap)
-        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(joins, wider).otherwise(F.concat(acc, F.array(x)))
+        patterns = [(regex.compile(p), n) for p, n in reach]
 
-    return F.aggregate(F.array_sort(spans), start, add)
+        def one(t: str) -> str:
+            spans: list[list[int]] = []
+            for s, e in sorted((max(0, m.start() - n), min(len(t), m.end() + n)) for p, n in patterns for m in p.finditer(t)):
+                if spans and s - spans[-1][1] <= 50:
+                    spans[-1][1] = max(spans[-1][1], e)
+                else:
+                    spans.append([s, e])
+            return (" ‖ ".join(t[s:e] for s, e in spans) or t)[:budget]
 
+        return texts.map(one)
 
-def goal_extract(text: Column, words: str, budget: int = 2000) -> Column:
-    """Text around keywords (400 either side), phones and mails (200) and social links (100), merged over gaps of up
-    to 50, joined by a double bar up to the budget; the head of the text if nothing matches."""
-    text = F.coalesce(text, F.lit(""))
-    spans = F.concat(goal_spans(text, words, 400, 400), goal_spans(text, PHONE, 200, 200), goal_spans(text, EMAIL, 200, 200), goal_spans(text, SOCIAL, 100, 100))
-    merged = merge_spans(spans, 50)
-    joined = F.array_join(F.transform(merged, lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"])), " ‖ ")
-    return F.substring(F.when(F.size(merged) > 0, joined).otherwise(text), 1, budget)
+    return extract(F.coalesce(text, F.lit("")))

@@ -28,18 +28,25 @@ def dedup_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "pos")
 
 
-def dedup_title(df: DataFrame, generic: str = r"^(?:shop|store|магазин)\b") -> DataFrame:
-    """Groups of (oid, title, category, dist) by normalised title; titles that are empty or generic are told apart by
-    category.  The representative is the nearest (missing distance last), ties to the smaller oid."""
+def title_key(df: DataFrame, generic: str = r"^(?:shop|store|магазин)\b") -> DataFrame:
+    """Adds key to (oid, title, category, dist): the normalised title, told apart by category where it is empty or generic."""
     title = norm_title(F.coalesce("title", F.lit("")))
     is_generic = (title == "") | F.regexp_like(title, F.lit(generic))
-    key = F.when(is_generic, F.concat_ws("::", F.lit("generic"), title, F.coalesce("category", F.lit("")))).otherwise(F.concat(F.lit("named::"), title))
+    return df.withColumn("key", F.when(is_generic, F.concat_ws("::", F.lit("generic"), title, F.coalesce("category", F.lit("")))).otherwise(F.concat(F.lit("named::"), title)))
+
+
+def dedup_title(keyed: DataFrame) -> DataFrame:
+    """key, oid, size of each title: oid is the nearest (missing distance last), ties to the smaller oid."""
     nearness = F.struct(F.coalesce("dist", F.lit(1e9)).alias("d"), F.col("oid").alias("o"))
-    return (
-        df.withColumn("key", key)
-        .groupBy("key")
-        .agg(F.min_by("oid", nearness).alias("oid"), F.count("*").alias("size"), F.array_sort(F.collect_list("oid")).alias("members"))
-    )
+    return keyed.groupBy("key").agg(F.min_by("oid", nearness).alias("oid"), F.count("*").alias("size"))
+
+
+def title_members(keyed: DataFrame, salts: int = 32) -> DataFrame:
+    """(member, oid) for each row: titles are repeated under salts, so that a title with very many members is dealt to many tasks."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    groups = dedup_title(keyed).select("key", "oid", every)
+    rows = keyed.select("key", F.col("oid").alias("member"), F.pmod(F.xxhash64("oid"), F.lit(salts)).cast("int").alias("_salt"))
+    return rows.join(groups, ["key", "_salt"]).select("member", "oid")
 
 
 def duplicate_groups(groups: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,46 @@ def keyword_tokens(c: Column, stems: list[str]) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+#: Validators of pages by kind of site: page (a column) -> (number of items found, whether the page has content).
+VALIDATORS: dict[str, Callable[[Column], tuple[Column, Column]]] = {}
+
+
+def validator(name: str):
+    """Plug a validator in under a name."""
+
+    def register(f):
+        VALIDATORS[name] = f
+        return f
+
+    return register
+
+
+@validator("article")
+def _article(html: Column) -> tuple[Column, Column]:
+    n = F.regexp_count(html, F.lit(r"(?i)<p\b"))
+    return n, (n >= 3) & F.contains(html, F.lit("</article>"))
+
+
+@validator("listing")
+def _listing(html: Column) -> tuple[Column, Column]:
+    n = F.regexp_count(html, F.lit(r"(?i)<li\b"))
+    return n, n >= 5
+
+
+@validator("default")
+def _default(html: Column) -> tuple[Column, Column]:
+    return F.char_length(html), F.char_length(html) > 500
+
+
+def validated(df: DataFrame, kind: str, html: Column) -> DataFrame:
+    """Adds items and content_ok by the validator that a row's kind names; a kind without one takes the default."""
+    items, ok = VALIDATORS["default"](html)
+    for name, f in VALIDATORS.items():
+        n, good = f(html)
+        items, ok = F.when(F.col(kind) == name, n).otherwise(items), F.when(F.col(kind) == name, good).otherwise(ok)
+    return df.withColumns({"items": items.cast("long"), "content_ok": ok})
+
+
 def first_rule(rules: list[tuple[str, Column]], default: str | None) -> Column:
     """Name of the first rule that holds."""
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -42,20 +83,123 @@ def size_class(n: Column, text: Column, chain: list[str], big: list[str]) -> Col
     return F.when((branches >= 3) | contains_any(text, chain), "chain").when((branches == 2) | contains_any(text, big), "mid").otherwise("micro")
 
 
-def antibot_verdict(status: Column, server: Column, body: Column) -> Column:
-    """Ordered verdict on a response."""
-    head = F.lower(F.substring(body, 1, 20_000))
+# Statuses by which an origin refuses, marks of challenges, and marks of a blocked result page.
+BLOCK_STATUSES = [403, 429, 503]
+CLOUDFLARE_MARKS = ["cf-chl", "challenge-platform", "just a moment"]
+CAPTCHA_MARKS = ["captcha", "smartcaptcha"]
+BLOCK_MARKERS = [
+    "/sorry/", "Our systems have detected unusual traffic", "About this page", "captcha-form", "g-recaptcha",
+    "if you are not redirected within", "enable javascript on your web browser",
+]
+
+
+def antibot_verdict(status: Column, server: Column, cf_ray: Column, body: Column) -> Column:
+    """Ordered verdict on a response.  A guard's cookie alone is no sign: solved pages set it as well."""
+    head, name = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 20_000)), F.lower(F.coalesce(server, F.lit("")))
+    refused = F.coalesce(status.isin(*BLOCK_STATUSES), F.lit(False))
+    guard = F.lit("ddos-guard")
     return first_rule(
         [
-            ("DDOS-GUARD", F.contains(F.lower(server), F.lit("ddos-guard"))),
-            ("CLOUDFLARE", F.contains(F.lower(server), F.lit("cloudflare")) & status.isin(403, 503)),
-            ("CHALLENGE", contains_any(head, ["captcha", "just a moment"])),
-            ("BLOCKED", status.isin(403, 429, 503) & (F.char_length(body) < 5000)),
+            ("DDOS-GUARD", F.contains(name, guard) | F.contains(head, guard)),
+            ("CLOUDFLARE", (F.contains(name, F.lit("cloudflare")) | (F.coalesce(cf_ray, F.lit("")) != "")) & (contains_any(head, CLOUDFLARE_MARKS) | refused)),
+            ("CHALLENGE", contains_any(head, CAPTCHA_MARKS)),
+            ("BLOCKED", refused & (F.coalesce(F.char_length(body), F.lit(0)) < 5000)),
         ],
         "CLEAN",
     )
 
 
+def serp_blocked(html: Column, markers: list[str] = BLOCK_MARKERS, head: int = 8000) -> Column:
+    """Whether the head of a result page holds a marker, in its own case."""
+    return contains_any(F.substring(html, 1, head), markers)
+
+
+def error_kind(error: Column) -> Column:
+    """Class of an error text, first match; null and other texts are ``other``."""
+    e = F.coalesce(error, F.lit(""))
+    return first_rule(
+        [
+            ("proxy_auth", contains_any(e, ["ERR_PROXY_AUTH_UNSUPPORTED"])),
+            ("timeout", contains_any(e, ["Timeout", "ERR_TIMED_OUT"])),
+            ("tunnel_failed", contains_any(e, ["ERR_TUNNEL_CONNECTION_FAILED"])),
+            ("captcha", contains_any(F.lower(e), ["captcha"])),
+        ],
+        "other",
+    )
+
+
+# Marks of a failed fetch that speak for the proxy.
+PROXY_FAILURES = ["ERR_TIMED_OUT", "ERR_TUNNEL", "Timeout", "ERR_PROXY", "ERR_CONNECTION", "ERR_EMPTY", "ERR_SOCKS"]
+
+
+def log_bucket(logger: Column, msg: Column, model_call: str = "POST http://localhost:20022", search_call: str = "GET http://localhost:8080/search") -> Column:
+    """Activity of a log line (logger, msg) as a struct: bucket, url, port, ok, fail_kind, empty; what a bucket lacks is null."""
+    http, enricher, search = logger == "httpx", logger.endswith("site_enricher"), logger.endswith("searxng_client")
+    url = F.nullif(F.regexp_extract(msg, r"(?:GET|POST) (https?://\S+)", 1), F.lit(""))
+    plain = http & ~F.contains(msg, F.lit(model_call)) & ~F.contains(msg, F.lit(search_call))
+    start, done, failed = (enricher & msg.startswith(x) for x in ("Starting site enrichment", "Extracted", "Site enrichment failed"))
+    bucket = first_rule(
+        [
+            ("llm", http & F.contains(msg, F.lit(model_call))), ("serp", http & F.contains(msg, F.lit(search_call))), ("scrape_httpx", plain & url.isNotNull()), ("other", http),
+            ("llm_retry_wait", logger == "openai._base_client"), ("serp_meta", search), ("enrich_start", start), ("scrape_browser", done | failed), ("other", enricher),
+            ("marker", logger.endswith("research.tools")), ("llm", logger.endswith("research.agent")),
+        ],
+        "other",
+    )
+    port = F.coalesce(F.nullif(F.regexp_extract(msg, r"proxy=\w+://[^:]+:(\d+)", 1), F.lit("")), F.lit("?"))
+    return F.struct(
+        bucket.alias("bucket"), F.when(plain, url).alias("url"), F.when(start, port).alias("port"), F.when(done, True).when(failed, False).alias("ok"),
+        F.when(failed, F.when(contains_any(msg, PROXY_FAILURES), "proxy").otherwise("other")).alias("fail_kind"),
+        F.when(search, contains_any(msg, ["empty organic", "failed"])).alias("empty"),
+    )
+
+
+# Words of categories by type of organisation, in order; hints of technology; types that are legal entities.
+ARCHETYPES = [
+    ("law", ["адвокат", "юрид", "нотари", "юрист", "правов"]),
+    ("finance", ["бухгалт", "аудит", "финанс", "банк", "страхов", "налог"]),
+    ("med", ["клиник", "стомат", "медцентр", "медицин", "ветеринар", "поликлин", "диагностик", "лаборатор", "аптек"]),
+    ("beauty", ["салон красот", "парикмах", "ногт", "космет", "барбер", "маникюр", "spa", "спа", "эпиляц"]),
+    ("auto", ["автосервис", "автомойк", "шиномонтаж", "автотехцентр", "автосалон", "детейлинг", "развал"]),
+    ("fitness", ["фитнес", "спортзал", "тренаж", "йога", "бассейн"]),
+    ("realty", ["недвиж", "агентство недвиж", "риелт", "застройщик"]),
+    ("print", ["типограф", "печать", "полиграф", "копир"]),
+    ("edu", ["школа", "детский сад", "курс", "обучен", "репетит", "ясли"]),
+    ("repair", ["ремонт", "химчистк", "ателье", "прачечн", "мастерск"]),
+    ("food_retail", ["кафе", "ресторан", "бар", "суши", "кофейн", "столов", "пекарн", "пиццер", "кондитер", "бистро", "паб"]),
+    ("shop", ["магазин", "цветы", "продукт", "супермаркет", "бутик", "торгов", "маркет"]),
+]
+TECH_HINTS = [
+    "it", "айти", "разработк", "программн", "софт", "software", "веб", "web", "digital", "диджитал", "интернет", "телеком", "хостинг", "стартап",
+    "маркетинг", "реклам", "агентств", "студия", "дизайн", "сайт", "приложен", "data", "ai", "ml", "saas", "кибербез", "интегратор", "1с", "crm",
+]
+LEGAL_ARCHETYPES = ["law", "finance", "med", "realty", "print", "auto", "edu"]
+
+
+def _joined(categories: Column) -> Column:
+    return F.lower(F.array_join(F.coalesce(categories, F.array().cast("array<string>")), " "))
+
+
+def archetype(categories: Column, table: list[tuple[str, list[str]]] = ARCHETYPES) -> Column:
+    """Type of the first entry with a word in the categories (an array), else ``other``."""
+    low = _joined(categories)
+    return first_rule([(name, contains_any(low, words)) for name, words in table], "other")
+
+
+def is_tech(categories: Column, hints: list[str] = TECH_HINTS) -> Column:
+    return contains_any(_joined(categories), hints)
+
+
+def wants_legal(kind: Column, kinds: list[str] = LEGAL_ARCHETYPES) -> Column:
+    return kind.isin(*kinds)
+
+
+def review_queue(cards: DataFrame, need: Column, text: Column, words: str, by: str, descending: bool = False) -> DataFrame:
+    """Cards that need a review and hold the words, sorted by a column with nulls last either way, ties by oid."""
+    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    return cards.where(need & F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(words.lower()))).orderBy(order, "oid")
+
+
 def host_suffixes(host: Column) -> Column:
     """The host without www. and all its parent domains."""
     labels = F.split(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.")

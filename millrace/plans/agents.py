@@ -15,11 +15,10 @@ from millrace.plans import views as V
 from millrace.plans.catalog import q
 from millrace.plans.registry import query
 
-NORM = r"trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 6)), '[^\p{L}\p{N}_]+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g'))"
 
 
 def _norm():
-    """The whole text; NORM compares its first six characters only, so rows differ where two texts of a run begin alike."""
     return norm_query(F.coalesce("text", F.lit("")))
 
 
@@ -124,16 +123,25 @@ def agg37_run_perf_totals(spark, d):
     )
 
 
-@query("""SELECT run, turn, CASE WHEN turn % 3 = 0 THEN 'b' || 'a' WHEN turn % 3 = 1 THEN trim('ba' || coalesce(text, '')) ELSE trim(coalesce(text, '')) END AS text FROM v_turns""")
+@query(r"""SELECT run, turn, regexp_replace(CASE turn % 4 WHEN 0 THEN 'b' || 'a' WHEN 1 THEN 'ba' || coalesce(text, '') WHEN 2 THEN 'c' ELSE coalesce(text, '') END, '^\s+|\s+$', '', 'g') AS text FROM v_turns""")
 def sca32_strip_reasoning(spark, d):
-    t, k = F.coalesce("text", F.lit("")), F.col("turn") % 3
-    flat = F.regexp_replace(t, r"\n+", " ")
-    raw = F.when(k == 0, F.concat(F.lit("b<think>"), flat, F.lit("</think>a"))).when(k == 1, F.concat(F.lit("b<think>"), flat, F.lit("\n\na"), t)).otherwise(t)
+    t, k = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    flat = F.regexp_replace(t, r"\s+", " ")
+    raw = F.when(k == 0, F.concat(F.lit("b<think>"), flat, F.lit("</think>a"))).when(k == 1, F.concat(F.lit("b<Thinking x=1>"), flat, F.lit("\n \t\na"), t))
+    raw = raw.when(k == 2, F.concat(F.lit("c<think>"), flat)).otherwise(t)
     return V.turns(spark, d).select("run", "turn", strip_reasoning(raw).alias("text"))
 
 
-@query("""WITH o AS (SELECT run, list(kind ORDER BY turn) AS kinds, list_sort(list(DISTINCT host)) AS hosts, count(*) AS n FROM v_turns GROUP BY run)
- SELECT run, n, array_to_string(kinds[1:40], ',') AS queries, array_to_string(hosts[1:25], ',') AS domains, kinds[-1] AS last_event FROM o""")
+@query("""WITH o AS (SELECT run, list(kind ORDER BY turn) AS kinds, list_sort(list(DISTINCT host)) AS hosts, count(*) AS n, arg_min(host, turn) AS anchor, CAST(sum(len(coalesce(text, ''))) AS BIGINT) AS chars FROM v_turns GROUP BY run)
+ SELECT run, substr('{"anchor":{"name":"' || anchor || '","chars":' || chars || '},"turns":' || n || ',"critic":"' || kinds[-1] || '","queries_history":[' || array_to_string(list_transform(kinds[1:40], lambda x: '"' || x || '"'), ',')
+ || '],"visited_domains":[' || array_to_string(list_transform(hosts[1:25], lambda x: '"' || x || '"'), ',') || ']}', 1, 14000) AS digest FROM o""")
 def sca34_run_digest(spark, d):
-    o = V.turns(spark, d).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("turn", "kind"))).alias("t"), F.array_sort(F.collect_set("host")).alias("hosts"), F.count("*").alias("n"))
-    return o.select("run", "n", F.array_join(F.slice("t.kind", 1, 40), ",").alias("queries"), F.array_join(F.slice("hosts", 1, 25), ",").alias("domains"), F.element_at("t.kind", -1).alias("last_event"))
+    """Anchor fields, last event, first 40 queries and 25 sorted domains of a run, as JSON of 14,000 characters at most."""
+    o = V.turns(spark, d).groupBy("run").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "kind"))).alias("t"), F.array_sort(F.collect_set("host")).alias("hosts"), F.count("*").alias("turns"),
+        F.min_by("host", "turn").alias("name"), F.sum(F.char_length(F.coalesce("text", F.lit(""))).cast("long")).alias("chars"),
+    )
+    digest = F.struct(
+        F.struct("name", "chars").alias("anchor"), "turns", F.element_at("t.kind", -1).alias("critic"), F.slice("t.kind", 1, 40).alias("queries_history"), F.slice("hosts", 1, 25).alias("visited_domains")
+    )
+    return o.select("run", F.substring(F.to_json(digest), 1, 14_000).alias("digest"))

@@ -57,27 +57,32 @@ def sca24_grid_points(spark, d):
     return grid_points(spark, *V.CENTER, 2500, 500).join(n, "i", "left").select("i", "j", F.round("dist", 1).alias("dist"), F.coalesce("orgs", F.lit(0)).alias("orgs"))
 
 
-TITLES = """WITH t AS (SELECT oid, 'named::' || regexp_replace(lower(p_name), '[^a-z ]', '', 'g') AS key0, dist, category, p_name FROM
- (SELECT o.*, CASE WHEN oid % 9 = 0 THEN 'Shop ' || oid % 2 ELSE p_name END AS p_name FROM v_org_dist o JOIN part ON p_partkey = oid % 100 + 1)),
- k AS (SELECT *, CASE WHEN p_name LIKE 'Shop%' THEN 'generic::' || lower(p_name) || '::' || category ELSE 'named::' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) END AS key FROM t),
- g AS (SELECT key, arg_min(oid, (dist, oid)) AS oid, count(*) AS size, array_to_string(list_sort(list(oid)), ',') AS members FROM k GROUP BY key) """
+TITLES = """WITH t AS (SELECT o.oid, category, dist, CASE WHEN oid % 9 = 0 THEN 'Shop ' || oid % 2 ELSE p_name END AS title FROM v_org_dist o JOIN part ON p_partkey = oid % 100 + 1),
+ k AS (SELECT *, CASE WHEN title LIKE 'Shop%' THEN 'generic::' || lower(title) || '::' || category ELSE 'named::' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) END AS key FROM t),
+ g AS (SELECT key, arg_min(oid, (dist, oid)) AS oid, count(*) AS size FROM k GROUP BY key) """
 
 
-def _titles(spark, d):
+def _titled(spark, d):
     part = V.read(spark, d, "part").select(F.col("p_partkey"), "p_name")
     o = V.org_dist(spark, d).drop("title").withColumn("p_partkey", F.col("oid") % 100 + 1).join(part, "p_partkey")
     title = F.when(F.col("oid") % 9 == 0, F.concat(F.lit("Shop "), (F.col("oid") % 2).cast("string"))).otherwise(F.col("p_name"))
-    return D.dedup_title(o.select("oid", title.alias("title"), "category", "dist"))
+    return D.title_key(o.select("oid", title.alias("title"), "category", "dist"))
 
 
 @query(TITLES + "SELECT * FROM g")
 def ded3_dedup_title(spark, d):
-    return _titles(spark, d).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return D.dedup_title(_titled(spark, d))
+
+
+@query(TITLES + "SELECT k.oid AS member, g.oid FROM k JOIN g ON k.key = g.key")
+def ded3_title_members(spark, d):
+    """Which organisation stands for which, one row a member: no list of a common title's members is made."""
+    return D.title_members(_titled(spark, d))
 
 
 @query(TITLES + "SELECT key, size FROM g WHERE size > 1 ORDER BY size DESC, key DESC LIMIT 10")
 def ded5_duplicate_groups(spark, d):
-    return D.duplicate_groups(_titles(spark, d), 10).select("key", "size")
+    return D.duplicate_groups(_titled(spark, d).groupBy("key").agg(F.count("*").alias("size")), 10)
 
 
 @query("""WITH f AS (SELECT oid, category, min(struct_pack(i := i, j := j, rank := rank, sid := sid)) AS s FROM v_sightings GROUP BY oid, category)
@@ -94,15 +99,20 @@ def _near(spark, d):
     return V.sightings(spark, d).join(V.org_dist(spark, d).select("oid", "dist"), "oid")
 
 
-@query(CALLS + """SELECT count(DISTINCT (i, j, category)) AS calls, count(*) AS instances, count(DISTINCT oid) AS ids, count(DISTINCT oid) FILTER (dist <= 2500) AS inside,
- count(*) - count(DISTINCT oid) AS duplicates, count(DISTINCT oid) FILTER (dist > 2500) AS outside, round(count(*)::DOUBLE / greatest(1, count(DISTINCT oid) FILTER (dist <= 2500)), 6) AS overlap FROM s""")
+@query(CALLS + """, c AS (SELECT i, j, category, min(rank) AS best FROM s GROUP BY ALL), k AS (SELECT count(*) AS calls, round(100.0::DOUBLE * count(*) FILTER (best < 20) / count(*), 4) AS ok_pct, round(100.0::DOUBLE * count(*) FILTER (best >= 20) / count(*), 4) AS err_pct FROM c)
+ SELECT any_value(calls) AS calls, any_value(ok_pct) AS ok_pct, any_value(err_pct) AS err_pct, count(*) AS instances, count(DISTINCT oid) AS ids, count(DISTINCT oid) FILTER (dist <= 2500) AS inside,
+ count(*) - count(DISTINCT oid) AS duplicates, count(DISTINCT oid) FILTER (dist > 2500) AS outside, round(count(*)::DOUBLE / greatest(1, count(DISTINCT oid) FILTER (dist <= 2500)), 6) AS overlap FROM s, k""")
 def agg29_coverage_summary(spark, d):
     s = _near(spark, d)
     per = s.groupBy("oid").agg(F.count("*").alias("n"), F.first("dist").alias("dist"))
     inside = A.count_if(F.col("dist") <= 2500)
     n = F.sum("n")
     one = per.agg(n.alias("instances"), F.count("*").alias("ids"), inside.alias("inside"), (n - F.count("*")).alias("duplicates"), A.count_if(F.col("dist") > 2500).alias("outside"), F.round(n / F.greatest(F.lit(1), inside), 6).alias("overlap"))
-    return one.crossJoin(s.select("i", "j", "category").distinct().agg(F.count("*").alias("calls")))  # one row each
+    good = A.count_if(F.col("best") < 20)
+    calls = s.groupBy("i", "j", "category").agg(F.min("rank").alias("best")).agg(
+        F.count("*").alias("calls"), A.share(good, F.count("*"), 100.0, 4).alias("ok_pct"), A.share(F.count("*") - good, F.count("*"), 100.0, 4).alias("err_pct")
+    )
+    return one.crossJoin(calls)  # one row each
 
 
 @query("SELECT coalesce(CASE WHEN oid % 3 = 0 THEN nullif('q' || oid % 5, 'q0') END, category, 'other') AS class, count(*) AS n FROM v_orgs GROUP BY class")
@@ -149,7 +159,7 @@ def agg33_category_ceiling(spark, d):
 
 
 BATCHES = CALLS + """, f AS (SELECT oid, category, min(sid) AS first FROM s GROUP BY oid, category), r AS (SELECT s.*, s.sid = f.first AS is_new, s.sid // 1000 AS batch FROM s JOIN f ON s.oid = f.oid AND s.category = f.category),
- b AS (SELECT category, batch, count(*) AS total, count(*) FILTER (dist <= 2500) AS inside, count(*) FILTER (is_new) AS n_new, round(avg(dist), 3) AS mean_dist FROM r GROUP BY category, batch) """
+ b AS (SELECT category, batch, count(*) AS total, count(*) FILTER (dist <= 2500) AS inside, count(*) FILTER (is_new) AS n_new, count(*) FILTER (rank < 25) AS ok, round(avg(dist), 3) AS mean_dist FROM r GROUP BY category, batch) """
 
 
 def _batches(spark, d):
@@ -157,7 +167,7 @@ def _batches(spark, d):
     first = s.groupBy("oid", "category").agg(F.min("sid").alias("first"))
     r = s.join(first, ["oid", "category"]).withColumn("batch", F.floor(F.col("sid") / 1000))
     return r.groupBy("category", "batch").agg(
-        F.count("*").alias("total"), A.count_if(F.col("dist") <= 2500).alias("inside"), A.count_if(F.col("sid") == F.col("first")).alias("n_new"), F.round(F.avg("dist"), 3).alias("mean_dist")
+        F.count("*").alias("total"), A.count_if(F.col("dist") <= 2500).alias("inside"), A.count_if(F.col("sid") == F.col("first")).alias("n_new"), A.count_if(F.col("rank") < 25).alias("ok"), F.round(F.avg("dist"), 3).alias("mean_dist")
     )
 
 
@@ -166,23 +176,42 @@ def win9_batch_density(spark, d):
     return _batches(spark, d)
 
 
+@query(BATCHES + """, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY batch) AS up, row_number() OVER (PARTITION BY category ORDER BY batch DESC) AS down FROM b)
+ SELECT category, round(avg(n_new) FILTER (up <= 100), 6) AS first_new, round(avg(n_new) FILTER (down <= 100), 6) AS last_new, max(batch) FILTER (ok > 0) AS last_ok FROM n GROUP BY category""")
+def win9_batch_ends(spark, d):
+    """New ids of the first and the last 100 batches in the mean, and the last batch with a good call."""
+    w = Window.partitionBy("category")
+    n = _batches(spark, d).withColumns({"up": F.row_number().over(w.orderBy("batch")), "down": F.row_number().over(w.orderBy(F.desc("batch")))})
+    mean = lambda c: F.round(F.avg(F.when(c <= 100, F.col("n_new"))), 6)
+    return n.groupBy("category").agg(mean(F.col("up")).alias("first_new"), mean(F.col("down")).alias("last_new"), F.max(F.when(F.col("ok") > 0, F.col("batch"))).alias("last_ok"))
+
+
 @query(BATCHES + "SELECT category, batch, CAST(sum(n_new) OVER (PARTITION BY category ORDER BY batch) AS BIGINT) AS uniq FROM b")
 def win10_cumulative_unique(spark, d):
     return _batches(spark, d).select("category", "batch", F.sum("n_new").over(Window.partitionBy("category").orderBy("batch")).alias("uniq"))
 
 
-ARCHETYPES = [("auto", "AUTO"), ("build", "BUILD"), ("home", "HOUSE")]
+#: Categories of organisations, dealt by oid, on which the classification is tried.
+SAMPLES = [
+    "Юридические услуги", "Банк", "Аптека и магазин", "Салон красоты", "Автосервис", "Фитнес-клуб", "Агентство недвижимости", "Типография", "Школа", "Ремонт обуви",
+    "Кафе-пекарня", "Супермаркет", "Разработка ПО", "Web-студия", "Музей", "Склад",
+]
+CATS = f"(SELECT oid, lower(({SAMPLES})[oid % {len(SAMPLES)} + 1] || ' ' || category) AS cats FROM v_orgs)"
+TYPE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(cats, '{w}')" for w in words) + f" THEN '{name}'" for name, words in L.ARCHETYPES) + " ELSE 'other' END"
+
+
+def _categories():
+    return F.array(F.element_at(F.array(*[F.lit(x) for x in SAMPLES]), (F.col("oid") % len(SAMPLES) + 1).cast("int")), F.col("category"))
 
 
-@query("SELECT oid, CASE WHEN lower(category) LIKE '%auto%' THEN 'auto' WHEN lower(category) LIKE '%build%' THEN 'build' WHEN lower(category) LIKE '%house%' THEN 'home' ELSE 'other' END AS archetype FROM v_orgs")
+@query(f"SELECT oid, {TYPE_SQL} AS archetype FROM {CATS}")
 def flt5_classify_archetype(spark, d):
-    low = F.lower("category")
-    return V.orgs(spark, d).select("oid", L.first_rule([(n, F.contains(low, F.lit(w.lower()))) for n, w in ARCHETYPES], "other").alias("archetype"))
+    return V.orgs(spark, d).select("oid", L.archetype(_categories()).alias("archetype"))
 
 
-@query("SELECT oid, lower(category) LIKE '%machin%' OR title LIKE '%00%' AS tech, nation IN (1, 2, 3) AS legal FROM v_orgs")
+@query(f"SELECT oid, {' OR '.join(f"contains(cats, '{h}')" for h in L.TECH_HINTS)} AS tech, {TYPE_SQL} IN ({', '.join(f"'{x}'" for x in L.LEGAL_ARCHETYPES)}) AS legal FROM {CATS}")
 def flt6_classify_tech(spark, d):
-    return V.orgs(spark, d).select("oid", (F.contains(F.lower("category"), F.lit("machin")) | F.contains("title", F.lit("00"))).alias("tech"), F.col("nation").isin(1, 2, 3).alias("legal"))
+    return V.orgs(spark, d).select("oid", L.is_tech(_categories()).alias("tech"), L.wants_legal(L.archetype(_categories())).alias("legal"))
 
 
 @query("""SELECT oid, CASE WHEN b >= 3 OR title LIKE '%77%' THEN 'chain' WHEN b = 2 OR title LIKE '%88%' THEN 'mid' ELSE 'micro' END AS size FROM

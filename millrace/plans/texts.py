@@ -16,25 +16,33 @@ from millrace.sources import page_text as P
 RE_SPLIT = r"'[^\p{L}\p{N}_]+'"
 
 
+#: Character references that occur in the given pages; the queries decode all.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _sql_clean(c: str) -> str:
-    out = f"regexp_replace(coalesce({c}, ''), '(?is)<!--.*?-->', '', 'g')"
+    out = f"coalesce({c}, '')"
     for t in T.NOISE:
-        out = f"regexp_replace({out}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
-    return out
+        out = f"regexp_replace({out}, '(?is)<{t}\\b[^>]*>.*?</{t}>', '', 'g')"
+    return f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
 
 
 def _sql_entities(c: str) -> str:
-    for a, b in T.ENTITIES:
+    for a, b in ENTITIES:
         quoted = a.replace("'", "''"), b.replace("'", "''")
         c = f"replace({c}, '{quoted[0]}', '{quoted[1]}')"
+    return f"regexp_replace({c}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+
+
+def _sql_lines(c: str) -> str:
+    for p, n in T.BREAKS:
+        c = f"regexp_replace({c}, '(?i){p}', repeat(chr(10), {n}), 'g')"
     return c
 
 
-CLEAN = _sql_entities(f"trim(regexp_replace(regexp_replace({_sql_clean('html')}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))")
-LINES = f"regexp_replace({_sql_clean('html')}, '(?is)<br\\s*/?>|</(?:p|div|li|h[1-6]|tr)\\s*>', chr(10), 'g')"
-LINES = f"regexp_replace(regexp_replace({LINES}, '<[^>]+>', '', 'g'), '[ \\t\\r]+', ' ', 'g')"
-LINES = f"regexp_replace(regexp_replace({LINES}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-LINES = _sql_entities(f"regexp_replace({LINES}, '^\\s+|\\s+$', '', 'g')")
+CLEAN = _sql_entities(f"regexp_replace(regexp_replace({_sql_clean('html')}, '<[^>]+>', '', 'g'), '{T.WHITE}+', ' ', 'g')")
+LINES = f"regexp_replace(regexp_replace({_sql_lines(_sql_clean('html'))}, '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g')"
+LINES = _sql_entities(f"regexp_replace(regexp_replace({LINES}, '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
 @query(r"SELECT key, trim(regexp_replace(regexp_replace(lower(text), '[\"''«»„“”`.,:;!?()\[\]/\\#№_–—-]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM v_text")
@@ -79,9 +87,11 @@ def sca8_count_words(spark, d):
     return V.texts(spark, d).select("key", T.count_words(F.col("text")).alias("n"))
 
 
-TRUNC = r"""WITH w AS (SELECT {key}, {text} AS text, string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' ') AS w FROM {src}),
- c AS (SELECT *, regexp_replace(array_to_string(w[1:{n}], ' '), '(?: [^\p{{L}}\p{{N}} ]+)+$', '') AS cut FROM w),
- t AS (SELECT {key}, CASE WHEN len(w) <= {n} THEN text ELSE cut || CASE WHEN regexp_matches(cut, '[.!?]$') THEN '..' ELSE '...' END END AS text, len(w) > {n} AS truncated FROM c) """
+TRUNC = (
+    r"""WITH w AS (SELECT {key}, {text} AS text, list_filter(regexp_split_to_array({text}, 'WHITE+'), lambda x: x <> '') AS w FROM {src}),
+ c AS (SELECT *, regexp_replace(array_to_string(w[1:{n}], ' '), '(?:^| )[.!?,;:](?: [.!?,;:])*$', '') AS cut FROM w),
+ t AS (SELECT {key}, CASE WHEN len(w) <= {n} THEN text ELSE cut || CASE WHEN cut = '' OR regexp_matches(cut, '[.!?]$') THEN '..' ELSE '...' END END AS text, len(w) > {n} AS truncated FROM c) """
+).replace("WHITE", T.WHITE.replace("{", "{{").replace("}", "}}"))
 
 
 @query(TRUNC.format(key="key", text="text", src="v_text", n=12) + "SELECT key, text FROM t")
@@ -93,7 +103,7 @@ def sca9_truncate_words(spark, d):
 def sca10_enrich_pages(spark, d):
     p = V.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
     cut = T.truncate_words(F.col("body"), 500)
-    return p.select("page_id", cut.alias("text"), T.count_words(cut).alias("word_count"), (F.size(F.split(T.squeeze(F.col("body")), " ")) > 500).alias("truncated"))
+    return p.select("page_id", cut.alias("text"), T.count_words(cut).alias("word_count"), (F.size(T.words_of(F.col("body"))) > 500).alias("truncated"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '<a href="/[^"]*">[^<]*</a>'),
@@ -177,24 +187,45 @@ def sca22_parse_when(spark, d):
     return V.read(spark, d, "events").select("event_id", T.parse_when(shown).alias("at"))
 
 
-@query()
+@query("""WITH s AS (SELECT event_id // 20 AS page_id, event_id, event_id % 5 AS k, props FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY event_id) - 1 AS nth FROM s)
+ SELECT page_id, nth, CASE k WHEN 0 THEN 'application/ld+json' ELSE 'state' END AS kind, CASE k WHEN 3 THEN '[' || event_id || ', 1]' ELSE props END AS payload FROM n WHERE k <> 4""")
 def sca33_embedded_json(spark, d):
-    e = V.read(spark, d, "events").groupBy((F.col("event_id") % 500).alias("page_id")).agg(F.concat(F.lit("<script>var s = "), F.array_join(F.collect_list("props"), ";</script><script>x("), F.lit("</script>")).alias("html"))
-    return P.embedded_json(e)
+    """Pages of 20 scripts: typed JSON, assigned values, fenced JSON after a broken brace, arrays, and scripts of another type."""
+    k, p = F.col("event_id") % 5, F.col("props")
+    body = F.when(k == 0, F.concat(F.lit('<script type="application/ld+json">'), p)).when(k == 1, F.concat(F.lit("<script>var s = "), p, F.lit("; run({});")))
+    body = body.when(k == 2, F.concat(F.lit("<script>{ not json\n```json\n"), p, F.lit("\n```"))).when(k == 3, F.concat(F.lit("<script>x(["), F.col("event_id").cast("string"), F.lit(", 1])")))
+    body = F.concat(body.otherwise(F.concat(F.lit('<script type="text/template">'), p)), F.lit("</script>"))
+    e = V.read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 20).cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", body.alias("s")))).alias("s"))
+    return P.embedded_json(e.select("page_id", F.concat(F.lit("<html>"), F.array_join("s.s", "\n")).alias("html")))
+
 
+ANTIBOT_MARKS = ["", "DDoS-Guard", "cf-chl-x", "challenge-platform", "Just a moment", "SmartCaptcha", "plain"]
 
-@query("""SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'DDOS-GUARD' WHEN page_id % 11 = 1 AND page_id % 3 = 0 THEN 'CLOUDFLARE' WHEN contains(lower(substr(html, 1, 20000)), 'captcha') OR contains(lower(substr(html, 1, 20000)), 'just a moment') THEN 'CHALLENGE'
- WHEN page_id % 3 = 0 AND len(html) < 5000 THEN 'BLOCKED' ELSE 'CLEAN' END AS verdict FROM pages""")
+
+@query(f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 403 WHEN page_id % 17 = 1 THEN 429 ELSE 200 END AS status, CASE page_id % 11 WHEN 0 THEN 'ddos-guard' WHEN 1 THEN 'cloudflare' ELSE 'nginx' END AS server,
+ page_id % 4 = 1 AS ray, ({ANTIBOT_MARKS})[page_id % 7 + 1] || ' ' || CASE WHEN page_id % 2 = 0 THEN substr(html, 1, 900) ELSE html END AS body FROM pages), h AS (SELECT *, lower(substr(body, 1, 20000)) AS head FROM r)
+ SELECT page_id, CASE WHEN server = 'ddos-guard' OR contains(head, 'ddos-guard') THEN 'DDOS-GUARD'
+ WHEN (server = 'cloudflare' OR ray) AND (status IN (403, 429, 503) OR contains(head, 'cf-chl') OR contains(head, 'challenge-platform') OR contains(head, 'just a moment')) THEN 'CLOUDFLARE'
+ WHEN contains(head, 'captcha') THEN 'CHALLENGE' WHEN status IN (403, 429, 503) AND len(body) < 5000 THEN 'BLOCKED' ELSE 'CLEAN' END AS verdict FROM h""")
 def flt8_antibot_verdict(spark, d):
     k = F.col("page_id")
     server = F.when(k % 11 == 0, "ddos-guard").when(k % 11 == 1, "Cloudflare").otherwise("nginx")
-    status = F.when(k % 3 == 0, 403).otherwise(200)
-    return V.read(spark, d, "pages").select("page_id", L.antibot_verdict(status, server, F.col("html")).alias("verdict"))
+    status = F.when(k % 3 == 0, 403).when(k % 17 == 1, 429).otherwise(200)
+    mark = F.element_at(F.array(*[F.lit(m) for m in ANTIBOT_MARKS]), (k % 7 + 1).cast("int"))
+    body = F.concat(mark, F.lit(" "), F.when(k % 2 == 0, F.substring("html", 1, 900)).otherwise(F.col("html")))
+    return V.read(spark, d, "pages").select("page_id", L.antibot_verdict(status, server, F.when(k % 4 == 1, "8f2"), body).alias("verdict"))
+
+
+PLACED = [*L.BLOCK_MARKERS, "/Sorry/", "captcha", "blocked"]
 
 
-@query("SELECT page_id, contains(substr(html, 1, 8000), 'Thth') OR contains(substr(html, 1, 8000), 'ad 1 ') OR contains(substr(html, 1, 8000), 'blocked') AS blocked FROM pages")
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN rpad('', 7990, '.') ELSE '' END || ([""" + ", ".join(f"'{m}'" for m in PLACED) + f"""])[page_id % {len(PLACED)} + 1] || coalesce(html, '') AS html FROM pages)
+ SELECT page_id, """ + " OR ".join(f"contains(substr(html, 1, 8000), '{m}')" for m in L.BLOCK_MARKERS) + " AS blocked FROM p")
 def flt9_serp_blocked(spark, d):
-    return V.read(spark, d, "pages").select("page_id", L.contains_any(F.substring("html", 1, 8000), ["Thth", "ad 1 ", "blocked"]).alias("blocked"))
+    k = F.col("page_id")
+    pad = F.when(k % 3 == 0, F.rpad(F.lit(""), 7990, ".")).otherwise("")
+    html = F.concat(pad, F.element_at(F.array(*[F.lit(m) for m in PLACED]), (k % len(PLACED) + 1).cast("int")), F.coalesce("html", F.lit("")))
+    return V.read(spark, d, "pages").select("page_id", L.serp_blocked(html).alias("blocked"))
 
 
 @query("""WITH h AS (SELECT DISTINCT regexp_replace(domain, '^blog\\.', '') AS host FROM v_pages WHERE page_id % 5 = 0)
@@ -275,7 +306,13 @@ def agg25_traffic_savings(spark, d):
     return _model(spark, d).groupBy("strategy").agg(F.round(now, 2).alias("now_bytes"), F.round(100 * (1 - new / now), 4).alias("reduction"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<p\\b')) AS paragraphs, contains(coalesce(html, ''), '</html>') AS content_ok FROM pages")
+VALID = """WITH v AS (SELECT page_id, domain, coalesce(html, '') AS h FROM v_pages), s AS (SELECT *, len(domain) % 3 AS k, len(regexp_extract_all(h, '(?i)<p\\b')) AS n FROM v) """
+
+
+@query(VALID + """SELECT page_id, CASE k WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'default' END AS validator, CASE k WHEN 0 THEN n WHEN 1 THEN len(regexp_extract_all(h, '(?i)<li\\b')) ELSE len(h) END AS items,
+ CASE k WHEN 0 THEN n >= 3 AND contains(h, '</article>') WHEN 1 THEN len(regexp_extract_all(h, '(?i)<li\\b')) >= 5 ELSE len(h) > 500 END AS content_ok FROM s""")
 def udf2_site_validators(spark, d):
-    h = F.coalesce("html", F.lit(""))
-    return V.read(spark, d, "pages").select("page_id", F.regexp_count(h, F.lit(r"(?i)<p\b")).cast("long").alias("paragraphs"), F.contains(h, F.lit("</html>")).alias("content_ok"))
+    """Validators by kind of site, plugged into one table; each gives how much it found and whether that is content."""
+    p = V.pages(spark, d).withColumn("html", F.coalesce("html", F.lit("")))
+    kind = F.when(F.char_length("domain") % 3 == 0, "article").when(F.char_length("domain") % 3 == 1, "listing").otherwise("default")
+    return L.validated(p.withColumn("validator", kind), "validator", F.col("html")).select("page_id", "validator", "items", "content_ok")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 
 TAG = re.compile(r"<(/?)(h[1-6]|a|p|li|br|img)\b([^>]*)>", re.I)
 NOISE = re.compile(r"<!--.*?-->|<(script|style|nav|footer|header|aside|form|noscript)\b.*?</\1\s*>", re.I | re.S)
-LD_JSON = re.compile(r"<script[^>]*>(.*?)</script\s*>", re.I | re.S)
+SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.I | re.S)
+TYPE = re.compile(r"""type\s*=\s*["']?([^"'\s>]+)""", re.I)
+FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)```", re.I)
 
 
 def markdown(html: str | None) -> str:
@@ -45,24 +47,53 @@ def page_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, markdown string")
 
 
-def first_block(text: str) -> str | None:
-    """The first balanced {...} block of a text that is JSON."""
-    at = text.find("{")
+def balanced(text: str, opener: str) -> str | None:
+    """The first span from an opening bracket to its closing one that is JSON."""
+    at = text.find(opener)
     while at >= 0:
         try:
-            _, end = json.JSONDecoder().raw_decode(text, at)
-            return text[at:end]
+            return text[at : json.JSONDecoder().raw_decode(text, at)[1]]
         except ValueError:
-            at = text.find("{", at + 1)
+            at = text.find(opener, at + 1)
     return None
 
 
+def first_json(text: str | None) -> str | None:
+    """JSON in a text: the first fenced block that is whole JSON, else the first balanced object, else the first balanced array."""
+    for m in FENCE.finditer(text or ""):
+        try:
+            json.loads(m[1].strip())
+            return m[1].strip()
+        except ValueError:
+            continue
+    return (balanced(text, "{") or balanced(text, "[")) if text else None
+
+
 def embedded_json(pages: DataFrame) -> DataFrame:
-    """page_id, nth, payload: JSON blocks within the scripts of each page."""
+    """page_id, nth, kind, payload: the JSON of each script of a page that holds some; kind is the script's type, ``state``
+    for scripts that assign a value, and scripts of other types than JSON or JavaScript don't count."""
+
+    def blocks(page: str):
+        for n, m in enumerate(SCRIPT.finditer(page)):
+            kind = (TYPE.search(m[1]) or ["", "state"])[1].lower()
+            if "json" in kind or kind == "state" or "javascript" in kind or "data-" in m[1]:
+                payload = first_json(m[2])
+                if payload is not None:
+                    yield n, kind, payload
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(p, *b) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for b in blocks(h or "")]
+            yield pd.DataFrame(rows, columns=["page_id", "nth", "kind", "payload"]).astype({"page_id": "int64", "nth": "int64"})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, nth long, kind string, payload string")
+
+
+def json_of_texts(texts: DataFrame, key: str) -> DataFrame:
+    """key, payload: the first JSON in each text of (key, text), null where there is none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(p, n, b) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for n, s in enumerate(LD_JSON.findall(h or "")) if (b := first_block(s))]
-            yield pd.DataFrame(rows, columns=["page_id", "nth", "payload"]).astype({"page_id": "int64", "nth": "int64"})
+            yield pd.DataFrame({key: pdf[key], "payload": [first_json(t) for t in pdf["text"]]})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, nth long, payload string")
+    return texts.select(key, "text").mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, payload string")
