@@ -54,9 +54,15 @@ def duplicate_groups(groups: DataFrame, n: int) -> DataFrame:
     return groups.where("size > 1").orderBy(F.desc("size"), F.desc("key")).limit(n)
 
 
-def page_union(df: DataFrame, key: str, page: str, group: list[str]) -> DataFrame:
-    """First sighting of each key over pages, with the number of keys that its page brought."""
+def page_union(df: DataFrame, key: str, page: str, group: list[str], stop_after: int | None = None) -> DataFrame:
+    """First sighting of each key over pages, with the number of keys that its page brought.  With ``stop_after``, pages beyond
+    so many in a row without a new key are not seen."""
     first = df.groupBy(*group, key).agg(F.min(page).alias(page))
+    if stop_after:
+        novelty = page_novelty(df, key, page, group)  # a row for each page of a group
+        w = Window.partitionBy(*group).orderBy(page).rowsBetween(1 - stop_after, 0)
+        ended = novelty.withColumn("_empty", F.sum((F.col("n_new") == 0).cast("int")).over(w)).where(F.col("_empty") == stop_after)
+        first = first.join(ended.groupBy(*group).agg(F.min(page).alias("_stop")), group, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).drop("_stop")
     return first.withColumn("brought", F.count("*").over(Window.partitionBy(*group, page)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.quantiles import exact_quantiles
+from millrace.functions.quantiles import exact_quantiles, true_median
 from millrace.functions.text import tokenize
 from millrace.operators import aggregates as A
 from millrace.operators import dedup as D
@@ -78,9 +78,9 @@ def agg4_dist_floor(spark, d):
 
 @query("""SELECT leaf, round_even(avg(price), 1) AS mean, round_even(median(price), 1) AS median, min(price) AS low, max(price) AS high FROM v_gigs GROUP BY leaf""")
 def agg5_dist_true(spark, d):
-    return V.gigs(spark, d).groupBy("leaf").agg(
-        F.bround(F.avg("price"), 1).alias("mean"), F.bround(F.median("price"), 1).alias("median"), F.min("price").alias("low"), F.max("price").alias("high")
-    )
+    g = V.gigs(spark, d).select("leaf", "price")
+    base = g.groupBy("leaf").agg(F.bround(F.avg("price"), 1).alias("mean"), F.min("price").alias("low"), F.max("price").alias("high"))
+    return base.join(true_median(g, ["leaf"], "price", "median", 1, half_even=True), "leaf")
 
 
 @query(f"""SELECT parent AS profession, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (level = 'A') / count(*), 4) AS pro_share,
@@ -132,17 +132,23 @@ def agg10_term_coverage(spark, d):
     return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"`{t}`").alias("n")) for t in TERMS])).alias("x")).select("x.*")
 
 
-@query(f"""WITH e AS (SELECT o_orderkey AS card, o_orderpriority AS leaf, l_linenumber, CAST(round(l_extendedprice) AS BIGINT) AS price
- FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
- SELECT leaf, count(DISTINCT card) FILTER (price IS NOT NULL) AS with_extras, count(price) AS n, min(price) AS low, {q('price', 'rint', .5, 'price IS NOT NULL')} AS median,
- {q('price', 'rint', .9, 'price IS NOT NULL')} AS p90, max(price) AS high FROM e GROUP BY leaf""")
+@query(f"""WITH e AS (SELECT o_orderkey AS card, o_orderpriority AS leaf, l_linenumber, p_name, CAST(round(l_extendedprice) AS BIGINT) AS price
+ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey),
+ t AS (SELECT leaf, unnest({TOKENS}) AS term FROM e WHERE p_name IS NOT NULL), c AS (SELECT leaf, term, count(*) AS k FROM t GROUP BY leaf, term QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY count(*) DESC, term) <= 5),
+ b AS (SELECT leaf, string_agg(term, ' ' ORDER BY k DESC, term) AS top_terms FROM c GROUP BY leaf)
+ SELECT e.leaf, any_value(top_terms) AS top_terms, count(DISTINCT card) FILTER (price IS NOT NULL) AS with_extras, count(price) AS n, min(price) AS low, {q('price', 'rint', .5, 'price IS NOT NULL')} AS median,
+ {q('price', 'rint', .9, 'price IS NOT NULL')} AS p90, max(price) AS high FROM e LEFT JOIN b ON e.leaf = b.leaf GROUP BY e.leaf""")
 def agg11_extras_stats(spark, d):
-    lines = V.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.round("l_extendedprice").cast("long")).alias("extras"))
+    """Cards with extras, the extras' prices, and the five terms that their names hold most."""
+    part = V.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = V.read(spark, d, "lineitem").join(part, "l_partkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.round("l_extendedprice").cast("long").alias("price"), "p_name")).alias("extras"))
     cards = V.read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    e = cards.select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("leaf"), F.explode_outer("extras").alias("price"))
+    e = cards.select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("leaf"), F.explode_outer("extras").alias("x")).select("card", "leaf", "x.price", "x.p_name")
     spec = {"low": ("floor", 0.0), "median": ("rint", 0.5), "p90": ("rint", 0.9), "high": ("floor", 1.0)}
     with_extras = cards.groupBy(F.col("o_orderpriority").alias("leaf")).agg(A.count_if(F.size("extras") > 0).alias("with_extras"))
-    return with_extras.join(exact_quantiles(e, ["leaf"], "price", spec), "leaf")
+    best = A.top_by_count(e.where("p_name IS NOT NULL").select("leaf", F.explode(tokenize(F.col("p_name"))).alias("term")), ["leaf"], "term", 5)
+    best = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("leaf", F.array_join("t.term", " ").alias("top_terms"))
+    return with_extras.join(exact_quantiles(e, ["leaf"], "price", spec), "leaf").join(best, "leaf", "left")
 
 
 @query(f"SELECT leaf, count(*) AS n, min(price) AS low, {q('price', 'mid', .5)} AS median, max(price) AS high FROM v_gigs GROUP BY leaf")
@@ -185,10 +191,28 @@ def top4_top_unique(spark, d):
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("reviews"), "id")).cast("long"))
 
 
-@query("""WITH g AS (SELECT leaf, seller, min(id % 7) AS page FROM v_gigs GROUP BY leaf, seller)
- SELECT leaf, seller, page, count(*) OVER (PARTITION BY leaf, page) AS brought FROM g""")
+PAGES = """WITH g AS (SELECT leaf, seller, CASE WHEN id % 40 = 0 THEN 8 + id % 3 ELSE id % 5 END + CASE WHEN seller % 2 = 0 THEN 0 ELSE 1 END AS page FROM v_gigs), f AS (SELECT leaf, seller, min(page) AS page FROM g GROUP BY ALL),
+ n AS (SELECT g.leaf, g.page, count(*) FILTER (g.page = f.page) AS n_new FROM g JOIN f ON g.leaf = f.leaf AND g.seller = f.seller GROUP BY ALL),
+ z AS (SELECT *, coalesce(sum((n_new = 0)::INT) OVER w, 0) AS empty, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY leaf ORDER BY page ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)),
+ s AS (SELECT leaf, min(page) AS stop FROM z WHERE k > {0} AND empty > {0} GROUP BY leaf)
+ SELECT f.leaf, f.seller, f.page, count(*) OVER (PARTITION BY f.leaf, f.page) AS brought FROM f LEFT JOIN s ON s.leaf = f.leaf WHERE stop IS NULL OR f.page <= stop"""
+
+
+def _sheets(spark, d):
+    page = F.when(F.col("id") % 40 == 0, 8 + F.col("id") % 3).otherwise(F.col("id") % 5) + F.when(F.col("seller") % 2 == 0, 0).otherwise(1)
+    return V.gigs(spark, d).withColumn("page", page)
+
+
+@query(PAGES.format(1))
 def ded8_page_union(spark, d):
-    return D.page_union(V.gigs(spark, d).withColumn("page", F.col("id") % 7), "seller", "page", ["leaf"])
+    """Sellers over pages, as a crawl that ends with the second page in a row without a new one sees them."""
+    return D.page_union(_sheets(spark, d), "seller", "page", ["leaf"], 2)
+
+
+@query(PAGES.format(0))
+def ded8_page_union_first_stop(spark, d):
+    """The same for a crawl that ends with the first page without a new one."""
+    return D.page_union(_sheets(spark, d), "seller", "page", ["leaf"], 1)
 
 
 @query("""WITH g AS (SELECT leaf, seller, id % 7 AS page FROM v_gigs), f AS (SELECT leaf, seller, min(page) AS first FROM g GROUP BY leaf, seller)

@@ -213,60 +213,146 @@ def snk3_upsert_cards(spark, d):
     return R.upsert_cards(t, u)
 
 
-def _packed(spark, d):
-    """Payloads of all sources, packed from orders in groups of a customer's."""
-    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("title"), F.round("o_totalprice").cast("long").cast("string").alias("amount"))
+def packed(spark, d, only: str | None = None):
+    """Payloads of all sources, or of one, as their pages hold them, packed from orders: a customer is a page, an order an item.
+    Feeds that repeat ids show each item twice, with another title the second time.  Payloads of all sources are stored
+    by source, as a collector would, so that each branch reads its own."""
     names = sorted(N.SOURCES)
-    o = o.withColumn("source", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("g") % len(names) + 1).cast("int")))
-    s = lambda *pairs: F.to_json(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in pairs])))
-    text = lambda f, sep="": F.array_join(F.collect_list(F.concat(*f)), sep)
-    i, t, a = F.col("id").cast("string"), F.col("title"), F.col("amount")
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("p"), F.round("o_totalprice").cast("long").alias("lo"))
+    o = o.withColumn("source", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page") % len(names) + 1).cast("int")))
+    o = o.where(F.col("source") == only) if only else o
+    rows = o.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("k", "p", "lo"))).alias("rows"))
+
+    def fill(template: str, x, twice: str = ""):
+        """The template with <k>, <p>, <lo>, <hi>, <ms> and <again> of an item."""
+        at = x["k"]
+        values = {"k": at.cast("string"), "p": x["p"], "lo": x["lo"].cast("string"), "hi": (2 * x["lo"]).cast("string"), "ms": ((1_704_067_200 + at) * 1000).cast("string"), "again": F.lit(twice)}
+        out = F.lit(template)
+        for name, v in values.items():
+            out = F.replace(out, F.lit(f"<{name}>"), v)
+        return out
+
+    def joined(form, sep: str = "", where=None):
+        items = F.filter("rows", where) if where else F.col("rows")
+        return F.array_join(F.transform(items, form), sep)
+
+    def twice(form, sep: str = ""):
+        return F.concat(joined(lambda x: form(x, ""), sep), F.lit(sep), joined(lambda x: form(x, " again"), sep))
+
+    pick = lambda x, m, at, yes, no="": F.when(x["k"] % m == at, yes).otherwise(no)
+    gap = " " * 1600
+    hh = lambda x, a: F.concat(
+        fill('"vacancyId":<k>,"name":"<p> &amp; co<again>","compensation":{', x, a), pick(x, 5, 0, '"noCompensation":{', fill('"from":<lo>,' , x)), pick(x, 2, 0, fill('"to":<hi>,', x)), F.lit('"currencyCode":"RUR"}'),
+        fill(',"publicationTime":{"@timestamp":1,"$":"D<k>"}', x), pick(x, 7, 0, " " * 900), fill(',"company":{"visibleName":"C &amp; <k>"}' + gap, x),
+    )
+    zarplata = lambda x, a: F.concat(
+        fill('"vacancyId" : <k>, "name": "<p><again>", "publicationTime": "x", "@timestamp": <ms>', x, a), pick(x, 3, 0, "", fill(', "visibleName":"Z<k>"', x)), pick(x, 5, 0, "", fill(', "from": <lo>, "currencyCode":"RUR"', x)), F.lit("}" + gap)
+    )
+    entity = lambda body, where=None: joined(lambda x: F.concat(fill('"<k>":{"attributes":{', x), body(x), F.lit("}}")), ",", where)
+    superjob = F.concat(
+        F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['), joined(lambda x: fill('{"url":"https://russia.superjob.ru/vakansii/slug-<k>.html"}', x), ",", lambda x: x["k"] % 2 == 0),
+        F.lit(']}</script><script>window.APP_STATE={"ids":{"VACANCY_SEARCH_RESULT":['), joined(lambda x: fill("<k>", x), ",", lambda x: x["k"] % 3 > 0), F.lit(']},"entities":{"vacancyMainInfo":{'),
+        entity(lambda x: F.concat(fill('"profession":"<p>","publishedAt":"P<k>","updatedAt":"', x), pick(x, 10, 1, "", fill("U<k>", x)), F.lit('"')), lambda x: x["k"] % 4 < 2), F.lit('},"vacancySalary":{'),
+        entity(lambda x: F.concat(F.lit('"minSalary":'), F.when(x["k"] % 6 % 2 == 1, x["lo"]).otherwise(0).cast("string"), F.lit(',"maxSalary":'), F.when((x["k"] % 6).isin(2, 3), 2 * x["lo"]).otherwise(0).cast("string"), F.lit(',"paymentAgreement":'), pick(x, 6, 4, "true", "false"))),
+        F.lit('},"vacancyCompanyInfo":{'), entity(lambda x: fill('"name":"S<k>"', x), lambda x: x["k"] % 5 > 0), F.lit("}}}</script>"),
+    )
+    habr = joined(lambda x: F.concat(fill('{"id":<k>,"href":"/v/<k>","title":"<p>","company":{"title":"H<k>"},"publishedDate":{"date":"D<k>"},"salary":', x), pick(x, 2, 0, fill('{"formatted":"<lo> r"}', x), "null"), F.lit(',"remoteWork":'), pick(x, 3, 0, "true", "false"), F.lit("}")), ",")
+    listed = F.when(F.col("page") % 2 == 0, F.concat(F.lit('{"list":['), habr, F.lit('],"meta":{}}'))).otherwise(F.concat(F.lit("["), habr, F.lit("]")))
+    avito = joined(lambda x: F.concat(fill('{"id":<k>,"title":"<p>","urlPath":"/x/<k>?c=1","sortTimeStamp":<ms>,"location":{"name":"L<k>"},"description":"', x), pick(x, 2, 0, "Python dev", "cook"), F.lit('","priceDetailed":{'), pick(x, 3, 0, fill('"fullString":"","string":"<lo>"', x), fill('"fullString":"<lo> full"', x)), F.lit("}}")), ",")
+    fl = lambda x, a: fill("<item><link>https://www.fl.ru/projects/<k>/a&amp;b.html</link><title> <p><again> </title><pubDate>D<k></pubDate><description>d &lt;<k>&gt;</description></item>", x, a)
+    kwork = lambda x, a: F.concat(pick(x, 3, 0, fill('{"want_id":<k>', x), fill('{"id":<k>', x)), fill(',"name":" <p><again> ","description":"d<k>"', x, a), pick(x, 4, 0, ',"priceLimit":0', fill(',"priceLimit":"<lo>"', x)), fill(',"possiblePriceLimit":"<hi>"}', x))
+    wants = twice(kwork, ",")
+    youdo = joined(lambda x: F.concat(fill('{"Id":<k>,"Name":"<p>","BudgetDescription":"<lo>","DateTimeString":"D<k>","CategoryFlag":"c","OffersCount":3', x), pick(x, 2, 0, fill(',"Url":"/u<k>"}', x), "}")), ",")
+    gigs = joined(lambda x: fill('{"id":<k>,"url":"/g/<k>","gtitle":"<p>","price":<lo>,"days":2,"userId":7,"userName":"n","sellerLevel":"1","rating":"4.5"}', x), ",")
+    card = lambda x: F.concat(
+        F.lit('<tr data-id="qa-content-tr" class="cf-line '), pick(x, 2, 0, "limited-card"), F.lit('">'), pick(x, 3, 0, fill("<i uid<k>></i>", x), fill("<i><k>,4 deal,9 reviews</i>", x)), pick(x, 4, 0, "", fill('<a href="/users/u<k>/"></a>', x)),
+        fill('<b class="cf-title-card-new">', x), pick(x, 5, 0, "Фрилансер", fill("<p> &amp; N", x)), fill('</b><a href="/freelancers/web-dev/" data-id="qa-content-tr-td-cf-spec">Web <k></a><i>Опыт: 5 лет</i><i>12 работ</i></tr>', x),
+    )
+    profiles = joined(lambda x: F.concat(fill('{"state":{"userProfileName":"<k>","userProfileFullName":"<p>","userProfileAddTime":"D<k>","userRating":"5","totalReviewsCount":8,"userSkills":[{"name":"a"},{"name":"b"}]},"gigs":[', x), fill('{"id":"<k>","price":"<lo>"}', x), pick(x, 2, 0, fill(',{"id":"0"}', x)), F.lit("]}")), ",")
     wrap = lambda head, body, tail: F.concat(F.lit(head), body, F.lit(tail))
     per = {
-        "hh": wrap("<html>", text([F.lit('{"vacancyId":'), i, F.lit(',"name":"'), t, F.lit('","salary":"'), a, F.lit('","ord":'), i, F.lit("}")]), "</html>"),
-        "zarplata": wrap("<html>", text([F.lit('{"vacancy_id":'), i, F.lit(',"header":"'), t, F.lit('","salary":"'), a, F.lit('","ord":'), i, F.lit("}")]), "</html>"),
-        "superjob": F.concat(F.lit('{"order":'), F.to_json(F.collect_list(i)), F.lit(',"main":'), s(("id", "id"), ("title", "title"), ("ord", "id")), F.lit(',"salary":'), s(("id", "id"), ("amount", "amount")), F.lit("}")),
-        "habr": wrap('{"vacancies":{"list":', s(("id", "id"), ("title", "title"), ("salary", "amount"), ("ord", "id")), "}}"),
-        "avito": wrap('{"data":{"catalog":{"items":', s(("id", "id"), ("title", "title"), ("price", "amount"), ("ord", "id")), "}}}"),
-        "fl": wrap("<rss>", text([F.lit("<item><link>http://x/projects/"), i, F.lit("/a.html</link><title>"), t, F.lit("</title><budget>"), a, F.lit("</budget><ord>"), i, F.lit("</ord></item>")]), "</rss>"),
-        "kwork": wrap('{"pagination":{"data":', s(("id", "id"), ("name", "title"), ("possiblePriceLimit", "amount"), ("ord", "id")), "}}"),
-        "youdo": wrap('{"ResultObject":{"Items":', s(("Id", "id"), ("Name", "title"), ("BudgetDescription", "amount"), ("Ord", "id")), "}}"),
-        "kwork_catalog": wrap('{"kworks":{"data":{"items":', s(("id", "id"), ("gtitle", "title"), ("price", "amount"), ("ord", "id")), "}}}"),
-        "fl_catalog": wrap("<ul>", text([F.lit('<li class="row" data-id="'), i, F.lit('" data-rate="'), a, F.lit('" data-ord="'), i, F.lit('"><b>'), t, F.lit("</b></li>")]), "</ul>"),
-        "kwork_profiles": F.concat(F.lit('{"profiles":'), s(("userId", "id"), ("name", "title"), ("ord", "id")), F.lit(',"gigs":'), s(("userId", "id"), ("id", "amount")), F.lit("}")),
+        "hh": wrap("<html>", twice(hh), "</html>"), "zarplata": wrap("<html>", twice(zarplata), "</html>"), "superjob": superjob, "habr": wrap('<script id=x data-ssr-state="true">{"vacancies":', listed, "}</script>"),
+        "avito": F.concat(F.lit('<script type="mime/invalid" data-mfe-state="true">{"state":'), F.when(F.col("page") % 2 == 0, '{"data":{"catalog":{"items":[').otherwise('{"page":{"data":{"catalog":{"items":['), avito, F.when(F.col("page") % 2 == 0, "]}}}").otherwise("]}}}}"), F.lit("}</script>")),
+        "fl": wrap("<?xml version='1.0'?><rss><channel>", twice(fl), "</channel></rss>"),
+        "kwork": F.concat(F.lit('{"data":'), F.when(F.col("page") % 2 == 0, wrap('{"pagination":{"data":[', wants, "]}}")).otherwise(wrap('{"wants":[', wants, "]}")), F.lit("}")),
+        "youdo": wrap('{"ResultObject":{"Items":[', youdo, "]}}"), "kwork_catalog": wrap('{"parent":"it","leaf":"web","data":{"stateData":{"viewData":{"kworks":{"posts":{"data":[', gigs, "]}}}}}}"),
+        "fl_catalog": wrap("<h1>Web</h1><table>", joined(card), "</table>"), "kwork_profiles": wrap('{"profiles":[', profiles, "]}"),
     }
     chain = F.when(F.lit(False), F.lit(""))
     for n, c in per.items():
-        chain = chain.when(F.col("source") == n, c)
-    return o.groupBy("source", "g").agg(chain.alias("payload"))
-
-
-NAMES = ", ".join(f"'{n}'" for n in sorted(N.SOURCES))
-ITEMS_SQL = f"""SELECT ([{NAMES}])[o_custkey % {len(N.SOURCES)} + 1] AS source, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title,
- CASE WHEN ([{NAMES}])[o_custkey % {len(N.SOURCES)} + 1] = 'kwork_profiles' THEN '1' ELSE CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) END AS amount, o_orderkey AS ord FROM orders"""
-
-
-@query(ITEMS_SQL)
+        chain = chain.when(F.col("source") == n, c) if only in (None, n) else chain
+    payloads = rows.select("source", "page", chain.alias("payload"), (F.col("page") % 3 == 0).alias("fallback"))
+    if only:
+        return payloads
+    path = shared_path(spark)
+    payloads.write.partitionBy("source").parquet(path)
+    return spark.read.schema("page long, payload string, fallback boolean, source string").parquet(path)
+
+
+# What each branch must give of an order: title, url, amount, date, extra, and which orders it keeps.
+_NAMES = sorted(N.SOURCES)
+_ISO = "strftime(make_timestamp((1704067200 + k) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+EXPECTED = {
+    "hh": ("p || ' & co'", "'https://hh.ru/vacancy/' || k", "CASE WHEN k % 5 > 0 THEN 'от ' || lo || CASE WHEN k % 2 = 0 THEN ' до ' || hi ELSE '' END || ' RUR' END", "'D' || k", "'company=' || CASE WHEN k % 7 = 0 THEN '' ELSE 'C & ' || k END", "true"),
+    "zarplata": ("p", "'https://www.zarplata.ru/vacancy/' || k", "CASE WHEN k % 5 > 0 THEN 'от ' || lo || ' RUR' END", _ISO, "'company=' || CASE WHEN k % 3 = 0 THEN '' ELSE 'Z' || k END", "true"),
+    "superjob": (
+        "CASE WHEN k % 4 < 2 THEN p ELSE '' END", "'https://russia.superjob.ru/vakansii/' || CASE WHEN k % 2 = 0 THEN 'slug-' ELSE '' END || k || '.html'",
+        "CASE k % 6 WHEN 1 THEN 'от ' || lo WHEN 5 THEN 'от ' || lo WHEN 2 THEN 'до ' || hi WHEN 3 THEN lo || '–' || hi || ' RUB' WHEN 4 THEN 'по договорённости' END",
+        "CASE WHEN k % 4 >= 2 THEN '' WHEN k % 10 = 1 THEN 'P' || k ELSE 'U' || k END", "'company=' || CASE WHEN k % 5 > 0 THEN 'S' || k ELSE '' END", "k % 4 < 3",
+    ),
+    "habr": ("p", "'https://career.habr.com/v/' || k", "CASE WHEN k % 2 = 0 THEN lo || ' r' END", "'D' || k", "'company=H' || k || ';remote=' || (k % 3 = 0)", "true"),
+    "avito": ("p", "'https://www.avito.ru/x/' || k", "lo || CASE WHEN k % 3 = 0 THEN '' ELSE ' full' END", _ISO, "'desc=' || CASE WHEN k % 2 = 0 THEN 'Python dev' ELSE 'cook' END || ';location=L' || k", "g % 3 > 0 OR k % 2 = 0"),
+    "fl": ("p", "'https://www.fl.ru/projects/' || k || '/a&b.html'", "NULL", "'D' || k", "'desc=d <' || k || '>'", "true"),
+    "kwork": ("p || ' again'", "'https://kwork.ru/projects/' || k", "CASE WHEN k % 4 = 0 THEN hi ELSE lo END", "''", "'desc=d' || k", "true"),
+    "youdo": ("p", "'https://youdo.com/' || CASE WHEN k % 2 = 0 THEN 'u' ELSE 't' END || k", "lo", "'D' || k", "'category=c;offers=3;status='", "true"),
+    "kwork_catalog": ("p", "'/g/' || k", "lo", "''", "'baseVolume=;baseVolumeShortName=;convertedUserRating=;days=2;gtitle=' || p || ';id=' || k || ';leaf=web;parent=it;price=' || lo || ';queueCount=;rating=4.5;sellerLevel=1;topBadge=;url=/g/' || k || ';userId=7;userName=n;userRating=;userRatingCount='", "true"),
+    "fl_catalog": (
+        "CASE WHEN k % 4 > 0 AND k % 5 > 0 THEN p || ' & N' ELSE '' END", "CASE WHEN k % 4 > 0 THEN 'https://www.fl.ru/users/u' || k || '/' ELSE '' END", "NULL", "''",
+        "'anonymized=' || (k % 4 = 0 OR k % 5 = 0) || ';deals=' || CASE WHEN k % 3 > 0 THEN '4' ELSE '' END || ';experience=5;is_pro=' || (k % 2 > 0) || ';is_verified=false;login=' || CASE WHEN k % 4 > 0 THEN 'u' || k ELSE '' END || ';portfolio=12;profession=Web;reviews=' || CASE WHEN k % 3 > 0 THEN '9' ELSE '' END || ';spec_group=;spec_slug=web-dev;spec_text=Web ' || k", "true",
+    ),
+    "kwork_profiles": (
+        "p", "'https://kwork.ru/user/' || k", "NULL", "'D' || k",
+        """'fullName=' || p || ';gig_count=' || CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END || ';gigs=[{"id":"' || k || '","price":"' || lo || '"}' || CASE WHEN k % 2 = 0 THEN ',{"id":"0"}' ELSE '' END || '];location=;profession=;rating=5;sellerLevel=;skills=a,b;totalReviews=8'""", "true",
+    ),
+}
+
+
+def _expected(name: str) -> str:
+    title, url, amount, date, extra, kept = EXPECTED[name]
+    return f"""SELECT '{name}' AS source, CAST(k AS VARCHAR) AS id, {title} AS title, {url} AS url, {amount} AS amount, {date} AS date, {extra} AS extra
+ FROM (SELECT o_orderkey AS k, o_custkey AS g, o_orderpriority AS p, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS lo, CAST(2 * CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS hi FROM orders)
+ WHERE g % {len(_NAMES)} = {_NAMES.index(name)} AND ({kept})"""
+
+
+def _shown(items):
+    pairs = F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return items.withColumn("extra", F.array_join(F.array_sort(pairs), ";"))
+
+
+@query(" UNION ALL ".join(_expected(n) for n in _NAMES))
 def nrm_all_sources(spark, d):
-    return N.normalise(_packed(spark, d))
+    return _shown(N.normalise(packed(spark, d)))
 
 
 def _one_source(number: int, name: str):
     def run(spark, d):
-        return N.normalise(_packed(spark, d), name)
+        return _shown(N.normalise(packed(spark, d, name), name))
 
     run.__name__ = f"nrm{number}_{name}"
-    query(f"SELECT * FROM ({ITEMS_SQL}) WHERE source = '{name}'")(run)
+    query(_expected(name))(run)
 
 
 for _k, _n in enumerate(["hh", "zarplata", "superjob", "habr", "avito", "fl", "kwork", "youdo", "kwork_catalog", "fl_catalog", "kwork_profiles"], 1):
     _one_source(_k, _n)
 
 
-@query("SELECT o_custkey AS g, count(*) AS n, max(o_orderkey) AS last_id FROM orders WHERE o_custkey % 11 = 8 GROUP BY o_custkey")
+@query(f"SELECT o_custkey AS g, count(*) AS n, max(o_orderkey) AS last_id FROM orders WHERE o_custkey % {len(_NAMES)} = {_NAMES.index('habr')} GROUP BY o_custkey")
 def udf4_explode_payloads(spark, d):
-    rows = _packed(spark, d).where("source = 'superjob'").select("g", F.explode(F.from_json(F.get_json_object("payload", "$.order"), "array<string>")).alias("id"))
-    return rows.groupBy("g").agg(F.count("*").alias("n"), F.max(F.col("id").cast("long")).alias("last_id"))
+    """Payloads exploded to their items, a page's items stay with its key."""
+    state = F.regexp_extract("payload", r"(?s)>(\{.+\})</script>", 1)
+    listed = F.coalesce(*[F.from_json(F.get_json_object(state, p), "array<struct<id:long>>") for p in ("$.vacancies.list", "$.vacancies")])
+    rows = packed(spark, d, "habr").select(F.col("page").alias("g"), F.explode(listed["id"]).alias("id"))
+    return rows.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
 @query(f"""WITH seen AS (SELECT DISTINCT source, id FROM v_items WHERE us < {HALF})

@@ -6,14 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import nested as N
-from millrace.functions.quantiles import exact_quantiles, of_array
+from millrace.functions.quantiles import MIDDLE, exact_quantiles, of_array, true_median, with_median
 from millrace.operators import aggregates as A
 from millrace.operators import filters as L
 from millrace.operators import joins as J
 from millrace.plans import views as V
 from millrace.plans.catalog import q
 from millrace.plans.registry import query
-from millrace.sources.normalise import SOURCES, selected
+from millrace.sources.normalise import SOURCES, normalise, selected
 
 FIELDS = ["emails", "phones", "links"]
 
@@ -23,30 +23,42 @@ def agg12_fill_rate(spark, d):
     return A.fill_rate(V.cards(spark, d), FIELDS)
 
 
-@query("""SELECT zone, count(*) FILTER (emails > 0) AS with_email, count(*) FILTER (phones > 0) AS with_phone, count(*) FILTER (phones > 0 AND emails = 0) AS only_phone,
- count(*) FILTER (links > 0) AS with_link, count(*) FILTER (emails + phones + links = 0) AS no_contact, CAST(sum(links) AS BIGINT) AS links FROM v_cards GROUP BY zone""")
+#: Platforms that links are told apart by, as patterns.
+PLATFORMS = {"org": r"https?://[^ \n/]*\.org\b", "com": r"https?://[^ \n/]*\.com\b", "telegram": r"https?://t\.me/"}
+
+
+@query("""WITH p AS (SELECT *, """ + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) AS on_{n}" for n, p in PLATFORMS.items()) + """ FROM v_cards)
+ SELECT zone, count(*) FILTER (emails > 0) AS with_email, count(*) FILTER (phones > 0) AS with_phone, count(*) FILTER (phones > 0 AND emails = 0) AS only_phone,
+ count(*) FILTER (links > 0) AS with_link, count(*) FILTER (emails + phones + links = 0) AS no_contact, CAST(sum(links) AS BIGINT) AS links, """
+ + ", ".join(f"CAST(sum(on_{n}) AS BIGINT) AS on_{n}" for n in PLATFORMS) + " FROM p GROUP BY zone")
 def agg13_contact_mix(spark, d):
     e, p, k = F.col("emails"), F.col("phones"), F.col("links")
+    on = [F.sum(F.coalesce(F.regexp_count("text", F.lit(x)), F.lit(0)).cast("long")).alias(f"on_{n}") for n, x in PLATFORMS.items()]
     return V.cards(spark, d).groupBy("zone").agg(
         A.count_if(e > 0).alias("with_email"), A.count_if(p > 0).alias("with_phone"), A.count_if((p > 0) & (e == 0)).alias("only_phone"), A.count_if(k > 0).alias("with_link"),
-        A.count_if(e + p + k == 0).alias("no_contact"), F.sum("links").alias("links"),
+        A.count_if(e + p + k == 0).alias("no_contact"), F.sum("links").alias("links"), *on,
     )
 
 
 @query("""SELECT zone, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (emails > 0) / count(*), 4) AS email_rate, round_even(avg(n_chars), 1) AS mean, round_even(median(n_chars), 1) AS median, min(n_chars) AS low, max(n_chars) AS high
  FROM v_cards WHERE zone IS NOT NULL GROUP BY zone""")
 def agg14_by_zone(spark, d):
-    return V.cards(spark, d).where("zone IS NOT NULL").groupBy("zone").agg(
-        F.count("*").alias("n"), A.share(A.count_if(F.col("emails") > 0), F.count("*"), 100.0, 4).alias("email_rate"), F.bround(F.avg("n_chars"), 1).alias("mean"),
-        F.bround(F.median("n_chars"), 1).alias("median"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"),
+    c = V.cards(spark, d).where("zone IS NOT NULL")
+    base = c.groupBy("zone").agg(
+        F.count("*").alias("n"), A.share(A.count_if(F.col("emails") > 0), F.count("*"), 100.0, 4).alias("email_rate"), F.bround(F.avg("n_chars"), 1).alias("mean"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high")
     )
+    return base.join(true_median(c, ["zone"], "n_chars", "median", 1, half_even=True), "zone", "left")
 
 
-@query(r"""WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{5,}'))) AS tag FROM v_cards), c AS (SELECT tag, count(*) AS n FROM t GROUP BY tag)
- SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS rank FROM c QUALIFY rank <= 25""")
+@query(r"""WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{5,}'))) AS tag, n_chars FROM v_cards),
+ c AS (SELECT tag, count(*) AS n, count(*) FILTER ((n_chars + len(tag)) % 3 = 2) AS severe FROM t GROUP BY tag)
+ SELECT tag, n, severe, row_number() OVER (ORDER BY n DESC, tag) AS rank FROM c QUALIFY rank <= 25""")
 def agg15_tag_tally(spark, d):
+    """Tags of nested records (tag, severity): how often each occurs, and how often with the highest severity."""
     tags = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{5,}"), F.lit(0)))
-    counts = V.cards(spark, d).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    level = F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), ((F.col("n_chars") + F.char_length("x")) % 3 + 1).cast("int"))
+    records = V.cards(spark, d).select("n_chars", F.explode(tags).alias("x")).select(F.struct(F.col("x").alias("tag"), level.alias("severity")).alias("r"))
+    counts = records.groupBy("r.tag").agg(F.count("*").alias("n"), A.count_if(F.col("r.severity") == "high").alias("severe"))
     top = counts.orderBy(F.desc("n"), "tag").limit(25)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tag")).cast("long"))
 
@@ -102,9 +114,10 @@ def joi3_compare_versions(spark, d):
     return J.richness(_pairs(spark, d), METRICS).select("key", "better", "worse", "verdict")
 
 
-@query(RICH + "SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
+@query(RICH + ", t AS (SELECT v.verdict, p.* FROM v JOIN p ON v.key = p.key) SELECT verdict, count(*) AS n, " + ", ".join(f"CAST(sum({m}_{x}) AS BIGINT) AS {m}_{x}" for m in METRICS for x in "ab") + " FROM t GROUP BY verdict")
 def agg24_richness_verdict(spark, d):
-    return J.richness(_pairs(spark, d), METRICS).groupBy("verdict").agg(F.count("*").alias("n"))
+    totals = [F.sum(f"{m}_{x}").alias(f"{m}_{x}") for m in METRICS for x in "ab"]
+    return J.richness(_pairs(spark, d), METRICS).groupBy("verdict").agg(F.count("*").alias("n"), *totals)
 
 
 @query("""WITH p AS (SELECT p_partkey AS key, p_size FROM part), c AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1)
@@ -115,17 +128,31 @@ def joi2_attach_context(spark, d):
     return J.attach(p, c, "key", {"n": 0})
 
 
-@query("""WITH u AS (SELECT key, m2 * 10 AS old_words, m1 % 60 AS new_words, key % 9 = 0 AS stub, m1 * 1000 AS old_b, m3 * 100 AS new_b, key % 20 AS org FROM v_arms WHERE arm = 'A')
- SELECT org, count(*) FILTER (old_words >= 40 AND new_words >= 40) AS retained, count(*) FILTER (old_words >= 40 AND new_words < 40) AS regressed, round(sum(old_b) / 1e6::DOUBLE, 6) AS old_mb,
- round(sum(new_b) / 1e6::DOUBLE, 6) AS new_mb FROM u WHERE NOT stub GROUP BY org""")
-def agg26_content_retention(spark, d):
+RETENTION = """WITH u AS (SELECT key, m2 * 10 AS old_words, m1 % 60 AS new_words, m1 * 1000 AS old_b, m3 * 100 AS new_b, key % 20 AS org FROM v_arms WHERE arm = 'A' AND key % 9 > 0) """
+
+
+def _retention(spark, d):
     u = V.arms(spark, d).where("arm = 'A' AND key % 9 <> 0")
-    old, new = F.col("m2") * 10, F.col("m1") % 60
-    return u.groupBy((F.col("key") % 20).alias("org")).agg(
-        A.count_if((old >= 40) & (new >= 40)).alias("retained"), A.count_if((old >= 40) & (new < 40)).alias("regressed"), F.round(F.sum(F.col("m1") * 1000) / 1e6, 6).alias("old_mb"), F.round(F.sum(F.col("m3") * 100) / 1e6, 6).alias("new_mb"),
+    return u.select("key", (F.col("m2") * 10).alias("old"), (F.col("m1") % 60).alias("new"), (F.col("m1") * 1000).alias("old_b"), (F.col("m3") * 100).alias("new_b"), (F.col("key") % 20).alias("org"))
+
+
+@query(RETENTION + """SELECT org, count(*) FILTER (old_words >= 40 AND new_words >= 40) AS retained, count(*) FILTER (old_words >= 40 AND new_words < 40) AS regressed, round(sum(old_b) / 1e6::DOUBLE, 6) AS old_mb,
+ round(sum(new_b) / 1e6::DOUBLE, 6) AS new_mb, round(sum(old_b)::DOUBLE / nullif(sum(new_b), 0), 6) AS factor FROM u GROUP BY org""")
+def agg26_content_retention(spark, d):
+    old, new = F.col("old"), F.col("new")
+    return _retention(spark, d).groupBy("org").agg(
+        A.count_if((old >= 40) & (new >= 40)).alias("retained"), A.count_if((old >= 40) & (new < 40)).alias("regressed"), F.round(F.sum("old_b") / 1e6, 6).alias("old_mb"), F.round(F.sum("new_b") / 1e6, 6).alias("new_mb"),
+        F.round(F.sum("old_b") / F.nullif(F.sum("new_b"), F.lit(0)), 6).alias("factor"),
     )
 
 
+@query(RETENTION + "SELECT org, 'http://p/' || key AS url, old_words, new_words FROM u WHERE old_words >= 40 AND new_words < 40")
+def agg26_regressed_urls(spark, d):
+    """The pages that lost their text, one row each."""
+    r = _retention(spark, d).where("old >= 40 AND new < 40")
+    return r.select("org", F.concat(F.lit("http://p/"), F.col("key").cast("string")).alias("url"), F.col("old").alias("old_words"), F.col("new").alias("new_words"))
+
+
 @query("SELECT c.oid, c.zone, CASE WHEN l.quality IS NULL THEN 'error' WHEN l.quality = 1 THEN 'keep' ELSE 'drop' END AS decision FROM v_cards c LEFT JOIN labels l ON l.doc_id = c.oid")
 def joi4_apply_decisions(spark, d):
     dec = V.read(spark, d, "labels").select(F.col("doc_id").alias("oid"), F.when(F.col("quality") == 1, "keep").otherwise("drop").alias("decision"))
@@ -167,13 +194,10 @@ _reviews("keep")
 _reviews("drop")
 
 
-@query("""WITH q AS (SELECT oid, zone, score, score IS NULL OR score < 1 OR toxic = 1 OR oid % 10 = 0 AS need FROM v_cards WHERE contains(lower(coalesce(text, '')), 'th'))
- SELECT oid, score, row_number() OVER (ORDER BY score ASC NULLS LAST, oid) AS rank FROM q WHERE need QUALIFY rank <= 200""")
+@query("""SELECT oid, score FROM v_cards WHERE contains(lower(coalesce(text, '')), 'th') AND (score IS NULL OR score < 1 OR toxic = 1 OR oid % 10 = 0)""")
 def flt16_review_queue(spark, d):
     need = F.col("score").isNull() | (F.col("score") < 1) | F.coalesce(F.col("toxic") == 1, F.lit(False)) | (F.col("oid") % 10 == 0)
-    order = [F.asc_nulls_last("score"), "oid"]
-    rows = V.cards(spark, d).where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("th")) & need).select("oid", "score").orderBy(*order).limit(200)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return L.review_queue(V.cards(spark, d), need, F.col("text"), "Th", "score").select("oid", "score")
 
 
 @query("SELECT oid FROM v_cards WHERE oid NOT IN (SELECT doc_id FROM labels)")
@@ -271,8 +295,8 @@ def sca31_org_brief(spark, d):
 @query(f"SELECT event_type AS name, count(*) AS n, {q('value', 'rint', .5)} AS q_rint, {q('value', 'floor', .5)} AS q_floor, {q('value', 'mid', .5)} AS q_mid, median(value) AS q_true FROM events GROUP BY event_type")
 def udf3_quantile_rules(spark, d):
     e = V.read(spark, d, "events").select(F.col("event_type").alias("name"), "value")
-    quant = exact_quantiles(e, ["name"], "value", {"q_rint": ("rint", 0.5), "q_floor": ("floor", 0.5), "q_mid": ("mid", 0.5)})
-    return quant.join(e.groupBy("name").agg(F.median("value").alias("q_true")), "name")
+    quant = exact_quantiles(e, ["name"], "value", {"q_rint": ("rint", 0.5), "q_floor": ("floor", 0.5), "q_mid": ("mid", 0.5), **MIDDLE})
+    return with_median(quant, "q_true")
 
 
 @query(f"SELECT user_id AS worker, {q('value', 'rint', .9)} AS q_rint, {q('value', 'mid', .5)} AS q_mid FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -281,10 +305,13 @@ def udf3_quantile_arrays(spark, d):
     return e.select("worker", of_array(F.col("v"), "rint", 0.9).alias("q_rint"), of_array(F.col("v"), "mid").alias("q_mid"))
 
 
-@query("SELECT user_id % 11 AS slot, count(*) AS n FROM events GROUP BY 1")
+NAMES = sorted(SOURCES)
+
+
+@query(f"SELECT ({NAMES})[o_custkey % {len(NAMES)} + 1] AS source, count(*) AS n, max(o_orderkey) AS last_id FROM orders WHERE o_custkey % {len(NAMES)} < 3 AND (o_custkey % {len(NAMES)} > 0 OR o_custkey % 3 > 0 OR o_orderkey % 2 = 0) GROUP BY 1")
 def udf1_source_registry(spark, d):
-    names = selected(None)
-    slot = F.col("user_id") % len(SOURCES)
-    named = V.read(spark, d, "events").select(F.element_at(F.array(*[F.lit(n) for n in names]), (slot + 1).cast("int")).alias("source"))
-    numbers = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i).cast("long"))])
-    return named.groupBy(numbers[F.col("source")].alias("slot")).agg(F.count("*").alias("n"))
+    """Rows of three registered sources, chosen by name and dispatched to their functions; an unknown name raises KeyError."""
+    from millrace.plans.monitoring import packed
+
+    chosen = ", ".join(selected(None)[:3])
+    return normalise(packed(spark, d), chosen).groupBy("source").agg(F.count("*").alias("n"), F.max(F.col("id").cast("long")).alias("last_id"))
