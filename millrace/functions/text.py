@@ -44,12 +44,15 @@ def count_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-@F.pandas_udf("string")
-def unescape(texts: pd.Series) -> pd.Series:
-    """All character references decoded, white space at both ends removed; Arrow batches, since no column function knows them."""
+def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t).strip(), na_action="ignore")
 
 
+def unescape(c: Column) -> Column:
+    """All character references decoded, white space at both ends removed; in Arrow batches, since no column function knows them."""
+    return F.pandas_udf(_decoded, "string")(c)
+
+
 def _without_noise(c: Column) -> Column:
     c = reduce(lambda x, t: F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", ""), NOISE, c)
     return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
@@ -81,9 +84,9 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, f"{WHITE}+"), lambda w: w != "")
 
 
-def truncate_words(c: Column, n: int) -> Column:
-    """Up to n words unchanged; else the first n, lone marks at the end dropped, and dots added."""
-    words = words_of(c)
+def truncate_words(c: Column, n: int, words: Column | None = None) -> Column:
+    """Up to n words unchanged; else the first n, lone marks at the end dropped, and dots added.  words may hold words_of(c)."""
+    words = words_of(c) if words is None else words
     cut = F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"(?:^| )[.!?,;:](?: [.!?,;:])*$", "")
     return F.when(F.size(words) <= n, c).otherwise(F.concat(cut, F.when((cut == "") | F.regexp_like(cut, F.lit(r"[.!?]$")), "..").otherwise("...")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,16 @@ def str9_task_state_latest(spark, d):
     return S.latest_state(V.items(spark, d).select(F.col("user_id").alias("id"), F.when(F.col("source") == "purchase", F.col("value")).alias("bought"), F.col("source").alias("state"), "ord"), "id", "ord")
 
 
+@query("""WITH p AS (SELECT user_id AS id, max(CASE WHEN source = 'purchase' THEN value END) AS bought, max(source) AS state, us, count(*) AS k FROM v_items GROUP BY user_id, us),
+ g AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY id ORDER BY us) > 86400000000)::INT, 1) AS new FROM p), s AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY us) AS session FROM g),
+ l AS (SELECT * FROM s QUALIFY session = max(session) OVER (PARTITION BY id)), m AS (SELECT id, arg_max(bought, us) FILTER (bought IS NOT NULL) AS bought, arg_max(state, us) AS state, max(us) AS us, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY id)
+ SELECT * FROM m WHERE us >= (SELECT max(us) FROM v_items) - 86400000000""")
+def str9_task_state_stream(spark, d):
+    """The same as a stream with a retention of 24 hours after a task's last patch."""
+    p = V.items(spark, d).groupBy(F.col("user_id").alias("id"), "us").agg(F.max(F.when(F.col("source") == "purchase", F.col("value"))).alias("bought"), F.max("source").alias("state"))
+    return S.kept_states(spark, p.select("id", "bought", "state", "us"), 86_400_000_000)
+
+
 HOSTS = "CASE user_id % 7 WHEN 0 THEN 'maps.yandex.ru' WHEN 1 THEN 'yandex.ru' ELSE 's' || user_id % 7 || '.example.com' END"
 GLOBS = ["*.yandex.*", "s2.*", "*"]
 
@@ -227,10 +239,8 @@ def packed(spark, d, only: str | None = None):
         """The template with <k>, <p>, <lo>, <hi>, <ms> and <again> of an item."""
         at = x["k"]
         values = {"k": at.cast("string"), "p": x["p"], "lo": x["lo"].cast("string"), "hi": (2 * x["lo"]).cast("string"), "ms": ((1_704_067_200 + at) * 1000).cast("string"), "again": F.lit(twice)}
-        out = F.lit(template)
-        for name, v in values.items():
-            out = F.replace(out, F.lit(f"<{name}>"), v)
-        return out
+        parts = re.split(r"<(k|p|lo|hi|ms|again)>", template)
+        return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
     def joined(form, sep: str = "", where=None):
         items = F.filter("rows", where) if where else F.col("rows")
@@ -363,9 +373,23 @@ def str1_monitor_sweep(spark, d):
     return M.run_sweeps(spark, now, seen, WORDS).select("source", "id", "ord")
 
 
-@query("SELECT source, count(DISTINCT id) AS n FROM v_items GROUP BY source")
+@query(f"""WITH f AS (SELECT source, id, min(ord) AS ord FROM v_items GROUP BY source, id)
+ SELECT f.source, count(*) AS n, count(*) FILTER ({MATCH}) AS hits, max(f.ord) FILTER ({MATCH}) AS last_hit FROM f JOIN v_items i ON i.ord = f.ord GROUP BY f.source""")
 def str3_first_seen_stream(spark, d):
-    return S.first_seen(spark, V.items(spark, d).select("source", "id", "ord")).groupBy("source").agg(F.count("*").alias("n"))
+    """First sightings and hits among them: a keyword counts at first sight only."""
+    seen = S.first_seen(spark, V.items(spark, d).select("source", "id", "title", "ord"), WORDS)
+    return seen.groupBy("source").agg(F.count("*").alias("n"), A.count_if(F.col("hit")).alias("hits"), F.max(F.when(F.col("hit"), F.col("ord"))).alias("last_hit"))
+
+
+@query(f"""WITH seen AS (SELECT DISTINCT source, id FROM v_items WHERE us < {HALF}), n AS (SELECT * FROM v_items WHERE us >= {HALF})
+ SELECT n.source, count(*) AS collected, count(*) FILTER ({MATCH}) AS matched, count(*) FILTER ({MATCH} AND s.id IS NULL) AS new, CAST(NULL AS VARCHAR) AS error
+ FROM n LEFT JOIN seen s ON s.source = n.source AND s.id = n.id GROUP BY n.source UNION ALL SELECT 'gone', 0, 0, 0, 'AnalysisException'""")
+def str2_sweep_isolated(spark, d):
+    """A sweep over sources that are read one by one; one of them is gone, and the others still report."""
+    now, seen = _split(spark, d)
+    names = [r[0] for r in now.select("source").distinct().collect()]  # the kinds of sources
+    sources = {n: (lambda n=n: now.where(F.col("source") == n)) for n in names} | {"gone": lambda: spark.read.parquet(f"{d}/no_such_feed.parquet")}
+    return M.sweep_sources(spark, sources, seen, WORDS)
 
 
 @query()
@@ -379,6 +403,11 @@ def str10_status_changes(spark, d):
     return S.status_changes(spark, V.log(spark, d).select("worker", "line", (F.col("value") > 20).alias("flag")))
 
 
-@query()
+@query(f"""WITH h AS (SELECT event_type, us - us % 3600000000 AS w FROM (SELECT event_type, epoch_us(ts) AS us FROM events) WHERE us >= {HALF})
+ SELECT w AS began, event_type, count(*) AS n, (SELECT count(*) > 0 FROM events WHERE epoch_us(ts) < {HALF}) AS late_rows FROM h WHERE w + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000 GROUP BY ALL""")
 def str11_late_data(spark, d):
-    return S.windowed_with_watermark(spark, V.read(spark, d, "events"))
+    """The second half of the month arrives first; the first half is then too late and dropped, which the metric shows."""
+    e = V.read(spark, d, "events").withColumn("us", V.micros(F.col("ts")))
+    row = lambda cond: e.where(cond).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = S.windowed_with_watermark(spark, [row(F.col("us") >= HALF), row(F.col("us") < HALF)])
+    return out.select(V.micros(F.col("began").cast("timestamp_ntz")).alias("began"), "event_type", "n", "late_rows")

@@ -12,6 +12,7 @@ from millrace.operators import windows as W
 from millrace.plans import views as V
 from millrace.plans.catalog import q
 from millrace.plans.registry import query
+from millrace.streaming import state as S
 
 GAPS = """WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY worker ORDER BY line) AS gap FROM v_log),
  a AS (SELECT *, coalesce(gap >= 14400, false) AS idle, CASE WHEN gap IS NULL OR gap >= 14400 OR bucket = 'signup' THEN 0 ELSE gap END AS credit FROM g) """
@@ -302,32 +303,72 @@ def set3_array_set_checks(spark, d):
     return w.select("worker", F.size(F.array_intersect("states", wanted)).cast("long").alias("common"), F.size(F.array_except(wanted, F.col("states"))).cast("long").alias("missing"))
 
 
-@query("""WITH g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY worker ORDER BY line) >= 36000)::BIGINT, 1) AS new FROM v_log),
+LIMITED = """WITH g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY worker ORDER BY line) >= 36000)::BIGINT, 1) AS new FROM v_log),
  s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY worker ORDER BY line) AS BIGINT) AS session FROM g)
- SELECT worker, line, session, row_number() OVER (PARTITION BY worker, session ORDER BY line) AS n, row_number() OVER (PARTITION BY worker, session ORDER BY line) <= 3 AS allowed FROM s""")
+ SELECT worker, line, session, row_number() OVER (PARTITION BY worker, session ORDER BY line) AS n, row_number() OVER (PARTITION BY worker, session ORDER BY line) <= 3 AS allowed FROM s"""
+
+
+@query(LIMITED)
 def str4_rate_limit_batch(spark, d):
     return W.rate_limited(V.log(spark, d), "worker", "t", "line", 3, 36000.0).select("worker", "line", "session", "n", "allowed")
 
 
-@query("""WITH g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY worker ORDER BY line) >= 600)::BIGINT, 1) AS new FROM v_log),
- s AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY line) AS session FROM g)
- SELECT worker, count(*) AS n, CAST(floor(min(t)) AS BIGINT) AS began FROM s GROUP BY worker, session""")
+@query(LIMITED)
+def str4_rate_limit_stream(spark, d):
+    return S.rate_limits(spark, V.log(spark, d).select("worker", "line", "t"), 3, 36000.0)
+
+
+SESSIONS_600 = """WITH g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY worker ORDER BY t) >= 600)::BIGINT, 1) AS new FROM v_log),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY t) AS session FROM g)
+ SELECT worker, count(*) AS n, CAST(floor(min(t)) AS BIGINT) AS began FROM s GROUP BY worker, session"""
+
+
+def _seconds(ts):
+    return F.floor(V.micros(ts.cast("timestamp_ntz")) / 1e6).cast("long")
+
+
+def _timed(spark, d):
+    return V.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("worker"), F.col("event_type").alias("bucket"), "value")
+
+
+@query(SESSIONS_600)
 def str5_inactivity_sessions(spark, d):
-    e = V.read(spark, d, "events").select(F.col("user_id").alias("worker"), "ts")
-    s = e.groupBy("worker", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.min(V.micros(F.col("ts"))).alias("us"))
-    return s.select("worker", "n", F.floor(F.col("us") / 1e6).cast("long").alias("began"))
+    s = _timed(spark, d).groupBy("worker", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("ts"))
+    return s.select("worker", "n", _seconds(F.col("ts")).alias("began"))
 
 
-@query("SELECT CAST(floor(t / 3600) AS BIGINT) * 3600 AS began, bucket, count(*) AS n, round(sum(value), 4) AS total FROM v_log GROUP BY ALL")
+@query(SESSIONS_600)
+def str5_inactivity_stream(spark, d):
+    s = S.inactivity_sessions(spark, _timed(spark, d).select("worker", "ts"))
+    return s.select("worker", "n", _seconds(F.col("ts")).alias("began"))
+
+
+HEARTBEAT = "SELECT CAST(floor(t / 3600) AS BIGINT) * 3600 AS began, bucket, count(*) AS n, round(sum(value), 4) AS total FROM v_log GROUP BY ALL"
+
+
+@query(HEARTBEAT)
 def str6_heartbeat_window(spark, d):
-    e = V.read(spark, d, "events")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return w.select(F.floor(V.micros(F.col("w.start")) / 1e6).cast("long").alias("began"), "bucket", "n", "total")
+    w = _timed(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "bucket").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(_seconds(F.col("w.start")).alias("began"), "bucket", "n", "total")
+
 
+@query(HEARTBEAT)
+def str6_heartbeat_stream(spark, d):
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour")
+    return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round("total", 4).alias("total"))
 
-@query("""WITH s AS (SELECT CAST(floor(t / 1800) AS BIGINT) * 1800 - unnest([0, 1800]) AS began, bucket FROM v_log)
- SELECT began, bucket, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 8) AS per_second FROM s GROUP BY ALL""")
+
+SLIDING = """WITH s AS (SELECT CAST(floor(t / 1800) AS BIGINT) * 1800 - unnest([0, 1800]) AS began, bucket FROM v_log)
+ SELECT began, bucket, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 8) AS per_second FROM s GROUP BY ALL"""
+
+
+@query(SLIDING)
 def str7_sliding_rate(spark, d):
-    e = V.read(spark, d, "events")
-    w = e.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), F.col("event_type").alias("bucket")).agg(F.count("*").alias("n"))
-    return w.select(F.floor(V.micros(F.col("w.start")) / 1e6).cast("long").alias("began"), "bucket", "n", F.round(F.col("n") / 3600.0, 8).alias("per_second"))
+    w = _timed(spark, d).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "bucket").agg(F.count("*").alias("n"))
+    return w.select(_seconds(F.col("w.start")).alias("began"), "bucket", "n", F.round(F.col("n") / 3600.0, 8).alias("per_second"))
+
+
+@query(SLIDING)
+def str7_sliding_stream(spark, d):
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour", "30 minutes")
+    return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round(F.col("n") / 3600.0, 8).alias("per_second"))

@@ -102,8 +102,9 @@ def sca9_truncate_words(spark, d):
 @query(TRUNC.format(key="page_id", text="body", src=f"(SELECT page_id, {LINES} AS body FROM pages)", n=500) + r"SELECT page_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word_count, truncated FROM t")
 def sca10_enrich_pages(spark, d):
     p = V.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
-    cut = T.truncate_words(F.col("body"), 500)
-    return p.select("page_id", cut.alias("text"), T.count_words(cut).alias("word_count"), (F.size(T.words_of(F.col("body"))) > 500).alias("truncated"))
+    p = p.withColumn("words", T.words_of(F.col("body")))
+    p = p.select("page_id", T.truncate_words(F.col("body"), 500, F.col("words")).alias("text"), (F.size("words") > 500).alias("truncated"))
+    return p.select("page_id", "text", T.count_words(F.col("text")).alias("word_count"), "truncated")
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '<a href="/[^"]*">[^<]*</a>'),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,29 +21,50 @@ def sweep_counts(rows: DataFrame, seen: DataFrame, words: list[str]) -> DataFram
     return joined.groupBy("source").agg(F.count("*").alias("collected"), count_if(matched).alias("matched"), count_if(matched & F.col("_seen").isNull()).alias("new"))
 
 
-def run_sweeps(spark: SparkSession, rows: DataFrame, seen: DataFrame, words: list[str], day: int = 0) -> DataFrame:
-    """Stream rows (source, id, title, ord) through sweeps: each micro-batch is one, emits matched rows whose (source, id) was
-    not seen, then marks all matched ids.
+def sweep_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], seen: DataFrame, words: list[str]) -> DataFrame:
+    """sweep_counts of each source, read in turn; a source that fails gives a row with its error and doesn't stop the others."""
+    out = []
+    for name, read in sources.items():
+        try:
+            found = sweep_counts(read(), seen, words).where(F.col("source") == name).first()
+            out.append((name, *((found["collected"], found["matched"], found["new"]) if found else (0, 0, 0)), None))
+        except Exception as e:
+            out.append((name, 0, 0, 0, type(e).__name__))
+    return spark.createDataFrame(out, "source string, collected long, matched long, new long, error string")
+
+
+def run_sweeps(spark: SparkSession, rows: DataFrame, seen: DataFrame, words: list[str], day: int = 0, files: int | None = None) -> DataFrame:
+    """Stream rows (source, id, title, ord, and day if they span several) through sweeps: each micro-batch is one, emits matched
+    rows whose (source, id) was not seen, then marks all matched ids.  ``files`` bounds a micro-batch.
 
-    The seen table is Parquet, partitioned by source and with the sweep's day; a source's ids are forgotten together,
-    TTL_DAYS after its last sweep with a match.  A sweep's files bear its batch number, so that a batch that
-    runs again after a failure replaces its own output.
+    A source's ids are forgotten together, TTL_DAYS after its last sweep with a match: a table of one row a source keeps the
+    day of that sweep and the day since which its ids count, so that the table of seen ids is only added to.  Files bear the
+    batch number, so that a batch that runs again after a failure replaces its own output.
     """
     base = shared_path(spark)
+    rows = rows if "day" in rows.columns else rows.withColumn("day", F.lit(day))
     rows.write.parquet(f"{base}/in")
-    seen.withColumn("day", F.lit(day)).withColumn("batch", F.lit(-1)).write.partitionBy("batch").parquet(f"{base}/seen")
-    schema = spark.read.parquet(f"{base}/in").schema
+    seen.select("source", "id").withColumns({"day": F.lit(day), "batch": F.lit(-1)}).write.partitionBy("batch").parquet(f"{base}/seen")
+    ages = seen.select("source").distinct().select("source", F.lit(day).alias("born"), F.lit(day).alias("last"), F.lit(-1).alias("batch"))
+    ages.write.partitionBy("batch").parquet(f"{base}/ages")
+    known = spark.read.parquet(f"{base}/in").schema
+    marks, sources = "source string, id string, day int, batch int", "source string, born int, last int, batch int"
 
     def sweep(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(f"{base}/seen").where(F.col("batch") != number)
-        touched = known.groupBy("source").agg(F.max("day").alias("last"))
-        known = known.join(touched.where(F.col("last") >= day - TTL_DAYS), "source", "left_semi")
+        today = batch.agg(F.max("day")).first()[0]
+        if today is None:
+            today = day
+        live = spark.read.schema(sources).parquet(f"{base}/ages").where((F.col("batch") == number - 1) & (F.col("last") >= today - TTL_DAYS)).drop("batch")
+        ids = spark.read.schema(marks).parquet(f"{base}/seen").where(F.col("batch") < number).join(live, "source").where("day >= born").select("source", "id")
         matched = batch.where(contains_any(F.lower("title"), words))
-        only_new(matched, known).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        marks = matched.select("source", "id").distinct().withColumn("day", F.lit(day))
-        marks.write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
+        only_new(matched, ids).drop("day").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        matched.select("source", "id").distinct().withColumn("day", F.lit(today)).write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
+        touched = matched.select("source").distinct().withColumn("_hit", F.lit(True))
+        ages = live.join(touched, "source", "full_outer").select("source", F.coalesce("born", F.lit(today)).alias("born"), F.when(F.col("_hit"), F.lit(today)).otherwise(F.col("last")).alias("last"))
+        ages.write.mode("overwrite").parquet(f"{base}/ages/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    source = spark.readStream.schema(known)
+    stream = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{base}/in")
     query = stream.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out")

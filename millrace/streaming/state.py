@@ -7,35 +7,65 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.windows import change_only
+from millrace.operators.dedup import dedup_first
+from millrace.operators.filters import contains_any
+from millrace.operators.windows import change_only, gap_sessions
 from millrace.sources.scratch import shared_path
 
 
-def through_stream(spark: SparkSession, rows: DataFrame, job, mode: str = "append") -> DataFrame:
-    """Write rows as files, run job (streaming DataFrame to streaming DataFrame) over all that is there, read its output."""
+def through_stream(spark: SparkSession, rows: DataFrame, job, mode: str = "append", close_after: str | None = None) -> DataFrame:
+    """Write rows as files, run job (streaming DataFrame to streaming DataFrame) over all that is there, read its output.
+
+    With ``close_after`` a marker row, that much later than the last one (column ts) and null otherwise, ends the
+    input, so that the watermark passes all windows of the rows and each is written; the marker's own stays open.
+    """
     base = shared_path(spark)
+    if close_after:
+        marker = rows.agg((F.max("ts") + F.expr(f"interval {close_after}")).alias("ts")).where("ts IS NOT NULL")
+        rows = rows.unionByName(marker, allowMissingColumns=True)
     rows.write.parquet(f"{base}/in")
+    return run_job(spark, base, job, mode)[0]
+
+
+def run_job(spark: SparkSession, base: str, job, mode: str = "append") -> tuple[DataFrame, int]:
+    """Run job over what base/in holds and it has not seen; its whole output so far, and how many rows it dropped as late
+    (rows after partial aggregation, as the state operators count them)."""
     schema = spark.read.parquet(f"{base}/in").schema
     out = job(spark.readStream.schema(schema).parquet(f"{base}/in"))
     query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(out.schema).parquet(f"{base}/out"), late
+
+
+def first_seen(spark: SparkSession, rows: DataFrame, words: list[str]) -> DataFrame:
+    """The first row (source, id, title, ord) of each (source, id), for good, with hit: whether its title holds a keyword.  An id is
+    seen from its first row on, whether that was a hit or not.  Ids are Parquet by batch number; a batch adds its own."""
+    base = shared_path(spark)
+    rows.select("source", "id", "title", "ord").write.parquet(f"{base}/in")
+    known = spark.read.parquet(f"{base}/in").schema
+    full = "source string, id string, ord long, hit boolean, batch int"
+    spark.createDataFrame([], full).write.partitionBy("batch").parquet(f"{base}/out")
+    done = lambda: spark.read.schema(full).parquet(f"{base}/out")
 
+    def run(batch: DataFrame, number: int) -> None:
+        new = dedup_first(batch, ["source", "id"], ["ord"]).join(done().where(F.col("batch") != number).select("source", "id"), ["source", "id"], "left_anti")
+        new.select("source", "id", "ord", contains_any(F.lower("title"), words).alias("hit")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-def first_seen(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Each (source, id) once, for good."""
-    return through_stream(spark, rows, lambda s: s.dropDuplicates(["source", "id"]))
+    stream = spark.readStream.schema(known).parquet(f"{base}/in")
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return done().drop("batch")
 
 
-def through_batches(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: str, files: int | None = None) -> DataFrame:
+def through_batches(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: str, files: int | None = None, left: bool = False) -> DataFrame:
     """Stream rows through step, which gets a micro-batch and the state that the batch before left, and gives rows of one
     schema with a column kind: ``out`` for results, anything else for the state it leaves.
 
     Both are Parquet by batch number, so that a batch that runs again replaces its own output.  ``files`` bounds a
-    batch; by default all that is there is one.
+    batch; by default all that is there is one.  ``left`` returns the state after the last batch, not the results.
     """
     base = shared_path(spark)
     rows.write.parquet(f"{base}/in")
@@ -52,6 +82,9 @@ def through_batches(spark: SparkSession, rows: DataFrame, step: Callable[[DataFr
     stream = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{base}/in")
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if left:
+        last = done().agg(F.max("batch")).first()[0]
+        return done().where((F.col("batch") == last) & (F.col("kind") != "out")).drop("batch", "kind")
     return done().where("kind = 'out'").drop("batch", "kind")
 
 
@@ -163,14 +196,68 @@ def degradation_alerts(
     return through_batches(spark, rows, step, "worker long, line long, t double, value double", files).select("worker", "line", F.col("value").alias("rate"))
 
 
-def windowed_with_watermark(spark: SparkSession, events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Counts per window of event time; rows later than the watermark are dropped, windows are written once they are closed."""
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+def rate_limits(spark: SparkSession, rows: DataFrame, most: int, window: float, files: int | None = None) -> DataFrame:
+    """worker, line, session, n, allowed for rows (worker, line, t): a counter that each call raises and renews, and that falls to
+    0 only after ``window`` idle seconds.  The state is each worker's last call with its session and count."""
+
+    def step(batch: DataFrame, before: DataFrame) -> DataFrame:
+        fresh = batch.select("worker", "line", "t", F.lit(None).cast("long").alias("session"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("_new"))
+        every = fresh.unionByName(before.drop("kind").withColumn("_new", F.lit(False))).withColumn("_at", F.struct("_new", "line"))
+        w = Window.partitionBy("worker").orderBy("_at")
+        begun = F.when(F.col("_new"), F.coalesce((F.col("t") - F.lag("t").over(w) >= window).cast("long"), F.lit(1))).otherwise(F.col("session"))
+        every = every.withColumn("_begun", begun).withColumn("session", F.sum("_begun").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        inside = Window.partitionBy("worker", "session").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        every = every.withColumn("n", F.sum("n").over(inside))
+        last = every.groupBy("worker").agg(F.max_by(F.struct("line", "t", "session", "n"), "_at").alias("l")).select("worker", "l.*", F.lit("last").alias("kind"))
+        return every.where("_new").select("worker", "line", "t", "session", "n", F.lit("out").alias("kind")).unionByName(last)
+
+    out = through_batches(spark, rows, step, "worker long, line long, t double, session long, n long", files)
+    return out.select("worker", "line", "session", "n", (F.col("n") <= most).alias("allowed"))
+
+
+def inactivity_sessions(spark: SparkSession, events: DataFrame, pause: str = "10 minutes") -> DataFrame:
+    """Sessions of events (worker, ts) that a pause of activity ends: worker, ts (the first), n; written once the watermark passed them."""
+    job = lambda s: s.withWatermark("ts", "1 minute").groupBy("worker", F.session_window("ts", pause).alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("ts"))
+    return through_stream(spark, events, lambda s: job(s).select("worker", "ts", "n"), close_after="2 days")
+
+
+def windowed(spark: SparkSession, events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+    """Counts and sums of events (ts, bucket, value) per tumbling or sliding window: ts (its start), bucket, n, total; the state holds
+    the windows that the watermark has not passed."""
+    of = lambda s: s.withWatermark("ts", "1 minute").groupBy(F.window("ts", width, slide).alias("w"), "bucket")
+    job = lambda s: of(s).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("ts"), "bucket", "n", "total")
+    return through_stream(spark, events, job, close_after="2 days")
+
+
+def windowed_with_watermark(spark: SparkSession, parts: list[DataFrame], late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Counts per window of event time over parts (ts, event_type) that arrive one after another: rows later than the watermark are
+    dropped, windows are written once they are closed.  late_rows tells whether any were dropped."""
+    base, dropped = shared_path(spark), 0
     job = lambda s: s.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").count().select(F.col("window.start").alias("began"), "event_type", F.col("count").alias("n"))
-    return through_stream(spark, rows, job)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out, n = run_job(spark, base, job)
+        dropped += n
+    return out.withColumn("late_rows", F.lit(dropped > 0))
 
 
 def latest_state(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Batch twin of a patch merge: the latest value of each column that is not null, and the number of patches."""
     rest = [c for c in rows.columns if c not in (key, order)]
     return rows.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest], F.count("*").alias("n"))
+
+
+def kept_states(spark: SparkSession, patches: DataFrame, keep: int, files: int | None = None) -> DataFrame:
+    """States (id, bought, state, us, n) after a stream of patches (id, bought, state, us): later values that are not null win, and a
+    state is forgotten ``keep`` microseconds after its last patch, so that a later patch begins anew."""
+
+    def step(batch: DataFrame, before: DataFrame) -> DataFrame:
+        every = batch.select("id", "bought", "state", "us", F.lit(1).cast("long").alias("n")).unionByName(before.drop("kind"))
+        every = gap_sessions(every, "id", "us", "us", keep + 1)
+        every = every.withColumn("_last", F.max("session").over(Window.partitionBy("id"))).where("session = _last")
+        latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("us"))).alias(c)
+        merged = every.groupBy("id").agg(latest("bought"), latest("state"), F.max("us").alias("us"), F.sum("n").alias("n"))
+        now = every.agg(F.max("us").alias("_now"))
+        return merged.crossJoin(F.broadcast(now)).where(F.col("us") >= F.col("_now") - keep).drop("_now").withColumn("kind", F.lit("last"))  # now: one row
+
+    return through_batches(spark, patches, step, "id long, bought double, state string, us long, n long", files, left=True)

@@ -1,12 +1,15 @@
 """Small hand-made rows for each rule that is easy to get wrong."""
 
+import random
+import statistics
+import time
 import weakref
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import nested, text
+from millrace.functions import nested, quantiles, text
 from millrace.functions.quantiles import exact_quantiles, of_array
 from millrace.operators import aggregates, dedup, filters, windows
 from millrace.plans import registry
@@ -44,13 +47,25 @@ def test_only_new_keeps_repeats_in_a_batch(spark):
     assert filters.only_new(df, seen).count() == 2
 
 
-def test_sweep_stream_matches_and_forgets(spark):
+def test_sweep_stream_matches_and_forgets(spark, tmp_path):
     items = [("a", "1", "python job", 1), ("a", "2", "cook", 2), ("a", "3", "Python dev", 3), ("b", "4", "python", 4)]
     rows = spark.createDataFrame(items, "source string, id string, title string, ord int")
     seen = spark.createDataFrame([("a", "3"), ("b", "4")], "source string, id string")
     assert {r.id for r in monitor.run_sweeps(spark, rows, seen, ["python"]).collect()} == {"1"}
-    later = monitor.run_sweeps(spark, rows, seen, ["python"], day=7)
-    assert {r.id for r in later.collect()} == {"1"} or later.count() == 3
+    sweeps = [(0, "a", "1"), (3, "a", "1"), (10, "a", "1"), (10, "b", "4"), (18, "a", "1"), (19, "a", "1"), (19, "b", "4"), (19, "a", "2")]
+    for day in sorted({s[0] for s in sweeps}):  # a file a sweep, one after the other
+        part = spark.createDataFrame([(s, i, "python", 10 * day + int(i), d) for d, s, i in sweeps if d == day], "source string, id string, title string, ord int, day int")
+        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/sweeps")
+        time.sleep(0.05)
+    stream = spark.read.parquet(f"file://{tmp_path}/sweeps").repartitionByRange(5, "day").sortWithinPartitions("ord")
+    got = monitor.run_sweeps(spark, stream.coalesce(1), seen.limit(0), ["python"]).collect()
+    assert {(r.source, r.id) for r in got} == {("a", "1"), ("b", "4"), ("a", "2")}  # one sweep
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        got = monitor.run_sweeps(spark, stream.coalesce(1), seen.limit(0), ["python"], files=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(r.ord for r in got) == [1, 104, 181, 192, 194]  # a: days 0, 18 and new 19; b: days 10 and 19
     counts = {r.source: tuple(r)[1:] for r in monitor.sweep_counts(rows, seen, ["python"]).collect()}
     assert counts == {"a": (3, 2, 1), "b": (1, 1, 0)}
 
@@ -84,17 +99,19 @@ def test_buckets_keep_empty_ones(spark):
 
 def test_titles(spark):
     rows = [(1, "Brand «X»", "a", 5.0), (2, "brand x", "b", None), (3, "Магазин №1", "a", 1.0), (4, "Магазин №1", "b", 1.0), (5, "", "c", 2.0), (6, None, "c", 2.0)]
-    got = {r.key: (r.oid, r.size) for r in dedup.dedup_title(spark.createDataFrame(rows, "oid int, title string, category string, dist double")).collect()}
+    got = {r.key: (r.oid, r.size) for r in dedup.dedup_title(dedup.title_key(spark.createDataFrame(rows, "oid int, title string, category string, dist double"))).collect()}
     assert got["named::brand x"] == (1, 2)
     assert len([k for k in got if k.startswith("generic::магазин")]) == 2 and got["generic::::c"] == (5, 2)
 
 
 def test_html_functions(spark):
     assert one(spark, text.clean_html(F.col("h")), h="<p>a</p><p>b</p>") == "ab"
-    assert one(spark, text.html_to_text(F.col("h")), h="<p>a</p><p>b</p>") == "a\nb"
+    assert one(spark, text.html_to_text(F.col("h")), h="<p>a</p><p>b</p>") == "a\n\nb"
+    assert one(spark, text.html_to_text(F.col("h")), h="<head><title>t</title></head><h1>T</h1><button>b</button><div>c</div>d<br>e") == "T\n\nbc\nd\ne"
     assert one(spark, text.clean_html(F.col("h")), h="x<!-- y --><nav>n</nav> &amp;lt;") == "x &lt;"
     assert page_text.markdown('<h2>T</h2><p>a <a href="/u">l</a><img src="i" alt="A"></p><script>x</script>') == "## T\n\na [l](/u)![A](i)"
-    assert page_text.first_block('x {bad} {"a": {"b": 1}} {') == '{"a": {"b": 1}}'
+    assert page_text.first_json('x {bad} {"a": {"b": 1}} {') == '{"a": {"b": 1}}'
+    assert page_text.first_json('{"z": 0} ```json\n[1, 2]\n```') == "[1, 2]" and page_text.first_json("see [1] and {2}") == "[1]" and page_text.first_json("none") is None
 
 
 def test_truncate(spark):
@@ -104,8 +121,7 @@ def test_truncate(spark):
 def test_goal_spans_merge(spark):
     for gap, n in ((850, 1), (851, 2)):
         t = "x" * 500 + "KEY" + "y" * gap + "KEY" + "z" * 500
-        spans = text.merge_spans(text.goal_spans(F.col("t"), "KEY", 400, 400), 50)
-        assert len(one(spark, spans, t=t)) == n
+        assert one(spark, text.goal_extract(F.col("t"), "KEY", 9_999), t=t).count("‖") == n - 1
     assert one(spark, text.goal_extract(F.col("t"), "KEY", 5), t="nothing here") == "nothi"
 
 
@@ -116,6 +132,7 @@ def test_domains_and_handles(spark):
 def test_nested(spark):
     assert one(spark, nested.strip_reasoning(F.col("t")), t="a<think>b</think>c") == "ac"
     assert one(spark, nested.strip_reasoning(F.col("t")), t="a<think>b\n\nc") == "ac"
+    assert one(spark, nested.strip_reasoning(F.col("t")), t="a<THINKING x>b\n \t\nc\n\nd") == "ac\n\nd"
     got = one(spark, nested.org_from_raw(F.col("r")), r='{"permalink":"7","coordinates":[1.0,2.0],"ratingData":{},"rating":4.0}')
     assert (got.oid, got.lat, got.lon, got.rating) == ("7", 2.0, 1.0, None)
 
@@ -218,3 +235,50 @@ def test_expected_cells_of_many_categories(spark, tmp_path):
     spark.createDataFrame([], "l_orderkey long, l_partkey long, l_linenumber long").write.parquet(f"{d}/lineitem.parquet")
     cells = registry.QUERIES["joi7_grid_x_category"](spark, d)
     assert cells.select("category").distinct().count() == 1100 and cells.count() % 1100 == 0
+
+
+def test_rate_limit_stream_carries_counts(spark):
+    rows = [(k % 2, k, float(t)) for k, t in enumerate([0, 0, 10, 10, 20, 5000, 30, 5100, 4000, 5200])]
+    df = spark.createDataFrame(rows, "worker long, line long, t double").coalesce(1)
+    want = sorted(map(tuple, windows.rate_limited(df, "worker", "t", "line", 2, 3600.0).select("worker", "line", "session", "n", "allowed").collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 4)
+    try:
+        got = sorted(map(tuple, state.rate_limits(spark, df, 2, 3600.0, files=1).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == want
+
+
+def test_task_states_are_forgotten(spark):
+    day = 86_400_000_000
+    rows = [(1, 5.0, "a", 0), (2, 1.0, "x", 0), (1, None, "b", day), (3, 2.0, "y", day), (2, None, "z", 3 * day), (1, None, "c", 2 * day), (3, 7.0, "w", 3 * day)]
+    df = spark.createDataFrame(sorted(rows, key=lambda r: r[3]), "id long, bought double, state string, us long").coalesce(1)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        got = {tuple(r) for r in state.kept_states(spark, df, day, files=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == {(1, 5.0, "c", 2 * day, 3), (2, None, "z", 3 * day, 1), (3, 7.0, "w", 3 * day, 1)}
+
+
+def test_exact_quantiles_by_bins(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([rng.random(), 0.5, float(rng.randint(0, 3))])) for g in "aab" for _ in range(700)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    spec = {"low": ("floor", 0.0), "p25": ("rint", 0.25), "p50": ("floor", 0.5), "p99": ("rint", 0.99), "high": ("floor", 1.0)}
+    for by in (["g"], []):
+        got = {r["g"] if by else "*": r for r in quantiles.exact_quantiles(df, by, "v", spec).collect()}
+        for g, r in got.items():
+            v = sorted(x for k, x in rows if x is not None and (k == g or g == "*"))
+            n = len(v)
+            assert (r.n, r.low, r.p25, r.p50, r.p99, r.high) == (n, v[0], v[round((n - 1) * 0.25)], v[n // 2], v[round((n - 1) * 0.99)], v[-1])
+        assert set(got) == ({"a", "b", "c"} if by else {"*"})
+    assert {r.g: r.m for r in quantiles.true_median(df, ["g"], "v", "m").collect()} == {g: statistics.median([x for k, x in rows if k == g and x is not None]) for g in "abc"}
+
+
+def test_antibot_and_log_rules(spark):
+    verdict = lambda **k: one(spark, filters.antibot_verdict(F.col("status"), F.col("server"), F.col("ray"), F.col("body")), **k)
+    base = {"status": "200", "server": "nginx", "ray": "", "body": "fine"}
+    assert verdict(**base) == "CLEAN" == verdict(**base | {"body": "Just a moment"}) and verdict(**base | {"body": "just a moment", "ray": "x"}) == "CLOUDFLARE"
+    assert verdict(**base | {"body": "the DDoS-Guard page"}) == "DDOS-GUARD" and verdict(**base | {"status": "429"}) == "BLOCKED" and verdict(**base | {"body": ""}) == "CLEAN"
+    assert one(spark, filters.error_kind(F.col("e")), e="") == "other" and one(spark, filters.error_kind(F.col("e")), e="a timeout") == "other"
