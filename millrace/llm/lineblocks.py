@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element.  Text lengths are summed over a sliding window of
-lines; main text begins where the sums surge and ends where they dive to zero.  Lines in page furniture
-(navigation, footers, adverts, forms and the like) and text of links count as length 0, and furniture
-leaves a gap as wide as the window, so that the sums dive there.  Where a page marks its article, lines
-outside count 0 as well, and lines of links inside count in full; what holds the article is not furniture.
+lines; main text begins where the sums surge and ends where they dive to zero, and every line between stays.
+
+Markup is a weight of this distribution.  Lines inside an article or main element weigh ``MARKED`` times their length,
+links included; elsewhere a line that is mostly links weighs 0.  Page furniture (navigation, footers, adverts, forms and
+the like) leaves its text out; outside articles it also leaves a gap as wide as the window, so that the sums dive there, as
+they do at the borders of an article.  The page's largest window sum is its peak.  A run of lines of the peak's kind (marked
+or not) is main text if one of its sums reaches ``SURGE`` or half the peak; a run of the other kind must reach half the
+peak.  So a marked article prevails over text outside it, unless that is by far the larger block.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-#: A run of lines is main text if its largest window sum reaches this, or half of the page's largest.
+#: A run of lines of the peak's kind is main text if its largest window sum reaches this, or half of the page's largest.
 SURGE = 80
+#: Weight of a character inside an article or main element.
+MARKED = 4
 
 # Fixed values of HTML: elements that end a line, have no content, or hold no prose.
 BLOCKS = set(
@@ -31,15 +37,25 @@ TO_END = set("script style iframe title textarea".split())
 CODE = ("script", "style")
 HEAD = set("head base basefont bgsound link meta title noscript noframes style script template".split())
 FURNITURE = set("nav footer aside form menu dialog fieldset".split())
-# Words of class, id and role values that mark furniture.
+# Elements whose start ends an open paragraph.
+ENDS_P = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "main menu nav ol p pre section table ul".split()
+)
+# Items whose start ends an open one of the same group, within the nearest of their containers.
+ITEMS = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "thead": "thead", "tbody": "thead", "tfoot": "thead", "option": "option", "optgroup": "option"}
+HOLDERS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dir": ("li",), "dl": ("dt",), "table": ("thead", "tr", "td"), "thead": ("tr", "td"), "tbody": ("tr", "td"), "tfoot": ("tr", "td"), "tr": ("td",), "datalist": ("option",)}
+# Words of class, id and role values that mark furniture, and words that may stand beside them in a value.
 MARKS = set(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent notice alert "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead header comment comments disqus "
     "respond reply replies share sharing social related recommended newsletter subscribe signup login search widget widgets "
     "complementary contentinfo".split()
 )
-# A class with one of these before a mark tells of what stands beside or inside the element.
-MODIFIER = re.compile(r"(?:^|\s)(?:has|with|no|without)[-_][^\s]*")
+BESIDE = set(
+    "site page main top bottom left right primary secondary global box bar block list area container wrapper wrap inner outer links link buttons button "
+    "icons icon item items section group panel form unit slot post posts article entry blog user reader thread the my js c o u l".split()
+)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<rest>(?:=\s*(?:\"[^\"<]*\"|'[^'<]*')|[^>])*+)>"
@@ -52,6 +68,18 @@ QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VALUES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def marks_furniture(value: str, in_article: bool) -> bool:
+    """Whether one of the whole tokens of a class, id or role is made of marks, with nothing but neutral words and numbers beside them."""
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w]
+        marks = [w for w in words if w in MARKS]
+        if marks and all(w in MARKS or w in BESIDE for w in words):
+            own = in_article or any(w in ("post", "article", "entry") for w in words)
+            if not own or any(w != "header" for w in marks):
+                return True
+    return False
+
+
 def is_furniture(name: str, attrs: str, in_article: bool, holds_article: bool) -> bool:
     if holds_article and name == "form":  # some sites put the whole page in one
         return False
@@ -59,9 +87,7 @@ def is_furniture(name: str, attrs: str, in_article: bool, holds_article: bool) -
         return True
     if not attrs or holds_article or name in ("body", "html", "article", "main"):
         return False
-    values = (MODIFIER.sub(" ", (m[1] or m[2] or m[3] or "").lower()) for m in VALUES.finditer(attrs))
-    words = {w for v in values for w in re.split(r"[^a-z]+", v)}
-    return bool(words & MARKS - {"header"} if in_article else words & MARKS)
+    return any(marks_furniture(m[1] or m[2] or m[3] or "", in_article) for m in VALUES.finditer(attrs))
 
 
 def self_closed(attrs: str) -> bool:
@@ -96,29 +122,72 @@ def opens(name: str, close: bool, attrs: str) -> bool:
     return not close and name not in VOID and name not in RAW_TAGS and name != "head" and not attrs.endswith("/")
 
 
+class Elements:
+    """The open elements of a page, with implied ends of paragraphs and items.  Every element is entered and left once, and a
+    closing tag without an open element costs nothing, so that a page takes time in proportion to its tags."""
+
+    def __init__(self, leave):
+        self.stack: list[tuple[str, object]] = []
+        self.open: dict[str, int] = {}
+        self.items: dict[str, list[int]] = {}  # per group: places of open items, -1 for each container without one
+        self.leave = leave
+
+    def enter(self, name: str, note: object) -> None:
+        group = ITEMS.get(name)
+        for g in HOLDERS.get(name, ()):
+            self.items.setdefault(g, []).append(-1)
+        if group:
+            self.items.setdefault(group, [-1])[-1] = len(self.stack)
+        self.stack.append((name, note))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def _pop(self) -> None:
+        name, note = self.stack.pop()
+        self.open[name] -= 1
+        if name in ITEMS:
+            self.items[ITEMS[name]][-1] = -1
+        for g in HOLDERS.get(name, ()):
+            self.items[g].pop()
+        self.leave(name, note)
+
+    def imply(self, name: str) -> None:
+        """Ends what the start of an element of this name ends."""
+        if name in ENDS_P and self.open.get("p"):
+            self.end("p")
+        group = ITEMS.get(name)
+        if group:
+            at = self.items.setdefault(group, [-1])[-1]
+            while 0 <= at < len(self.stack):
+                self._pop()
+
+    def end(self, name: str) -> None:
+        if self.open.get(name):
+            while self.stack[-1][0] != name:
+                self._pop()
+            self._pop()
+
+
 def holders(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
     """Numbers of the tags that open an element around the main element or an article that is in no other article."""
     found: set[int] = set()
-    stack: list[tuple[str, int]] = []
+    elements = Elements(lambda name, note: None)
     for k, (_, _, name, close, attrs) in enumerate(tags):
         if close:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            elements.end(name)
         elif name and opens(name, close, attrs):
-            if name == "main" or (name == "article" and all(n != "article" for n, _ in stack)):
-                for _, i in reversed(stack):
+            elements.imply(name)
+            if name == "main" or (name == "article" and not elements.open.get("article")):
+                for _, i in reversed(elements.stack):
                     if i in found:
                         break
                     found.add(i)
-            stack.append((name, k))
+            elements.enter(name, k)
     return found
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, length for the distribution, whether inside an article) of each line; gaps are empty lines."""
+    """(text, weight, whether inside an article) of each line; gaps are empty lines."""
     lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
     parts: list[str] = []
     dropped = article = links = linked = 0
 
@@ -126,7 +195,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, len(text) if article > 0 or 2 * linked <= len(text) else 0, article > 0))
+            lines.append((text, MARKED * len(text) if article > 0 else len(text) if 2 * linked <= len(text) else 0, article > 0))
         parts.clear()
         linked = 0
 
@@ -137,17 +206,25 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if links:
                 linked += len(unescape(text).strip())
 
-    def leave() -> None:
+    def gap() -> None:
+        lines.extend([("", 0, False)] * WINDOW)
+
+    def leave(name: str, furniture: bool) -> None:
         nonlocal dropped, article, links
-        name, furniture = stack.pop()
+        if name in BLOCKS:
+            flush()
         dropped -= furniture
-        article -= name in ("article", "main")
         links -= name == "a"
-        if furniture and not dropped:
-            lines.extend([("", 0, False)] * WINDOW)
+        if name in ("article", "main"):
+            article -= 1
+            if not article and not dropped:
+                gap()
+        elif furniture and not dropped and not article:
+            gap()
 
     tags = tags_of(html)
     holding = holders(tags) if any(name in ("article", "main") for _, _, name, _, _ in tags) else ()
+    elements = Elements(leave)
     at = 0
     head = False  # ends with the first element that cannot stand in it; what can has no text but in noframes
     for k, (start, end, name, close, attrs) in enumerate(tags):
@@ -161,16 +238,15 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             words(" ")
         head = (head or name == "head") and name in HEAD and not (close and name == "head")
         if close:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            while depth is not None and len(stack) > depth:
-                leave()
+            elements.end(name)
         elif opens(name, close, attrs):
+            elements.imply(name)
             furniture = is_furniture(name, attrs, article > 0, k in holding) or (head and name == "noframes")
             if furniture:
                 flush()
-                if not dropped:
-                    lines.extend([("", 0, False)] * WINDOW)
-            stack.append((name, furniture))
+            if not dropped and not article and (furniture or name in ("article", "main")):
+                gap()
+            elements.enter(name, furniture)
             dropped += furniture
             article += name in ("article", "main")
             links += name == "a"
@@ -179,28 +255,38 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text of one page; empty for a null or empty page."""
-    lines = lines_of(html or "")
-    marked = any(n for _, n, inside in lines if inside)
-    lengths = [n if inside or not marked else 0 for _, n, inside in lines]
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    least = 1 if marked else min(surge, max(sums, default=0) / 2)
-    kept: list[str] = []
-    i = 0
-    while i < len(lines):
-        if not lengths[i]:
+def chosen(weights: list[int], marked: list[bool], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Runs (first line, line after the last) of main text, from the weights of lines in their order."""
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    n = len(weights)
+    sums = [total[min(n, i + window)] - total[i] for i in range(n)]
+    peak = max(range(n), key=sums.__getitem__, default=0)
+    half = sums[peak] / 2 if n else 0
+    kind = next((marked[i] for i in range(peak, n) if weights[i]), False)
+    out, i = [], 0
+    while i < n:
+        if not weights[i]:
             i += 1
             continue
         end = i  # the surge; the dive is where the next window of lines holds nothing
-        while end < len(lines) and sums[end]:
+        while end < n and sums[end]:
             end += 1
-        while not lengths[end - 1]:
-            end -= 1
-        if max(sums[i:end]) >= least:
-            kept += [t for t, _, _ in lines[i:end] if t]
+        last = end
+        while not weights[last - 1]:
+            last -= 1
+        if max(sums[i:last]) >= (min(surge, half) if marked[i] == kind else half):
+            out.append((i, last))
         i = end
-    return "\n".join(kept)
+    return out
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """Main text of one page; empty for a null or empty page."""
+    lines = lines_of(html or "")
+    runs = chosen([w for _, w, _ in lines], [inside for _, _, inside in lines], window, surge)
+    return "\n".join(t for a, b in runs for t, _, _ in lines[a:b] if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:

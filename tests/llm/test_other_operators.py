@@ -1,6 +1,7 @@
 """Nearest neighbours, SentencePiece, mixing, page text, WARC, and the pipeline."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -193,6 +194,51 @@ def test_page_text_keeps_whole_articles():
     assert text(f"<article><h1>Title</h1><p>{para}</p><div class=comments><article>No</article></div></article><div class=sidebar>No</div>") == want
 
 
+def test_page_text_implied_ends_and_whole_tokens():
+    text = lineblocks.main_text
+    assert text("<article><p>First.<p class='share'>Share<p>Second.</article>") == "First.\nSecond."
+    assert text("<article><ul><li class='social'>x<li>One<ul><li class='ad'>y<li>Two</ul><li>Three</ul></article>") == "One\nTwo\nThree"
+    assert text("<article><div class='search-results-intro'>Intro</div><div class='siteAdBox'>Buy</div><dl><dt class=related>R<dd>D</dl></article>") == "Intro\nD"
+    para = "Plain words of an article without marks, and rather many of them in a line. " * 4
+    assert text(f"<main><p>We use cookies.</p></main><div><p>{para}<p>{para}</div>").split("\n") == [para.strip()] * 2
+    assert text(f"<article><p>{para}</article><div>{para[:200]}</div>") == para.strip()
+    assert text(f"<body><table><tr><td class=sidebar>Menu<td><p>{para}<tr><td class=ad>x</table>") == para.strip()
+
+
+def plain_runs(weights, marked, window, surge):
+    """The rule line by line: a line belongs to the run of the line before it unless the sums between reached 0."""
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    if not any(weights):
+        return []
+    top = sums.index(max(sums))
+    kind = marked[next(i for i in range(top, n) if weights[i])]
+    runs = []
+    for i in [i for i in range(n) if weights[i]]:
+        if runs and all(sums[k] for k in range(runs[-1][-1], i)):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    least = lambda r: min(surge, max(sums) / 2) if marked[r[0]] == kind else max(sums) / 2
+    return [(r[0], r[-1] + 1) for r in runs if max(sums[r[0] : r[-1] + 1]) >= least(r)]
+
+
+def test_surge_and_dive_against_the_plain_rule():
+    rng = random.Random(8)
+    for _ in range(3000):
+        n, window = rng.randint(0, 25), rng.randint(1, 4)
+        weights = [rng.choice([0, 0, rng.randint(1, 30), rng.randint(1, 300)]) for _ in range(n)]
+        marked = [rng.random() < 0.4 for _ in range(n)]
+        assert lineblocks.chosen(weights, marked, window, 80) == plain_runs(weights, marked, window, 80)
+
+
+def test_page_text_takes_linear_time():
+    for page in ("<p>x</q>", "<div><li>", "<ul><li>", "</p></div>", "<a b='>"):
+        begin = time.process_time()
+        lineblocks.main_text(page * 20_000)
+        assert time.process_time() - begin < 5, page
+
+
 @pytest.fixture(scope="module")
 def odd_pages(spark):
     big = "x" * 150
