@@ -167,15 +167,40 @@ def runs(batches, *keys: str):
         yield pa.concat_tables(held)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+#: A side of so many rows is broadcast; a larger one is joined under salts.
+BROADCAST_ROWS = 100_000
+
+
+def hot_join(left: DataFrame, hot: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """left joined with hot, which has one row for each of the keys that very many rows of left share.
+
+    hot is counted: if it is small it is broadcast, else its rows are repeated under salts and the rows of a key are dealt
+    to as many tasks.  Either way no key's rows meet in one task.
+    """
+    if hot.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(hot), key, how)
+    every = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    return dealt.join(every, [key, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, rounds: int = 50, hub: int = 10_000) -> DataFrame:
     """(id, component) of all ids in edges (a, b): component is the smallest id that can be reached.
 
     Alternates large-star and small-star steps: each links a node's neighbours to their smallest, with joins on
-    node minima, so that no neighbourhood is gathered.  Each step is written to the shared folder.
+    node minima, so that no neighbourhood is gathered; nodes with over ``hub`` neighbours are joined apart, so that none is
+    dealt to one task.  Each step is written to the shared folder.
     """
 
-    def minima(sym: DataFrame) -> DataFrame:
-        return sym.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+    def with_least(sym: DataFrame) -> DataFrame:
+        """Rows (u, v) with m, the smallest of u and its neighbours."""
+        least = sym.groupBy("u").agg(F.min("v").alias("_v"), F.count("*").alias("_n")).select("u", F.least("u", "_v").alias("m"), "_n")
+        least = materialise(least)
+        hubs = least.where(F.col("_n") > hub).select("u", "m")
+        rest = least.where(F.col("_n") <= hub).select("u", "m")
+        if hubs.isEmpty():
+            return sym.join(rest, "u")
+        return hot_join(sym, hubs, "u").unionByName(hot_join(sym, hubs.select("u"), "u", "left_anti").join(rest, "u"))
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -185,14 +210,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
-        sym = both(now)
-        large = sym.join(minima(sym), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large)
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = minima(down)
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        small = small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialise(small)
+        large = with_least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = with_least(materialise(large).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        # Each neighbour is linked to the smallest, and the node itself as well.
+        small = down.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        now = materialise(small.where("a <> b").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -87,8 +87,8 @@ def brute_groups(rows, width, percent):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("leaf,depth", [(1000, 4), (4, 3), (2, 1)])
-def test_near_duplicates_against_brute_force(spark, leaf, depth):
+@pytest.mark.parametrize("leaf", [1000, 4, 2])
+def test_near_duplicates_against_brute_force(spark, leaf):
     rng = random.Random(11)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 120))] for _ in range(25)]
     rows = []
@@ -98,7 +98,7 @@ def test_near_duplicates_against_brute_force(spark, leaf, depth):
             w[rng.randrange(len(w))] = f"x{rng.randint(0, 50)}"
         rows.append((i * 3 + 1, " ".join(x.upper() if rng.random() < 0.2 else x for x in w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(docs, 4, 80, leaf=leaf, depth=depth).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(docs, 4, 80, leaf=leaf).collect()}
     assert got == brute_groups(rows, 4, 80)
 
 
@@ -107,7 +107,8 @@ def test_blocks_of_a_large_group(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(x if rng.random() > 0.02 else f"y{rng.randint(0, 99)}" for x in base)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = spark.createDataFrame([(i, 0, 57) for i, _ in rows], "rep long, grp long, n_shingles long")
+    hashes = {i: chosenpath.set_hash(chosenpath.Shingler(4).shingles(t)) for i, t in rows}
+    members = spark.createDataFrame([(i, i, hashes[i], 0, 57) for i, _ in rows], "rep long, doc long, h1 long, grp long, n_shingles long")
     links = chosenpath.exact_edges(members, docs, 4, 80, block=600)
     assert not links.where("whole").count()
     got = {r.id: r.component for r in components(links.select("a", "b")).collect()}
@@ -125,7 +126,17 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert chosenpath.near_duplicates(no_docs).collect() == []
 
 
-def test_components(spark):
+def test_texts_that_share_an_id_are_told_apart(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (5, text("a") + " more"), (7, text("b") + " more"), (9, text("c")), (9, text("c")), (None, text("a"))]
+    got = sorted(((r.doc_id, r.component_id) for r in chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (5, 1), (7, 1), (9, 9), (9, 9), (None, 1)]
+    removed = suffixes.remove_repeats(spark.createDataFrame([(1, text("a")), (1, text("b")), (2, "- " + text("b")), (1, text("a"))], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in removed) == [(1, len(text("a")), 0), (1, len(text("a")), 0), (1, len(text("b")), 0), (2, len(text("b")) + 2, len(text("b")))]
+
+
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_components(spark, hub):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (60, 100), (7, 7)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), hub=hub).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 100: 50}
