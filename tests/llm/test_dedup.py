@@ -38,8 +38,11 @@ def brute_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("large", [suffixes.LARGE, 3])
-def test_removal_against_brute_force(spark, large):
+@pytest.mark.parametrize("leaf,least", [(suffixes.LEAF, 64), (3, 64), (1, 2)])
+def test_removal_against_brute_force(spark, monkeypatch, leaf, least):
+    monkeypatch.setattr(suffixes, "LEAF", leaf)
+    monkeypatch.setattr(suffixes.hot_anchors, "__defaults__", (10_000, 1 << 16, least))
+    monkeypatch.setattr(suffixes.repeats, "__defaults__", (leaf, least))
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     passage = [" ".join(word() for _ in range(40)) for _ in range(4)]
@@ -54,7 +57,7 @@ def test_removal_against_brute_force(spark, large):
     rows += [(200, rows[20][1]), (201, rows[20][1]), (30, dict(rows)[30])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute_removal(rows)
-    got = suffixes.remove_repeats(docs, large=large).collect()
+    got = suffixes.remove_repeats(docs, leaf=leaf).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:] == want[r.doc_id], r.doc_id
