@@ -5,11 +5,14 @@ products order like angles; several rotations, each learned to keep its bits clo
 components (iterative quantisation), give a code of some hundred bits.  The Hamming radius is the one
 within which the sample's nearest neighbours lie.
 
-Search: a code is split into substrings of 16 bits, each with an index from value to rows.  A code within
-radius r of a query agrees with it in one of m substrings up to r // m bits (pigeonhole), so probing all
-values so near retrieves every row within r; those rows are ranked by the inner product of the original
-vectors.  Rows are indexed in blocks, and the stated queries meet all blocks, in blocks of queries.  A query
-that finds fewer than k rows of a block within the radius takes that block's k nearest codes.
+Search: a code is split into substrings of 64 bits, each with an index from value to rows.  A code within radius r of a
+query agrees with it in one of m substrings up to thresholds that add up to r - m + 1 (pigeonhole), so probing the values
+so near in each index retrieves every row within r.  The Hamming distances of what was retrieved are completed, and rows
+within r are ranked by the inner product of the original vectors.  A query that finds fewer than k rows of a block widens
+its radius step by step.  Rows are indexed in blocks, and the stated queries meet all blocks, in blocks of queries.
+
+Substrings are this long because neighbours of evenly spread vectors differ in over a third of their bits: 16 bits
+would have to be probed up to 6 or 7 of them, which retrieves nearly all rows.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
-PIECE = 16
-COUNT = np.array([bin(i).count("1") for i in range(1 << PIECE)], np.uint8)
+PIECE = 64
 
 
 @dataclass
@@ -46,9 +48,9 @@ class CodeModel:
         return np.column_stack([x, rest]) / scale[:, None]
 
     def codes(self, x: np.ndarray, is_query: bool = False) -> np.ndarray:
-        """Substrings of the codes, rows x m of uint16."""
+        """Substrings of the codes, rows x m of uint64."""
         bits = (self.lift(x, is_query) - self.mean) @ self.planes > 0
-        return np.packbits(bits, axis=1).view(np.uint16)
+        return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def learn_rotation(x: np.ndarray, bits: int, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
@@ -63,7 +65,7 @@ def learn_rotation(x: np.ndarray, bits: int, rng: np.random.Generator, rounds: i
     return directions @ rotation
 
 
-def fit(sample: np.ndarray, top_norm: float, n_rows: int, k: int = 20, bits: int = 256, recall: float = 0.97, seed: int = 11) -> CodeModel:
+def fit(sample: np.ndarray, top_norm: float, n_rows: int, k: int = 20, bits: int = 256, recall: float = 0.95, seed: int = 11) -> CodeModel:
     """sample: rows x dimensions.  The radius holds ``recall`` of the pairs (query, neighbour) in the sample, where a
     query's neighbours are as large a share of the sample as k is of all rows (one at least)."""
     rng = np.random.default_rng(seed)
@@ -81,38 +83,57 @@ def fit(sample: np.ndarray, top_norm: float, n_rows: int, k: int = 20, bits: int
         score[score >= (picked**2).sum(1)[:, None] - 1e-12] = -np.inf  # itself and copies
         near = np.argpartition(-score, share - 1, axis=1)[:, :share]
         hc, qc = model.codes(sample), model.codes(picked, True)
-        d = COUNT[qc[:, None, :] ^ hc[near]].sum(2)
+        d = np.bitwise_count(qc[:, None, :] ^ hc[near]).sum(2, dtype=np.int64)
         model.radius = int(np.quantile(d[np.isfinite(np.take_along_axis(score, near, 1))], recall)) + 1 if np.isfinite(score).any() else bits
     return model
 
 
-def search_block(model: CodeModel, qx: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Index:
+    """The substring indexes of a block: for each, its distinct values and each row's place among them."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
+
+    def probe(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """queries x rows: whether a row agrees with a query in one substring up to its threshold."""
+        m = self.codes.shape[1]
+        least, more = divmod(max(0, radius - m + 1), m)
+        found = np.zeros((len(queries), len(self.codes)), bool)
+        for j, (values, places) in enumerate(self.tables):
+            near = np.bitwise_count(queries[:, j, None] ^ values[None, :]) <= least + (j < more)
+            found |= near if len(values) == len(places) and np.array_equal(places, np.arange(len(places))) else near[:, places]
+        return found
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all pairs within the radius; distances are completed for retrieved pairs only."""
+        who, what = np.nonzero(self.probe(queries, radius))
+        distance = np.bitwise_count(queries[who] ^ self.codes[what]).sum(1, dtype=np.int64)
+        near = distance <= radius
+        return who[near], what[near]
+
+
+def search_block(model: CodeModel, qx: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, step: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of up to k rows of the block for each query; ties to smaller ids."""
-    qc, hc = model.codes(qx, True), model.codes(x)
-    m = hc.shape[1]
-    indexes = [np.unique(hc[:, j], return_inverse=True) for j in range(m)]  # value -> rows, one for each substring
+    qc, index = model.codes(qx, True), Index(model.codes(x))
+    bits = qc.shape[1] * PIECE
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(qx), 64):
-        q = qc[at : at + 64]
-        found = np.zeros((len(q), len(x)), bool)
-        for j, (values, rows) in enumerate(indexes):
-            probed = COUNT[q[:, j, None] ^ values[None, :]] <= model.radius // m
-            found |= probed[:, rows]
-        distance = np.zeros((len(q), len(x)), np.uint16)
-        for j in range(m):
-            distance += COUNT[q[:, j, None] ^ hc[None, :, j]]
-        found &= distance <= model.radius
-        few = np.flatnonzero(found.sum(1) < min(k, len(x)))
-        if len(few):
-            wide = np.partition(distance[few], min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            found[few] = distance[few] <= wide[:, None]
-        who, what = np.nonzero(found)
-        score = np.einsum("ij,ij->i", qx[at + who], x[what])
+        q = np.arange(at, min(at + 64, len(qx)))
+        radius, pairs = model.radius, []
+        while len(q):
+            who, what = index.within(qc[q], radius)
+            enough = np.bincount(who, minlength=len(q)) >= min(k, len(x))
+            enough |= radius >= bits
+            pairs.append((q[who][enough[who]], what[enough[who]]))
+            q, radius = q[~enough], min(bits, radius + step)
+        who, what = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        score = np.einsum("ij,ij->i", qx[who], x[what])
         order = np.lexsort((ids[what], -score, who))
         who, what, score = who[order], what[order], score[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         keep = rank < k
-        out.append((at + who[keep], ids[what[keep]], score[keep]))
+        out.append((who[keep], ids[what[keep]], score[keep]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
@@ -123,7 +144,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(some)
 
 
-def search(vectors: DataFrame, queries, k: int = 20, sample_rows: int = 10_000, bits: int = 256, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, sample_rows: int = 10_000, bits: int = 256, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of vectors (vec_id, embedding) that ``queries`` holds for.
 
     A query's own row is no candidate.  Null vectors, zero vectors, and vectors with null or non-finite
@@ -150,7 +171,7 @@ def search(vectors: DataFrame, queries, k: int = 20, sample_rows: int = 10_000,
     asked = valid.where(queries).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = materialise(asked.join(distinct.select("embedding", "rep"), "embedding").select("query_id", F.col("rep").alias("qrep")))
     q = distinct.join(asked.select(F.col("qrep").alias("rep")).distinct(), "rep", "left_semi")
-    n_q = max(1, n // 20)
+    n_q = max(1, q.count())
     blocks = max(1, math.ceil(n / min(16_384, max(1024, math.ceil(n / 16)))))
     q_blocks = max(1, math.ceil(n_q / 1024))
     block = lambda c, of, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(of)).cast("int")

@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialise, shared_dir
 
 END = "\r\n\r\n"
+SALTS = 16
+#: An archive holds at most so many bytes of payload (or one record), since it is read whole.
+FILE_BYTES = 64 << 20
+#: Captures in a range of the merged index.
+RANGE_ROWS = 100_000
 CAPTURE = "page_id long, url string, urlkey string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
@@ -38,7 +43,8 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Adds payload, payload_bytes, payload_digest, record_type, refers_to to pages (page_id, url, html).
 
     Among equal payloads of at least ``least_bytes`` bytes the smallest page_id is the response.  A null
-    html is an empty payload.  Repeated rows of that page_id are responses too.
+    html is an empty payload.  Repeated rows of that page_id are responses too.  Digests that several pages have are
+    repeated under salts, so that a very common payload is dealt to many tasks.
     """
     pages = pages.select(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload")
@@ -49,8 +55,9 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    pages = pages.join(first, "payload_digest", "left")
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["payload_digest", "salt"], "left")
     revisit = F.col("first_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     return pages.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
@@ -60,11 +67,15 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, least_bytes: int = 100) -> None:
-    """Write a WARC record for each row of pages (page_id, url, html) to files under path.
+    """Write a WARC record for each row of pages (page_id, url, html) to files under path: plain ones, so that the index's
+    offsets lead to records without reading what lies before.  A file has ``records_per_file`` records or as few as keep
+    it below FILE_BYTES.
 
     A revisit carries the payload too, so that an archive can be read alone; its header names the page
     it refers to.  The date is the page_id in seconds after 2024-01-01 (pages have no time of their own).
     """
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
+    records_per_file = max(1, min(records_per_file, FILE_BYTES // (largest + 1000)))
     rows = typed(pages, least_bytes)
     date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")
@@ -88,7 +99,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, le
         rows.select(record.alias("value"))
         .write.option("lineSep", END)
         .option("maxRecordsPerFile", records_per_file)
-        .option("compression", "gzip")
+        .option("compression", "none")
         .text(path)
     )
 
@@ -117,14 +128,11 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
     The digest and the length are taken from the payload as read, not from the header; a mismatch raises.
     """
-    import gzip
-
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                content = gzip.decompress(content) if name.endswith(".gz") else content
                 rows = []
                 for at, h, payload in records(content):
                     digest = hashlib.sha256(payload).hexdigest()
@@ -183,12 +191,13 @@ class LoserTree:
 def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Merge sorted runs (capture_runs) into one order by (urlkey, ts, page_id) over all partitions; adds capture_no.
 
-    Rows are dealt to ranges of the whole key, so that a URL with very many captures is spread too; a range's
-    slices of the runs are merged by a loser tree.  capture_no counts a URL's captures from 1: within
+    Rows are dealt to ranges of the whole key, about RANGE_ROWS in each, so that a URL with very many captures is spread too and
+    a task holds one range; a range's slices of the runs are merged by a loser tree.  capture_no counts a URL's captures from 1: within
     ranges by the merge, across them by adding what earlier ranges hold of the same key (a few rows each).
     """
     spark = runs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = materialise(runs)  # the archives are read once; ranges are drawn from the runs
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     dealt = runs.repartitionByRange(n, "urlkey", "ts", "page_id")
     names = [c.split()[0] for c in CAPTURE.split(", ")]
 

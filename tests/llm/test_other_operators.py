@@ -39,6 +39,35 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits / 300 >= 0.9
 
 
+def test_pigeonhole_retrieves_all_within_the_radius_and_little_else(spark):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    codes[::7] = codes[:429]
+    index = mih.Index(codes)
+    near = codes[rng.integers(0, 3000, 40)].copy()
+    for k in range(40):
+        near[k, rng.integers(0, 4)] ^= np.uint64(rng.integers(0, 1 << 40))
+    for radius in (0, 3, 20, 60, 100, 108):
+        who, what = index.within(near, radius)
+        full = np.bitwise_count(near[:, None, :] ^ codes[None]).sum(2, dtype=int) <= radius
+        assert set(zip(who.tolist(), what.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(full)), strict=True))
+    assert index.probe(near, 100).mean() < 0.3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_neighbours_of_the_given_vectors(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = mih.search(table, F.col("vec_id") % 20 == 0).collect()
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
+    hits = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, x @ rows[q])
+        want = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits, total = hits + len(want & {r.vec_id for r in got if r.query_id == q}), total + len(want)
+    assert hits / total >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     ddl = "vec_id long, embedding array<float>, score string, rank string"
     rows = [(0, [1.0, 0.0], "a", "b"), (1, [0.5, 0.5], "a", "b"), (2, None, "a", "b"), (3, [0.0, 0.0], "a", "b"), (4, [float("nan"), 1.0], "a", "b"), (5, [1.0, None], "a", "b"), (20, [1.0, 0.0], "a", "b"), (40, [float("inf"), 1.0], "a", "b")]
@@ -255,6 +284,10 @@ def test_archives_round_trip(spark, odd_pages):
     assert sizes[4] == 0 == sizes[6] and sizes[10] == len("a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nü".encode()) * 9
     assert [r.capture_no for r in sorted((r for r in rows if r.urlkey == "org,b)/a"), key=lambda r: r.ts)] == [1, 2]
     assert warc.archive_and_index(odd_pages.limit(0)).collect() == []
+    for r in rows:  # an offset leads to its record
+        with open(r.archive.removeprefix("file:").replace("///", "/"), "rb") as f:
+            f.seek(r.offset)
+            assert f.read(9) == b"WARC/1.1\r"[:9] and f"<urn:page:{'' if r.page_id is None else r.page_id}>".encode() in f.read(200)
 
 
 def test_histories_over_many_ranges(spark):
