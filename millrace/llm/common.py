@@ -171,16 +171,17 @@ def runs(batches, *keys: str):
 BROADCAST_ROWS = 100_000
 
 
-def hot_join(left: DataFrame, hot: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+def hot_join(left: DataFrame, hot: DataFrame, key: str, how: str = "inner", spread: list[str] | None = None, salts: int = 64) -> DataFrame:
     """left joined with hot, which has one row for each of the keys that very many rows of left share.
 
     hot is counted: if it is small it is broadcast, else its rows are repeated under salts and the rows of a key are dealt
-    to as many tasks.  Either way no key's rows meet in one task.
+    to as many tasks by a hash of the columns in ``spread`` (all by default), which repeats if a task does.  Either way no
+    key's rows meet in one task.
     """
     if hot.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(hot), key, how)
     every = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int"))
     return dealt.join(every, [key, "_salt"], how).drop("_salt")
 
 

@@ -17,10 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, shared_dir
+from millrace.llm.common import hot_join, materialise, shared_dir
 
 END = "\r\n\r\n"
-SALTS = 16
 #: An archive holds at most so many bytes of payload (or one record), since it is read whole.
 FILE_BYTES = 64 << 20
 #: Captures in a range of the merged index.
@@ -43,8 +42,8 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Adds payload, payload_bytes, payload_digest, record_type, refers_to to pages (page_id, url, html).
 
     Among equal payloads of at least ``least_bytes`` bytes the smallest page_id is the response.  A null
-    html is an empty payload.  Repeated rows of that page_id are responses too.  Digests that several pages have are
-    repeated under salts, so that a very common payload is dealt to many tasks.
+    html is an empty payload.  Repeated rows of that page_id are responses too.  The list of digests that several pages have
+    is broadcast if it is short, so that payloads aren't shuffled, and else joined under salts.
     """
     pages = pages.select(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload")
@@ -55,9 +54,8 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["payload_digest", "salt"], "left")
+    pages = hot_join(pages, materialise(first), "payload_digest", "left", ["page_id", "url"])
     revisit = F.col("first_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     return pages.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",

@@ -90,8 +90,9 @@ def brute_groups(rows, width, percent):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("leaf", [1000, 4, 2])
-def test_near_duplicates_against_brute_force(spark, leaf):
+@pytest.mark.parametrize("leaf,most", [(1000, 100_000), (4, 0), (2, 100_000)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, leaf, most):
+    monkeypatch.setattr("millrace.llm.common.BROADCAST_ROWS", most)
     rng = random.Random(11)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 120))] for _ in range(25)]
     rows = []

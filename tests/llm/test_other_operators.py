@@ -276,7 +276,9 @@ def odd_pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
 
 
-def test_archives_round_trip(spark, odd_pages):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_archives_round_trip(spark, odd_pages, monkeypatch, most):
+    monkeypatch.setattr("millrace.llm.common.BROADCAST_ROWS", most)
     rows = warc.archive_and_index(odd_pages).collect()
     want = {3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), 4: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("response", None), 10: ("response", None), 11: ("revisit", 10)}
     assert len(rows) == odd_pages.count() and {r.page_id: (r.record_type, r.refers_to) for r in rows if r.page_id is not None} == want
