@@ -104,7 +104,7 @@ def branch(node: int, tokens: np.ndarray, threshold: float) -> list[int]:
 
 
 def signatures(docs: DataFrame, width: int = 4, threshold: float = 0.8, trees: int = 12) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (a hash of the set), tokens, sketch and the keys of its first nodes, for each row of docs."""
+    """doc_id, text_hash, n_shingles, h1, h2 (a hash of the set), tokens, sketch and the keys of its first nodes, for each row of docs."""
 
     def run(batches):
         shingler = Shingler(width)
@@ -120,12 +120,12 @@ def signatures(docs: DataFrame, width: int = 4, threshold: float = 0.8, trees: i
                 sketch.append(m.astype(np.uint8).tobytes() if len(s) else b"")
                 keys.append([k for tree in range(trees) for k in branch(tree, m, threshold)] if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "h1", "h2", "tokens", "sketch", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "tokens", "sketch", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, h1 long, h2 long, tokens binary, sketch binary, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, tokens binary, sketch binary, keys array<long>"
     )
 
 
@@ -301,7 +301,7 @@ def exact_edges(members: DataFrame, docs: DataFrame, width: int, percent: int, b
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 12, leaf: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); other columns are ignored.
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64) for each row of docs (doc_id, text); other columns are ignored.
 
     Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest
     doc_id that links lead to, kept tells whether it is the row's own.  Null and empty texts and texts
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     named = labelled.groupBy("component").agg(F.min("doc").alias("label"))
     final = labelled.join(named, "component").select("id", "label")
     labels = classes.join(final, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("label", "doc").alias("component_id"))
-    rows = sigs.select("doc_id", *key)
+    rows = sigs.select("doc_id", "text_hash", *key)
     # Classes of very many rows are joined apart.
     many = materialise(rows.where("n_shingles > 0").groupBy(*key).count().where("count > 10000").select(*key))
     same = F.coalesce("component_id", "doc_id")
@@ -341,4 +341,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         pack = lambda df: df.withColumn("class", one)
         hot = pack(labels.join(many, key, "left_semi")).select("class", "component_id")
         rows = hot_join(pack(rows), hot, "class").drop("class").unionByName(hot_join(pack(rows), hot.select("class"), "class", "left_anti").drop("class").join(labels, key, "left"))
-    return rows.select("doc_id", "n_shingles", same.alias("component_id"), F.coalesce(F.col("doc_id") == same, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "n_shingles", same.alias("component_id"), F.coalesce(F.col("doc_id") == same, F.lit(True)).alias("kept"), "text_hash")

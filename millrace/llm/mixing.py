@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
 
     Returns doc_id, size, source_size, target, taken: one row for each input row.  A null or empty text
     has size 0 and takes 0.  Rows with a null source are a source of their own, the last.  Rows that
-    share a doc_id share their random number; ties in rank go to the smaller doc_id.  Repeated rows each
+    share a doc_id share their random number; ties in rank go to the smaller doc_id, then to the smaller size.  Repeated rows each
     count.  The random numbers are functions of doc_id and seed, so that reruns agree.
     No source's rows need to meet in a task: words are summed by rank bin, and only the bin in which a
     source's sample ends is ordered row by row.
@@ -102,7 +102,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> Da
         "no_source", "skey", F.col("bin").alias("last_bin"), "before"
     )
     ranked = ranked.join(last.select("*", salts), ["no_source", "skey", "salt"], "left")
-    inside = Window.partitionBy("no_source", "skey").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("no_source", "skey").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = ranked.where(F.col("bin") == F.col("last_bin")).withColumn(
         "chosen", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2.0 <= F.col("need")
     )
@@ -123,17 +123,25 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> Da
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "") -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, columns unchanged.
 
-    A doc_id must be unique; rows without one are told apart by source, words and a number among those that agree in both.
+    Rows are matched with what the mix takes by doc_id; those without one, and those that share one, are told apart by
+    source, words and a number among rows that agree in all of these, in the order of their texts' hashes.
     """
-    mixed = _mixed(docs, weights, cap, seed).withColumn("_times", F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).cast("int"))
-    found = docs.join(mixed.where("taken > 0").select("doc_id", "_times"), "doc_id").select(*docs.columns, "_times")
-    keys = ["_none", "_source", "_words"]
+    mixed = materialise(_mixed(docs, weights, cap, seed).withColumn("_times", F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")))
+    again = materialise(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    plain, odd = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    taken, rest = mixed.where("doc_id IS NOT NULL"), mixed.where("doc_id IS NULL")
+    if not again.isEmpty():
+        odd, rest = (d.unionByName(p.join(again, "doc_id", "left_semi")) for d, p in ((odd, plain), (rest, taken)))
+        plain, taken = (p.join(again, "doc_id", "left_anti") for p in (plain, taken))
+    found = plain.join(taken.where("_times > 0").select("doc_id", "_times"), "doc_id").select(*docs.columns, "_times")
+    keys = ["_id", "_none", "_source", "_words"]
     nth = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    times = mixed.where("doc_id IS NULL").select(F.col("no_source").alias("_none"), F.col("skey").alias("_source"), F.col("size").alias("_words"), "_times")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    times = rest.select(named, F.col("no_source").alias("_none"), F.col("skey").alias("_source"), F.col("size").alias("_words"), "_times")
     times = times.withColumn("_nth", nth(F.desc("_times"))).where("_times > 0")
-    bare = docs.where("doc_id IS NULL").withColumns({"_none": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_words": word_count(F.col("text"))})
-    bare = bare.withColumn("_nth", nth(F.xxhash64("text"))).join(times, [*keys, "_nth"]).select(*docs.columns, "_times")
-    return found.unionByName(bare).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    odd = odd.select("*", named, F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), word_count(F.col("text")).alias("_words"))
+    odd = odd.withColumn("_nth", nth(F.xxhash64("text"))).join(times, [*keys, "_nth"]).select(*docs.columns, "_times")
+    return found.unionByName(odd).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 #: The same rows from plain windows over each source.  {docs} is the name of the documents table.
@@ -170,5 +178,5 @@ ranked AS (
 SELECT doc_id, size, source_size, target,
        size * (copies + CASE WHEN coalesce(sum(size) OVER r, 0)::DOUBLE + size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END) AS taken
 FROM ranked
-WINDOW r AS (PARTITION BY no_source, skey ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+WINDOW r AS (PARTITION BY no_source, skey ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """

@@ -248,10 +248,16 @@ def is_training_row(doc_id, folds: int = 5, held: int = 0):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != held
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> ToxicityModel:
-    """Fit on about ``sample_rows`` labelled rows (docs: doc_id, text; labels: doc_id, toxic), chosen by a hash of doc_id."""
-    labels = sampled(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id", sample_rows)
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").orderBy("doc_id", "text", "toxic").collect()
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, sample_bytes: int = 24 << 20) -> ToxicityModel:
+    """Fit on about ``sample_rows`` labelled rows (docs: doc_id, text; labels: doc_id, toxic), chosen by a hash of doc_id, and
+    on fewer where their texts have more than ``sample_bytes`` bytes.  Equal rows of labels count once."""
+    labels = sampled(labels.where("toxic IS NOT NULL").select("doc_id", "toxic").distinct(), "doc_id", sample_rows)
+    rows = docs.select("doc_id", "text").join(labels, "doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_bytes:
+        share = int(1_000_000 * sample_bytes / size)
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < share)
+    rows = rows.orderBy("doc_id", "text", "toxic").collect()
     return fit([(r["text"], r["toxic"]) for r in rows])
 
 

@@ -178,6 +178,13 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert [r.taken for r in mixing.mix(one).collect()] == [mixing.mix(one).first()["size"]]
 
 
+def test_applied_mix_keeps_rows_that_share_an_id(spark):
+    rows = [(k // 2, "w " * (k % 4 + 1), "ab"[k % 3 > 0]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = sum(r.taken for r in mixing.mix(docs).collect())
+    assert sum(len(r.text.split()) for r in mixing.apply_mix(docs).collect()) == taken > 0
+
+
 def test_applied_mix_keeps_rows_without_id(spark):
     rows = [(k if k % 3 else None, "w " * (k % 5 + 1), "ab"[k % 2] if k % 7 else None) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -339,4 +346,7 @@ def test_pipeline_stages(spark, odd_docs, tmp_path):
     odd = odd_docs.select(*docs.columns, "score")
     for _, stage in P.STAGES:
         odd = stage(spark, odd, str(tmp_path)).cache()
-    odd.count()
+    assert {r.doc_id for r in odd.collect()} <= {1, 5, 6, None}
+    twice = docs.unionByName(spark.createDataFrame([(0, text("de", 50), "de", "a", 0)] * 2, docs.schema))
+    kept = P.drop_near_copies(spark, twice, "").collect()
+    assert sum(r.doc_id == 0 for r in kept) == 1 and len(kept) == len(P.drop_near_copies(spark, docs, "").collect())
