@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chosenpath, fertility, langid, lineblocks, mih, mixing, suffixes, toxicity, warc, wfst, whitening
+from millrace.llm import chosenpath, fertility, langid, licenses, lineblocks, mih, mixing, suffixes, toxicity, warc, wfst, whitening
 from millrace.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +85,8 @@ QUERIES = {
     "op8_line_blocks": op8_line_blocks,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op11_licenses": op11_licenses,
     "op13_whitening": op13_whitening,
 }
 
-SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL}
+SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL, "op11_licenses": licenses.sql()}
