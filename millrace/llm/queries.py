@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chosenpath, fertility, langid, licenses, lineblocks, mih, mixing, suffixes, toxicity, warc, wfst, whitening
+from millrace.llm import chosenpath, fertility, langid, licenses, lineblocks, mih, mixing, phrases, suffixes, toxicity, warc, wfst, whitening
 from millrace.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +90,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
     "op11_licenses": op11_licenses,
+    "op12_phrases": op12_phrases,
     "op13_whitening": op13_whitening,
 }
 
-SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL, "op11_licenses": licenses.sql()}
+SQL = {"op7_mixing": mixing.MIX_SQL.replace("{docs}", "documents"), "op9_warc": warc.SQL, "op11_licenses": licenses.sql(), "op12_phrases": phrases.SQL}
