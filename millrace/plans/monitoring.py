@@ -260,7 +260,9 @@ def packed(spark, d, only: str | None = None):
     )
     entity = lambda body, where=None: joined(lambda x: F.concat(fill('"<k>":{"attributes":{', x), body(x), F.lit("}}")), ",", where)
     superjob = F.concat(
-        F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['), joined(lambda x: fill('{"url":"https://russia.superjob.ru/vakansii/slug-<k>.html"}', x), ",", lambda x: x["k"] % 2 == 0),
+        F.lit('<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"url":"https://russia.superjob.ru/vakansii/crumb-1.html"}]}</script><script type="application/ld+json">{"@type":"ItemList","itemListElement":['),
+        joined(lambda x: fill('{"url":"https://russia.superjob.ru/vakansii/slug-<k>.html"}', x), ",", lambda x: x["k"] % 4 == 0), F.lit(']}</script><script type="application/ld+json">{"@type":"ItemList","itemListElement":['),
+        joined(lambda x: fill('{"url":"https://russia.superjob.ru/vakansii/slug-<k>.html"}', x), ",", lambda x: x["k"] % 4 == 2),
         F.lit(']}</script><script>window.APP_STATE={"ids":{"VACANCY_SEARCH_RESULT":['), joined(lambda x: fill("<k>", x), ",", lambda x: x["k"] % 3 > 0), F.lit(']},"entities":{"vacancyMainInfo":{'),
         entity(lambda x: F.concat(fill('"profession":"<p>","publishedAt":"P<k>","updatedAt":"', x), pick(x, 10, 1, "", fill("U<k>", x)), F.lit('"')), lambda x: x["k"] % 4 < 2), F.lit('},"vacancySalary":{'),
         entity(lambda x: F.concat(F.lit('"minSalary":'), F.when(x["k"] % 6 % 2 == 1, x["lo"]).otherwise(0).cast("string"), F.lit(',"maxSalary":'), F.when((x["k"] % 6).isin(2, 3), 2 * x["lo"]).otherwise(0).cast("string"), F.lit(',"paymentAgreement":'), pick(x, 6, 4, "true", "false"))),
@@ -278,11 +280,14 @@ def packed(spark, d, only: str | None = None):
         F.lit('<tr data-id="qa-content-tr" class="cf-line '), pick(x, 2, 0, "limited-card"), F.lit('">'), pick(x, 3, 0, fill("<i uid<k>></i>", x), fill("<i><k>,4 deal,9 reviews</i>", x)), pick(x, 4, 0, "", fill('<a href="/users/u<k>/"></a>', x)),
         fill('<b class="cf-title-card-new">', x), pick(x, 5, 0, "Фрилансер", fill("<p> &amp; N", x)), fill('</b><a href="/freelancers/web-dev/" data-id="qa-content-tr-td-cf-spec">Web <k></a><i>Опыт: 5 лет</i><i>12 работ</i></tr>', x),
     )
-    profiles = joined(lambda x: F.concat(fill('{"state":{"userProfileName":"<k>","userProfileFullName":"<p>","userProfileAddTime":"D<k>","userRating":"5","totalReviewsCount":8,"userSkills":[{"name":"a"},{"name":"b"}]},"gigs":[', x), fill('{"id":"<k>","price":"<lo>"}', x), pick(x, 2, 0, fill(',{"id":"0"}', x)), F.lit("]}")), ",")
+    profiles = joined(lambda x: F.concat(fill('{"state":{"userProfileName":"<k>","userProfileFullName":"<p>","userProfileAddTime":"D<k>","userProfileDescription":"<h2>a &amp; b</h2><div>c</div>","userRating":"5","totalReviewsCount":8,"totalKworks":3,"userSkills":[{"name":"a"},{"name":"b"}]},"gigs":[', x), fill('{"id":"<k>","price":"<lo>","categoryId":7,"conversion":0.5,"queueCount":2}', x), pick(x, 2, 0, fill(',{"id":"0"}', x)), F.lit("]}")), ",")
+    deep = (F.col("page") % 8).cast("int")  # levels above the catalog: with seven it is out of reach
     wrap = lambda head, body, tail: F.concat(F.lit(head), body, F.lit(tail))
     per = {
         "hh": wrap("<html>", twice(hh), "</html>"), "zarplata": wrap("<html>", twice(zarplata), "</html>"), "superjob": superjob, "habr": wrap('<script id=x data-ssr-state="true">{"vacancies":', listed, "}</script>"),
-        "avito": F.concat(F.lit('<script type="mime/invalid" data-mfe-state="true">{"state":'), F.when(F.col("page") % 2 == 0, '{"data":{"catalog":{"items":[').otherwise('{"page":{"data":{"catalog":{"items":['), avito, F.when(F.col("page") % 2 == 0, "]}}}").otherwise("]}}}}"), F.lit("}</script>")),
+        "avito": F.concat(
+            F.lit('<script type="mime/invalid" data-mfe-state="true">{"state":'), F.repeat(F.lit('{"list":[{"catalog":{"items":[]}}],"w":'), deep), F.lit('{"catalog":{"items":['), avito, F.lit(']},"a":{"catalog":{"items":[]}}}'), F.repeat(F.lit("}"), deep), F.lit("}</script>")
+        ),
         "fl": wrap("<?xml version='1.0'?><rss><channel>", twice(fl), "</channel></rss>"),
         "kwork": F.concat(F.lit('{"data":'), F.when(F.col("page") % 2 == 0, wrap('{"pagination":{"data":[', wants, "]}}")).otherwise(wrap('{"wants":[', wants, "]}")), F.lit("}")),
         "youdo": wrap('{"ResultObject":{"Items":[', youdo, "]}}"), "kwork_catalog": wrap('{"parent":"it","leaf":"web","data":{"stateData":{"viewData":{"kworks":{"posts":{"data":[', gigs, "]}}}}}}"),
@@ -308,10 +313,10 @@ EXPECTED = {
     "superjob": (
         "CASE WHEN k % 4 < 2 THEN p ELSE '' END", "'https://russia.superjob.ru/vakansii/' || CASE WHEN k % 2 = 0 THEN 'slug-' ELSE '' END || k || '.html'",
         "CASE k % 6 WHEN 1 THEN 'от ' || lo WHEN 5 THEN 'от ' || lo WHEN 2 THEN 'до ' || hi WHEN 3 THEN lo || '–' || hi || ' RUB' WHEN 4 THEN 'по договорённости' END",
-        "CASE WHEN k % 4 >= 2 THEN '' WHEN k % 10 = 1 THEN 'P' || k ELSE 'U' || k END", "'company=' || CASE WHEN k % 5 > 0 THEN 'S' || k ELSE '' END", "k % 4 < 3",
+        "CASE WHEN k % 4 >= 2 THEN '' WHEN k % 10 = 1 THEN 'P' || k ELSE 'U' || k END", "'company=' || CASE WHEN k % 5 > 0 THEN 'S' || k ELSE '' END || ';slug=' || CASE WHEN k % 2 = 0 THEN 'slug' ELSE '' END", "k % 4 < 3",
     ),
     "habr": ("p", "'https://career.habr.com/v/' || k", "CASE WHEN k % 2 = 0 THEN lo || ' r' END", "'D' || k", "'company=H' || k || ';remote=' || (k % 3 = 0)", "true"),
-    "avito": ("p", "'https://www.avito.ru/x/' || k", "lo || CASE WHEN k % 3 = 0 THEN '' ELSE ' full' END", _ISO, "'desc=' || CASE WHEN k % 2 = 0 THEN 'Python dev' ELSE 'cook' END || ';location=L' || k", "g % 3 > 0 OR k % 2 = 0"),
+    "avito": ("p", "'https://www.avito.ru/x/' || k", "lo || CASE WHEN k % 3 = 0 THEN '' ELSE ' full' END", _ISO, "'desc=' || CASE WHEN k % 2 = 0 THEN 'Python dev' ELSE 'cook' END || ';location=L' || k", "g % 8 < 7 AND (g % 3 > 0 OR k % 2 = 0)"),
     "fl": ("p", "'https://www.fl.ru/projects/' || k || '/a&b.html'", "NULL", "'D' || k", "'desc=d <' || k || '>'", "true"),
     "kwork": ("p || ' again'", "'https://kwork.ru/projects/' || k", "CASE WHEN k % 4 = 0 THEN hi ELSE lo END", "''", "'desc=d' || k", "true"),
     "youdo": ("p", "'https://youdo.com/' || CASE WHEN k % 2 = 0 THEN 'u' ELSE 't' END || k", "lo", "'D' || k", "'category=c;offers=3;status='", "true"),
@@ -322,7 +327,7 @@ EXPECTED = {
     ),
     "kwork_profiles": (
         "p", "'https://kwork.ru/user/' || k", "NULL", "'D' || k",
-        """'fullName=' || p || ';gig_count=' || CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END || ';gigs=[{"id":"' || k || '","price":"' || lo || '"}' || CASE WHEN k % 2 = 0 THEN ',{"id":"0"}' ELSE '' END || '];location=;profession=;rating=5;sellerLevel=;skills=a,b;totalReviews=8'""", "true",
+        """'description=a & b' || chr(10) || chr(10) || 'c;fullName=' || p || ';gig_count=' || CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END || ';gigs=[{"id":"' || k || '","price":"' || lo || '","categoryId":"7","conversion":"0.5","queueCount":"2"}' || CASE WHEN k % 2 = 0 THEN ',{"id":"0"}' ELSE '' END || '];location=;profession=;rating=5;sellerLevel=;skills=a,b;totalKworks=3;totalReviews=8'""", "true",
     ),
 }
 
