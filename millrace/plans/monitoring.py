@@ -16,6 +16,7 @@ from millrace.plans.registry import query
 from millrace.sources import normalise as N
 from millrace.sources import readers as R
 from millrace.sources.scratch import shared_path
+from millrace.streaming import keyed as K
 from millrace.streaming import monitor as M
 from millrace.streaming import state as S
 
@@ -119,9 +120,9 @@ def str9_task_state_latest(spark, d):
  l AS (SELECT * FROM s QUALIFY session = max(session) OVER (PARTITION BY id)), m AS (SELECT id, arg_max(bought, us) FILTER (bought IS NOT NULL) AS bought, arg_max(state, us) AS state, max(us) AS us, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY id)
  SELECT * FROM m WHERE us >= (SELECT max(us) FROM v_items) - 86400000000""")
 def str9_task_state_stream(spark, d):
-    """The same as a stream with a retention of 24 hours after a task's last patch."""
+    """The same as a stream through the state store, with a retention of 24 hours after a task's last patch."""
     p = V.items(spark, d).groupBy(F.col("user_id").alias("id"), "us").agg(F.max(F.when(F.col("source") == "purchase", F.col("value"))).alias("bought"), F.max("source").alias("state"))
-    return S.kept_states(spark, p.select("id", "bought", "state", "us"), 86_400_000_000)
+    return K.kept_states(spark, p.select("id", "bought", "state", "us"), 86_400_000_000)
 
 
 HOSTS = "CASE user_id % 7 WHEN 0 THEN 'maps.yandex.ru' WHEN 1 THEN 'yandex.ru' ELSE 's' || user_id % 7 || '.example.com' END"
@@ -222,7 +223,11 @@ def snk3_upsert_cards(spark, d):
     key = F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("model_key")
     t = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("oid"), key, F.col("o_custkey").alias("mtime"), F.when(F.col("o_orderkey") % 5 == 0, "edited").otherwise("new").alias("review_status"))
     u = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("oid"), key, F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey")).otherwise(-1).alias("mtime"), F.lit("updated").alias("review_status"))
-    return R.upsert_cards(t, u)
+    table = R.CardTable(spark, shared_path(spark), "oid long, model_key string, mtime long, review_status string")
+    table.create(t.withColumn("mtime", F.col("mtime").cast("long")))
+    for _ in range(2):  # the second time changes nothing
+        table.upsert(u.withColumn("mtime", F.col("mtime").cast("long")), "run1")
+    return table.read().drop("bucket")
 
 
 def packed(spark, d, only: str | None = None):
@@ -399,6 +404,13 @@ def str2_sweep_isolated(spark, d):
 
 @query()
 def str8_degradation_alert(spark, d):
+    """Through the state store: samples in a list, the quiet time ended by a timer."""
+    return K.degradation_alerts(spark, V.log(spark, d).select("worker", "line", "t", "value"))
+
+
+@query()
+def str8_degradation_alert_sorted(spark, d):
+    """The same with a worker's rows sorted by Spark and walked in chunks, so that no batch bounds them."""
     return S.degradation_alerts(spark, V.log(spark, d).select("worker", "line", "t", "value"))
 
 

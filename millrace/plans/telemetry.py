@@ -12,6 +12,7 @@ from millrace.operators import windows as W
 from millrace.plans import views as V
 from millrace.plans.catalog import q
 from millrace.plans.registry import query
+from millrace.streaming import keyed as K
 from millrace.streaming import state as S
 
 GAPS = """WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY worker ORDER BY line) AS gap FROM v_log),
@@ -315,7 +316,7 @@ def str4_rate_limit_batch(spark, d):
 
 @query(LIMITED)
 def str4_rate_limit_stream(spark, d):
-    return S.rate_limits(spark, V.log(spark, d).select("worker", "line", "t"), 3, 36000.0)
+    return K.rate_limits(spark, V.log(spark, d).select("worker", "line", "t"), 3, 36000.0)
 
 
 SESSIONS_600 = """WITH g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY worker ORDER BY t) >= 600)::BIGINT, 1) AS new FROM v_log),
@@ -354,7 +355,7 @@ def str6_heartbeat_window(spark, d):
 
 @query(HEARTBEAT)
 def str6_heartbeat_stream(spark, d):
-    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour")
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour").latest()
     return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round("total", 4).alias("total"))
 
 
@@ -370,5 +371,20 @@ def str7_sliding_rate(spark, d):
 
 @query(SLIDING)
 def str7_sliding_stream(spark, d):
-    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour", "30 minutes")
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "1 hour", "30 minutes").latest()
     return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round(F.col("n") / 3600.0, 8).alias("per_second"))
+
+
+@query("SELECT CAST(floor(t / 10) AS BIGINT) * 10 AS began, bucket, count(*) AS n, round(sum(value), 4) AS total FROM v_log GROUP BY ALL")
+def str6_heartbeat_10s_stream(spark, d):
+    """A snapshot every ten seconds."""
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "10 seconds").latest()
+    return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH s AS (SELECT CAST(floor(t / 10) AS BIGINT) * 10 - unnest([0, 10, 20, 30, 40, 50]) AS began, bucket FROM v_log)
+ SELECT began, bucket, count(*) AS n, round(count(*) / 60.0::DOUBLE, 8) AS per_second FROM s GROUP BY ALL""")
+def str7_sliding_60s_stream(spark, d):
+    """The rate over the last sixty seconds, every ten."""
+    w = S.windowed(spark, _timed(spark, d).select("ts", "bucket", "value"), "60 seconds", "10 seconds").latest()
+    return w.select(_seconds(F.col("ts")).alias("began"), "bucket", "n", F.round(F.col("n") / 60.0, 8).alias("per_second"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import exists, remove
+
 
 def read_records(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of a folder of JSON documents: what can't be parsed is set aside, not fatal."""
@@ -62,3 +64,40 @@ def upsert_cards(target: DataFrame, updates: DataFrame) -> DataFrame:
     keep = F.col("u").isNull() | (F.col("t").isNotNull() & ((F.col("t.review_status") == "edited") | (F.col("t.mtime") == F.col("u.mtime"))))
     row = F.when(keep, F.col("t")).otherwise(F.col("u"))
     return t.join(u, keys, "full_outer").select(*keys, row.alias("r")).select(*keys, "r.*")
+
+
+class CardTable:
+    """Cards by (oid, model_key) in a folder of buckets by a hash of both; an upsert rewrites the buckets it touches, no others.
+
+    Each upsert writes its buckets' new rows beside the table first and then replaces the buckets from there, so that it can be
+    repeated after a failure at any point: what was staged is complete and is put in place again.
+    """
+
+    KEYS = ("oid", "model_key")
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 16):
+        self.spark, self.path, self.schema, self.buckets = spark, path, f"{schema}, bucket int", buckets
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.KEYS), F.lit(self.buckets)).cast("int"))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/cards")
+
+    def _replace(self, rows: DataFrame, path: str) -> None:
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    def create(self, rows: DataFrame) -> None:
+        self._replace(self._bucketed(rows), f"{self.path}/cards")
+
+    def upsert(self, updates: DataFrame, name: str) -> None:
+        """Updates of one run, under a name of its own; a run that is repeated changes nothing more."""
+        staged = f"{self.path}/staged-{name}"
+        if not exists(self.spark, f"{staged}/_SUCCESS"):
+            remove(self.spark, staged)
+            news = self._bucketed(updates)
+            touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most as many as buckets
+            merged = upsert_cards(self.read().where(F.col("bucket").isin(touched)).drop("bucket"), news.drop("bucket"))
+            self._replace(self._bucketed(merged), staged)
+        kept = self.spark.read.schema(self.schema).parquet(staged)
+        self._replace(kept, f"{self.path}/cards")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import count_if
 from millrace.operators.filters import contains_any, only_new
-from millrace.sources.scratch import shared_path
+from millrace.sources.scratch import remove, shared_path
+from millrace.streaming.growing import SeenKeys
 
 TTL_DAYS = 7
 
@@ -33,38 +34,41 @@ def sweep_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame
     return spark.createDataFrame(out, "source string, collected long, matched long, new long, error string")
 
 
-def run_sweeps(spark: SparkSession, rows: DataFrame, seen: DataFrame, words: list[str], day: int = 0, files: int | None = None) -> DataFrame:
+def run_sweeps(spark: SparkSession, rows: DataFrame, seen: DataFrame, words: list[str], day: int = 0, files: int | None = None, buckets: int = 8, every: int = 16) -> DataFrame:
     """Stream rows (source, id, title, ord, and day if they span several) through sweeps: each micro-batch is one, emits matched
     rows whose (source, id) was not seen, then marks all matched ids.  ``files`` bounds a micro-batch.
 
     A source's ids are forgotten together, TTL_DAYS after its last sweep with a match: a table of one row a source keeps the
-    day of that sweep and the day since which its ids count, so that the table of seen ids is only added to.  Files bear the
-    batch number, so that a batch that runs again after a failure replaces its own output.
+    day of that sweep and the day since which its ids count.  Seen ids lie in ``buckets`` with a Bloom filter each and are
+    folded together every ``every`` batches (SeenKeys).  All folders bear the batch number, so that a batch that runs
+    again after a failure replaces its own output.
     """
     base = shared_path(spark)
     rows = rows if "day" in rows.columns else rows.withColumn("day", F.lit(day))
     rows.write.parquet(f"{base}/in")
-    seen.select("source", "id").withColumns({"day": F.lit(day), "batch": F.lit(-1)}).write.partitionBy("batch").parquet(f"{base}/seen")
-    ages = seen.select("source").distinct().select("source", F.lit(day).alias("born"), F.lit(day).alias("last"), F.lit(-1).alias("batch"))
-    ages.write.partitionBy("batch").parquet(f"{base}/ages")
+    marked = SeenKeys(spark, f"{base}/seen", {"source": "string", "id": "string"}, buckets, every)
+    marked.begin(seen.select("source", "id").withColumn("day", F.lit(day)))
+    sources = "source string, born int, last int"
+    ages = lambda n: f"{base}/ages-{n}"
+    seen.select("source").distinct().select("source", F.lit(day).alias("born"), F.lit(day).alias("last")).write.parquet(ages(-1))
     known = spark.read.parquet(f"{base}/in").schema
-    marks, sources = "source string, id string, day int, batch int", "source string, born int, last int, batch int"
 
     def sweep(batch: DataFrame, number: int) -> None:
         today = batch.agg(F.max("day")).first()[0]
         if today is None:
             today = day
-        live = spark.read.schema(sources).parquet(f"{base}/ages").where((F.col("batch") == number - 1) & (F.col("last") >= today - TTL_DAYS)).drop("batch")
-        ids = spark.read.schema(marks).parquet(f"{base}/seen").where(F.col("batch") < number).join(live, "source").where("day >= born").select("source", "id")
+        live = spark.read.schema(sources).parquet(ages(number - 1)).where(F.col("last") >= today - TTL_DAYS)
         matched = batch.where(contains_any(F.lower("title"), words))
+        ids = marked.lookup(matched, number).join(live, "source").where("day >= born").select("source", "id")
         only_new(matched, ids).drop("day").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        matched.select("source", "id").distinct().withColumn("day", F.lit(today)).write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
+        marked.mark(matched.select("source", "id").distinct().withColumn("day", F.lit(today)), number)
         touched = matched.select("source").distinct().withColumn("_hit", F.lit(True))
-        ages = live.join(touched, "source", "full_outer").select("source", F.coalesce("born", F.lit(today)).alias("born"), F.when(F.col("_hit"), F.lit(today)).otherwise(F.col("last")).alias("last"))
-        ages.write.mode("overwrite").parquet(f"{base}/ages/batch={number}")
+        now = live.join(touched, "source", "full_outer").select("source", F.coalesce("born", F.lit(today)).alias("born"), F.when(F.col("_hit"), F.lit(today)).otherwise(F.col("last")).alias("last"))
+        now.write.mode("overwrite").parquet(ages(number))
+        remove(spark, ages(number - 2))
 
     source = spark.readStream.schema(known)
     stream = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{base}/in")
     query = stream.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(known).parquet(f"{base}/out").drop("day", "batch")

@@ -14,6 +14,7 @@ from millrace.operators.dedup import dedup_first
 from millrace.operators.filters import contains_any
 from millrace.operators.windows import change_only, gap_sessions
 from millrace.sources.scratch import shared_path
+from millrace.streaming.growing import Growing, SeenKeys
 
 
 def through_stream(spark: SparkSession, rows: DataFrame, job, mode: str = "append", close_after: str | None = None) -> DataFrame:
@@ -41,23 +42,30 @@ def run_job(spark: SparkSession, base: str, job, mode: str = "append") -> tuple[
     return spark.read.schema(out.schema).parquet(f"{base}/out"), late
 
 
-def first_seen(spark: SparkSession, rows: DataFrame, words: list[str]) -> DataFrame:
+def first_seen(spark: SparkSession, rows: DataFrame, words: list[str], files: int | None = None, buckets: int = 8, every: int = 16) -> DataFrame:
     """The first row (source, id, title, ord) of each (source, id), for good, with hit: whether its title holds a keyword.  An id is
-    seen from its first row on, whether that was a hit or not.  Ids are Parquet by batch number; a batch adds its own."""
+    seen from its first row on, whether that was a hit or not.  Seen ids lie in buckets with a Bloom filter each (SeenKeys), and
+    so do the results' folders grow together: a batch that runs again replaces its own."""
     base = shared_path(spark)
     rows.select("source", "id", "title", "ord").write.parquet(f"{base}/in")
     known = spark.read.parquet(f"{base}/in").schema
-    full = "source string, id string, ord long, hit boolean, batch int"
-    spark.createDataFrame([], full).write.partitionBy("batch").parquet(f"{base}/out")
-    done = lambda: spark.read.schema(full).parquet(f"{base}/out")
+    marked = SeenKeys(spark, f"{base}/seen", {"source": "string", "id": "string"}, buckets, every)
+    out = Growing(spark, f"{base}/out", "source string, id string, ord long, hit boolean", every)
+    last = -1
 
     def run(batch: DataFrame, number: int) -> None:
-        new = dedup_first(batch, ["source", "id"], ["ord"]).join(done().where(F.col("batch") != number).select("source", "id"), ["source", "id"], "left_anti")
-        new.select("source", "id", "ord", contains_any(F.lower("title"), words).alias("hit")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        nonlocal last
+        last = number
+        first = dedup_first(batch, ["source", "id"], ["ord"])
+        new = first.join(marked.lookup(first, number).select("source", "id"), ["source", "id"], "left_anti")
+        out.settled(number)  # folds where it is due
+        out.write(number, new.select("source", "id", "ord", contains_any(F.lower("title"), words).alias("hit")))
+        marked.mark(first.withColumn("day", F.lit(0)), number)
 
-    stream = spark.readStream.schema(known).parquet(f"{base}/in")
+    source = spark.readStream.schema(known)
+    stream = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{base}/in")
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return done().drop("batch")
+    return out.before(last + 1)
 
 
 def through_batches(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: str, files: int | None = None, left: bool = False) -> DataFrame:
@@ -221,12 +229,46 @@ def inactivity_sessions(spark: SparkSession, events: DataFrame, pause: str = "10
     return through_stream(spark, events, lambda s: job(s).select("worker", "ts", "n"), close_after="2 days")
 
 
-def windowed(spark: SparkSession, events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
-    """Counts and sums of events (ts, bucket, value) per tumbling or sliding window: ts (its start), bucket, n, total; the state holds
-    the windows that the watermark has not passed."""
-    of = lambda s: s.withWatermark("ts", "1 minute").groupBy(F.window("ts", width, slide).alias("w"), "bucket")
-    job = lambda s: of(s).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("ts"), "bucket", "n", "total")
-    return through_stream(spark, events, job, close_after="2 days")
+class Snapshots:
+    """What an aggregation in update mode told of each key, batch by batch; a batch that runs again replaces its own rows."""
+
+    def __init__(self, spark: SparkSession, base: str, keys: list[str], values: dict[str, str], schema: str, every: int = 16):
+        self.keys, self.values = keys, list(values)
+        full = f"{schema}, {', '.join(f'{c} {t}' for c, t in values.items())}, batch int"
+        self.table, self.batches = Growing(spark, base, full, every, self._latest), 0
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct(*self.values, "batch"), "batch").alias("s")
+        return rows.groupBy(*self.keys).agg(last).select(*self.keys, "s.*")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        self.table.settled(number)
+        self.table.write(number, batch.select(*self.keys, *self.values, F.lit(number).alias("batch")))
+        self.batches = max(self.batches, number + 1)
+
+    def since_fold(self) -> DataFrame:
+        """Rows as the last batches told them, with their batch."""
+        return self.table.recent(self.batches)
+
+    def latest(self) -> DataFrame:
+        """Each key as it was told last."""
+        return self._latest(self.table.before(self.batches)).drop("batch")
+
+
+def windowed(spark: SparkSession, events: DataFrame, width: str, slide: str | None = None, files: int | None = None, late: str = "1 minute") -> Snapshots:
+    """Counts and sums of events (ts, bucket, value) per tumbling or sliding window, told in update mode: after each micro-batch
+    those windows (ts, its start, and bucket) that it changed, with n and total.  The state holds the windows that the
+    watermark has not passed; a sink by key needs no closing row."""
+    base = shared_path(spark)
+    events.write.parquet(f"{base}/in")
+    sink = Snapshots(spark, f"{base}/out", ["ts", "bucket"], {"n": "long", "total": "double"}, "ts timestamp, bucket string")
+    reader = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{base}/in")
+    of = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "bucket")
+    out = of.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("ts"), "bucket", "n", "total")
+    query = out.writeStream.foreachBatch(sink.write).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sink
 
 
 def windowed_with_watermark(spark: SparkSession, parts: list[DataFrame], late: str = "1 hour", width: str = "1 hour") -> DataFrame:
