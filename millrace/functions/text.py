@@ -53,9 +53,20 @@ def unescape(c: Column) -> Column:
     return F.pandas_udf(_decoded, "string")(c)
 
 
+def _cut(c: Column, opening: str, closing: str) -> Column:
+    """c without its stretches from an opening (a pattern) to the next closing (a text, whatever its case).
+
+    The text is split behind each closing; of a piece that ends with one, all from the first opening on goes.  So each
+    character is looked at a few times, however many openings are never closed.
+    """
+    ends = lambda x: F.endswith(F.lower(x), F.lit(closing))
+    cut = lambda x: F.when(ends(x), F.regexp_replace(x, f"(?is){opening}.*{closing}$", "")).otherwise(x)
+    whole = lambda t: F.when(F.contains(F.lower(t), F.lit(closing)), F.array_join(F.transform(F.split(t, f"(?i)(?<={closing})"), cut), "")).otherwise(t)
+    return F.get(F.transform(F.array(c), whole), F.lit(0))  # c stands once, so that cuts of cuts don't multiply
+
+
 def _without_noise(c: Column) -> Column:
-    c = reduce(lambda x, t: F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", ""), NOISE, c)
-    return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    return _cut(reduce(lambda x, t: _cut(x, rf"<{t}\b[^>]*>", f"</{t}>"), NOISE, c), "<!--", "-->")
 
 
 def clean_html(c: Column) -> Column:
@@ -101,9 +112,19 @@ def readable_ratio(c: Column, alphabet: str = r"\p{L}", head: int = 4000) -> Col
     return F.when(F.char_length(first) > 0, F.char_length(F.regexp_replace(first, rf"[^{alphabet}\x20-\x7E]", "")) / F.char_length(first)).otherwise(0.0)
 
 
-def keywords(c: Column, n: int = 20) -> Column:
-    """Distinct words of four characters or more, in lower case, in order of appearance."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))), 1, n)
+def keywords(c: Column, n: int = 20, more: list[str] | None = None) -> Column:
+    """Distinct words of four characters or more in the form and order of their first appearance, then ``more`` words that are not among
+    them, n in all.  Words that differ in case only are one."""
+    words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
+    words = F.concat(words, F.array(*[F.lit(w) for w in more])) if more else words
+    none = F.array().cast("array<string>")
+
+    def take(held: Column, word: Column) -> Column:
+        known = (F.size(held["words"]) >= n) | F.array_contains(held["low"], F.lower(word))
+        grown = F.struct(F.array_append(held["words"], word).alias("words"), F.array_append(held["low"], F.lower(word)).alias("low"))
+        return F.when(known, held).otherwise(grown)
+
+    return F.aggregate(words, F.struct(none.alias("words"), none.alias("low")), take, lambda held: held["words"])
 
 
 def norm_domain(url: Column) -> Column:
@@ -141,13 +162,25 @@ def numeric_id(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"/projects/([0-9]+)/", 1), F.lit("")), url)
 
 
+#: A date, and a time of day and an offset if they follow.
+ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+
+
 def parse_when(c: Column) -> Column:
-    """Seconds since 1970 from epoch seconds, epoch milliseconds (above 1e11) or an ISO time in UTC; else null."""
+    """Seconds since 1970 from epoch seconds, epoch milliseconds (above 1e11), an ISO date or an ISO time; a time without offset
+    is UTC, a date its midnight.  Else null."""
     number = c.try_cast("double")
-    iso = F.regexp_extract(c, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
-    parsed = F.replace(F.nullif(iso, F.lit("")), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
-    seconds = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), parsed).cast("double")
-    return F.when(number.isNotNull(), F.when(number > 1e11, number / 1000).otherwise(number)).otherwise(seconds)
+    part = lambda k, default: F.coalesce(F.nullif(F.regexp_extract(c, ISO, k), F.lit("")), F.lit(default))
+    offset = F.regexp_replace(F.replace(part(3, "Z"), F.lit("Z"), F.lit("+00:00")), r"^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    day = F.nullif(F.regexp_extract(c, ISO, 1), F.lit(""))
+    parsed = F.concat(day, F.lit(" "), F.regexp_replace(part(2, "00:00:00"), "^([0-9]{2}:[0-9]{2})$", "$1:00"), offset).try_cast("timestamp")
+    return F.when(number.isNotNull(), F.when(number > 1e11, number / 1000).otherwise(number)).otherwise(F.unix_micros(parsed) / 1e6)
+
+
+def first_word(c: Column) -> Column:
+    """The first word between any white space, without marks at its ends, in lower case; ``?`` where there is none."""
+    word = F.regexp_extract(F.coalesce(F.nullif(c, F.lit("")), F.lit("?")), f"^{WHITE}*([^{WHITE[1:]}+)", 1)
+    return F.lower(F.regexp_replace(F.when(word == "", "?").otherwise(word), r"^[ ,.;—-]+|[ ,.;—-]+$", ""))
 
 
 def goal_extract(text: Column, words: str, budget: int = 2000) -> Column:

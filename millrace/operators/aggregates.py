@@ -78,3 +78,13 @@ def fill_rate(df: DataFrame, fields: list[str]) -> DataFrame:
     """Percentage of rows in which a field counts more than 0, one decimal (half to even)."""
     rates = df.agg(*[F.bround(F.avg((F.coalesce(F.col(f), F.lit(0)) > 0).cast("double")) * 100, 1).alias(f) for f in fields])
     return rates.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("rate")) for f in fields])).alias("r")).select("r.field", "r.rate")
+
+
+def day_sketches(df: DataFrame, by: list[str], day: str, of: str, lg_k: int = 14) -> DataFrame:
+    """One row of a group and day: visits (rows) and a mergeable sketch of the distinct values of a column, 16 KB at most."""
+    return df.groupBy(*by, day).agg(F.count("*").alias("visits"), F.hll_sketch_agg(of, lg_k).alias("sketch"))
+
+
+def united_sketches(days: DataFrame, by: list[str]) -> DataFrame:
+    """Visits and distinct values of each group over any days, from their sketches; the rows themselves aren't read again."""
+    return days.groupBy(*by).agg(F.sum("visits").alias("visits"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

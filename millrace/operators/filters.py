@@ -245,3 +245,28 @@ def glob_regex(glob: str) -> str:
 def first_glob(host: Column, globs: list[str]) -> Column:
     """The first glob of an ordered list that matches."""
     return first_rule([(g, F.regexp_like(host, F.lit(glob_regex(g)))) for g in globs], None)
+
+
+def rule_regex(pattern: Column) -> Column:
+    """A rule with * or ? is a glob, any other a regular expression; both must match a whole host."""
+    escaped = F.regexp_replace(pattern, r"([.+()\[\]{}^$|\\])", r"\\$1")
+    glob = F.replace(F.replace(escaped, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*"))
+    return F.concat(F.lit("^(?:"), F.when(F.contains(pattern, F.lit("*")) | F.contains(pattern, F.lit("?")), glob).otherwise(pattern), F.lit(")$"))
+
+
+def first_rules(df: DataFrame, host: str, rules: DataFrame, block: int = 2_000) -> DataFrame:
+    """df with rule: the pattern of the first rule (ord, pattern, enabled) that matches the host, null if none does.
+
+    Distinct hosts meet the rules, which are broadcast in blocks of about ``block``: a hash deals them, and the least ord over
+    all blocks counts, so that a list of any length is matched.
+    """
+    active = rules.where("enabled").select("ord", "pattern", rule_regex(F.col("pattern")).alias("_regex"))
+    blocks = -(-active.count() // block) or 1
+    hosts = df.select(F.col(host).alias("_host")).where("_host IS NOT NULL").distinct()
+    found = None
+    for k in range(blocks):
+        some = active.where(F.pmod(F.xxhash64("ord", "pattern"), F.lit(blocks)) == k)
+        met = hosts.join(F.broadcast(some), F.regexp_like("_host", F.col("_regex"))).select("_host", "ord", "pattern")
+        found = met if found is None else found.unionByName(met)
+    least = found.groupBy("_host").agg(F.min(F.struct("ord", "pattern")).alias("_r")).select("_host", F.col("_r.pattern").alias("rule"))
+    return df.join(least, F.col(host) == F.col("_host"), "left").drop("_host")

@@ -5,25 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import previous
 
-def gap_attribution(log: DataFrame, markers: list[str], idle: float = 900.0) -> DataFrame:
-    """Seconds since the worker's previous line go to this line's bucket; gaps of ``idle`` or more are idle and count
-    0, and lines in ``markers`` use up their gap without credit.  log: worker, line, t, bucket."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("worker").orderBy("line"))
-    is_idle = F.coalesce(gap >= idle, F.lit(False))
-    credit = F.when(gap.isNull() | is_idle | F.col("bucket").isin(markers), 0.0).otherwise(gap)
-    return log.withColumns({"gap": gap, "idle": is_idle, "credit": credit})
 
+def gap_attribution(log: DataFrame, markers: list[str], idle: float = 900.0, moved: dict[str, str] | None = None, uncounted: tuple[str, ...] = ()) -> DataFrame:
+    """Seconds since the worker's previous line go to this line's bucket.  log: worker, line, t, bucket.
 
-def episode_pairing(log: DataFrame, start: Column, end: Column, longest: float = 900.0) -> DataFrame:
-    """Each end with the worker's latest start since the previous end; longer episodes are dropped."""
+    Gaps of ``idle`` or more count 0.  Lines in ``markers`` use up their gap without credit, and those in ``uncounted`` without
+    being counted; neither is ever idle.  ``moved`` names the bucket that gets another one's seconds.  Adds gap,
+    idle, idle_seconds, credit, credited (the bucket that gets it) and counted.
+    """
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("worker").orderBy("line"))
+    log = log.withColumn("gap", gap)
+    skipped = F.col("bucket").isin(*markers, *uncounted)
+    long = F.coalesce(F.col("gap") >= idle, F.lit(False))
+    credited = F.col("bucket")
+    for name, to in (moved or {}).items():
+        credited = F.when(F.col("bucket") == name, F.lit(to)).otherwise(credited)
+    is_marker = F.col("bucket").isin(markers)
+    return log.withColumns(
+        {
+            "idle": long & ~skipped, "idle_seconds": F.when(long & ~skipped, F.col("gap")).otherwise(0.0),
+            "credit": F.when(F.col("gap").isNull() | long | is_marker, 0.0).otherwise(F.col("gap")),
+            "credited": F.when(~is_marker, credited), "counted": ~skipped,
+        }
+    )
+
+
+def episode_pairing(log: DataFrame, start: Column, end: Column, longest: float = 900.0, port: Column | None = None, ok: Column | None = None) -> DataFrame:
+    """Each end with the worker's latest start since the previous end; longer episodes are dropped.  With ``port`` and ``ok``, the start
+    line's port and whether the end line is a success."""
     order = Window.partitionBy("worker").orderBy("line")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     numbered = log.withColumn("_ends", F.coalesce(F.sum(end.cast("int")).over(before), F.lit(0)))
     inside = Window.partitionBy("worker", "_ends").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.last(F.when(start, F.struct("line", "t")), ignorenulls=True).over(inside)
+    more = [port.alias("port")] if port is not None else []
+    opened = F.last(F.when(start, F.struct("line", "t", *more)), ignorenulls=True).over(inside)
     paired = numbered.withColumn("_open", opened).where(end & F.col("_open").isNotNull())
-    paired = paired.select("worker", F.col("_open.line").alias("start_line"), F.col("line").alias("end_line"), (F.col("t") - F.col("_open.t")).alias("seconds"))
+    told = ([F.col("_open.port").alias("port")] if port is not None else []) + ([ok.alias("ok")] if ok is not None else [])
+    paired = paired.select("worker", F.col("_open.line").alias("start_line"), F.col("line").alias("end_line"), (F.col("t") - F.col("_open.t")).alias("seconds"), *told)
     return paired.where(F.col("seconds") < longest)
 
 
@@ -55,9 +75,9 @@ def rate_limited(df: DataFrame, key: str, t: str, order: str, most: int, window:
 
 
 def change_only(df: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """Rows whose payload differs from the key's previous row; the first counts."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_p", payload).withColumn("_same", F.col("_p").eqNullSafe(F.lag("_p").over(w)) & (F.row_number().over(w) > 1)).where("NOT _same").drop("_p", "_same")
+    """Rows whose payload differs from the key's previous row; the first counts.  Keys may have any number of rows."""
+    found = previous(df.withColumn("_p", payload), key, order, F.col("_p"), "_prev")
+    return found.where(F.col("_prev").isNull() | ~F.col("_p").eqNullSafe(F.col("_prev.v"))).drop("_p", "_prev")
 
 
 def running_count(df: DataFrame, cond: Column, by: list[str], order: list) -> Column:

@@ -11,6 +11,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import dedup as D
 from millrace.operators import filters as L
 from millrace.operators import windows as W
+from millrace.operators.scan import running
 from millrace.plans import views as V
 from millrace.plans.registry import query
 from millrace.sources import normalise as N
@@ -89,8 +90,7 @@ def top6_recent_capped(spark, d):
  SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY ord) AS position FROM f QUALIFY position <= 20""")
 def win1_position(spark, d):
     first = D.dedup_first(V.items(spark, d).where("value > 10").select("source", "id", "ord"), ["source", "id"], ["ord"])
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("ord")).cast("long")
-    return first.withColumn("position", pos).where("position <= 20").drop("ord")
+    return running(first, "source", "ord", F.lit(1), "position").where("position <= 20").select("source", "id", F.col("position").cast("long").alias("position"))
 
 
 @query("""WITH i AS (SELECT source, id, us // 86400000000 AS run FROM v_items), f AS (SELECT source, id, min(run) AS first FROM i GROUP BY source, id)
@@ -125,16 +125,20 @@ def str9_task_state_stream(spark, d):
     return K.kept_states(spark, p.select("id", "bought", "state", "us"), 86_400_000_000)
 
 
-HOSTS = "CASE user_id % 7 WHEN 0 THEN 'maps.yandex.ru' WHEN 1 THEN 'yandex.ru' ELSE 's' || user_id % 7 || '.example.com' END"
-GLOBS = ["*.yandex.*", "s2.*", "*"]
+HOSTS = "CASE user_id % 23 WHEN 0 THEN 'maps.yandex.ru' WHEN 1 THEN 'yandex.ru' ELSE 's' || user_id % 23 || '.example.com' END"
 
 
-@query(f"""WITH r AS (SELECT event_id, {HOSTS} AS host FROM events) SELECT event_id, host,
- CASE WHEN host LIKE '%.yandex.%' THEN '*.yandex.*' WHEN host LIKE 's2.%' THEN 's2.*' ELSE '*' END AS rule FROM r""")
+@query(f"""WITH r AS (SELECT event_id, {HOSTS} AS host FROM events), rules AS (SELECT n_nationkey AS ord, n_nationkey % 6 <> 5 AS enabled,
+ CASE n_nationkey % 3 WHEN 0 THEN '*.yandex.*' WHEN 1 THEN 's' || n_nationkey || '.*' ELSE '[st]' || n_nationkey || '([.]example)+[.]com' END AS pattern FROM nation),
+ m AS (SELECT host, min_by(pattern, ord) AS rule FROM (SELECT DISTINCT host FROM r) JOIN rules ON enabled AND CASE WHEN contains(pattern, '*') THEN host GLOB pattern ELSE regexp_full_match(host, pattern) END GROUP BY host)
+ SELECT event_id, r.host, rule FROM r LEFT JOIN m ON m.host = r.host""")
 def joi11_first_rule(spark, d):
-    k = F.col("user_id") % 7
+    """Rules from nations: globs and regular expressions in order, every sixth one switched off."""
+    k, n = F.col("user_id") % 23, F.col("n_nationkey")
     host = F.when(k == 0, "maps.yandex.ru").when(k == 1, "yandex.ru").otherwise(F.concat(F.lit("s"), k.cast("string"), F.lit(".example.com")))
-    return V.read(spark, d, "events").select("event_id", host.alias("host")).withColumn("rule", L.first_glob(F.col("host"), GLOBS))
+    pattern = F.when(n % 3 == 0, "*.yandex.*").when(n % 3 == 1, F.concat(F.lit("s"), n.cast("string"), F.lit(".*"))).otherwise(F.concat(F.lit("[st]"), n.cast("string"), F.lit("([.]example)+[.]com")))
+    rules = V.read(spark, d, "nation").select(n.alias("ord"), pattern.alias("pattern"), (n % 6 != 5).alias("enabled"))
+    return L.first_rules(V.read(spark, d, "events").select("event_id", host.alias("host")), "host", rules)
 
 
 @query("SELECT event_id, user_id, event_type AS key FROM events")

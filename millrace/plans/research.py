@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import nested as N
 from millrace.functions.quantiles import MIDDLE, exact_quantiles, of_array, true_median, with_median
+from millrace.functions.text import WHITE, first_word
 from millrace.operators import aggregates as A
 from millrace.operators import filters as L
 from millrace.operators import joins as J
@@ -78,9 +79,15 @@ def agg17_flag_lists(spark, d):
     return V.cards(spark, d).where(loose).groupBy("zone").agg(F.count("*").alias("n"), F.min("oid").alias("first_oid"))
 
 
-@query(r"SELECT lower(regexp_extract(text, '[\p{L}\p{N}]+')) AS word, count(*) AS n FROM v_cards WHERE text IS NOT NULL GROUP BY 1")
+ASSESSED = "CASE oid % 7 WHEN 0 THEN NULL WHEN 1 THEN 'High-risk, see notes' WHEN 2 THEN '  ' || text ELSE text END"
+
+
+@query(rf"""WITH a AS (SELECT coalesce(nullif({ASSESSED}, ''), '?') AS t FROM v_cards), w AS (SELECT regexp_extract(t, '^{WHITE}*([^{WHITE[1:]}+)', 1) AS w FROM a)
+ SELECT lower(regexp_replace(CASE WHEN w = '' THEN '?' ELSE w END, '^[ ,.;—-]+|[ ,.;—-]+$', '', 'g')) AS word, count(*) AS n FROM w GROUP BY 1""")
 def agg18_first_word_tally(spark, d):
-    return V.cards(spark, d).where("text IS NOT NULL").groupBy(F.lower(F.regexp_extract("text", r"[\p{L}\p{N}]+", 0)).alias("word")).agg(F.count("*").alias("n"))
+    k = F.col("oid") % 7
+    told = F.when(k == 0, F.lit(None)).when(k == 1, "High-risk, see notes").when(k == 2, F.concat(F.lit("  "), "text")).otherwise(F.col("text"))
+    return V.cards(spark, d).groupBy(first_word(told).alias("word")).agg(F.count("*").alias("n"))
 
 
 PAIRS = "WITH p AS (SELECT a.key, a.m1 AS m1_a, b.m1 AS m1_b, a.m2 AS m2_a, b.m2 AS m2_b, a.m3 AS m3_a, b.m3 AS m3_b FROM v_arms a JOIN v_arms b ON a.key = b.key AND a.arm = 'A' AND b.arm = 'R') "

@@ -11,6 +11,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import dedup as D
 from millrace.operators import filters as L
 from millrace.operators.joins import cell_match
+from millrace.operators.scan import running
 from millrace.plans import views as V
 from millrace.plans.catalog import q
 from millrace.plans.registry import query
@@ -188,7 +189,7 @@ def win9_batch_ends(spark, d):
 
 @query(BATCHES + "SELECT category, batch, CAST(sum(n_new) OVER (PARTITION BY category ORDER BY batch) AS BIGINT) AS uniq FROM b")
 def win10_cumulative_unique(spark, d):
-    return _batches(spark, d).select("category", "batch", F.sum("n_new").over(Window.partitionBy("category").orderBy("batch")).alias("uniq"))
+    return running(_batches(spark, d), "category", "batch", F.col("n_new"), "uniq").select("category", "batch", "uniq")
 
 
 #: Categories of organisations, dealt by oid, on which the classification is tried.

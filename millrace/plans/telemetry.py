@@ -19,10 +19,17 @@ GAPS = """WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY worker ORDER BY lin
  a AS (SELECT *, coalesce(gap >= 14400, false) AS idle, CASE WHEN gap IS NULL OR gap >= 14400 OR bucket = 'signup' THEN 0 ELSE gap END AS credit FROM g) """
 
 
-@query(GAPS + "SELECT bucket, count(*) AS n, round(sum(credit), 3) AS seconds, count(*) FILTER (idle) AS idle FROM a GROUP BY bucket")
+@query("""WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY worker ORDER BY line) AS gap FROM v_log),
+ a AS (SELECT *, CASE WHEN bucket = 'signup' THEN NULL WHEN bucket = 'error' THEN 'view' WHEN bucket = 'click' THEN 'dispatch' ELSE bucket END AS credited, CASE WHEN gap < 14400 THEN gap ELSE 0 END AS credit,
+ bucket NOT IN ('signup', 'error') AS counted FROM g), s AS (SELECT credited AS bucket, round(sum(credit), 3) AS seconds FROM a WHERE credited IS NOT NULL GROUP BY 1),
+ n AS (SELECT bucket, count(*) AS n, count(*) FILTER (gap >= 14400) AS idle, round(coalesce(sum(gap) FILTER (gap >= 14400), 0), 3) AS idle_seconds FROM a WHERE counted GROUP BY bucket)
+ SELECT coalesce(s.bucket, n.bucket) AS bucket, coalesce(n, 0) AS n, coalesce(seconds, 0.0::DOUBLE) AS seconds, coalesce(idle, 0) AS idle, coalesce(idle_seconds, 0.0::DOUBLE) AS idle_seconds FROM s FULL JOIN n ON s.bucket = n.bucket""")
 def win2_gap_attribution(spark, d):
-    g = W.gap_attribution(V.log(spark, d), ["signup"], 14400.0)
-    return g.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.sum("credit"), 3).alias("seconds"), A.count_if(F.col("idle")).alias("idle"))
+    """Markers are signups; errors hand their seconds to views and aren't counted; clicks begin an enrichment, whose seconds are dispatch."""
+    g = W.gap_attribution(V.log(spark, d), ["signup"], 14400.0, {"error": "view", "click": "dispatch"}, ("error",))
+    seconds = g.where("credited IS NOT NULL").groupBy(F.col("credited").alias("bucket")).agg(F.round(F.sum("credit"), 3).alias("seconds"))
+    lines = g.where("counted").groupBy("bucket").agg(F.count("*").alias("n"), A.count_if(F.col("idle")).alias("idle"), F.round(F.sum("idle_seconds"), 3).alias("idle_seconds"))
+    return seconds.join(lines, "bucket", "full_outer").fillna(0, ["n", "seconds", "idle", "idle_seconds"])
 
 
 @query(GAPS + """, s AS (SELECT bucket, sum(credit) AS seconds FROM a GROUP BY bucket), w AS (SELECT sum(hi - lo) AS wall FROM (SELECT max(t) AS hi, min(t) AS lo FROM v_log GROUP BY worker)),
@@ -47,6 +54,16 @@ def win3_episode_pairing(spark, d):
     return p.withColumn("seconds", F.round("seconds", 3))
 
 
+@query("""WITH n AS (SELECT *, coalesce(sum((bucket = 'purchase')::INT) OVER (PARTITION BY worker ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM v_log),
+ o AS (SELECT *, last_value(CASE WHEN bucket = 'click' THEN line END IGNORE NULLS) OVER w AS sl, last_value(CASE WHEN bucket = 'click' THEN t END IGNORE NULLS) OVER w AS st
+ FROM n WINDOW w AS (PARTITION BY worker, e ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT sl % 8 AS port, count(*) FILTER (value > 20) AS ok, count(*) FILTER (value <= 20) AS fail, round(sum(t - st), 3) AS seconds FROM o WHERE bucket = 'purchase' AND sl IS NOT NULL AND t - st < 90000 GROUP BY 1""")
+def win3_port_stats(spark, d):
+    """Successes, failures and time of the episodes of each port, that of their start."""
+    p = W.episode_pairing(V.log(spark, d), F.col("bucket") == "click", F.col("bucket") == "purchase", 90000.0, F.col("line") % 8, F.col("value") > 20)
+    return p.groupBy("port").agg(A.count_if(F.col("ok")).alias("ok"), A.count_if(~F.col("ok")).alias("fail"), F.round(F.sum("seconds"), 3).alias("seconds"))
+
+
 SESSIONS = "WITH s AS (SELECT *, CAST(sum((bucket = 'signup')::INT) OVER (PARTITION BY worker ORDER BY line) AS BIGINT) AS session FROM v_log) "
 
 

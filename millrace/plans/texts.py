@@ -12,6 +12,7 @@ from millrace.operators import filters as L
 from millrace.plans import views as V
 from millrace.plans.registry import query
 from millrace.sources import page_text as P
+from millrace.sources.scratch import shared_path
 
 RE_SPLIT = r"'[^\p{L}\p{N}_]+'"
 
@@ -140,8 +141,8 @@ def sca15_goal_extract(spark, d):
     return V.read(spark, d, "documents").select("doc_id", T.goal_extract(F.col("text"), "(?i)(?:license|worthless|copyright)").alias("extract"))
 
 
-@query(r"""WITH w AS (SELECT key, regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}') AS w FROM v_text),
- p AS (SELECT key, w, [i for i in generate_series(1, len(w)) if list_position(w, w[i]) = i][1:20] AS spots FROM w) SELECT key, array_to_string([w[i] for i in spots], ' ') AS words FROM p""")
+@query(r"""WITH w AS (SELECT key, regexp_extract_all(text, '[\p{L}\p{N}_]{4,}') AS w FROM v_text), u AS (SELECT key, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ f AS (SELECT key, min(i) AS i FROM u GROUP BY key, lower(x)), p AS (SELECT w.key, w, coalesce(list_sort(list(i) FILTER (i IS NOT NULL)), []) AS every, every[1:20] AS spots FROM w LEFT JOIN f ON f.key = w.key GROUP BY w.key, w) SELECT key, array_to_string([w[i] for i in spots], ' ') AS words FROM p""")
 def sca16_keywords(spark, d):
     return V.texts(spark, d).select("key", F.array_join(T.keywords(F.col("text")), " ").alias("words"))
 
@@ -181,10 +182,14 @@ def sca21_numeric_id(spark, d):
     return V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.numeric_id(url).alias("num"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (epoch_us(ts) // 1000000)::DOUBLE END AS at FROM events")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 3 THEN NULL WHEN 5 THEN (epoch_us(ts) // 86400000000 * 86400)::DOUBLE WHEN 6 THEN epoch_us(ts) / 1000000.0::DOUBLE ELSE (epoch_us(ts) // 1000000)::DOUBLE END AS at FROM events""")
 def sca22_parse_when(spark, d):
-    k, s = F.col("event_id") % 4, F.floor(V.micros(F.col("ts")) / 1000000)
-    shown = F.when(k == 0, s.cast("string")).when(k == 1, (s * 1000).cast("string")).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    """Numbers, times with and without offset, dates, and what is no time."""
+    k, s = F.col("event_id") % 8, F.floor(V.micros(F.col("ts")) / 1000000)
+    shift = lambda hours, form: F.date_format(F.col("ts") + F.expr(f"interval {hours} hours"), form)
+    shown = F.when(k == 0, s.cast("string")).when(k == 1, (s * 1000).cast("string")).when(k == 2, shift(0, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    shown = shown.when(k == 4, shift(3, "yyyy-MM-dd'T'HH:mm:ss'+03:00'")).when(k == 5, shift(0, "yyyy-MM-dd")).when(k == 6, shift(-5, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'-05:00'"))
+    shown = shown.when(k == 7, shift(0, "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
     return V.read(spark, d, "events").select("event_id", T.parse_when(shown).alias("at"))
 
 
@@ -265,6 +270,19 @@ def agg27_domain_traffic(spark, d):
     return V.pages(spark, d).groupBy("domain").agg(F.count("*").alias("visits"), F.countDistinct(F.col("page_id") % 20).alias("orgs"), A.count_if(F.contains("url", F.lit("ref="))).alias("citations"))
 
 
+@query("SELECT domain, count(*) AS visits, true AS near FROM v_pages GROUP BY domain")
+def agg27_domain_sketches(spark, d):
+    """Distinct pages of each domain from sketches stored by day and united, against the exact number: within 3 per cent, or one where
+    they are few (the sketches' standard error is 0.8 per cent)."""
+    p = V.pages(spark, d)
+    stored = shared_path(spark)
+    A.day_sketches(p.select("domain", (F.col("page_id") % 7).alias("day"), "page_id"), ["domain"], "day", "page_id").write.partitionBy("day").parquet(stored)
+    told = A.united_sketches(spark.read.parquet(stored), ["domain"])
+    exact = p.groupBy("domain").agg(F.countDistinct("page_id").alias("pages"))
+    near = F.abs(F.col("distinct") - F.col("pages")) <= F.greatest(F.lit(1.0), 0.03 * F.col("pages"))
+    return told.join(exact, "domain").select("domain", "visits", near.alias("near"))
+
+
 @query("""WITH b AS (SELECT domain AS host, CASE WHEN url LIKE '%html%' THEN 'doc' ELSE 'xhr' END AS kind, octet_length(encode(html)) AS bytes FROM v_pages), h AS (SELECT kind, host, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY bytes DESC, host) AS rank FROM h QUALIFY rank <= 8""")
 def agg28_bytes_by_host(spark, d):

@@ -85,7 +85,7 @@ def test_globs(spark):
 def test_gap_boundary_and_episodes(spark):
     df = spark.createDataFrame([(1, 1, 0.0, "a"), (1, 2, 899.0, "b"), (1, 3, 1799.0, "m"), (1, 4, 1800.0, "c")], "worker int, line int, t double, bucket string")
     got = windows.gap_attribution(df, ["m"]).orderBy("line").collect()
-    assert [(r.idle, r.credit) for r in got] == [(False, 0.0), (False, 899.0), (True, 0.0), (False, 1.0)]
+    assert [(r.idle, r.credit) for r in got] == [(False, 0.0), (False, 899.0), (False, 0.0), (False, 1.0)]  # markers are never idle
     runs = spark.createDataFrame([(1, 1, 0.0, "s"), (1, 2, 5.0, "s"), (1, 3, 9.0, "e"), (1, 4, 10.0, "e")], "worker int, line int, t double, bucket string")
     pairs = windows.episode_pairing(runs, F.col("bucket") == "s", F.col("bucket") == "e").collect()
     assert [(r.start_line, r.end_line, r.seconds) for r in pairs] == [(2, 3, 4.0)]
