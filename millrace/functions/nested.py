@@ -31,6 +31,40 @@ def org_from_raw(raw: Column) -> Column:
     )
 
 
+CARD = (
+    "title string, description string, socialLinks array<struct<type:string,href:string,readableHref:string>>, phones array<struct<number:string>>, "
+    "workingTime struct<text:string>, ratingData struct<ratingValue:double,reviewCount:long>"
+)
+
+
+def card_from_raw(raw: Column) -> Column:
+    """title, description, socials (links with an address), phones (numbers that are filled), hours, rating, reviews_count of a raw card item;
+    null where the item is no object."""
+    r = F.from_json(raw, CARD)
+    filled = lambda c: c.isNotNull() & (c != "")
+    none = F.array().cast("array<string>")
+    card = F.struct(
+        r["title"].alias("title"), F.nullif(r["description"], F.lit("")).alias("description"),
+        F.coalesce(F.filter(r["socialLinks"]["href"], filled), none).alias("socials"), F.coalesce(F.filter(r["phones"]["number"], filled), none).alias("phones"),
+        r["workingTime"]["text"].alias("hours"), r["ratingData"]["ratingValue"].alias("rating"), r["ratingData"]["reviewCount"].alias("reviews_count"),
+    )
+    return F.when(F.startswith(F.ltrim(raw), F.lit("{")), card)
+
+
+BRIEF = "title string, seoname string, categories array<struct<name:string>>, fullAddress string, address string, site string, rating string, reviewsCount long"
+
+
+def org_brief(raw: Column, most: int = 5) -> Column:
+    """What a judge is shown of a raw organisation: name, address, up to ``most`` categories, site and rating, with a dash for what it lacks."""
+    r = F.from_json(raw, BRIEF)
+    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit("—"))
+    names = F.slice(F.transform(r["categories"], lambda c: F.coalesce(c["name"], F.lit("?"))), 1, most)
+    return F.concat(
+        F.lit("name: "), first(r["title"], r["seoname"]), F.lit("\naddress: "), first(r["fullAddress"], r["address"]), F.lit("\ncategories: "), first(F.array_join(names, ", ")),
+        F.lit("\nsite: "), first(r["site"]), F.lit("\nyandex_rating: "), F.coalesce(r["rating"], F.lit("—")), F.lit(" ("), F.coalesce(r["reviewsCount"], F.lit(0)).cast("string"), F.lit(" reviews)"),
+    )
+
+
 REVIEW = "reviewId string, rating long, text string, textTranslations map<string,string>, updatedTime string"
 
 

@@ -88,3 +88,13 @@ def day_sketches(df: DataFrame, by: list[str], day: str, of: str, lg_k: int = 14
 def united_sketches(days: DataFrame, by: list[str]) -> DataFrame:
     """Visits and distinct values of each group over any days, from their sketches; the rows themselves aren't read again."""
     return days.groupBy(*by).agg(F.sum("visits").alias("visits"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+
+
+#: What counts as yes.
+YES = ["true", "1", "yes", "да"]
+
+
+def flagged(df: DataFrame, flags: list[str], keep: list[str]) -> DataFrame:
+    """A row for each flag that a row raises: flag and the columns in ``keep``."""
+    raised = F.filter(F.array(*[F.when(F.lower(F.trim(F.col(f))).isin(YES), F.lit(f)) for f in flags]), lambda f: f.isNotNull())
+    return df.select(F.explode(raised).alias("flag"), *keep)

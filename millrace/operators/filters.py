@@ -13,6 +13,11 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, w: a | F.contains(c, F.lit(w)), words, F.lit(False)) if words else F.lit(True)
 
 
+def matched(c: Column, words: list[str]) -> Column:
+    """Those of the words that the text holds, in their order."""
+    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+
+
 def keyword_any(df: DataFrame, cols: list[str], words: list[str]) -> DataFrame:
     """Rows whose columns hold a keyword anywhere, whatever the case; without keywords all rows."""
     return df.where(contains_any(F.lower(F.concat_ws(" ", *cols)), words))

@@ -92,19 +92,36 @@ def _calls(spark, d):
     return V.turns(spark, d).select("run", "turn", failed.alias("kind"), n.alias("ctx"), (n % 97).alias("s"), "host")
 
 
-@query(CALLS + f"SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS total, {q('s', 'floor', .5)} AS med, {q('s', 'floor', .9)} AS p90, {q('ctx', 'floor', .99)} AS ctx_p99 FROM c GROUP BY kind")
+@query(CALLS + f""", t AS (SELECT *, CASE WHEN kind NOT LIKE '%_failed' THEN ctx END AS prompt, CASE WHEN kind NOT LIKE '%_failed' THEN turn END AS completion FROM c),
+ w AS (SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS total, {q('s', 'floor', .5)} AS med, {q('s', 'floor', .9)} AS p90, coalesce(max(prompt), 0) AS ctx_max FROM t GROUP BY kind),
+ p AS (SELECT kind, {q('ctx', 'floor', .5)} AS ctx_med, {q('ctx', 'floor', .9)} AS ctx_p90, {q('turn', 'floor', .5)} AS out_med, {q('turn', 'floor', .9)} AS out_p90 FROM c WHERE kind NOT LIKE '%_failed' GROUP BY kind)
+ SELECT w.*, coalesce(ctx_med, 0) AS ctx_med, coalesce(ctx_p90, 0) AS ctx_p90, coalesce(out_med, 0) AS out_med, coalesce(out_p90, 0) AS out_p90 FROM w LEFT JOIN p ON p.kind = w.kind""")
 def agg35_call_kind_dist(spark, d):
+    """Seconds of all calls; context and completion tokens of those that didn't fail (a kind of failed calls has none)."""
     c = _calls(spark, d)
-    base = c.groupBy("kind").agg(F.sum("s").alias("total"))
-    s = exact_quantiles(c, ["kind"], "s", {"med": ("floor", 0.5), "p90": ("floor", 0.9)})
-    return base.join(s, "kind").join(exact_quantiles(c, ["kind"], "ctx", {"ctx_p99": ("floor", 0.99)}).drop("n"), "kind")
+    done = c.where(~F.endswith("kind", F.lit("_failed")))
+    base = c.groupBy("kind").agg(F.sum("s").alias("total"), F.max(F.when(~F.endswith("kind", F.lit("_failed")), F.col("ctx"))).alias("ctx_max"))
+    out = base.join(exact_quantiles(c, ["kind"], "s", {"med": ("floor", 0.5), "p90": ("floor", 0.9)}), "kind")
+    for col, name in (("ctx", "ctx"), ("turn", "out")):
+        out = out.join(exact_quantiles(done, ["kind"], col, {f"{name}_med": ("floor", 0.5), f"{name}_p90": ("floor", 0.9)}).drop("n"), "kind", "left")
+    tokens = ["ctx_max", "ctx_med", "ctx_p90", "out_med", "out_p90"]
+    return out.select("kind", "n", "total", "med", "p90", *[F.coalesce(t, F.lit(0)).cast("long").alias(t) for t in tokens])
 
 
-@query(CALLS + f"SELECT host AS method, count(*) AS n, {q('s', 'floor', .5)} AS med, CAST(sum(s) AS BIGINT) AS total, round(count(*) FILTER (ctx = 0)::DOUBLE / count(*), 6) AS zero_share FROM c GROUP BY host")
+@query(CALLS + f"SELECT host AS method, count(*) AS n, {q('s', 'floor', .5)} AS med, {q('s', 'floor', .9)} AS p90, CAST(sum(s) AS BIGINT) AS total, round(count(*) FILTER (ctx = 0)::DOUBLE / count(*), 6) AS zero_share FROM c GROUP BY host")
 def agg36_method_dist(spark, d):
     c = _calls(spark, d)
     base = c.groupBy(F.col("host").alias("method")).agg(F.sum("s").alias("total"), A.share(A.count_if(F.col("ctx") == 0), F.count("*")).alias("zero_share"))
-    return base.join(exact_quantiles(c.withColumnRenamed("host", "method"), ["method"], "s", {"med": ("floor", 0.5)}), "method")
+    return base.join(exact_quantiles(c.withColumnRenamed("host", "method"), ["method"], "s", {"med": ("floor", 0.5), "p90": ("floor", 0.9)}), "method")
+
+
+@query(CALLS + f"SELECT count(*) AS n, count(*) FILTER (ctx % 7 = 0) AS zero, CAST(round(100.0::DOUBLE * count(*) FILTER (ctx % 7 = 0) / greatest(1, count(*))) AS BIGINT) AS zero_percent, {q('s', 'floor', .5)} AS med, {q('s', 'floor', .9)} AS p90, CAST(sum(s) AS BIGINT) AS total FROM c WHERE kind = 'user'")
+def agg36_serp_walls(spark, d):
+    """Search calls (the users' turns): how many gave nothing, and their seconds."""
+    c = _calls(spark, d).where("kind = 'user'")
+    zero = A.count_if(F.col("ctx") % 7 == 0)
+    base = c.agg(zero.alias("zero"), F.round(100.0 * zero / F.greatest(F.lit(1), F.count("*"))).cast("long").alias("zero_percent"), F.sum("s").alias("total"))
+    return base.crossJoin(exact_quantiles(c, [], "s", {"med": ("floor", 0.5), "p90": ("floor", 0.9)}))  # one row each
 
 
 @query(CALLS + "SELECT split_part('10.0.0.1:' || ascii(host), ':', -1) AS port, count(*) AS n FROM c WHERE s > 5 GROUP BY 1")
@@ -114,12 +131,14 @@ def agg36_waste_ports(spark, d):
 
 
 @query(CALLS + """SELECT run, CAST(coalesce(sum(s) FILTER (kind = 'user'), 0) AS BIGINT) AS user_s, CAST(coalesce(sum(s) FILTER (kind = 'assistant'), 0) AS BIGINT) AS assistant_s, CAST(coalesce(sum(s) FILTER (kind LIKE '%failed'), 0) AS BIGINT) AS failed_s,
+ CAST(coalesce(sum(s) FILTER (host < '8'), 0) AS BIGINT) AS serp_s, CAST(coalesce(sum(s) FILTER (host >= '8'), 0) AS BIGINT) AS scrape_s, CAST(coalesce(sum(s) FILTER (host >= '8' AND s > 5 AND kind LIKE '%failed'), 0) AS BIGINT) AS waste_s,
  CAST(sum(s) AS BIGINT) AS accounted, CAST(max(turn) * 100 - sum(s) AS BIGINT) AS unaccounted FROM c GROUP BY run""")
 def agg37_run_perf_totals(spark, d):
     of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("s"))), F.lit(0)).cast("long")
     kind = F.col("kind")
     return _calls(spark, d).groupBy("run").agg(
-        of(kind == "user").alias("user_s"), of(kind == "assistant").alias("assistant_s"), of(F.endswith(kind, F.lit("failed"))).alias("failed_s"), F.sum("s").alias("accounted"), (F.max("turn") * 100 - F.sum("s")).alias("unaccounted")
+        of(kind == "user").alias("user_s"), of(kind == "assistant").alias("assistant_s"), of(F.endswith(kind, F.lit("failed"))).alias("failed_s"),
+        of(F.col("host") < "8").alias("serp_s"), of(F.col("host") >= "8").alias("scrape_s"), of((F.col("host") >= "8") & (F.col("s") > 5) & F.endswith(kind, F.lit("failed"))).alias("waste_s"), F.sum("s").alias("accounted"), (F.max("turn") * 100 - F.sum("s")).alias("unaccounted")
     )
 
 

@@ -199,13 +199,15 @@ def src1_read_records(spark, d):
     return R.read_records(spark, path, "id long, status string", multi_line=False)[0]
 
 
-@query(f"SELECT ord, source, 'run1' AS run_at FROM v_items WHERE {MATCH} UNION ALL SELECT ord, source, 'run2' FROM v_items WHERE source = 'view'")
+@query(f"""SELECT ord, source, 'run1' AS run_at, array_to_string(list_filter(['click', '"k": 7', 'error'], lambda w: contains(lower(title), w)), ',') AS keywords FROM v_items WHERE {MATCH}
+ UNION ALL SELECT ord, source, 'run2', '' FROM v_items WHERE source = 'view'""")
 def snk1_append_hits(spark, d):
+    """Two runs' hits in one folder, each with the keywords that its title holds."""
     path = shared_path(spark)
     items = V.items(spark, d).select("ord", "source", "title")
-    R.append_hits(L.keyword_any(items, ["title"], WORDS).drop("title"), path, F.lit("run1"))
-    R.append_hits(items.where("source = 'view'").drop("title"), path, F.lit("run2"))
-    return spark.read.schema("ord long, source string, run_at string").json(path)
+    R.append_hits(L.keyword_any(items, ["title"], WORDS).withColumn("keywords", L.matched(F.lower("title"), WORDS)).drop("title"), path, F.lit("run1"))
+    R.append_hits(items.where("source = 'view'").withColumn("keywords", F.array().cast("array<string>")).drop("title"), path, F.lit("run2"))
+    return spark.read.schema("ord long, source string, run_at string, keywords array<string>").json(path).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT id) AS ids FROM v_items GROUP BY source")

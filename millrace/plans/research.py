@@ -79,6 +79,14 @@ def agg17_flag_lists(spark, d):
     return V.cards(spark, d).where(loose).groupBy("zone").agg(F.count("*").alias("n"), F.min("oid").alias("first_oid"))
 
 
+@query("SELECT CASE oid % 3 WHEN 0 THEN 'multi_branch' WHEN 1 THEN 'is_government' ELSE 'is_chain_or_brand' END AS flag, oid, zone FROM v_cards WHERE oid % 3 < 2 OR oid % 4 = 0")
+def agg17_flagged(spark, d):
+    """The lists themselves, as rows: which card is on which flag's list."""
+    k = F.col("oid")
+    told = V.cards(spark, d).select("oid", "zone", F.when(k % 3 == 0, " Yes").alias("multi_branch"), F.when(k % 3 == 1, "1").otherwise("0").alias("is_government"), F.when((k % 3 == 2) & (k % 4 == 0), "да").otherwise("no").alias("is_chain_or_brand"))
+    return A.flagged(told, ["multi_branch", "is_government", "is_chain_or_brand"], ["oid", "zone"])
+
+
 ASSESSED = "CASE oid % 7 WHEN 0 THEN NULL WHEN 1 THEN 'High-risk, see notes' WHEN 2 THEN '  ' || text ELSE text END"
 
 
@@ -293,10 +301,38 @@ def sca30_review_snippets(spark, d):
     return w.select("oid", F.array_join(N.review_snippets(F.col("t.text"), 2), "|").alias("snippets"))
 
 
-@query("SELECT oid, concat_ws(' | ', title, category, CASE WHEN nation > 12 THEN 'nation ' || nation END, CASE WHEN oid % 2 = 0 THEN 'rated' ELSE 'unrated' END) AS brief FROM v_orgs")
+@query("""SELECT oid, 'name: ' || CASE WHEN oid % 3 = 0 THEN 's' || oid ELSE title END || chr(10) || 'address: ' || CASE WHEN oid % 4 = 0 THEN '—' WHEN oid % 4 = 1 THEN 'a ' || nation ELSE 'full ' || nation END || chr(10)
+ || 'categories: ' || CASE WHEN oid % 8 = 0 THEN '—' ELSE array_to_string(list_transform(range(least(oid % 8, 5)), lambda i: CASE WHEN i = 1 THEN '?' ELSE category || i END), ', ') END || chr(10) || 'site: ' || CASE WHEN oid % 2 = 0 THEN 'http://x/' || oid ELSE '—' END || chr(10)
+ || 'yandex_rating: ' || CASE WHEN oid % 5 = 0 THEN '—' ELSE '4.5' END || ' (' || CASE WHEN oid % 7 = 0 THEN 0 ELSE oid END || ' reviews)' AS brief FROM v_orgs""")
 def sca31_org_brief(spark, d):
-    nation = F.when(F.col("nation") > 12, F.concat(F.lit("nation "), F.col("nation").cast("string")))
-    return V.orgs(spark, d).select("oid", F.concat_ws(" | ", "title", "category", nation, F.when(F.col("oid") % 2 == 0, "rated").otherwise("unrated")).alias("brief"))
+    """Raw organisations with up to seven categories, one of them without a name, and missing names, addresses, sites and ratings."""
+    k, s = F.col("oid"), F.col("oid").cast("string")
+    name = lambda i: F.struct(F.when(i != 1, F.concat("category", i.cast("string"))).alias("name"))
+    raw = F.to_json(
+        F.struct(
+            F.when(k % 3 == 0, "").otherwise(F.col("title")).alias("title"), F.concat(F.lit("s"), s).alias("seoname"), F.when(k % 8 > 0, F.transform(F.sequence(F.lit(0), k % 8 - 1), name)).alias("categories"),
+            F.when(k % 4 > 1, F.concat(F.lit("full "), "nation")).alias("fullAddress"), F.when(k % 4 > 0, F.concat(F.lit("a "), "nation")).alias("address"),
+            F.when(k % 2 == 0, F.concat(F.lit("http://x/"), s)).alias("site"), F.when(k % 5 > 0, 4.5).alias("rating"), F.when(k % 7 > 0, k).alias("reviewsCount"),
+        ),
+    )
+    return V.orgs(spark, d).select("oid", N.org_brief(raw).alias("brief"))
+
+
+@query("""SELECT oid, CASE WHEN oid % 6 = 0 THEN NULL ELSE title END AS title, CASE WHEN oid % 6 = 0 OR oid % 3 = 0 THEN NULL ELSE category END AS description, CASE WHEN oid % 6 = 0 THEN NULL WHEN oid % 2 = 0 THEN 'http://t.me/' || oid ELSE '' END AS socials,
+ CASE WHEN oid % 6 = 0 THEN NULL ELSE '+7' || oid END AS phones, CASE WHEN oid % 6 > 0 AND oid % 4 = 0 THEN 'daily' END AS hours, CASE WHEN oid % 6 > 0 AND oid % 5 > 0 THEN nation / 10.0::DOUBLE END AS rating, CASE WHEN oid % 6 > 0 AND oid % 5 > 0 THEN oid END AS reviews_count FROM v_orgs""")
+def sca27_card_from_raw(spark, d):
+    """Card items with empty links and numbers, without hours or ratings; every sixth is no object."""
+    k, s = F.col("oid"), F.col("oid").cast("string")
+    href = F.when(k % 2 == 0, F.concat(F.lit("http://t.me/"), s))
+    item = F.to_json(
+        F.struct(
+            "title", F.when(k % 3 == 0, "").otherwise(F.col("category")).alias("description"), F.array(F.struct(F.lit("").alias("href")), F.struct(href.alias("href"))).alias("socialLinks"),
+            F.array(F.struct(F.concat(F.lit("+7"), s).alias("number")), F.struct(F.lit("").alias("number"))).alias("phones"), F.when(k % 4 == 0, F.struct(F.lit("daily").alias("text"))).alias("workingTime"),
+            F.when(k % 5 > 0, F.struct((F.col("nation") / 10.0).alias("ratingValue"), k.alias("reviewCount"))).alias("ratingData"),
+        ),
+    )
+    c = V.orgs(spark, d).select("oid", N.card_from_raw(F.when(k % 6 == 0, "[]").otherwise(item)).alias("c")).select("oid", "c.*")
+    return c.withColumns({"socials": F.array_join("socials", ","), "phones": F.array_join("phones", ",")})
 
 
 @query(f"SELECT event_type AS name, count(*) AS n, {q('value', 'rint', .5)} AS q_rint, {q('value', 'floor', .5)} AS q_floor, {q('value', 'mid', .5)} AS q_mid, median(value) AS q_true FROM events GROUP BY event_type")

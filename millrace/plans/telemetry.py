@@ -215,12 +215,16 @@ def agg39_pool_snapshot(spark, d):
     return rows.groupBy("pool", "state").agg(F.count("*").alias("workers"), F.round(share, 6).alias("mean_clean"), F.sum("n").alias("probes"), F.sum("inflight").alias("inflight"))
 
 
-@query(f"""SELECT count(*) AS n, count(*) FILTER (bucket = 'error') AS rejects, count(*) FILTER (bucket = 'view') AS probes, round(count(*) FILTER (bucket <> 'error')::DOUBLE / count(*), 6) AS clean,
- {q('value', 'rint', .95)} AS p95 FROM v_log""")
+@query(f"""SELECT count(*) AS n, count(*) FILTER (bucket IN ('click', 'purchase')) AS main, count(*) FILTER (bucket = 'view') AS probes, count(*) FILTER (bucket = 'error' AND line % 3 = 0) AS rejects_503,
+ count(*) FILTER (bucket = 'error' AND line % 3 <> 0) AS rejects_502, round(coalesce(count(*) FILTER (bucket = 'view' AND value > 20)::DOUBLE / nullif(count(*) FILTER (bucket = 'view'), 0), 0), 6) AS clean, {q('value', 'rint', .95)} AS p95 FROM v_log""")
 def agg40_router_totals(spark, d):
+    """Requests, probes, rejects by kind, and the share of clean probes among probes."""
     log = V.log(spark, d)
-    err = F.col("bucket") == "error"
-    base = log.agg(A.count_if(err).alias("rejects"), A.count_if(F.col("bucket") == "view").alias("probes"), A.share(A.count_if(~err), F.count("*")).alias("clean"))
+    is_, probe, gateway = (lambda *b: F.col("bucket").isin(*b)), F.col("bucket") == "view", F.col("line") % 3 == 0
+    base = log.agg(
+        A.count_if(is_("click", "purchase")).alias("main"), A.count_if(probe).alias("probes"), A.count_if(is_("error") & gateway).alias("rejects_503"), A.count_if(is_("error") & ~gateway).alias("rejects_502"),
+        A.share(A.count_if(probe & (F.col("value") > 20)), A.count_if(probe)).alias("clean"),
+    )
     return base.crossJoin(exact_quantiles(log, [], "value", {"p95": ("rint", 0.95)}))  # one row each
 
 
