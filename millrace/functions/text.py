@@ -133,6 +133,18 @@ def norm_domain(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"^m\.", "")
 
 
+def find_link(html: Column, base: Column, keywords: list[str]) -> Column:
+    """Address of the first link, absolute or from the root of ``base``'s host, whose text holds a keyword in any case; null without one.
+    Tags within a link's text don't count."""
+    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*?\bhref\s*=\s*[\"'](?:/|http)[^\"']*[\"'][^>]*>.*?</a\s*>"), F.lit(0))
+    words = F.array(*[F.lit(w.lower()) for w in keywords])
+    shown = lambda a: F.lower(F.regexp_replace(a, r"<[^>]+>", ""))
+    hit = F.get(F.filter(anchors, lambda a: F.exists(words, lambda w: F.contains(shown(a), w))), F.lit(0))
+    href = F.regexp_extract(hit, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
+    root = F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*", 0)
+    return F.when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^[A-Za-z]+:", 0), href)).when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(href)
+
+
 def rewrite_url(url: Column) -> Column:
     """Channel pages of t.me get their public preview."""
     return F.regexp_replace(url, r"^(https?://t\.me)/([^s/][^/]*|s[^/]+)$", "$1/s/$2")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import running
+
 
 def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, w: a | F.contains(c, F.lit(w)), words, F.lit(False)) if words else F.lit(True)
@@ -275,3 +277,10 @@ def first_rules(df: DataFrame, host: str, rules: DataFrame, block: int = 2_000)
         found = met if found is None else found.unionByName(met)
     least = found.groupBy("_host").agg(F.min(F.struct("ord", "pattern")).alias("_r")).select("_host", F.col("_r.pattern").alias("rule"))
     return df.join(least, F.col(host) == F.col("_host"), "left").drop("_host")
+
+
+def systematic(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Every k-th row in the given order, from the first, n at most: k is a n-th of the rows, or 1.  Rows are numbered range by range."""
+    step = max(1, df.count() // n)
+    at = running(df.withColumn("_k", F.lit(0)), "_k", order, F.lit(1), "_at").withColumn("_at", F.col("_at") - 1)
+    return at.where((F.col("_at") % step == 0) & (F.col("_at") < n * step)).drop("_k", "_at")

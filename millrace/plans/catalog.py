@@ -45,7 +45,8 @@ SELLERS = """count(*) AS n, count(*) FILTER (reviews <= 0) AS r0, count(*) FILTE
  count(*) FILTER (reviews BETWEEN 11 AND 50) AS r11_50, count(*) FILTER (reviews BETWEEN 51 AND 200) AS r51_200, count(*) FILTER (reviews > 200) AS r200,
  count(*) FILTER (reviews >= 200) AS heavy, count(*) FILTER (reviews BETWEEN 1 AND 50) AS mass, count(*) FILTER (reviews = 0) AS fresh,
  count(*) FILTER (level = 'A') AS level_a, count(*) FILTER (level = 'N') AS level_n, count(*) FILTER (level = 'R') AS level_r,
- round(count(*) FILTER (reviews >= 200)::DOUBLE / greatest(count(*), 1), 6) AS heavy_share"""
+ round(count(*) FILTER (reviews >= 200)::DOUBLE / greatest(count(*), 1), 6) AS heavy_share,
+ round(count(*) FILTER (reviews BETWEEN 1 AND 50)::DOUBLE / greatest(count(*), 1), 6) AS mass_share, round(count(*) FILTER (reviews = 0)::DOUBLE / greatest(count(*), 1), 6) AS fresh_share"""
 
 
 @query(f"SELECT leaf, {SELLERS} FROM v_gigs GROUP BY leaf")
@@ -56,6 +57,7 @@ def agg2_seller_structure(spark, d):
         F.count("*").alias("n"), n(r <= 0).alias("r0"), n(r.between(1, 10)).alias("r1_10"), n(r.between(11, 50)).alias("r11_50"),
         n(r.between(51, 200)).alias("r51_200"), n(r > 200).alias("r200"), n(r >= 200).alias("heavy"), n(r.between(1, 50)).alias("mass"),
         n(r == 0).alias("fresh"), *[n(F.col("level") == x).alias(f"level_{x.lower()}") for x in "ANR"], A.share(n(r >= 200), F.count("*")).alias("heavy_share"),
+        A.share(n(r.between(1, 50)), F.count("*")).alias("mass_share"), A.share(n(r == 0), F.count("*")).alias("fresh_share"),
     )
 
 
@@ -83,17 +85,26 @@ def agg5_dist_true(spark, d):
     return base.join(true_median(g, ["leaf"], "price", "median", 1, half_even=True), "leaf")
 
 
-@query(f"""SELECT parent AS profession, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (level = 'A') / count(*), 4) AS pro_share,
- count(*) FILTER (reviews = 0) AS b0, count(*) FILTER (reviews BETWEEN 1 AND 10) AS b1, count(*) FILTER (reviews > 10) AS b2,
- round(100.0::DOUBLE * count(*) FILTER (reviews > 200) / count(*), 4) AS heavy_share, {q('reviews', 'floor', .5)} AS median FROM v_gigs GROUP BY parent""")
+DIST = {"low": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "high": 1.0}
+DISTS = {"": "reviews", "deals_": "price"}
+
+
+@query(f"""SELECT parent AS profession, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (level = 'A') / count(*), 4) AS pro_share, round(100.0::DOUBLE * count(*) FILTER (seller % 3 = 0) / count(*), 4) AS verified_share,
+ count(*) FILTER (reviews = 0) AS b0, count(*) FILTER (reviews BETWEEN 1 AND 10) AS b1, count(*) FILTER (reviews BETWEEN 11 AND 50) AS b2, count(*) FILTER (reviews BETWEEN 51 AND 200) AS b3, count(*) FILTER (reviews > 200) AS b4,
+ round(100.0::DOUBLE * count(*) FILTER (reviews = 0) / count(*), 4) AS fresh_share, round(100.0::DOUBLE * count(*) FILTER (reviews > 200) / count(*), 4) AS heavy_share,
+ {', '.join(f"{q(c, 'floor', p)} AS {pre}{name}" for pre, c in DISTS.items() for name, p in DIST.items())} FROM v_gigs GROUP BY parent""")
 def agg6_profession_profile(spark, d):
     g, r = V.gigs(spark, d).withColumnRenamed("parent", "profession"), F.col("reviews")
     n = F.count("*")
     base = g.groupBy("profession").agg(
-        A.share(A.count_if(F.col("level") == "A"), n, 100.0, 4).alias("pro_share"), A.count_if(r == 0).alias("b0"), A.count_if(r.between(1, 10)).alias("b1"),
-        A.count_if(r > 10).alias("b2"), A.share(A.count_if(r > 200), n, 100.0, 4).alias("heavy_share"),
-    )
-    return base.join(exact_quantiles(g, ["profession"], "reviews", {"median": ("floor", 0.5)}), "profession")
+        A.share(A.count_if(F.col("level") == "A"), n, 100.0, 4).alias("pro_share"), A.share(A.count_if(F.col("seller") % 3 == 0), n, 100.0, 4).alias("verified_share"),
+        A.count_if(r == 0).alias("b0"), A.count_if(r.between(1, 10)).alias("b1"), A.count_if(r.between(11, 50)).alias("b2"), A.count_if(r.between(51, 200)).alias("b3"), A.count_if(r > 200).alias("b4"),
+        A.share(A.count_if(r == 0), n, 100.0, 4).alias("fresh_share"), A.share(A.count_if(r > 200), n, 100.0, 4).alias("heavy_share"),
+    )
+    for pre, col in DISTS.items():
+        told = exact_quantiles(g, ["profession"], col, {f"{pre}{name}": ("floor", p) for name, p in DIST.items()})
+        base = base.join(told if pre == "" else told.drop("n"), "profession")
+    return base
 
 
 TOKENS = r"list_filter(regexp_extract_all(replace(lower(p_name), 'ё', 'е'), '[\p{L}\p{N}][\p{L}\p{N}.+-]+'), lambda w: len(w) > 2)"

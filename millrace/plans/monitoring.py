@@ -159,13 +159,17 @@ def src3_read_cells(spark, d):
     return R.read_cells(expected, spark.read.schema("user_id long, event_type string, n long, error string").json(path), ["user_id", "event_type"])
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS line, event_type AS level, CAST(user_id AS VARCHAR) AS worker FROM events WHERE event_type <> 'view'")
+@query("""SELECT CAST(event_id AS VARCHAR) AS line, event_type AS level, CAST(user_id AS VARCHAR) AS worker, epoch_us(date_trunc('second', ts)) AS us FROM events
+ WHERE event_type <> 'view' AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'""")
 def src4_read_log(spark, d):
+    """Lines of a log between two times, both included; others and those of another form are dropped."""
     path = shared_path(spark)
     e = V.read(spark, d, "events")
-    line = F.when(F.col("event_type") == "view", F.concat(F.lit("~ "), "props")).otherwise(F.format_string("%d | %s | w%d | %s", "event_id", "event_type", "user_id", "props"))
-    e.select(line.alias("value")).write.text(path)
-    return R.read_log(spark, path, r"^([0-9]+) \| ([a-z]+) \| w([0-9]+) \| .*$", ["line", "level", "worker"])
+    known = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.format_string(" | %d | %s | w%d | %s", "event_id", "event_type", "user_id", "props"))
+    e.select(F.when(F.col("event_type") == "view", F.concat(F.lit("~ "), "props")).otherwise(known).alias("value")).write.text(path)
+    pattern = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}) \| ([0-9]+) \| ([a-z]+) \| w([0-9]+) \| .*$"
+    log = R.read_log(spark, path, pattern, ["ts", "line", "level", "worker"], ("2024-01-05 00:00:00", "2024-01-20 12:00:00"))
+    return log.select("line", "level", "worker", V.micros(F.col("ts")).alias("us"))
 
 
 @query("SELECT 'http://x/projects/' || o_orderkey || '/' AS link, 'Order ' || o_orderkey AS title, o_orderstatus AS pub_date, substr(rtrim(repeat(o_orderpriority || ' ', 40)), 1, 300) AS description FROM orders")

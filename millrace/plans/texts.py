@@ -108,12 +108,18 @@ def sca10_enrich_pages(spark, d):
     return p.select("page_id", "text", T.count_words(F.col("text")).alias("word_count"), "truncated")
 
 
-@query(r"""SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '<a href="/[^"]*">[^<]*</a>'),
- lambda a: contains(lower(a), 'th') OR contains(lower(a), 'en'))[1], 'href="([^"]*)"', 1) AS link FROM pages""")
+LINKED = """CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<a class="x" href=''https://other.example/p?q=1''><b>The</b> end</a>' ELSE '<a href="mailto:a">then</a><a rel=a href="/r" ><i>WHEN</i></a>' END || coalesce(html, '')"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS root, regexp_extract_all({LINKED}, '(?is)<a\s[^>]*?\bhref\s*=\s*["''](?:/|http)[^"'']*["''][^>]*>.*?</a\s*>') AS a FROM pages),
+ h AS (SELECT page_id, root, regexp_extract(list_filter(a, lambda x: contains(lower(regexp_replace(x, '<[^>]+>', '', 'g')), 'th') OR contains(lower(regexp_replace(x, '<[^>]+>', '', 'g')), 'en'))[1], '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM p)
+ SELECT page_id, CASE WHEN starts_with(href, '/') THEN root || href ELSE href END AS link FROM h""")
 def sca11_find_link(spark, d):
-    anchors = T.find_all(F.col("html"), '<a href="/[^"]*">[^<]*</a>')
-    hit = F.get(F.filter(anchors, lambda a: L.contains_any(F.lower(a), ["th", "en"])), F.lit(0))
-    return V.read(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(hit, 'href="([^"]*)"', 1)).alias("link"))
+    """Links of the pages, before some of which stand an absolute one with nested tags, or one that leads nowhere and one from the root."""
+    k = F.col("page_id") % 3
+    before = F.when(k == 0, "").when(k == 1, "<a class=\"x\" href='https://other.example/p?q=1'><b>The</b> end</a>").otherwise('<a href="mailto:a">then</a><a rel=a href="/r" ><i>WHEN</i></a>')
+    html = F.concat(before, F.coalesce("html", F.lit("")))
+    return V.read(spark, d, "pages").select("page_id", T.find_link(html, F.col("url"), ["th", "EN"]).alias("link"))
 
 
 @query(rf"""SELECT key, array_to_string(regexp_extract_all(coalesce(text, ''), '{T.PHONE}'), '|') AS phones, array_to_string(regexp_extract_all(coalesce(text, ''), '{T.EMAIL}'), '|') AS emails,
@@ -256,13 +262,16 @@ def top5_first_k_per_site(spark, d):
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")).cast("long")).where("rank <= 20")
 
 
-@query("""WITH g AS (SELECT domain, count(DISTINCT url) AS urls, min(page_id) AS first_id FROM v_pages GROUP BY domain HAVING count(DISTINCT url) >= 4),
- n AS (SELECT *, row_number() OVER (ORDER BY first_id) - 1 AS k, count(*) OVER () AS total FROM g) SELECT domain, urls, first_id FROM n WHERE k % greatest(1, total // 3) = 0 ORDER BY k LIMIT 3""")
+@query("""WITH u AS (SELECT domain, url, min(page_id) AS seen FROM v_pages WHERE domain <> 't.me' GROUP BY domain, url), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seen) AS k FROM u),
+ g AS (SELECT domain, count(*) AS urls, min(seen) AS first_id, string_agg(url, ' ' ORDER BY k) FILTER (k <= 6) AS kept FROM r GROUP BY domain HAVING count(*) >= 4),
+ n AS (SELECT *, row_number() OVER (ORDER BY first_id) - 1 AS k, count(*) OVER () AS total FROM g) SELECT domain, urls, first_id, kept FROM n WHERE k % greatest(1, total // 15) = 0 AND k // greatest(1, total // 15) < 15""")
 def top7_systematic_sample(spark, d):
-    g = V.pages(spark, d).groupBy("domain").agg(F.countDistinct("url").alias("urls"), F.min("page_id").alias("first_id")).where("urls >= 4")
-    total = g.count()
-    ranked = g.withColumn("k", F.row_number().over(Window.orderBy("first_id")) - 1)  # one row per domain
-    return ranked.where(F.col("k") % max(1, total // 3) == 0).orderBy("k").limit(3).drop("k")
+    """Every k-th domain with four URLs or more, 15 at most, each with its first six URLs."""
+    u = V.pages(spark, d).where("domain <> 't.me'").groupBy("domain", "url").agg(F.min("page_id").alias("at"))
+    first = u.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("at"))).where("k <= 6")
+    kept = first.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "url")))["url"], " ").alias("kept"))
+    g = u.groupBy("domain").agg(F.count("*").alias("urls"), F.min("at").alias("first_id")).where("urls >= 4")
+    return L.systematic(g, "first_id", 15).join(kept, "domain").select("domain", "urls", "first_id", "kept")
 
 
 @query("SELECT domain, count(*) AS visits, count(DISTINCT page_id % 20) AS orgs, count(*) FILTER (url LIKE '%ref=%') AS citations FROM v_pages GROUP BY domain")

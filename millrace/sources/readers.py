@@ -30,10 +30,17 @@ def read_cells(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFram
     return joined.withColumn("error", F.when(F.col("_found").isNull(), "missing").otherwise(F.col("error"))).drop("_found")
 
 
-def read_log(spark: SparkSession, path: str, pattern: str, fields: list[str]) -> DataFrame:
-    """Fields of the lines that match a pattern with one group per field; other lines are dropped."""
+def read_log(spark: SparkSession, path: str, pattern: str, fields: list[str], between: tuple[str, str] | None = None) -> DataFrame:
+    """Fields of the lines that match a pattern with one group per field; other lines are dropped.  A field ts is a time without zone;
+    ``between`` keeps the lines from the first of two such times to the second, both included."""
     lines = spark.read.text(path).where(F.regexp_like("value", F.lit(pattern)))
-    return lines.select(*[F.regexp_extract("value", pattern, i + 1).alias(f) for i, f in enumerate(fields)])
+    found = lines.select(*[F.regexp_extract("value", pattern, i + 1).alias(f) for i, f in enumerate(fields)])
+    if "ts" in fields:
+        found = found.withColumn("ts", F.col("ts").try_cast("timestamp_ntz"))
+    if between:
+        first, last = (F.lit(t).cast("timestamp_ntz") for t in between)
+        found = found.where(F.col("ts").between(first, last))
+    return found
 
 
 def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
