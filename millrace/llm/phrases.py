@@ -2,9 +2,9 @@
 
 Counting goes by length.  Each task keeps a trie over word ids: below a phrase's first word lies a hash container of the
 other words, packed in one number; a container that grows beyond ``burst`` becomes a node with a container for each second
-word.  Where a trie's entries exceed the memory limit, its largest subtrees are written out whole, as runs sorted by
-phrase, and forgotten.  The runs of all tasks are cut into ranges of phrases, that is of prefixes, and equal phrases
-of a range are added up.  A task sends a phrase once for each time it spills, however often it occurs.
+word.  Where a trie's entries exceed the memory limit, its largest subtrees are given out whole, as runs sorted by
+phrase, and forgotten.  The runs of all tasks are dealt to partitions by prefix, where equal phrases are added up.  A
+task sends a phrase once for each time it spills, however often it occurs.
 
 A phrase that occurs ``least`` times has no rarer part.  So the words, then the pairs, then the triples that are frequent
 enough set bits of a map of fixed size, and longer phrases are counted only where the bits of their parts are set.  A bit set
@@ -13,13 +13,16 @@ by another phrase costs work but no count, and nothing frequent is passed over:
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hot_join, materialise
+from millrace.llm.common import materialise
 
 #: A-Z to lower case, tabs to blanks, separators of pieces to line ends.
 CLEAN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -41,9 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def place(h: int) -> int:
     """joined_hash of one word's hash."""
-    full = (1 << 64) - 1
-    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & full
-    return (h ^ (h >> 27)) >> (64 - MAP_BITS)
+    return h >> (64 - MAP_BITS)
 
 
 def joined_hash(parts: list[np.ndarray]) -> np.ndarray:
@@ -51,7 +52,8 @@ def joined_hash(parts: list[np.ndarray]) -> np.ndarray:
     h = parts[0]
     for p in parts[1:]:
         h = mixed(h * U64(0x9E3779B97F4A7C15) + p)
-    return (mixed(h) >> U64(64 - MAP_BITS)).astype(np.int64)
+        h = mixed(h)
+    return (h >> U64(64 - MAP_BITS)).astype(np.int64)
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
@@ -62,13 +64,14 @@ class Vocabulary(dict):
     """Word -> id among the task's words that may be frequent; -1 for other words and the break.  One for each language,
     with ids from a common counter."""
 
-    def __init__(self, lang: bytes, names: list, hashes: list, frequent: np.ndarray):
+    def __init__(self, lang: bytes, names: list, hashes: list, frequent: bytes):
         super().__init__({BREAK: -1})
         self.lang, self.names, self.hashes, self.frequent = lang, names, hashes, frequent
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(self.lang, word)
-        if self.frequent[place(h)]:
+        at = place(h)
+        if self.frequent[at >> 3] >> (at & 7) & 1:
             found = len(self.names)
             self.names.append((self.lang, word))
             self.hashes.append(h)
@@ -82,7 +85,7 @@ class Vocabulary(dict):
 class HatTrie:
     """Counts of sequences (first id, other ids packed in one number of ``width - 1`` ids)."""
 
-    def __init__(self, width: int, burst: int = 8192, limit: int = 1_000_000):
+    def __init__(self, width: int, burst: int = 8192, limit: int = 600_000):
         self.width, self.burst, self.limit = width, burst, limit
         self.low = max(0, width - 2) * ID_BITS  # bits of the ids behind the second
         self.root: dict[int, dict] = {}
@@ -134,19 +137,21 @@ class HatTrie:
             held += self.sizes[key]
         return out
 
-    def take(self, keys: list[int]):
-        """Removes subtrees; yields (first id, other ids packed, count)."""
+    def take(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Removes subtrees; first ids, other ids packed, counts."""
+        rests, counts, sizes = [], [], []
         for key in keys:
             below = self.root.pop(key)
-            self.entries -= self.sizes.pop(key)
-            if key in self.nodes:
-                self.nodes.discard(key)
-                for second, box in below.items():
-                    for tail, n in box.items():
-                        yield key, second << self.low | tail, n
-            else:
-                for r, n in below.items():
-                    yield key, r, n
+            held = self.sizes.pop(key)
+            self.entries -= held
+            sizes.append(held)
+            boxes = below.items() if key in self.nodes else [(0, below)]
+            self.nodes.discard(key)
+            for second, box in boxes:
+                rests.append(np.fromiter(box.keys(), np.int64, len(box)) | second << self.low)
+                counts.append(np.fromiter(box.values(), np.int64, len(box)))
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64)), flat(rests), flat(counts)
 
 
 def words_of(text: str | None):
@@ -161,48 +166,48 @@ def words_of(text: str | None):
         at = to
 
 
-def word_counts(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, limit: int = 600_000) -> DataFrame:
     """Sorted runs (lang, phrase, n) of words: the trie of one level is its root container."""
 
     def run(batches):
-        boxes: dict[str, dict[bytes, int]] = {}
+        boxes: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                box = boxes.setdefault(lang, {})
+                box = boxes.setdefault(lang, Counter())
                 for words in words_of(text.as_py()):
-                    for w in words:
-                        box[w] = box.get(w, 0) + 1
+                    box.update(words)
                     if len(box) > limit:
-                        box.pop(BREAK, None)
-                        yield sorted_run([(lang, w, n) for w, n in box.items()])
-                        box.clear()
+                        yield spill(lang, box)
                 if sum(map(len, boxes.values())) > limit:
                     yield from spill_all(boxes)
         yield from spill_all(boxes)
 
+    def spill(lang, box):
+        box.pop(BREAK, None)
+        out = sorted_run(pa.array([lang] * len(box), pa.string()), pa.array(box.keys(), pa.binary()), pa.array(box.values(), pa.int64()))
+        box.clear()
+        return out
+
     def spill_all(boxes):
         for lang in sorted(boxes):
-            boxes[lang].pop(BREAK, None)
-            yield sorted_run([(lang, w, n) for w, n in boxes[lang].items()])
-        boxes.clear()
+            yield spill(lang, boxes[lang])
 
     return docs.mapInArrow(run, "lang string, phrase string, n long")
 
 
-def sorted_run(rows: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
-    rows.sort()
-    lang, phrase, n = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+def sorted_run(lang: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    run = pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), n], ["lang", "phrase", "n"])
+    return run.take(pc.sort_indices(run, sort_keys=[("lang", "ascending"), ("phrase", "ascending")]))
 
 
-def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_000, burst: int = 8192, batch_words: int = 2_000_000) -> DataFrame:
+def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 600_000, burst: int = 8192, batch_words: int = 1_000_000) -> DataFrame:
     """Sorted runs (lang, phrase, n) of all phrases of ``width`` words whose words and parts of width - 1 have their bits set.
 
     ``words`` and ``parts`` are broadcasts of the maps, of fixed size.
     """
 
     def run(batches):
-        frequent, of_parts = (np.unpackbits(np.frombuffer(m.value, np.uint8), bitorder="little").view(bool) for m in (words, parts))
+        frequent, of_parts = words.value, np.frombuffer(parts.value, np.uint8)
         names: list = []
         hashes: list = []
         vocabularies: dict[bytes, Vocabulary] = {}
@@ -210,13 +215,13 @@ def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_
         held: list[np.ndarray] = []
         n_held = 0
 
-        def rows_of(keys):
-            mask = (1 << ID_BITS) - 1
-            out = []
-            for first, rest, n in trie.take(keys):
-                ids = [first, *(rest >> ID_BITS * k & mask for k in range(width - 2, -1, -1))]
-                out.append((names[first][0].decode(), b" ".join([names[i][1] for i in ids]), n))
-            return out
+        def run_of(keys):
+            first, rest, n = trie.take(keys)
+            known = pa.array([w for _, w in names], pa.binary())
+            ids = [first, *(rest >> ID_BITS * k & (1 << ID_BITS) - 1 for k in range(width - 2, -1, -1))]
+            parts = [known.take(pa.array(i)) for i in ids]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+            return sorted_run(pa.array([x for x, _ in names], pa.binary()).take(pa.array(first)), phrase, pa.array(n))
 
         def count():
             nonlocal held, n_held
@@ -230,7 +235,8 @@ def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_
             part_sound = np.logical_and.reduce([sound[k : many + k] for k in range(width - 1)])
             at = np.flatnonzero(part_sound)
             if width > 2:
-                at = at[of_parts[joined_hash([h[at + k] for k in range(width - 1)])]]
+                bit = joined_hash([h[at + k] for k in range(width - 1)])
+                at = at[(of_parts[bit >> 3] >> (bit & 7) & 1).astype(bool)]
             ok = np.zeros(many + 1, bool)
             ok[at] = True
             at = np.flatnonzero(ok[:-1] & ok[1:])
@@ -238,8 +244,12 @@ def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_
             first, rest = ids[at], np.zeros(len(at), np.int64)
             for k in range(1, width):
                 rest = rest << ID_BITS | ids[at + k]
-            order = np.lexsort((rest, first))
-            first, rest = first[order], rest[order]
+            if width < 4:  # both fit one number
+                both = np.sort(first << ID_BITS * (width - 1) | rest)
+                first, rest = both >> ID_BITS * (width - 1), both & (1 << ID_BITS * (width - 1)) - 1
+            else:
+                order = np.lexsort((rest, first))
+                first, rest = first[order], rest[order]
             if not len(first):
                 return
             starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
@@ -247,7 +257,7 @@ def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_
 
         def spilled():
             while trie.entries > trie.limit:
-                yield sorted_run(rows_of(trie.largest()))
+                yield run_of(trie.largest())
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -263,22 +273,27 @@ def phrase_counts(docs: DataFrame, width: int, words, parts, limit: int = 1_000_
                     count()
                     yield from spilled()
                     if len(names) > 1 << (ID_BITS - 1) or sum(map(len, vocabularies.values())) > limit:
-                        yield sorted_run(rows_of(list(trie.root)))
+                        yield run_of(list(trie.root))
                         names.clear()
                         hashes.clear()
                         vocabularies.clear()
         count()
         yield from spilled()
-        yield sorted_run(rows_of(list(trie.root)))
+        yield run_of(list(trie.root))
 
     return docs.mapInArrow(run, "lang string, phrase string, n long")
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """lang, phrase, f: the runs of all tasks, written, then cut into ranges of (lang, phrase) and added up."""
-    runs = materialise(runs)
+def merged(runs: DataFrame, width: int, shares: int = 16) -> DataFrame:
+    """lang, phrase, f: the runs of all tasks, dealt by prefix (all words but the last; of a single word itself) and added up.
+
+    The phrases of a prefix are dealt to ``shares`` partitions, so that one that begins very many phrases burdens no task.
+    """
+    prefix = F.substring_index("phrase", " ", width - 1) if width > 1 else F.col("phrase")
+    part = F.xxhash64("lang", prefix, F.pmod(F.xxhash64("phrase"), F.lit(shares)))
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(parts, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    dealt = runs.withColumn("part", part).repartition(parts, "part")
+    return dealt.groupBy("part", "lang", "phrase").agg(F.sum("n").alias("f")).drop("part")
 
 
 def bit_map(phrases: DataFrame) -> bytes:
@@ -299,18 +314,18 @@ def bit_map(phrases: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def count_phrases(docs: DataFrame, longest: int = 4, least: int = 30, limit: int = 1_000_000, burst: int = 8192, batch_words: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, longest: int = 4, least: int = 30, limit: int = 600_000, burst: int = 8192, batch_words: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all words, and (lang, phrase, width, f) of all phrases of up to ``longest`` words that occur ``least`` times."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    words = materialise(merged(word_counts(docs, limit)))
+    words = materialise(merged(word_counts(docs, limit), 1))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [materialise(words.where(F.col("f") >= least))]
     word_map = context.broadcast(bit_map(levels[0]))
     part_map = word_map
     for width in range(2, longest + 1):
         runs = phrase_counts(docs, width, word_map, part_map, limit, burst, batch_words)
-        levels.append(materialise(merged(runs).where(F.col("f") >= least)))
+        levels.append(materialise(merged(runs, width).where(F.col("f") >= least)))
         if width < longest:
             part_map = context.broadcast(bit_map(levels[-1]))
     every = None
@@ -320,17 +335,10 @@ def count_phrases(docs: DataFrame, longest: int = 4, least: int = 30, limit: int
     return totals, every
 
 
-def looked_up(rows: DataFrame, counts: DataFrame, phrase: str, name: str, hot: int = 10_000) -> DataFrame:
-    """rows with ``name``, the count of their column ``phrase``; phrases that very many rows ask for are joined apart."""
-    counts = counts.select("lang", F.col("phrase").alias(phrase), F.col("f").alias(name))
-    asked = materialise(rows.groupBy("lang", phrase).count().where(F.col("count") > hot).select("lang", phrase))
-    if asked.isEmpty():
-        return rows.join(counts, ["lang", phrase])
-    key = F.struct("lang", phrase).alias("_key")
-    packed, few = rows.withColumn("_key", key), asked.select(key)
-    known = counts.join(asked, ["lang", phrase], "left_semi").select(key, name)
-    rest = hot_join(packed, few, "_key", "left_anti").drop("_key").join(counts, ["lang", phrase])
-    return hot_join(packed, known, "_key").drop("_key").unionByName(rest)
+def looked_up(rows: DataFrame, counts: DataFrame, phrase: str, name: str) -> DataFrame:
+    """rows with ``name``, the count of their column ``phrase``.  A part that very many rows share makes a partition that the adaptive
+    plan splits, since counts have one row for it."""
+    return rows.join(counts.select("lang", F.col("phrase").alias(phrase), F.col("f").alias(name)), ["lang", phrase])
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int = 2000, cover: int = 80, **limits) -> DataFrame:
@@ -353,14 +361,19 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     covered = F.coalesce(F.col("longer").cast("decimal(38,0)") * 100 >= F.col("a").cast("decimal(38,0)") * cover, F.lit(False))
     kept = materialise(found.join(inner, ["lang", "phrase"], "left").where(~covered).select("lang", "phrase", "width", "a"))
-    # Each cut's score, then the lowest.
-    cut = F.explode(F.sequence(F.lit(1), F.col("width") - 1)).alias("k")
-    cuts = kept.select("lang", "phrase", "width", "a", cut)
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(word, 1, F.col("k")), " ").alias("head"), F.array_join(F.slice(word, F.col("k") + 1, F.col("width") - F.col("k")), " ").alias("tail"))
-    both = looked_up(looked_up(cuts, counts, "head", "l"), counts, "tail", "r")
-    score = F.expr("CAST(CAST(a AS DECIMAL(20,0)) * 2000000 div (CAST(l AS DECIMAL(20,0)) + r) AS BIGINT)")
-    scored = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
-    scored = scored.select("lang", "phrase", "a", "low.l", "low.r", "low.score")
+    # Each cut's score, length by length: a part's count comes from the phrases of its length.  The lowest score is kept, and of
+    # equal ones the first cut's.
+    part = lambda at, n: F.array_join(F.slice(word, at, n), " ")
+    score = "CAST(CAST(a AS DECIMAL(20,0)) * 2000000 div (CAST(l{k} AS DECIMAL(20,0)) + r{k}) AS BIGINT)"
+    scored = None
+    for width in range(2, longest + 1):
+        rows = kept.where(F.col("width") == width)
+        for k in range(1, width):
+            for name, side, n in ((f"l{k}", part(1, k), k), (f"r{k}", part(k + 1, width - k), width - k)):
+                rows = looked_up(rows.withColumn("part", side), counts.where(F.col("width") == n), "part", name).drop("part")
+        cuts = [F.struct(F.expr(score.format(k=k)).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, width)]
+        rows = rows.withColumn("low", F.least(*cuts) if len(cuts) > 1 else cuts[0]).select("lang", "phrase", "a", "low.l", "low.r", "low.score")
+        scored = rows if scored is None else scored.unionByName(rows)
     # The first of each share of a language's phrases, then of all: no task orders a whole language.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     share = F.pmod(F.xxhash64("phrase"), F.lit(64))
