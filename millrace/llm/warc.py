@@ -22,6 +22,8 @@ from millrace.llm.common import hot_join, materialise, shared_dir
 END = "\r\n\r\n"
 #: An archive holds at most so many bytes of payload (or one record), since it is read whole.
 FILE_BYTES = 64 << 20
+#: Bytes that a record's headers are taken to have.
+HEADER_BYTES = 1000
 #: Captures in a range of the merged index.
 RANGE_ROWS = 100_000
 CAPTURE = "page_id long, url string, urlkey string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
@@ -67,14 +69,21 @@ def typed(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, least_bytes: int = 100) -> None:
     """Write a WARC record for each row of pages (page_id, url, html) to files under path: plain ones, so that the index's
     offsets lead to records without reading what lies before.  A file has ``records_per_file`` records or as few as keep
-    it below FILE_BYTES.
+    it below FILE_BYTES: pages are written by classes of size, each with its own number, so that a large page closes no
+    file but its own.  Equal payloads have equal sizes, so a response and its revisits are in one class.
 
     A revisit carries the payload too, so that an archive can be read alone; its header names the page
     it refers to.  The date is the page_id in seconds after 2024-01-01 (pages have no time of their own).
     """
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
-    records_per_file = max(1, min(records_per_file, FILE_BYTES // (largest + 1000)))
-    rows = typed(pages, least_bytes)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + HEADER_BYTES
+    least = FILE_BYTES // records_per_file
+    kind = F.greatest(F.lit(0), F.ceil(F.log(8.0, size / least))).cast("int")  # a class is eight times as large as the one below
+    kinds = [row.kind for row in pages.select(kind.alias("kind")).distinct().orderBy("kind").collect()]  # a dozen at most
+    for k in kinds or [0]:
+        _write(typed(pages.where(kind == k), least_bytes), path, max(1, FILE_BYTES // (least * 8**k)))
+
+
+def _write(rows: DataFrame, path: str, records_per_file: int) -> None:
     date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")
     record = F.concat(
@@ -98,6 +107,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, le
         .write.option("lineSep", END)
         .option("maxRecordsPerFile", records_per_file)
         .option("compression", "none")
+        .mode("append")
         .text(path)
     )
 
