@@ -125,9 +125,17 @@ def reject_level(top: np.ndarray, right: np.ndarray, n_languages: int) -> float:
     return min(0.5, max(level, 1.0 / n_languages))
 
 
-def train(docs: DataFrame, sample_rows: int = 3000, **options) -> LanguageModel:
-    """Fit on about ``sample_rows`` rows of docs (doc_id, text, lang not null), chosen by a hash of doc_id."""
-    rows = sampled(docs.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", sample_rows).orderBy("doc_id", "text").collect()
+def train(docs: DataFrame, sample_rows: int = 3000, sample_bytes: int = 24 << 20, **options) -> LanguageModel:
+    """Fit on about ``sample_rows`` rows of docs (doc_id, text, lang not null), chosen by a hash of doc_id, and on fewer where
+    their texts have more than ``sample_bytes`` bytes."""
+    rows = sampled(docs.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", sample_rows)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_bytes:
+        # A text that alone is beyond the bound is left out, since a share of the rows could still hold it.
+        share = int(1_000_000 * sample_bytes / size)
+        chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < share
+        rows = rows.where(chosen & (F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes // 8))
+    rows = rows.orderBy("doc_id", "text").collect()
     return fit([(r["text"], r["lang"]) for r in rows], **options)
 
 

@@ -350,3 +350,28 @@ def test_pipeline_stages(spark, odd_docs, tmp_path):
     twice = docs.unionByName(spark.createDataFrame([(0, text("de", 50), "de", "a", 0)] * 2, docs.schema))
     kept = P.drop_near_copies(spark, twice, "").collect()
     assert sum(r.doc_id == 0 for r in kept) == 1 and len(kept) == len(P.drop_near_copies(spark, docs, "").collect())
+
+
+def test_one_large_page_closes_only_its_own_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    pages = [(k, f"http://a.example/{k}", "x" * (300 + k)) for k in range(60)] + [(90, "http://a.example/l", "y" * 400_000), (91, None, None), (92, "http://a.example/l", "y" * 400_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w", records_per_file=50)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert sum(s < 200_000 for s in sizes) == 2 and len(sizes) == 4
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_and_index(df).collect()}
+    assert len(got) == 63 and got[92] == ("revisit", 90, 400_000) and got[91] == ("response", None, 0)
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    from millrace.llm import langid
+
+    rows = [(k, ("der die das " if k % 2 else "the of and ") * 50, "de" if k % 2 else "en") for k in range(300)] + [(999, "q " * 2_000_000, "en")]
+    seen = []
+    fit = langid.fit
+    langid.fit = lambda texts, **o: seen.extend(texts) or fit(texts, **o)
+    try:
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=600_000)
+    finally:
+        langid.fit = fit
+    assert 0 < sum(len(t) for t, _ in seen) <= 600_000
