@@ -268,8 +268,88 @@ def test_surge_and_dive_against_the_plain_rule():
         assert lineblocks.chosen(weights, marked, window, 80) == plain_runs(weights, marked, window, 80)
 
 
+PARA = "Plain words of a story that somebody wrote, with a few more of them. " * 4
+
+
+def test_page_text_weighs_blocks():
+    text, para = lineblocks.main_text, PARA.strip()
+    story = f"<h1>T</h1><p>{PARA}</p>"
+    talk = f"<div><b>Ann</b><p>{PARA}</p></div>"
+    for page in (
+        f"<article>{story}<div class='discussion'>{talk}<p>I disagree.</p></div></article>",
+        f"<article>{story}</article><ul class='responses'>{talk}</ul>",
+        f"<article>{story}<h2>Comments (3)</h2>{talk}</article>",
+        f"<div>{story}<h2>3 comments</h2>{talk}</div><div class=footer>x</div>",
+        f"<article>{story}<article class='comment'>{talk}</article></article>",
+        f"<body><div class='gdpr-bar'><p>{PARA[:120]}</p></div>{story}",
+        f"<body>{story}<p>\u00a9 2020 me</p><ul><li><a href=1>Imprint</a></ul>",
+        f"<article>{story}<div class='related'><p><a href=1>{PARA}</a></p></div></article>",
+        f"<article>{story}<div class='search'><p>{PARA}</p><form><p>Find</p></form></div></article>",
+    ):
+        assert text(page) == f"T\n{para}", page
+    assert text(f"<article>{story}<h2>Comments</h2>{talk}<h2>Method</h2><p>{PARA}</p></article>") == f"T\n{para}\nMethod\n{para}"
+    assert text(f"<article>{story}<section id='discussion'><h2>Discussion</h2><p>So.</p></section></article>") == f"T\n{para}\nDiscussion\nSo."
+    for kind in ("class='search'", "id='related'"):
+        assert text(f"<article>{story}<section {kind}><p>{PARA}</p></section><p>End.</p></article>") == f"T\n{para}\n{para}\nEnd."
+    links = "".join(f"<li><a href={k}>Link {k}</a>" for k in range(5))
+    assert text(f"<body>{story}<ul>{links}</ul><p>The end.</p>").split("\n") == ["T", para, *[f"Link {k}" for k in range(5)], "The end."]
+    assert text(f"<body><ul>{links}</ul>{story}<ul>{links}</ul>") == f"T\n{para}"
+    assert text(f"<body><h1>T</h1><nav><a href=1>x</a></nav><p>Intro.</p><div class=ad>Buy it</div><p>{PARA}</p>") == f"T\nIntro.\n{para}"
+    assert text(f"<nav><a href=1>Menu</a></nav><footer>{PARA}</footer>") == text(f"<div class=comments>{talk * 30}</div>") == ""
+
+
+def plain_page(lines, window, surge):
+    """Lines kept, each judged by itself: in a strong run, in the block of one, or between two lines of such a block."""
+    weights = [x.weight() for x in lines]
+    n = len(lines)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    tops = [sum(w for w, x in zip(weights[i : i + window], lines[i : i + window]) if x.marked is not None) for i in range(n)]
+    half = max(tops, default=0) / 2
+    at = tops.index(max(tops)) if n else 0
+    kind = next((lines[i].marked for i in range(at, n) if weights[i]), False)
+    groups = []
+    for i in [i for i in range(n) if weights[i]]:
+        if groups and all(sums[k] for k in range(groups[-1][-1], i)):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+
+    def strong(g):
+        of = lines[g[0]].marked
+        top = max(sums[g[0] : g[-1] + 1])
+        return top >= surge and top >= half if of is None else top >= half or (of == kind and top >= surge)
+
+    core = [i for g in groups if strong(g) for i in range(g[0], g[-1] + 1)]
+    weak = [i for g in groups if not strong(g) for i in range(g[0], g[-1] + 1)]
+    prose = [i for i in core if lines[i].text and lines[i].marked is not None]
+    homes = {lines[i].home for i in prose}
+    kept = set(core) | {i for i in weak if lines[i].marked is not None and lines[i].home in homes}
+    same = lambda i, j: lines[i].home == lines[j].home and lines[j].marked is not None
+    for i in range(n):
+        if lines[i].marked is not None and any(j < i and same(i, j) for j in prose) and any(j > i and same(i, j) for j in set(kept)):
+            kept.add(i)
+    return [lines[i].text for i in sorted(kept) if lines[i].text]
+
+
+def test_lines_kept_against_the_plain_rule():
+    rng = random.Random(9)
+    removed = 0
+    for _ in range(3000):
+        window, lines = rng.randint(1, 4), []
+        for _ in range(rng.randint(0, 9)):  # blocks of one kind, with gaps at their borders
+            marked, home = rng.choice([None, False, False, True]), rng.randint(0, 2)
+            lines += [lineblocks.Line() for _ in range(window)]
+            for _ in range(rng.randint(1, 5)):
+                text = f"{len(lines)}:" + "x" * rng.choice([0, 5, 60, 500, 9000 if marked is None else 90])
+                lines.append(lineblocks.Line(text, rng.choice([0, 0, 0, len(text)]), marked, home + 10 * (marked is True)))
+        got = lineblocks.kept_lines(lines, window, 80)
+        assert got == plain_page(lines, window, 80)
+        removed += len(got) < sum(1 for x in lines if x.text)
+    assert removed > 2000
+
+
 def test_page_text_takes_linear_time():
-    for page in ("<p>x</q>", "<div><li>", "<ul><li>", "</p></div>", "<a b='>"):
+    for page in ("<h2>Comments</h2><p>x", "<article><div class=search><p>x", "<p class=ad>x", "<p>x</q>", "<div><li>", "<ul><li>", "</p></div>", "<a b='>"):
         begin = time.process_time()
         lineblocks.main_text(page * 20_000)
         assert time.process_time() - begin < 5, page
