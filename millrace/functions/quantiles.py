@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,34 +20,49 @@ MIDDLE = {"_low": ("low", 0.5), "_high": ("high", 0.5)}
 BINS = 64
 
 
-def exact_quantiles(df: DataFrame, by: list[str], col: str, specs: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row per group: n, and for each name in specs the element that (rule, p) picks; nulls don't count.
+def value_counts(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    """Rows per group and value, as _c: what all statistics of the values can be taken from."""
+    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_c"))
+
+
+def _below(borders: Column, value: Column, low: int, high: int) -> Column:
+    """How many of the borders, in order, are less than a value, known to be between low and high: a search by halves in generated code."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(borders[mid] < value, _below(borders, value, mid + 1, high)).otherwise(_below(borders, value, low, mid))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], col: str, specs: dict, stats: dict[str, Column] | None = None, counted: bool = False) -> DataFrame:
+    """One row per group: n, and for each name in specs the element that (rule, p) picks; null values and groups with a null key don't count.
+
+    A spec may also be a function from n to an index, 0 for the first; null where no element has it.  ``stats`` are further
+    aggregates over the values and their counts ``_c``, which such functions may use.  With ``counted``, df is value_counts already.
 
     Equal values are counted first (partial aggregation).  The distinct values of a group are dealt to bins by approximate
     percentiles and the bins are counted, so that the running count goes over few rows a group; only within the
     bin that holds an index are its values put in order.  So no group's values meet in one task, not even those of the whole table.
     """
+    stats = stats or {}
     none = not by
     keys = by or ["_all"]
-    rows = df.where(F.col(col).isNotNull())
-    rows = rows.withColumn("_all", F.lit(1)) if none else rows
-    counts = rows.groupBy(*keys, col).agg(F.count("*").alias("_c"))
-    borders = counts.groupBy(*keys).agg(F.percentile_approx(col, F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), 4 * BINS).alias("_b"))
+    rows = df.withColumn("_all", F.lit(1)) if none else df
+    counts = rows if counted else value_counts(rows, keys, col)
+    percentiles = F.percentile_approx(col, F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), 4 * BINS)
+    groups = counts.groupBy(*keys).agg(percentiles.alias("_b"), F.sum("_c").alias("_n"), *[c.alias(name) for name, c in stats.items()])
     # A value's bin is the number of borders below it: equal values share one, and bins follow the order of values.
-    binned = counts.join(F.broadcast(borders) if none else borders, keys).withColumn("_bin", F.aggregate("_b", F.lit(0), lambda a, b: a + (b < F.col(col)).cast("int"))).drop("_b")
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_k"))
-    group = Window.partitionBy(*keys)
-    bins = bins.withColumns({"_before": F.sum("_k").over(group.orderBy("_bin")) - F.col("_k"), "_n": F.sum("_k").over(group)})
-    index = lambda name: RULES[specs[name][0]](F.col("_n"), specs[name][1])
-    held = lambda name: (F.col("_before") <= index(name)) & (index(name) < F.col("_before") + F.col("_k"))
-    some = F.lit(False)
-    for name in specs:
-        some |= held(name)
-    wanted = bins.where(some)
+    binned = counts.join(F.broadcast(groups) if none else groups, keys).withColumn("_bin", _below(F.col("_b"), F.col(col), 0, BINS - 1)).drop("_b")
+    whole = ["_n", *stats]
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_k"), *[F.first(c).alias(c) for c in whole])
+    bins = bins.withColumn("_before", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_k"))
+    index = {name: RULES[spec[0]](F.col("_n"), spec[1]) if isinstance(spec, tuple) else spec(F.col("_n")) for name, spec in specs.items()}
+    held = {name: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_k")) for name, i in index.items()}
+    wanted = bins.where(reduce(lambda a, b: a | b, held.values()))
     inside = Window.partitionBy(*keys, "_bin").orderBy(col)
     upto = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    picks = [F.min(F.when(held(name) & (F.col("_upto") > index(name)), F.col(col))).alias(name) for name in specs]
-    found = binned.join(wanted, [*keys, "_bin"]).withColumn("_upto", upto).groupBy(*keys).agg(F.first("_n").alias("n"), *picks)
+    picks = [F.min(F.when(held[name] & (F.col("_upto") > i), F.col(col))).alias(name) for name, i in index.items()]
+    found = binned.drop(*whole).join(wanted, [*keys, "_bin"]).withColumn("_upto", upto)
+    found = found.groupBy(*keys).agg(F.first("_n").alias("n"), *picks, *[F.first(c).alias(c) for c in stats])
     return found.drop("_all") if none else found
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.quantiles import RULES
+from millrace.functions.quantiles import RULES, exact_quantiles
 from millrace.functions.text import STOP
 
 
@@ -19,27 +19,19 @@ def share(part: Column, whole: Column, scale: float = 1.0, digits: int = 6) -> C
     return F.round(F.when(whole > 0, scale * part / whole).otherwise(0.0), digits)
 
 
-def value_counts(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Rows per group and value, as _c: what all statistics of the values can be taken from."""
-    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_c"))
-
-
 def price_stats(counts: DataFrame, by: list[str], col: str = "price", low: int = 500) -> DataFrame:
     """n, min, p25, median, p75, p90 (rounded index), max, share up to ``low``, median above it, mean; 0 and below don't count.
 
-    counts is value_counts of the prices, so that one scan and one shuffle of the rows give all figures.
+    counts is value_counts of the prices; the indices are found by exact_quantiles, the one above ``low`` from the count up to it.
     """
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.where(F.col(col) > 0).withColumns(
-        {"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(group), "_low": F.coalesce(F.sum(F.when(F.col(col) <= low, F.col("_c"))).over(group), F.lit(0))}
-    )
-    pick = lambda p: F.min(F.when(F.col("_upto") > RULES["rint"](F.col("_n"), p), F.col(col)))
-    above = F.min(F.when((F.col(col) > low) & (F.col("_upto") - F.col("_low") > RULES["rint"](F.col("_n") - F.col("_low"), 0.5)), F.col(col)))
-    n = F.sum("_c")
-    return c.groupBy(*by).agg(
-        n.alias("n"), F.min(col).alias("low"), F.max(col).alias("high"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), pick(0.9).alias("p90"),
-        share(F.first("_low"), n).alias("share_low"), above.alias("median_above"), F.bround(F.sum(F.col(col) * F.col("_c")) / n).cast("long").alias("mean"),
+    c, price = F.col("_c"), F.col(col)
+    stats = {"low": F.min(col), "high": F.max(col), "_low": F.coalesce(F.sum(F.when(price <= low, c)), F.lit(0)), "_sum": F.sum(price * c)}
+    specs = {name: ("rint", p) for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+    specs["median_above"] = lambda n: F.col("_low") + RULES["rint"](n - F.col("_low"), 0.5)
+    found = exact_quantiles(counts.where(price > 0), by, col, specs, stats, counted=True)
+    return found.select(
+        *by, "n", "low", "high", "p25", "median", "p75", "p90", share(F.col("_low"), F.col("n")).alias("share_low"), "median_above",
+        F.bround(F.col("_sum") / F.col("n")).cast("long").alias("mean"),
     )
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.quantiles import exact_quantiles, true_median
+from millrace.functions.quantiles import exact_quantiles, true_median, value_counts
 from millrace.functions.text import tokenize
 from millrace.operators import aggregates as A
 from millrace.operators import dedup as D
 from millrace.plans import views as V
 from millrace.plans.registry import query
+from millrace.sources.scratch import shared_path
 
 Q_SQL = "list_sort(list({c}))[CAST({rule} AS BIGINT) + 1]"
 
@@ -30,13 +31,13 @@ PRICE = f"""count(*) AS n, min(price) AS low, {q('price', 'rint', .25)} AS p25,
 
 @query(f"SELECT leaf, {PRICE} FROM v_gigs WHERE price > 0 GROUP BY leaf")
 def agg1_price_stats(spark, d):
-    return A.price_stats(A.value_counts(V.gigs(spark, d), ["leaf"], "price"), ["leaf"], low=20000)
+    return A.price_stats(value_counts(V.gigs(spark, d), ["leaf"], "price"), ["leaf"], low=20000)
 
 
 @query(f"""SELECT leaf, {PRICE} FROM v_gigs WHERE price > 0 GROUP BY leaf
  UNION ALL SELECT '*' AS leaf, {PRICE} FROM v_gigs WHERE price > 0""")
 def agg7_per_category_and_global(spark, d):
-    counts = A.value_counts(V.gigs(spark, d), ["leaf"], "price")
+    counts = value_counts(V.gigs(spark, d), ["leaf"], "price")
     both = counts.select(F.explode(F.array("leaf", F.lit("*"))).alias("leaf"), "price", "_c").groupBy("leaf", "price").agg(F.sum("_c").alias("_c"))
     return A.price_stats(both, ["leaf"], low=20000)
 
@@ -150,16 +151,27 @@ def agg10_term_coverage(spark, d):
  SELECT e.leaf, any_value(top_terms) AS top_terms, count(DISTINCT card) FILTER (price IS NOT NULL) AS with_extras, count(price) AS n, min(price) AS low, {q('price', 'rint', .5, 'price IS NOT NULL')} AS median,
  {q('price', 'rint', .9, 'price IS NOT NULL')} AS p90, max(price) AS high FROM e LEFT JOIN b ON e.leaf = b.leaf GROUP BY e.leaf""")
 def agg11_extras_stats(spark, d):
-    """Cards with extras, the extras' prices, and the five terms that their names hold most."""
-    part = V.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = V.read(spark, d, "lineitem").join(part, "l_partkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.round("l_extendedprice").cast("long").alias("price"), "p_name")).alias("extras"))
-    cards = V.read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    e = cards.select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("leaf"), F.explode_outer("extras").alias("x")).select("card", "leaf", "x.price", "x.p_name")
+    """Cards with extras, the extras' prices, and the five terms that their names hold most.
+
+    Lines meet their cards once: what is counted of them, prices and parts of a leaf, is written and read for the figures.
+    """
+    cards = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("leaf"))
+    lines = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("part"), F.round("l_extendedprice").cast("long").alias("price"))
+    facts = F.explode(F.array(F.struct(F.lit(True).alias("priced"), F.col("price").alias("value")), F.struct(F.lit(False).alias("priced"), F.col("part").alias("value"))))
+    tally = lines.join(cards, "card").select("leaf", facts.alias("x")).groupBy("leaf", "x.priced", "x.value").agg(F.count("*").alias("_c"))
+    path = shared_path(spark)
+    tally.write.parquet(path)
+    tally = spark.read.parquet(path).where("value IS NOT NULL")
     spec = {"low": ("floor", 0.0), "median": ("rint", 0.5), "p90": ("rint", 0.9), "high": ("floor", 1.0)}
-    with_extras = cards.groupBy(F.col("o_orderpriority").alias("leaf")).agg(A.count_if(F.size("extras") > 0).alias("with_extras"))
-    best = A.top_by_count(e.where("p_name IS NOT NULL").select("leaf", F.explode(tokenize(F.col("p_name"))).alias("term")), ["leaf"], "term", 5)
+    prices = exact_quantiles(tally.where("priced").select("leaf", F.col("value").alias("price"), "_c"), ["leaf"], "price", spec, counted=True)
+    names = V.read(spark, d, "part").select(F.col("p_partkey").alias("value"), "p_name")
+    terms = tally.where("NOT priced").join(names, "value").select("leaf", F.explode(tokenize(F.col("p_name"))).alias("term"), "_c").groupBy("leaf", "term").agg(F.sum("_c").alias("k"))
+    best = terms.withColumn("rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("k"), "term"))).where("rank <= 5")
     best = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("leaf", F.array_join("t.term", " ").alias("top_terms"))
-    return with_extras.join(exact_quantiles(e, ["leaf"], "price", spec), "leaf").join(best, "leaf", "left")
+    filled = cards.join(lines.where("price IS NOT NULL").select("card"), "card", "left_semi")
+    with_extras = cards.groupBy("leaf").agg(F.lit(0).alias("z")).join(filled.groupBy("leaf").agg(F.count("*").alias("k")), "leaf", "left")
+    with_extras = with_extras.select("leaf", F.coalesce("k", F.lit(0)).alias("with_extras"))
+    return with_extras.join(prices, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(best, "leaf", "left")
 
 
 @query(f"SELECT leaf, count(*) AS n, min(price) AS low, {q('price', 'mid', .5)} AS median, max(price) AS high FROM v_gigs GROUP BY leaf")

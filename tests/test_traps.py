@@ -282,3 +282,18 @@ def test_antibot_and_log_rules(spark):
     assert verdict(**base) == "CLEAN" == verdict(**base | {"body": "Just a moment"}) and verdict(**base | {"body": "just a moment", "ray": "x"}) == "CLOUDFLARE"
     assert verdict(**base | {"body": "the DDoS-Guard page"}) == "DDOS-GUARD" and verdict(**base | {"status": "429"}) == "BLOCKED" and verdict(**base | {"body": ""}) == "CLEAN"
     assert one(spark, filters.error_kind(F.col("e")), e="") == "other" and one(spark, filters.error_kind(F.col("e")), e="a timeout") == "other"
+
+
+def test_price_stats_against_sorted_lists(spark):
+    from millrace.operators.aggregates import price_stats
+
+    rows = [("a", (k * k) % 911) for k in range(700)] + [("b", 5)] * 40 + [("b", 7)] + [("c", 600), ("d", 0), ("e", None), ("d", -3)] + [("f", 900)] * 3 + [("f", 501)]
+    df = spark.createDataFrame(rows, "g string, price long")
+    got = {r.g: r for r in price_stats(quantiles.value_counts(df, ["g"], "price"), ["g"], low=500).collect()}
+    assert sorted(got) == ["a", "b", "c", "f"]  # groups without a price above 0 have no row
+    for g, r in got.items():
+        v = sorted(p for k, p in rows if k == g and p and p > 0)
+        over = [p for p in v if p > 500]
+        pick = lambda values, p: values[round((len(values) - 1) * p)]
+        assert (r.n, r.low, r.high, r.p25, r.median, r.p75, r.p90) == (len(v), v[0], v[-1], *(pick(v, p) for p in (0.25, 0.5, 0.75, 0.9)))
+        assert r.median_above == (pick(over, 0.5) if over else None) and r["mean"] == round(sum(v) / len(v)) and abs(r.share_low - 1 + len(over) / len(v)) < 1e-6
