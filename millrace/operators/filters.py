@@ -214,9 +214,13 @@ def host_suffixes(host: Column) -> Column:
 
 
 def host_in_list(df: DataFrame, key: str, host: str, hosts: DataFrame) -> DataFrame:
-    """Rows whose host, or a parent domain of it, is listed in hosts (host)."""
-    suffixes = df.select(key, F.explode(host_suffixes(F.col(host))).alias("host"))
-    return df.join(suffixes.join(hosts, "host", "left_semi").select(key).distinct(), key, "left_semi")
+    """Columns key and host of the rows whose host, or a parent domain of it, is listed in hosts (host); a null host is in no list.
+
+    Parent domains are made of the distinct hosts alone, so that rows meet a table of the hosts that are listed, not their own copies.
+    """
+    own = df.select(F.col(host).alias("_host")).where("_host IS NOT NULL").distinct()
+    listed = own.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("host")).join(hosts, "host", "left_semi").select("_host").distinct()
+    return df.select(key, host).join(listed, F.col(host) == F.col("_host"), "left_semi")
 
 
 def is_filled(c: Column, placeholders: list[str]) -> Column:

@@ -297,3 +297,13 @@ def test_price_stats_against_sorted_lists(spark):
         pick = lambda values, p: values[round((len(values) - 1) * p)]
         assert (r.n, r.low, r.high, r.p25, r.median, r.p75, r.p90) == (len(v), v[0], v[-1], *(pick(v, p) for p in (0.25, 0.5, 0.75, 0.9)))
         assert r.median_above == (pick(over, 0.5) if over else None) and r["mean"] == round(sum(v) / len(v)) and abs(r.share_low - 1 + len(over) / len(v)) < 1e-6
+
+
+def test_hosts_in_a_list(spark):
+    from millrace.operators.filters import host_in_list
+
+    rows = [(1, "a.b.com"), (2, "B.com"), (3, "xb.com"), (4, None), (5, "www.c.org"), (6, "c.org.uk"), (7, ""), (8, "a.b.com"), (8, "d.net")]
+    df = spark.createDataFrame(rows, "k int, site string")
+    hosts = spark.createDataFrame([("b.com",), ("c.org",), ("c.org",), (None,)], "host string")
+    assert sorted(r.k for r in host_in_list(df, "k", "site", hosts).collect()) == [1, 2, 5, 8]
+    assert host_in_list(df, "k", "site", hosts.limit(0)).count() == 0
