@@ -1,5 +1,6 @@
 """Language ID, toxicity and fertility rules."""
 
+import math
 import random
 import zlib
 
@@ -152,3 +153,75 @@ def test_fertility_rejects_odd_tokens_only(spark, odd_docs, no_docs):
     assert len(out) == odd_docs.count() and all(r.base_failed and not r.kept for r in out)
     assert fertility.judge(no_docs, PIECES).collect() == []
     assert fertility.script_of("日本") == "CJK" and fertility.script_of("12") == "none"
+
+
+def plain_fertility(text, sp):
+    """Characters per token, share of byte pieces and entropy, word by word."""
+    words = text.encode().split()
+    pieces = [i for w in words for i in sp.encode(w.decode())]
+    n = len(pieces)
+    if not n:
+        return 0.0, 0.0, 0.0
+    shares = [pieces.count(i) / n for i in set(pieces)]
+    return sum(len(w.decode()) for w in words) / n, sum(sp.is_byte(i) for i in pieces) / n, -sum(x * math.log2(x) for x in shares) / math.log2(n + 1)
+
+
+def test_fertility_verdicts_against_plain_python(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(12)
+    odd = lambda: " ".join(chr(0x2500 + rng.randint(0, 900)) * 3 for _ in range(70))
+    texts = [(rng.choice([prose(lang, rng, rng.randint(20, 120)), "same words here " * 40, prose(lang, rng, 30) + odd(), odd()]) if rng.random() < 0.4 else prose(lang, rng, 90), lang) for lang in VOICES for _ in range(30)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.judge(docs, PIECES).collect()}
+    figures = [plain_fertility(t, sp) for t, _ in texts]
+    base = [plain_counts(t) for t, _ in texts]
+    failed = [n < 50 or 100 * repeats > 50 * n for n, _, _, _, repeats in base]
+    fences = {}
+    for lang in VOICES:
+        for m in range(3):
+            v = sorted(f[m] for f, bad, (_, known) in zip(figures, failed, texts) if known == lang and not bad)
+            low, mid, high = (v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75))
+            spread = max(high - low, abs(mid) * 0.02, 0.005)
+            fences[lang, m] = low - 4 * spread, high + 4 * spread
+    verdicts = []
+    for i, (_, lang) in enumerate(texts):
+        assert [got[i][m] for m in fertility.MEASURES] == pytest.approx(figures[i], abs=1e-9)
+        verdicts.append(not failed[i] and all(fences[lang, m][0] - 1e-9 <= figures[i][m] <= fences[lang, m][1] + 1e-9 for m in range(3)))
+        assert got[i].base_failed == failed[i] and got[i].kept == verdicts[-1], texts[i][0][:60]
+    assert any(verdicts) and any(not v and not bad for v, bad in zip(verdicts, failed))
+
+
+def plain_language(model, text):
+    """Language and score from all 2 to 4 character subwords of the padded words, one by one."""
+    bits, full = len(model.logits).bit_length() - 1, (1 << 64) - 1
+    factors = [int(x) for x in langid.FACTORS]
+    sums, n = [0.0] * len(model.languages), 0
+    for word in langid.RUNS.findall(text.lower()):
+        word = f" {word} "
+        for k in range(2, 5):
+            for i in range(len(word) - k + 1):
+                h = ord(word[i]) * factors[0] & full
+                for j in range(1, k):
+                    h = ((h ^ (h >> 29)) + ord(word[i + j]) * factors[j]) & full
+                n += 1
+                for at, x in enumerate(model.logits[(h * factors[0] & full) >> (64 - bits)]):
+                    sums[at] += float(x)
+    if not n:
+        return "und", 0.0
+    z = [(s / n + float(b)) / model.temperature for s, b in zip(sums, model.bias)]
+    p = [math.exp(x - max(z)) for x in z]
+    best = p.index(max(p))
+    return model.languages[best], p[best] / sum(p)
+
+
+def test_language_scores_against_plain_python(spark, voices):
+    model = langid.fit(voices)
+    rng = random.Random(6)
+    texts = ["", "12 ?!", "a", "\u00e9 \u65e5\u672c\u8a9e", "Le Der THE", "x" * 300] + [prose(rng.choice(list(VOICES)), rng, rng.randint(1, 40)) for _ in range(40)]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for r in got:
+        name, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-5), texts[r.doc_id][:60]
+        assert r.rejected == (name == "und" or r.score < model.reject_below)
