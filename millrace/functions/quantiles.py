@@ -53,15 +53,16 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, specs: dict, stats:
     # A value's bin is the number of borders below it: equal values share one, and bins follow the order of values.
     binned = counts.join(F.broadcast(groups) if none else groups, keys).withColumn("_bin", _below(F.col("_b"), F.col(col), 0, BINS - 1)).drop("_b")
     whole = ["_n", *stats]
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_k"), *[F.first(c).alias(c) for c in whole])
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_k"), F.min(col).alias("_from"), F.max(col).alias("_to"), *[F.first(c).alias(c) for c in whole])
     bins = bins.withColumn("_before", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_k"))
     index = {name: RULES[spec[0]](F.col("_n"), spec[1]) if isinstance(spec, tuple) else spec(F.col("_n")) for name, spec in specs.items()}
     held = {name: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_k")) for name, i in index.items()}
-    wanted = bins.where(reduce(lambda a, b: a | b, held.values()))
-    inside = Window.partitionBy(*keys, "_bin").orderBy(col)
+    # Values are found again by a bin's ends: borders made a second time may differ, as approximate percentiles depend on the order of rows.
+    wanted = bins.where(reduce(lambda a, b: a | b, held.values())).drop("_bin")
+    inside = Window.partitionBy(*keys, "_from").orderBy(col)
     upto = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     picks = [F.min(F.when(held[name] & (F.col("_upto") > i), F.col(col))).alias(name) for name, i in index.items()]
-    found = binned.drop(*whole).join(wanted, [*keys, "_bin"]).withColumn("_upto", upto)
+    found = counts.join(F.broadcast(wanted) if none else wanted, keys).where(F.col(col).between(F.col("_from"), F.col("_to"))).withColumn("_upto", upto)
     found = found.groupBy(*keys).agg(F.first("_n").alias("n"), *picks, *[F.first(c).alias(c) for c in stats])
     return found.drop("_all") if none else found
 
