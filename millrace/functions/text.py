@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,13 +46,23 @@ def count_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: References that a semicolon ends.
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t).strip(), na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """All character references decoded, white space at both ends removed; in Arrow batches, since no column function knows them."""
-    return F.pandas_udf(_decoded, "string")(c)
+def _decoded_closed(texts: pd.Series) -> pd.Series:
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+    return texts.map(lambda t: CLOSED.sub(one, t).strip(), na_action="ignore")
+
+
+def unescape(c: Column, bare: bool = True) -> Column:
+    """All character references decoded, white space at both ends removed; in Arrow batches, since no column function knows them.
+    Without ``bare``, what no semicolon ends (as at a cut through a reference) is text."""
+    return F.pandas_udf(_decoded if bare else _decoded_closed, "string")(c)
 
 
 def _cut(c: Column, opening: str, closing: str) -> Column:
@@ -69,17 +81,17 @@ def _without_noise(c: Column) -> Column:
     return _cut(reduce(lambda x, t: _cut(x, rf"<{t}\b[^>]*>", f"</{t}>"), NOISE, c), "<!--", "-->")
 
 
-def clean_html(c: Column) -> Column:
-    """Noise and comments out, tags removed without a blank, white space squeezed, entities decoded last."""
+def clean_html(c: Column, bare: bool = True) -> Column:
+    """Noise and comments out, tags removed without a blank, white space squeezed, entities decoded last (``bare`` as in unescape)."""
     c = F.regexp_replace(_without_noise(F.coalesce(c, F.lit(""))), r"<[^>]+>", "")
-    return unescape(F.regexp_replace(c, f"{WHITE}+", " "))
+    return unescape(F.regexp_replace(c, f"{WHITE}+", " "), bare)
 
 
-def html_to_text(c: Column) -> Column:
+def html_to_text(c: Column, bare: bool = True) -> Column:
     """As clean_html, but ends of paragraphs and headings become two line feeds, those of other blocks one; two in a row at most."""
     c = reduce(lambda x, b: F.regexp_replace(x, f"(?i){b[0]}", "\n" * b[1]), BREAKS, _without_noise(F.coalesce(c, F.lit(""))))
     c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"[ \t]+", " ")
-    return unescape(F.regexp_replace(F.regexp_replace(c, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n"))
+    return unescape(F.regexp_replace(F.regexp_replace(c, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n"), bare)
 
 
 def strip_tags(c: Column, scripts: bool = True) -> Column:

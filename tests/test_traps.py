@@ -5,6 +5,7 @@ import statistics
 import time
 import weakref
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,20 @@ def test_hosts_in_a_list(spark):
     hosts = spark.createDataFrame([("b.com",), ("c.org",), ("c.org",), (None,)], "host string")
     assert sorted(r.k for r in host_in_list(df, "k", "site", hosts).collect()) == [1, 2, 5, 8]
     assert host_in_list(df, "k", "site", hosts.limit(0)).count() == 0
+
+
+def test_references_without_a_semicolon(spark):
+    """Decoded as browsers do, unless the caller takes only what a semicolon ends for a reference, as the page queries do."""
+    cut = "<p>a&amp</p><p>b &amp;lt; &eacute; &#x41; &#65 &nosuch; &notit; c&lt</p>"
+    assert one(spark, text.html_to_text(F.col("h")), h=cut) == "a&\n\nb &lt; é A A &nosuch; ¬it; c<"
+    assert one(spark, text.html_to_text(F.col("h"), bare=False), h=cut) == "a&amp\n\nb &lt; é A &#65 &nosuch; &notit; c&lt"
+    assert one(spark, text.clean_html(F.col("h"), bare=False), h=cut) == "a&ampb &lt; é A &#65 &nosuch; &notit; c&lt"
+
+
+@pytest.mark.parametrize("name", ["sca10_enrich_pages"])
+def test_pages_with_a_cut_reference(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (1, 'http://a.b/', '<p>x &amp</p><p>y &lt; &#39;&quot; &amp;copy;</p>'), (2, 'http://a.b/', NULL), (3, 'http://a.b/', '<div>&nbsp;z &copy</div>')) t(page_id, url, html)")
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.SQL[name])
+    assert sorted(map(tuple, got.select([c[0] for c in want.description]).collect())) == sorted(want.fetchall())
