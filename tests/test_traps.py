@@ -318,7 +318,7 @@ def test_references_without_a_semicolon(spark):
     assert one(spark, text.clean_html(F.col("h"), bare=False), h=cut) == "a&ampb &lt; é A &#65 &nosuch; &notit; c&lt"
 
 
-@pytest.mark.parametrize("name", ["sca4_clean_html", "sca10_enrich_pages"])
+@pytest.mark.parametrize("name", ["sca4_clean_html", "sca5_html_to_text", "sca10_enrich_pages"])
 def test_pages_with_a_cut_reference(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (1, 'http://a.b/', '<p>x &amp</p><p>y &lt; &#39;&quot; &amp;copy;</p>'), (2, 'http://a.b/', NULL), (3, 'http://a.b/', '<div>&nbsp;z &copy</div>')) t(page_id, url, html)")
