@@ -51,3 +51,14 @@ def test_states_are_forgotten(spark, batch_rows):
     df = spark.createDataFrame(rows, "id long, bought double, state string, us long")
     got = {tuple(r) for r in keyed.kept_states(spark, df, day + 5, batch_rows).collect()}
     assert got == {(1, 5.0, "c", 2 * day, 3), (2, None, "z", 3 * day, 1), (3, 7.0, "w", 3 * day + 1, 1), (4, None, None, 3 * day + 2, 1)}
+
+
+def test_many_workers_in_few_entries_and_times_that_repeat(spark):
+    """The store has an entry a bucket, however many workers there are; copies of a table whose times begin anew are not late."""
+    rows = [(100 * c + k % 100, 300 * c + k, 1.0 + 50.0 * k) for c in range(4) for k in range(300)]
+    df = spark.createDataFrame(rows, "worker long, line long, t double")
+    want = sorted(map(tuple, windows.rate_limited(df, "worker", "t", "line", 2, 6000.0).select("worker", "line", "session", "n", "allowed").collect()))
+    assert sorted(map(tuple, keyed.rate_limits(spark, df, 2, 6000.0, batch_rows=300).collect())) == want
+    job = keyed.KeyedJob(spark, keyed.Calls(6000.0, None), "worker", "worker long, line long, session long, n long")
+    job.replay(timed(df), "ts", 600)
+    assert job.run().count() == len(rows) and max(job.store_rows) <= keyed.BUCKETS
