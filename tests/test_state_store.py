@@ -62,3 +62,14 @@ def test_many_workers_in_few_entries_and_times_that_repeat(spark):
     job = keyed.KeyedJob(spark, keyed.Calls(6000.0, None), "worker", "worker long, line long, session long, n long")
     job.replay(timed(df), "ts", 600)
     assert job.run().count() == len(rows) and max(job.store_rows) <= keyed.BUCKETS
+
+
+def test_many_states_in_few_entries(spark):
+    rows = [(k % 400, float(k) if k % 3 else None, f"s{k}" if k % 2 else None, 1_000_000 * (k + 1)) for k in range(1200)]
+    df = spark.createDataFrame(rows, "id long, bought double, state string, us long")
+    want = sorted(map(str, state.kept_states(spark, df, 500_000_000).collect()))
+    assert sorted(map(str, keyed.kept_states(spark, df, 500_000_000, 600).collect())) == want and len(want) == 400
+    job = keyed.KeyedJob(spark, keyed.Patches(500_000_000), "id", "id long, bought double, state string, us long, n long, gone boolean")
+    job.replay(df.withColumn("ts", F.timestamp_micros("us")), "us", 600)
+    job.run()
+    assert max(job.store_rows) <= keyed.BUCKETS
