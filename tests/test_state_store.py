@@ -73,3 +73,14 @@ def test_many_states_in_few_entries(spark):
     job.replay(df.withColumn("ts", F.timestamp_micros("us")), "us", 600)
     job.run()
     assert max(job.store_rows) <= keyed.BUCKETS
+
+
+def test_alerts_of_many_workers_in_few_entries(spark):
+    rows = [(300 * c + k % 300, 900 * c + k, 5.0 + k * 60.0, float(k * k % 37)) for c in range(2) for k in range(900)]
+    df = spark.createDataFrame(rows, "worker long, line long, t double, value double")
+    got = sorted((r.worker, r.line, round(r.rate, 9)) for r in keyed.degradation_alerts(spark, df, batch_rows=900).collect())
+    assert got == _plain_alerts(rows) != []
+    job = keyed.KeyedJob(spark, keyed.Degradation(86_400.0, 3, 20.0, 172_800.0), "worker", "worker long, line long, rate double")
+    job.replay(timed(df), "ts", 900)
+    job.run()
+    assert max(job.store_rows) <= keyed.BUCKETS
