@@ -8,6 +8,7 @@ from functools import reduce
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -213,8 +214,8 @@ def goal_extract(text: Column, words: str, budget: int = 2000) -> Column:
     without groups; one pass over the matches in their order, in Arrow batches."""
     reach = [(words, 400), (PHONE, 200), (EMAIL, 200), (SOCIAL, 100)]
 
-    @F.pandas_udf("string")
-    def extract(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def extract(texts: pa.Array) -> pa.Array:
         import regex
 
         patterns = [(regex.compile(p), n) for p, n in reach]
@@ -228,6 +229,6 @@ def goal_extract(text: Column, words: str, budget: int = 2000) -> Column:
                     spans.append([s, e])
             return (" ‖ ".join(t[s:e] for s, e in spans) or t)[:budget]
 
-        return texts.map(one)
+        return pa.array((one(t.as_py()) for t in texts), pa.string())  # one text at a time is a Python string
 
     return extract(F.coalesce(text, F.lit("")))

@@ -325,3 +325,10 @@ def test_pages_with_a_cut_reference(spark, tmp_path, name):
     con.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
     got, want = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.SQL[name])
     assert sorted(map(tuple, got.select([c[0] for c in want.description]).collect())) == sorted(want.fetchall())
+
+
+def test_extracts_read_texts_one_by_one(spark, monkeypatch):
+    """Texts stay Arrow's but for the one at hand: no column of Python strings is made of a batch."""
+    monkeypatch.setattr(text.F, "pandas_udf", None)
+    df = spark.createDataFrame([("-" * 500 + "x" + "é" * 500,), (None,), ("y" * 3000,)], "h string")
+    assert [len(r[0]) for r in df.select(text.goal_extract(F.col("h"), "x")).collect()] == [801, 0, 2000]
