@@ -1,5 +1,7 @@
 """Jobs with state in the store: several batches, restarts, and keys that leave."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from test_traps import _plain_alerts
@@ -84,3 +86,23 @@ def test_alerts_of_many_workers_in_few_entries(spark):
     job.replay(timed(df), "ts", 900)
     job.run()
     assert max(job.store_rows) <= keyed.BUCKETS
+
+
+def _stores(job):
+    return len([p for p in Path(job.base.removeprefix("file:"), "state", "state", "0").iterdir() if p.name.isdigit()])
+
+
+def test_a_store_for_few_partitions_whatever_the_session_has(spark):
+    """Each partition opens and commits a store of its own in every micro-batch, so the session's 64 or 200 are not taken."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = [(k % 400, float(k) if k % 3 else None, f"s{k}", 1_000_000 * (k + 1)) for k in range(1200)]
+        df = spark.createDataFrame(rows, "id long, bought double, state string, us long").withColumn("ts", F.timestamp_micros("us"))
+        job = keyed.KeyedJob(spark, keyed.Patches(500_000_000), "id", "id long, bought double, state string, us long, n long, gone boolean")
+        job.replay(df, "us", 600)
+        states = keyed.current(job.run(), 500_000_000).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert states == 400 and _stores(job) <= 2 * spark.sparkContext.defaultParallelism
