@@ -1,7 +1,9 @@
 """Jobs with state in the store: several batches, restarts, and keys that leave."""
 
+import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_traps import _plain_alerts
@@ -106,3 +108,17 @@ def test_a_store_for_few_partitions_whatever_the_session_has(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert states == 400 and _stores(job) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_many_workers_cost_no_more_than_their_rows():
+    """A bucket of 20,000 workers with a row each is walked like one worker's 20,000 rows, not frame by frame."""
+    job, n = keyed.Degradation(86_400.0, 3, 20.0, 172_800.0), 20_000
+
+    def seconds(worker):
+        frame = pd.DataFrame([(worker(k), k, 5.0 + k, float(k % 37)) for k in range(n)], columns=["worker", "line", "t", "value"]).sort_values(job.ORDER)
+        began = time.perf_counter()
+        job.step(frame, {})
+        return time.perf_counter() - began
+
+    seconds(lambda k: 0)
+    assert min(seconds(lambda k: k) for _ in range(3)) < 5 * min(seconds(lambda k: 0) for _ in range(3))
